@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import op02_token_store, op07_bpe_codec
+from . import op02_token_store, op04_jaccard_join, op07_bpe_codec, op08_decontaminate
 from .storage import shared_dir
 
 
@@ -27,12 +27,22 @@ def op2_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op02_token_store.read_digests(spark, path)
 
 
+def op4_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op04_jaccard_join.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op7_bpe_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op07_bpe_codec.digests(table(spark, sf_dir, "documents"), tokenizer())
 
 
+def op8_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op08_decontaminate.digests(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_token_store": op2_token_store,
+    "op4_jaccard_join": op4_jaccard_join,
     "op7_bpe_codec": op7_bpe_codec,
+    "op8_decontaminate": op8_decontaminate,
 }
 ORACLE_SQL: dict[str, str] = {}
