@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import op02_token_store, op04_jaccard_join, op07_bpe_codec, op08_decontaminate
+from . import op01_quality_rules, op02_token_store, op04_jaccard_join, op07_bpe_codec, op08_decontaminate, op10_toxicity_mil
 from .storage import shared_dir
 
 
@@ -21,6 +21,10 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op01_quality_rules.quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op2_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = f"{shared_dir(spark)}/store-{uuid.uuid4().hex}"
     op02_token_store.write_store(table(spark, sf_dir, "documents"), tokenizer(), path)
@@ -39,10 +43,16 @@ def op8_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op08_decontaminate.digests(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op10_toxicity_mil.toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_quality_rules": op1_quality_rules,
     "op2_token_store": op2_token_store,
     "op4_jaccard_join": op4_jaccard_join,
     "op7_bpe_codec": op7_bpe_codec,
     "op8_decontaminate": op8_decontaminate,
+    "op10_toxicity_mil": op10_toxicity,
 }
 ORACLE_SQL: dict[str, str] = {}
