@@ -6,8 +6,8 @@ A document's recipe lists the addresses of its chunks in order; its Merkle root
 roots covers the recipes of each part. Reading recomputes addresses and roots and fails on any difference.
 
 Layout under the store's folder (Parquet, written by Spark alone):
-  packs/    pack, n, addresses, lengths, ids: one row for each pack; ids are little-endian, of 2 bytes where the
-            vocabulary allows, else 4
+  data/kind=pack/  pack, n, addresses, lengths, ids: one row for each pack; ids are little-endian, of 2 bytes where
+            the vocabulary allows, else 4
   recipes/  part, doc_id, start, n_tokens, addresses, lengths, root: ascending by doc_id
   manifest/ part, n_docs, n_tokens, root
 
@@ -116,8 +116,9 @@ def _leaves(raw: bytes) -> list[bytes]:
     return [raw[i : i + ADDRESS] for i in range(0, len(raw), ADDRESS)]
 
 
-STAGED = "bucket int, rows long, blob binary, doc_id long, n_tokens long, addresses binary, lengths binary, root binary"
-_STAGED = pa.schema([("bucket", pa.int32()), ("rows", pa.int64()), ("blob", pa.binary()), ("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("addresses", pa.binary()), ("lengths", pa.binary()), ("root", pa.binary())])
+FLOW = "bucket int, blob binary, doc_id long, n_tokens long, addresses binary, lengths binary, root binary"
+_FLOW = pa.schema([("bucket", pa.int32()), ("blob", pa.binary()), ("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("addresses", pa.binary()), ("lengths", pa.binary()), ("root", pa.binary())])
+DATA = "kind string, pack int, n long, ids binary, doc_id long, n_tokens long, addresses binary, lengths binary, root binary"
 
 
 def _fold(keys: np.ndarray, lengths: np.ndarray, at: np.ndarray, flat: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -143,10 +144,10 @@ def _stager(spec, end_id: int, dtype: str, buckets: int):
             for x, y in zip(at, [*at[1:], len(keys)]):
                 address_bytes = np.frombuffer(b"".join(keys[x:y]), np.uint8)
                 lengths = np.array([len(i) for i in ids[x:y]], np.uint32) // np.dtype(dtype).itemsize
-                rows.append((int(bucket[x]), y - x, blobs.pack(address_bytes, lengths, np.frombuffer(b"".join(ids[x:y]), dtype))))
+                rows.append((int(bucket[x]), blobs.pack(address_bytes, lengths, np.frombuffer(b"".join(ids[x:y]), dtype))))
             none = [None] * len(rows)
             if rows:
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip([*zip(*rows), none, none, none, none, none], _STAGED.types)], schema=_STAGED)
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip([*zip(*rows), none, none, none, none, none], _FLOW.types)], schema=_FLOW)
 
         for batch in batches:
             for a, b, data, offsets in chunks(batch.column(1)):
@@ -170,10 +171,10 @@ def _stager(spec, end_id: int, dtype: str, buckets: int):
                 own = [found[x:y] for x, y in zip(of, of[1:])]
                 n = b - a
                 yield pa.RecordBatch.from_arrays(
-                    [pa.nulls(n, pa.int32()), pa.nulls(n, pa.int64()), pa.nulls(n, pa.binary()), batch.column(0).slice(a, n), pa.array(counts + 1), pa.array([b"".join(x) for x in own], pa.binary()), pa.array([lengths[4 * x : 4 * y] for x, y in zip(of, of[1:])], pa.binary()), pa.array([merkle(x) for x in own], pa.binary())],
-                    schema=_STAGED,
+                    [pa.array((np.arange(n) + a) % buckets, pa.int32()), pa.nulls(n, pa.binary()), batch.column(0).slice(a, n), pa.array(counts + 1), pa.array([b"".join(x) for x in own], pa.binary()), pa.array([lengths[4 * x : 4 * y] for x, y in zip(of, of[1:])], pa.binary()), pa.array([merkle(x) for x in own], pa.binary())],
+                    schema=_FLOW,
                 )
-                if size > 8 << 20:
+                if size > 4 << 20:
                     yield from flush()
                     held.clear()
                     size = 0
@@ -182,20 +183,30 @@ def _stager(spec, end_id: int, dtype: str, buckets: int):
     return run
 
 
-_PACK = pa.schema([("pack", pa.int32()), ("n", pa.int64()), ("addresses", pa.binary()), ("lengths", pa.binary()), ("ids", pa.binary())])
-
-
 def _packer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Recipes as they are; the chunks of each bucket as one pack."""
     by: dict[int, list[bytes]] = {}
+    names = [x.split()[0] for x in DATA.split(", ")]
     for batch in batches:
-        for bucket, blob in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-            by.setdefault(bucket, []).append(blob)
+        recipe = np.asarray(batch.column(1).is_null())
+        for i in np.flatnonzero(~recipe).tolist():
+            by.setdefault(batch.column(0)[i].as_py(), []).append(batch.column(1)[i].as_py())
+        kept = batch.filter(pa.array(recipe))
+        n = len(kept)
+        yield pa.RecordBatch.from_arrays([pa.array(["recipe"] * n, pa.string()), pa.nulls(n, pa.int32()), pa.nulls(n, pa.int64()), pa.nulls(n, pa.binary()), *kept.columns[2:]], names=names)
     for bucket in sorted(by):
         parts = [blobs.unpack(x) for x in by.pop(bucket)]
         raw, lengths, flat = (np.concatenate(c) for c in zip(*parts))
         at = np.concatenate([[0], np.cumsum(lengths.astype(np.int64))[:-1]])
         keys, lengths, flat = _fold(raw.view(f"V{ADDRESS}"), lengths.astype(np.int64), at, flat)
-        yield pa.RecordBatch.from_arrays([pa.array([bucket], pa.int32()), pa.array([len(keys)]), pa.array([keys.tobytes()], pa.binary()), pa.array([lengths.astype("<u4").tobytes()], pa.binary()), pa.array([flat.tobytes()], pa.binary())], schema=_PACK)
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(["pack"]), pa.array([bucket], pa.int32()), pa.array([len(keys)]), pa.array([flat.tobytes()], pa.binary()), pa.nulls(1, pa.int64()), pa.nulls(1, pa.int64()), pa.array([keys.tobytes()], pa.binary()), pa.array([lengths.astype("<u4").tobytes()], pa.binary()), pa.nulls(1, pa.binary())],
+            names=names,
+        )
+
+
+def _data(spark: SparkSession, path: str, kind: str) -> DataFrame:
+    return spark.read.schema(DATA).parquet(f"{path}/data").filter(F.col("kind") == kind)
 
 
 def write_store(docs: DataFrame, tokenizer_file: str, path: str, end_id: int = 0) -> None:
@@ -208,10 +219,9 @@ def write_store(docs: DataFrame, tokenizer_file: str, path: str, end_id: int = 0
     n = partitions(spark)
     scratch = Scratch(spark, "token-store")
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    staged = scratch.write(rows.mapInArrow(_stager(spark.sparkContext.broadcast(text), end_id, dtype, 4 * n), STAGED), "staged")
-    packed = staged.filter("bucket is not null").select("bucket", "blob").repartition(n, "bucket")
-    packed.mapInArrow(_packer, "pack int, n long, addresses binary, lengths binary, ids binary").write.parquet(f"{path}/packs")
-    recipes = staged.filter("bucket is null").select("doc_id", "n_tokens", "addresses", "lengths", "root")
+    flow = rows.mapInArrow(_stager(spark.sparkContext.broadcast(text), end_id, dtype, 4 * n), FLOW)
+    flow.repartition(n, "bucket").mapInArrow(_packer, DATA).write.partitionBy("kind").parquet(f"{path}/data")
+    recipes = _data(spark, path, "recipe").select("doc_id", "n_tokens", "addresses", "lengths", "root")
     ordered = scratch.write(recipes.repartitionByRange(n, F.col("doc_id").asc_nulls_first(), "n_tokens", "root").sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "n_tokens", "root").withColumn("part", F.spark_partition_id()), "ordered")
     parts = ordered.groupBy("part").agg(F.sum("n_tokens").alias("tokens")).collect()  # one row for each partition
     base, bases = 0, []
@@ -328,8 +338,7 @@ def _entries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def read_digests(spark: SparkSession, path: str, id_bytes: int = 2) -> DataFrame:
     """(doc_id, start, n_tokens, ids_crc32) from the files: every chunk is read and checked against its address,
     every recipe against its Merkle root. A document's CRC is put together from those of its chunks."""
-    packs = spark.read.parquet(f"{path}/packs")
-    chunk = packs.select("addresses", "lengths", "ids").mapInArrow(_pack_reader(id_bytes), "address binary, n long, crc long")
+    chunk = _data(spark, path, "pack").select("addresses", "lengths", "ids").mapInArrow(_pack_reader(id_bytes), "address binary, n long, crc long")
     recipes = spark.read.parquet(f"{path}/recipes")
     entries = recipes.select("start", "addresses", "lengths").mapInArrow(_entries, "start long, seq int, address binary, length long")
     found = entries.join(chunk, "address").groupBy("start").agg(F.collect_list(F.struct("seq", "address", "length", "n", "crc")).alias("found"))
@@ -352,7 +361,7 @@ def read_ids(spark: SparkSession, path: str, id_bytes: int = 2) -> DataFrame:
             flat = [np.frombuffer(b"".join(x["ids"] for x in sorted(p, key=lambda x: x["seq"])), f"<u{id_bytes}").astype(np.int32) for p in parts]
             yield pa.RecordBatch.from_arrays([pa.array(doc, pa.int64()), pa.array(start, pa.int64()), pa.array(flat, pa.list_(pa.int32()))], names=["doc_id", "start", "ids"])
 
-    chunk = spark.read.parquet(f"{path}/packs").select("addresses", "lengths", "ids").mapInArrow(open_packs, "address binary, ids binary")
+    chunk = _data(spark, path, "pack").select("addresses", "lengths", "ids").mapInArrow(open_packs, "address binary, ids binary")
     recipes = spark.read.parquet(f"{path}/recipes")
     entries = recipes.select("start", "addresses", "lengths").mapInArrow(_entries, "start long, seq int, address binary, length long")
     found = entries.join(chunk, "address").groupBy("start").agg(F.collect_list(F.struct("seq", "ids")).alias("found"))
