@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import op01_quality_rules, op02_token_store, op04_jaccard_join, op07_bpe_codec, op08_decontaminate, op10_toxicity_mil
+from . import op01_quality_rules, op02_token_store, op03_substring_dedup, op04_jaccard_join, op07_bpe_codec, op08_decontaminate, op10_toxicity_mil
 from .storage import shared_dir
 
 
@@ -31,6 +31,10 @@ def op2_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op02_token_store.read_digests(spark, path)
 
 
+def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op03_substring_dedup.duplicate_passages(table(spark, sf_dir, "documents"))
+
+
 def op4_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op04_jaccard_join.near_duplicates(table(spark, sf_dir, "documents"))
 
@@ -50,6 +54,7 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality_rules": op1_quality_rules,
     "op2_token_store": op2_token_store,
+    "op3_substring_dedup": op3_substring_dedup,
     "op4_jaccard_join": op4_jaccard_join,
     "op7_bpe_codec": op7_bpe_codec,
     "op8_decontaminate": op8_decontaminate,
