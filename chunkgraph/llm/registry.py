@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import op01_quality_rules, op02_token_store, op03_substring_dedup, op04_jaccard_join, op07_bpe_codec, op08_decontaminate, op10_toxicity_mil
+from . import op01_quality_rules, op02_token_store, op03_substring_dedup, op04_jaccard_join, op06_html_blocks, op07_bpe_codec, op08_decontaminate, op09_ann_projections, op10_toxicity_mil
 from .storage import shared_dir
 
 
@@ -39,6 +39,10 @@ def op4_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op04_jaccard_join.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op6_html_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op06_html_blocks.extract(table(spark, sf_dir, "pages"))
+
+
 def op7_bpe_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op07_bpe_codec.digests(table(spark, sf_dir, "documents"), tokenizer())
 
@@ -47,6 +51,10 @@ def op8_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op08_decontaminate.digests(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op9_ann_projections(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op09_ann_projections.neighbours(table(spark, sf_dir, "embeddings"))
+
+
 def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op10_toxicity_mil.toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -56,8 +64,10 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_token_store": op2_token_store,
     "op3_substring_dedup": op3_substring_dedup,
     "op4_jaccard_join": op4_jaccard_join,
+    "op6_html_blocks": op6_html_blocks,
     "op7_bpe_codec": op7_bpe_codec,
     "op8_decontaminate": op8_decontaminate,
+    "op9_ann_projections": op9_ann_projections,
     "op10_toxicity_mil": op10_toxicity,
 }
 ORACLE_SQL: dict[str, str] = {}
