@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import op01_quality_rules, op02_token_store, op03_substring_dedup, op04_jaccard_join, op06_html_blocks, op07_bpe_codec, op08_decontaminate, op09_ann_projections, op10_toxicity_mil
+from . import op01_quality_rules, op02_token_store, op03_substring_dedup, op04_jaccard_join, op05_ngram_lm, op06_html_blocks, op07_bpe_codec, op08_decontaminate, op09_ann_projections, op10_toxicity_mil
 from .storage import shared_dir
 
 
@@ -39,6 +39,10 @@ def op4_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op04_jaccard_join.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op5_ngram_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op05_ngram_lm.language_model(table(spark, sf_dir, "documents"))
+
+
 def op6_html_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op06_html_blocks.extract(table(spark, sf_dir, "pages"))
 
@@ -64,6 +68,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_token_store": op2_token_store,
     "op3_substring_dedup": op3_substring_dedup,
     "op4_jaccard_join": op4_jaccard_join,
+    "op5_ngram_lm": op5_ngram_lm,
     "op6_html_blocks": op6_html_blocks,
     "op7_bpe_codec": op7_bpe_codec,
     "op8_decontaminate": op8_decontaminate,
