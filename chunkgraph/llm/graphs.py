@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -30,6 +33,24 @@ def _small_star(edges: DataFrame) -> DataFrame:
     return moved.union(least.select("u", F.col("m").alias("v"))).filter("u <> v").distinct()
 
 
+def _forest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """A partition's edges as edges to the least node of each of its components."""
+    above: dict[int, int] = {}
+
+    def root(x: int) -> int:
+        while (y := above.get(x, x)) != x:
+            above[x] = x = above.get(y, y)
+        return x
+
+    for batch in batches:
+        for u, v in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+            a, b = root(u), root(v)
+            if a != b:
+                above[max(a, b)] = min(a, b)
+    nodes = list(above)
+    yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), pa.array([root(x) for x in nodes], pa.int64())], names=["u", "v"])
+
+
 def components(edges: DataFrame, scratch: Scratch, name: str) -> DataFrame:
     """(u, component) for every node of ``edges`` (u long, v long) but the components' own least nodes.
 
@@ -37,7 +58,7 @@ def components(edges: DataFrame, scratch: Scratch, name: str) -> DataFrame:
     joined to one row with its minimum, so a skewed join can be split; no node's neighbours are gathered.
     """
     state, seen, step = None, None, 0
-    current = edges.select(F.col("u").cast("long"), F.col("v").cast("long")).filter("u <> v").distinct()
+    current = edges.select(F.col("u").cast("long"), F.col("v").cast("long")).filter("u <> v").mapInArrow(_forest, "u long, v long").filter("u <> v")
     while True:
         step += 1
         label = f"{name}-{step}"

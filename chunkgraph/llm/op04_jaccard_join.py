@@ -30,11 +30,11 @@ from pyspark.sql import functions as F
 from . import blobs
 from .graphs import by_id, components
 from .storage import Scratch, partitions
-from .textops import chunks, mix, shingles, word_hashes
+from .textops import chunks, mix, ragged_take, shingles, word_hashes
 
 SHINGLE = 5
 SKETCH_BITS, SLICE_BITS = 22, 16
-ALL_PAIRS = 12  # classes of a shingle that give all their pairs at once
+ALL_PAIRS = 12  # possible pairs for each class of a shingle that it gives at once
 SALT = 64  # pairs of a hub that are verified together
 HISTOGRAM = 16
 _U = np.uint64
@@ -128,54 +128,147 @@ def _prefixes(levels, buckets: int):
     return run
 
 
-CANDIDATES = "a long, b long, token long, cls long, n int, pos int"
+def _groups(key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """First rows and sizes of the runs of equal keys."""
+    head = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]])) if len(key) else np.zeros(0, np.int64)
+    return head, np.diff(np.append(head, len(key)))
 
 
-def _possible(na, nb, pa_, pb_) -> np.ndarray:
-    """Length and positional filters for pairs that share a token at positions pa_ and pb_ of their prefixes."""
-    na, nb, pa_, pb_ = (x.astype(np.int64) for x in (na, nb, pa_, pb_))
-    overlap = np.minimum(pa_, pb_) + 1 + np.minimum(na - pa_, nb - pb_) - 1
+def _shared(buckets: int):
+    """Of the exchanged prefixes those shingles that several classes have, sent on by class."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        columns = blobs.gather(batches)
+        if columns is None:
+            return
+        token, cls, n, pos = columns
+        by = np.lexsort((cls, token))
+        token, cls, n, pos = (c[by] for c in (token, cls, n, pos))
+        keep = np.ones(len(token), bool)
+        keep[1:] = (token[1:] != token[:-1]) | (cls[1:] != cls[:-1])
+        token, cls, n, pos = (c[keep] for c in (token, cls, n, pos))
+        head, size = _groups(token)
+        several = np.repeat(size > 1, size)
+        token, cls, n, pos = (c[several] for c in (token, cls, n, pos))
+        out = blobs.Outbox(buckets)
+        yield from out.put(blobs.bucket_of(mix(cls.view(_U)), buckets), cls, token, n, pos)
+        yield from out.flush()
+
+    return run
+
+
+def _ranked(buckets: int):
+    """Adds to each shared shingle how many shared ones stand before it in its prefix; sent on by shingle."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        columns = blobs.gather(batches)
+        if columns is None:
+            return
+        cls, token, n, pos = columns
+        by = np.lexsort((pos, cls))
+        cls, token, n, pos = (c[by] for c in (cls, token, n, pos))
+        head, size = _groups(cls)
+        before = (np.arange(len(cls)) - np.repeat(head, size)).astype(np.int32)
+        out = blobs.Outbox(buckets)
+        yield from out.put(blobs.bucket_of(token, buckets), token, cls, n, pos, before)
+        yield from out.flush()
+
+    return run
+
+
+CANDIDATES = "a long, b long, token long, cls long, n int, pos int, before int"
+
+
+def _possible(x: list[np.ndarray], y: list[np.ndarray]) -> np.ndarray:
+    """Length and positional filters for rows (n, pos, before) of a common shingle.
+
+    What is common lies among the shared shingles before it, or is it, or follows it."""
+    (na, pa_, ba), (nb, pb_, bb) = ([c.astype(np.int64) for c in r] for r in (x, y))
+    overlap = np.minimum(ba, bb) + np.minimum(na - pa_, nb - pb_)
     return (4 * np.minimum(na, nb) >= 3 * np.maximum(na, nb)) & (7 * overlap >= 3 * (na + nb))
 
 
+def _partners(n: np.ndarray, pos: np.ndarray, before: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For rows of one shingle that ascend by n: the range of rows, up to its own, that each may be alike.
+
+    A row has at most ``before + n - pos`` in common with any other, which bounds the size of its partner."""
+    n, most = n.astype(np.int64), before.astype(np.int64) + n - pos
+    low = np.searchsorted(n, -(-3 * n // 4), "left")
+    high = np.minimum(np.searchsorted(n, 7 * most // 3 - n, "right"), np.arange(len(n)))
+    return low, np.maximum(high, low)
+
+
+def _pair_batch(a: np.ndarray, b: np.ndarray) -> pa.RecordBatch:
+    pairs = np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)], 1), axis=0) if len(a) else np.zeros((0, 2), np.int64)
+    k = len(pairs)
+    return pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1]), *(pa.nulls(k, t) for t in (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32()))], names=[x.split()[0] for x in CANDIDATES.split(", ")])
+
+
 def _candidates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     columns = blobs.gather(batches)
     if columns is None:
         return
-    token, cls, n, pos = columns
-    by = np.lexsort((cls, n, token))
-    token, cls, n, pos = (c[by] for c in (token, cls, n, pos))
-    same = token[1:] == token[:-1]
-    keep = np.ones(len(token), bool)
-    keep[1:] = ~(same & (cls[1:] == cls[:-1]))
-    token, cls, n, pos = (c[keep] for c in (token, cls, n, pos))
-    head = np.flatnonzero(np.concatenate([[True], token[1:] != token[:-1]]))
-    size = np.diff(np.append(head, len(token)))
-    group = np.repeat(np.arange(len(head)), size)
-    place = np.arange(len(token)) - head[group]
-    small, big = size <= ALL_PAIRS, size > ALL_PAIRS
-    left, right = [], []
+    by = np.lexsort((columns[1], columns[2], columns[0]))
+    token, cls, n, pos, before = (c[by] for c in columns)
+    head, size = _groups(token)
+    left, right, later = [], [], []
+    small = np.repeat(size <= ALL_PAIRS, size)
+    place = np.arange(len(token)) - np.repeat(head, size)
+    of = np.repeat(size, size)
     for d in range(1, ALL_PAIRS):  # partners that stand d places further on in groups that give all pairs
-        x = np.flatnonzero((small[group]) & (place + d < size[group]))
+        x = np.flatnonzero(small & (place + d < of))
         left.append(x)
         right.append(x + d)
-    x = np.flatnonzero(big[group] & (place + 1 < size[group]))
-    left.append(x)
-    right.append(x + 1)
-    x = np.flatnonzero(big[group])
-    left.append(x)
-    right.append((head + size // 2)[group[x]])
+    for h, k in zip(head[size > ALL_PAIRS].tolist(), size[size > ALL_PAIRS].tolist()):
+        own = slice(h, h + k)
+        low, high = _partners(n[own], pos[own], before[own])
+        count = high - low
+        if count.sum() <= ALL_PAIRS * k:
+            left.append(np.repeat(np.arange(h, h + k), count))
+            right.append(h + ragged_take(low, count))
+            continue
+        some = np.arange(h, h + k)
+        least_alone = h + int(np.argmax(before[own].astype(np.int64) + n[own] - pos[own] - n[own]))  # the member with the fewest shingles of its own
+        for other in (np.maximum(some - 1, h), np.full(k, h + k // 2), np.full(k, least_alone)):
+            left.append(some)
+            right.append(other)
+        later.append(some)
     x, y = np.concatenate(left), np.concatenate(right)
-    good = (x != y) & _possible(n[x], n[y], pos[x], pos[y])
-    x, y = cls[x[good]], cls[y[good]]
-    pairs = np.unique(np.stack([np.minimum(x, y), np.maximum(x, y)], 1), axis=0) if len(x) else np.zeros((0, 2), np.int64)
-    names = ["a", "b", "token", "cls", "n", "pos"]
-    none = lambda k, t: pa.nulls(k, t)
-    k = len(pairs)
-    yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1]), none(k, pa.int64()), none(k, pa.int64()), none(k, pa.int32()), none(k, pa.int32())], names=names)
-    z = np.flatnonzero(big[group])
-    k = len(z)
-    yield pa.RecordBatch.from_arrays([none(k, pa.int64()), none(k, pa.int64()), pa.array(token[z].view(np.int64)), pa.array(cls[z]), pa.array(n[z].astype(np.int32)), pa.array(pos[z].astype(np.int32))], names=names)
+    good = (x != y) & _possible([n[x], pos[x], before[x]], [n[y], pos[y], before[y]])
+    yield _pair_batch(cls[x[good]], cls[y[good]])
+    if later:
+        z = np.concatenate(later)
+        k = len(z)
+        yield pa.RecordBatch.from_arrays([pa.nulls(k, pa.int64()), pa.nulls(k, pa.int64()), pa.array(token[z].view(np.int64)), pa.array(cls[z]), *(pa.array(c[z].astype(np.int32)) for c in (n, pos, before))], names=[x.split()[0] for x in CANDIDATES.split(", ")])
+
+
+def _across(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Pairs of different components from rows (token, cls, n, pos, before, component) that come together by token."""
+    held: list[np.ndarray] = []
+
+    def pairs(rows: np.ndarray) -> Iterator[pa.RecordBatch]:
+        rows = rows[np.lexsort((rows[:, 1], rows[:, 2]))]
+        _, cls, n, pos, before, component = rows.T
+        name, count = np.unique(component, return_counts=True)
+        rest = np.flatnonzero(component != name[count.argmax()])
+        for a in range(0, len(rest), 64):
+            x = np.repeat(rest[a : a + 64], len(rows))
+            y = np.tile(np.arange(len(rows)), len(x) // len(rows))
+            good = component[x] != component[y]
+            x, y = x[good], y[good]
+            good = _possible([n[x], pos[x], before[x]], [n[y], pos[y], before[y]])
+            if good.any():
+                yield _pair_batch(cls[x[good]], cls[y[good]]).select(["a", "b"])
+
+    for batch in batches:
+        held.append(np.stack([np.asarray(c, np.int64) for c in batch.columns], 1))
+        whole = np.concatenate(held)
+        head, _ = _groups(whole[:, 0])
+        for x, y in zip(head[:-1].tolist(), head[1:].tolist()):
+            yield from pairs(whole[x:y])
+        held = [whole[head[-1] :]] if len(head) else []
+    if held and len(held[0]):
+        yield from pairs(np.concatenate(held))
 
 
 def _packed(s: np.ndarray) -> bytes:
@@ -230,11 +323,13 @@ class Join:
 
     def candidates(self) -> tuple[DataFrame, DataFrame]:
         """(pairs of classes, members of the shingles that give their other pairs later)."""
-        rows = self.docs.filter("doc_id is not null").select("text").mapInArrow(_prefixes(self.levels, 2 * self.n), blobs.SCHEMA)
-        found = blobs.exchange(rows, 2 * self.n).mapInArrow(_candidates, CANDIDATES)
-        found = self.scratch.write(found, "candidates")
+        n = 2 * self.n
+        rows = self.docs.filter("doc_id is not null").select("text").mapInArrow(_prefixes(self.levels, n), blobs.SCHEMA)
+        shared = blobs.exchange(rows, n).mapInArrow(_shared(n), blobs.SCHEMA)
+        ranked = blobs.exchange(shared, n).mapInArrow(_ranked(n), blobs.SCHEMA)
+        found = self.scratch.write(blobs.exchange(ranked, n).mapInArrow(_candidates, CANDIDATES), "candidates")
         pairs = found.filter("a is not null").select("a", "b").distinct()
-        return pairs, found.filter("token is not null").select("token", "cls", "n", "pos")
+        return pairs, found.filter("token is not null").select("token", "cls", "n", "pos", "before")
 
     def suffix_filter(self, pairs: DataFrame) -> DataFrame:
         info = self.classes.select("cls", "n", "histogram")
@@ -287,12 +382,9 @@ class Join:
         label = self.labels(links, "first")
         big = big.join(label, "cls")
         torn = big.groupBy("token").agg(F.min("component").alias("x"), F.max("component").alias("y")).filter("x <> y").select("token")
-        big = self.scratch.write(big.join(torn, "token", "left_semi"), "torn")
-        x = big.select("token", F.col("cls").alias("a"), F.col("n").alias("na"), F.col("pos").alias("pa"), F.col("component").alias("ca"))
-        y = big.select("token", F.col("cls").alias("b"), F.col("n").alias("nb"), F.col("pos").alias("pb"), F.col("component").alias("cb"))
-        overlap = F.least("pa", "pb") + F.least(F.col("na") - F.col("pa"), F.col("nb") - F.col("pb"))
-        more = x.join(y, (x.token == y.token) & (F.col("a") < F.col("b")) & (F.col("ca") != F.col("cb")) & (4 * F.least("na", "nb") >= 3 * F.greatest("na", "nb")) & (7 * overlap >= 3 * (F.col("na") + F.col("nb"))))
-        more = more.select("a", "b").distinct().join(tested, ["a", "b"], "left_anti")
+        big = big.join(torn, "token", "left_semi").select("token", "cls", "n", "pos", "before", "component")
+        more = big.repartition(self.n, "token").sortWithinPartitions("token").mapInArrow(_across, "a long, b long")
+        more = more.distinct().join(tested, ["a", "b"], "left_anti")
         return links.union(self.verify(self.suffix_filter(more), "second"))
 
     def documents(self) -> DataFrame:
