@@ -1,7 +1,7 @@
 """Toxicity by multiple-instance learning.
 
-A document is a bag of sentences. A sentence's score is a logistic function of the words it has; a document is
-toxic if any sentence is (noisy-or). Weights are trained from document labels alone, and the sentences that make a
+A document is a bag of sentences. A sentence's score is a logistic function of the words it has, and of how its
+words begin (so that inflected words share evidence); a document is toxic if any sentence is (noisy-or). Weights are trained from document labels alone, and the sentences that make a
 document toxic are found by their own scores.
 
 No shuffle over the documents: the sample (at most ``SAMPLE`` ids) and the model (words of the sample) are
@@ -29,10 +29,11 @@ from .textops import ALNUM_WORD, FOLDED_BYTES, chunks, gram_hashes, mix, span_ha
 #: Labelled documents that training sees at most.
 SAMPLE = 8_000
 THRESHOLD = 0.5
+STEMS = (4, 6)  # bytes
 LEAST_DOCS = 5  # documents of the sample that a word of the model occurs in
 LEAST_SHARE = 0.015  # and as a share of the sample's toxic documents
-LEAST_Z = 4.5  # standard deviations between a word's share of toxic documents and that of the sample
-EPOCHS, RATE, SHRINK = 120, 0.25, 1e-3
+LEAST_Z = 6.0  # standard deviations between a word's share of toxic documents and that of the sample
+EPOCHS, RATE, SHRINK = 200, 0.25, 1e-3
 
 
 def sentences(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -52,6 +53,12 @@ def sentences(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.nda
     return starts, ends, np.cumsum(change) - 1, first
 
 
+def features(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> list[np.ndarray]:
+    """Hashes of each word and of its first bytes, for each of ``STEMS`` (of a shorter word: of the whole)."""
+    stems = [mix(span_hashes(data, starts, np.minimum(starts + k, ends), FOLDED_BYTES) + np.uint64(k)) for k in STEMS]
+    return [span_hashes(data, starts, ends, FOLDED_BYTES), *stems]
+
+
 @dataclass
 class Model:
     """Ascending word hashes with their weights, and the weight of any sentence."""
@@ -61,14 +68,19 @@ class Model:
     bias: float
     constant: float | None = None
 
-    def sentence_logits(self, hashes: np.ndarray, sentence: np.ndarray) -> np.ndarray:
+    def sentence_logits(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray, sentence: np.ndarray) -> np.ndarray:
         count = int(sentence[-1]) + 1 if len(sentence) else 0
+        z = np.full(count, self.bias)
         if not len(self.words):
-            return np.full(count, self.bias)
-        i = np.searchsorted(self.words, hashes)
-        i[i == len(self.words)] = 0
-        w = np.where(self.words[i] == hashes, self.weights[i], 0.0)
-        return self.bias + np.bincount(sentence, w, count)
+            return z
+        pairs = []
+        for hashes in features(data, starts, ends):
+            i = np.searchsorted(self.words, hashes)
+            i[i == len(self.words)] = 0
+            hit = np.flatnonzero(self.words[i] == hashes)
+            pairs.append(i[hit] << 32 | sentence[hit])
+        pair = np.unique(np.concatenate(pairs))  # a word counts once in a sentence
+        return z + np.bincount(pair & 0xFFFFFFFF, self.weights[pair >> 32], count)
 
 
 def softplus(z: np.ndarray) -> np.ndarray:
@@ -105,7 +117,7 @@ def fit(bags: list[tuple[int, np.ndarray, np.ndarray]]) -> Model:
     for k, (_, hashes, own) in enumerate(bags):
         if not len(hashes):
             continue
-        count = int(own[-1]) + 1
+        count = int(own.max()) + 1
         i = np.searchsorted(vocabulary, hashes)
         i[i == len(vocabulary)] = 0
         known = vocabulary[i] == hashes
@@ -116,13 +128,12 @@ def fit(bags: list[tuple[int, np.ndarray, np.ndarray]]) -> Model:
         base += count
     feature, sentence, owner = (np.concatenate(x) for x in (feature, sentence, owner))
     m = len(vocabulary)
-    w, b = np.zeros(m), -4.0
+    w, b = np.zeros(m), -6.0
     first, second, fb, sb = np.zeros(m), np.zeros(m), 0.0, 0.0
-    weight = np.where(y == 1, 0.5 / y.mean(), 0.5 / (1 - y.mean()))
     for step in range(1, EPOCHS + 1):
         z = b + np.bincount(sentence, w[feature], base)
         bag = np.bincount(owner, softplus(z), len(y))  # minus the log of the chance that no sentence is toxic
-        slope = np.where(y == 1, -1 / np.maximum(np.expm1(np.minimum(bag, 500)), 1e-9), 1.0) * weight / len(y)
+        slope = np.where(y == 1, -1 / np.maximum(np.expm1(np.minimum(bag, 500)), 1e-9), 1.0) / len(y)
         gz = slope[owner] / (1 + np.exp(-z))
         gw, gb = np.bincount(feature, gz[sentence], m) + SHRINK / len(y) * w, gz.sum()
         first, second = 0.9 * first + 0.1 * gw, 0.99 * second + 0.01 * gw**2
@@ -142,10 +153,10 @@ def _bags(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for a, b, data, offsets in chunks(batch.column(1)):
             starts, ends, sentence, first = sentences(data, offsets)
-            hashes = span_hashes(data, starts, ends, FOLDED_BYTES)
+            kinds = features(data, starts, ends)
             own = list(zip(first.tolist(), first[1:].tolist()))
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0).slice(a, b - a), pa.array([hashes[x:y].tobytes() for x, y in own], pa.binary()), pa.array([(sentence[x:y] - sentence[x]).astype("<i4").tobytes() if y > x else b"" for x, y in own], pa.binary())],
+                [batch.column(0).slice(a, b - a), pa.array([b"".join(h[x:y].tobytes() for h in kinds) for x, y in own], pa.binary()), pa.array([(sentence[x:y] - sentence[x]).astype("<i4").tobytes() * len(kinds) if y > x else b"" for x, y in own], pa.binary())],
                 names=["label", "hashes", "sentences"],
             )
 
@@ -165,7 +176,7 @@ def _scorer(model):
             scores = []
             for a, b, data, offsets in chunks(batch.column(1)):
                 starts, ends, sentence, first = sentences(data, offsets)
-                z = m.sentence_logits(span_hashes(data, starts, ends, FOLDED_BYTES), sentence)
+                z = m.sentence_logits(data, starts, ends, sentence)
                 document = np.zeros(len(z), np.int64)
                 document[sentence] = np.repeat(np.arange(b - a), np.diff(first))
                 p = -np.expm1(-np.bincount(document, softplus(z), b - a))
@@ -192,7 +203,7 @@ def locate(docs: DataFrame, model: Model, least: float = THRESHOLD) -> DataFrame
         for batch in batches:
             for a, _, data, offsets in chunks(batch.column(1)):
                 starts, ends, sentence, first = sentences(data, offsets)
-                z = m.sentence_logits(span_hashes(data, starts, ends, FOLDED_BYTES), sentence)
+                z = m.sentence_logits(data, starts, ends, sentence)
                 p = 1 / (1 + np.exp(-z))
                 head = np.flatnonzero(np.concatenate([[True], sentence[1:] != sentence[:-1]])) if len(sentence) else np.zeros(0, np.int64)
                 tail = np.append(head[1:], len(sentence)) - 1
