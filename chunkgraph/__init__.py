@@ -1,0 +1 @@
+"""Graph-based evidence retrieval over document collections, on Spark DataFrames."""
