@@ -35,16 +35,17 @@ from pyspark.sql import functions as F
 from . import blobs
 from .bpe import PieceCache, library_encoder, per_document
 from .storage import Scratch, partitions
-from .textops import binary_column, chunks, mix, ragged_take
+from .textops import binary_column, chunks, give_back, mix, ragged_take
 
 ADDRESS = 16
 WINDOW, LEAST, MOST, MASK = 16, 64, 4096, 255  # ids: rolling window, bounds of a chunk, cut when hash & MASK == 0
+CACHE = 500_000  # distinct pieces that a worker remembers
 _U = np.uint64
 
 
 @lru_cache(2)
 def _cache(spec: str) -> PieceCache:
-    return PieceCache(library_encoder(spec))
+    return PieceCache(library_encoder(spec), most=CACHE)
 
 
 def cut_points(ids: np.ndarray, ends: np.ndarray) -> np.ndarray:
@@ -179,6 +180,8 @@ def _stager(spec, end_id: int, dtype: str, buckets: int):
                     held.clear()
                     size = 0
         yield from flush()
+        held.clear()
+        give_back()
 
     return run
 
@@ -198,6 +201,7 @@ def _packer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         parts = [blobs.unpack(x) for x in by.pop(bucket)]
         raw, lengths, flat = (np.concatenate(c) for c in zip(*parts))
         at = np.concatenate([[0], np.cumsum(lengths.astype(np.int64))[:-1]])
+        del parts
         keys, lengths, flat = _fold(raw.view(f"V{ADDRESS}"), lengths.astype(np.int64), at, flat)
         yield pa.RecordBatch.from_arrays(
             [pa.array(["pack"]), pa.array([bucket], pa.int32()), pa.array([len(keys)]), pa.array([flat.tobytes()], pa.binary()), pa.nulls(1, pa.int64()), pa.nulls(1, pa.int64()), pa.array([keys.tobytes()], pa.binary()), pa.array([lengths.astype("<u4").tobytes()], pa.binary()), pa.nulls(1, pa.binary())],

@@ -6,6 +6,7 @@ A chunk holds about ``CHUNK`` bytes, so a worker's memory doesn't depend on the
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 
 import numpy as np
@@ -158,3 +159,12 @@ def binary_column(flat: np.ndarray, lengths: np.ndarray) -> pa.Array:
     at = np.zeros(len(lengths) + 1, np.int32)
     np.cumsum(lengths, out=at[1:])
     return pa.Array.from_buffers(pa.binary(), len(lengths), [None, pa.py_buffer(at), pa.py_buffer(np.ascontiguousarray(flat).view(np.uint8))])
+
+
+def give_back() -> None:
+    """Returns memory that Python has freed to the system, as workers outlive their tasks."""
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        pass
+    pa.default_memory_pool().release_unused()
