@@ -8,6 +8,7 @@ from html.parser import HTMLParser
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 #: Patterns of the cleaner, in a spelling that Java and RE2 read alike.
 URL = r"https?://[^\s\p{Z}]+|www\.[^\s\p{Z}]+"
@@ -17,7 +18,7 @@ NON_ASCII = r"[^\x00-\x7F]+"
 SPACES = r"[\s\p{Z}]+"
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def nfkc(texts: pd.Series) -> pd.Series:
     return texts.map(lambda t: None if t is None else unicodedata.normalize("NFKC", t))
 
@@ -51,7 +52,7 @@ def html_text(page: str | None) -> str | None:
     return "".join(parser.parts)
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def strip_html(pages: pd.Series) -> pd.Series:
     return pages.map(html_text)
 
