@@ -27,7 +27,7 @@ from .labelled import held_out, training_rows
 from .textops import ALNUM_WORD, FOLDED_BYTES, chunks, gram_hashes, mix, span_hashes, words
 
 #: Labelled documents that training sees at most.
-SAMPLE = 8_000
+SAMPLE = 5_000
 THRESHOLD = 0.5
 STEMS = (4, 6)  # bytes
 LEAST_DOCS = 5  # documents of the sample that a word of the model occurs in
