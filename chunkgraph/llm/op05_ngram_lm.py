@@ -44,6 +44,7 @@ HELD = 2
 _U = np.uint64
 END = np.array([0x9D5C0B7F3A1E6428], _U)  # the hash of the end token
 START = (1 << 32) - 1  # the number of the start mark
+MANY = 255  # counts from here on stand in files of their own
 _LOW = _U(0xFFFFFFFF)
 
 
@@ -217,7 +218,10 @@ def _store_pairs(folder: str, words: int, buckets: int):
             _, key, count = _sum_equal(np.zeros(len(key), np.int32), key, count.astype(np.uint32))
             h = mix(key)
             by = np.argsort(h)
-            write_file(folder, f"pair-{b:05d}", h[by], count[by].astype(np.uint32))
+            h, c = h[by], count[by]
+            many = np.flatnonzero(c >= MANY)
+            write_file(folder, f"pair-{b:05d}", h, np.minimum(c, MANY).astype(np.uint8))
+            write_file(folder, f"many-{b:05d}", h[many], c[many].astype(np.uint32))
             first, last = (key >> _U(32)).astype(np.int64), (key & _LOW).astype(np.int64)
             kind = np.minimum(count, 3).astype(np.int64) - 1
             owner = np.concatenate([first, last])
@@ -226,24 +230,43 @@ def _store_pairs(folder: str, words: int, buckets: int):
             owner, which = both >> 2, (both & 3).astype(np.uint8)
             span = max(1, -(-(words + 1) // buckets))
             at = np.where(owner == START, words, owner)
-            of_counts = np.array([(count == k).sum() for k in (1, 2, 3, 4)], np.int64)
             rows = [(x, len(c[0]), blobs.pack(*c)) for x, c in blobs.split((at // span).astype(np.int32), at, which, n.astype(np.uint32))]
-            yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip([*zip(*rows), [b] + [None] * (len(rows) - 1), [len(key)] + [None] * (len(rows) - 1), [of_counts.tolist()] + [None] * (len(rows) - 1)], (pa.int32(), pa.int64(), pa.binary(), pa.int32(), pa.int64(), pa.list_(pa.int64())))], names=["bucket", "rows", "blob", "pair_bucket", "pairs", "of_counts"])
+            of_counts = np.array([(count == k).sum() for k in (1, 2, 3, 4)], np.int64)
+            rows.append((b, 0, blobs.pack(np.array([b, len(key), len(many)], np.int64), of_counts)))  # two columns: what the bucket holds
+            yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows), (pa.int32(), pa.int64(), pa.binary()))], names=["bucket", "rows", "blob"])
 
     return run
 
 
+STORED = "kind string, bucket int, size long, many long, of_counts array<long>, kinds array<long>"
+
+
+def _stored(kind: str, bucket: int, size: int, many: int, of_counts: list[int], kinds: list[int]) -> pa.RecordBatch:
+    whole = pa.list_(pa.int64())
+    return pa.RecordBatch.from_arrays([pa.array([kind]), pa.array([bucket], pa.int32()), pa.array([size], pa.int64()), pa.array([many], pa.int64()), pa.array([of_counts], whole), pa.array([kinds], whole)], names=[x.split()[0] for x in STORED.split(", ")])
+
+
 def _store_contexts(folder: str, words: int, buckets: int):
     span = max(1, -(-(words + 1) // buckets))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b, (at, which, n) in _by_bucket(batches):
+        parts: dict[int, list[list[np.ndarray]]] = {}
+        for batch in batches:
+            for b, raw in zip(batch.column(0).to_pylist(), batch.column(2).to_pylist()):
+                columns = blobs.unpack(raw)
+                if len(columns) == 2:
+                    (bucket, size, many), of_counts = (c.tolist() for c in columns)
+                    yield _stored("pair", bucket, size, many, of_counts, [])
+                else:
+                    parts.setdefault(b, []).append(columns)
+        for b in sorted(parts):
+            at, which, n = (np.concatenate(c) for c in zip(*parts.pop(b)))
             size = min(span, words + 1 - b * span)
             table = np.zeros((4, size), np.uint32)
             np.add.at(table, (which.astype(np.int64), at - b * span), n)
             write_file(folder, f"context-{b:05d}", *table)
             of_counts = [int((table[3] == k).sum()) for k in (1, 2, 3, 4)]
-            yield pa.RecordBatch.from_arrays([pa.array([b], pa.int32()), pa.array([size]), pa.array([of_counts], pa.list_(pa.int64())), pa.array([[int((np.minimum(table[3], 3) == k).sum()) for k in (1, 2, 3)]], pa.list_(pa.int64()))], names=["bucket", "size", "of_counts", "kinds"])
+            yield _stored("context", b, size, 0, of_counts, [int((np.minimum(table[3], 3) == k).sum()) for k in (1, 2, 3)])
 
     return run
 
@@ -260,6 +283,7 @@ def discounts(of_counts: list[int]) -> np.ndarray:
 class Model:
     words: Words
     pairs: Table
+    many: Table  # the pairs that occur MANY times or more
     contexts: Table
     span: int
     documents: int
@@ -310,7 +334,11 @@ class Model:
             key = _pair_keys(number, ends)[both]
             h, back = np.unique(mix(key), return_inverse=True)
             found, bucket, place = self.pairs.find(h)
-            c = self.pairs.take(1, found, bucket, place)[back].astype(np.float64)
+            c = self.pairs.take(1, found, bucket, place)
+            often = np.flatnonzero(c == MANY)
+            if len(often):
+                c[often] = self.many.take(1, *self.many.find(h[often]))
+            c = c[back].astype(np.float64)
             p[both] += np.maximum(c - self.pair_discounts[np.minimum(c, 3).astype(np.int64)], 0) / before_count[both]
         return np.log10(p)
 
@@ -331,26 +359,23 @@ def train(docs: DataFrame, scratch: Scratch) -> Model:
     if v >= START:
         raise ValueError("more distinct words than pair keys can number")
     sent = spark.sparkContext.broadcast(words)
-    schema = "bucket int, rows long, blob binary, pair_bucket int, pairs long, of_counts array<long>"
-    pairs = scratch.write(blobs.exchange(text.mapInArrow(_count_pairs(sent, n), blobs.SCHEMA), n).mapInArrow(_store_pairs(folder, v, n), schema), "pairs")
-    pair_rows = pairs.filter("pair_bucket is not null").select("pair_bucket", "pairs", "of_counts").collect()  # one for each bucket
-    pair_sizes = [0] * n
-    for r in pair_rows:
-        pair_sizes[r.pair_bucket] = r.pairs
-    of_pairs = [sum(r.of_counts[k] for r in pair_rows) for k in range(4)]
-    stored = blobs.exchange(pairs.select("bucket", "rows", "blob"), n).mapInArrow(_store_contexts(folder, v, n), "bucket int, size long, of_counts array<long>, kinds array<long>")
-    context_rows = stored.collect()  # one for each bucket
-    context_sizes = [0] * n
-    for r in context_rows:
-        context_sizes[r.bucket] = r.size
-    of_words = [sum(r.of_counts[k] for r in context_rows) for k in range(4)]
-    kinds = [sum(r.kinds[k] for r in context_rows) for k in range(3)]
-    scratch.drop("pairs")
+    pairs = blobs.exchange(text.mapInArrow(_count_pairs(sent, n), blobs.SCHEMA), n).mapInArrow(_store_pairs(folder, v, n), blobs.SCHEMA)
+    stored = blobs.exchange(pairs, n).mapInArrow(_store_contexts(folder, v, n), STORED).collect()  # two rows for each bucket
+    pair_sizes, many_sizes, context_sizes = [0] * n, [0] * n, [0] * n
+    of_pairs, of_words, kinds = [0] * 4, [0] * 4, [0] * 3
+    for r in stored:
+        if r.kind == "pair":
+            pair_sizes[r.bucket], many_sizes[r.bucket] = r["size"], r.many
+            of_pairs = [x + y for x, y in zip(of_pairs, r.of_counts)]
+        else:
+            context_sizes[r.bucket] = r["size"]
+            of_words = [x + y for x, y in zip(of_words, r.of_counts)]
+            kinds = [x + y for x, y in zip(kinds, r.kinds)]
     word_discounts = discounts(of_words)
     total = sum(pair_sizes)
     given_back = sum(d * k for d, k in zip(word_discounts[1:], kinds)) / total if total else 1.0
     documents = text.count()
-    return Model(words, Table(folder, "pair", pair_sizes, "<u8 <u4"), Table(folder, "context", context_sizes, "<u4 <u4 <u4 <u4"), max(1, -(-(v + 1) // n)), documents, discounts(of_pairs), word_discounts, total, given_back)
+    return Model(words, Table(folder, "pair", pair_sizes, "<u8 u1"), Table(folder, "many", many_sizes, "<u8 <u4"), Table(folder, "context", context_sizes, "<u4 <u4 <u4 <u4"), max(1, -(-(v + 1) // n)), documents, discounts(of_pairs), word_discounts, total, given_back)
 
 
 RESULT = "doc_id long, n_tokens long, n_known long, base_score double, score double"
