@@ -69,4 +69,4 @@ def parse_bool(value: Column) -> Column:
 
 def parse_list(value: Column) -> Column:
     """The non-empty parts between commas, trimmed."""
-    return F.filter(F.transform(F.split(value, ","), F.trim), lambda x: x != "")
+    return F.filter(F.transform(F.split(value, ","), lambda x: F.trim(x)), lambda x: x != "")

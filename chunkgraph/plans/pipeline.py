@@ -24,7 +24,8 @@ def ingest(files: DataFrame, size: int = 512, overlap: int = 50, lowercase: bool
 
 def embed_chunks(chunks: DataFrame, embed: Callable[[Column], Column] | None = None) -> DataFrame:
     """(node_id, chunk_id, text, emb) of the chunks with text; node_id is the rank of chunk_id."""
-    rows = chunks.filter("chunk is not null and chunk <> ''").withColumn("emb", normalise((embed or hashing_embedder())(F.col("chunk")).cast("array<double>")))
+    rows = chunks.filter("chunk is not null and chunk <> ''").withColumn("emb", (embed or hashing_embedder())(F.col("chunk")).cast("array<double>"))
+    rows = rows.withColumn("emb", normalise(F.col("emb")))
     rows = rows.filter("emb is not null").select(F.col("chunk_id").alias("node_id"), F.col("chunk").alias("text"), "emb")
     return graphs.numbers(rows).select(F.col("i").cast("long").alias("node_id"), F.col("node_id").alias("chunk_id"), "text", "emb")
 

@@ -17,14 +17,14 @@ FILE_TYPES = (".txt", ".pdf")
 
 def text_files(spark: SparkSession, path: str | list[str], pattern: str = "*.txt", recursive: bool = False) -> DataFrame:
     """(file, text): one row for each file."""
-    rows = spark.read.option("wholetext", True).option("pathGlobFilter", pattern).option("recursiveFileLookup", recursive).text(path)
+    rows = spark.read.option("pathGlobFilter", pattern).option("recursiveFileLookup", recursive).text(path, wholetext=True)
     return rows.select(F.col("_metadata.file_path").alias("file"), F.col("value").alias("text"))
 
 
 def markdown_files(spark: SparkSession, path: str | list[str], pattern: str = "*.md", recursive: bool = True) -> DataFrame:
     """(file_path, dir_name, text) of the files that are not blank; unreadable ones are skipped."""
-    rows = spark.read.option("wholetext", True).option("pathGlobFilter", pattern).option("recursiveFileLookup", recursive).option("ignoreCorruptFiles", True).text(path)
-    found = rows.select(F.col("_metadata.file_path").alias("file_path"), F.col("value").alias("text")).filter(F.length(F.trim("text")) > 0)
+    rows = spark.read.option("pathGlobFilter", pattern).option("recursiveFileLookup", recursive).option("ignoreCorruptFiles", True).text(path, wholetext=True)
+    found = rows.select(F.col("_metadata.file_path").alias("file_path"), F.col("value").alias("text")).filter(F.col("text").rlike(r"\S"))
     return found.withColumn("dir_name", F.element_at(F.split("file_path", "/"), -2))
 
 
