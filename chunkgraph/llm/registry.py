@@ -75,4 +75,24 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_ann_projections": op9_ann_projections,
     "op10_toxicity_mil": op10_toxicity,
 }
-ORACLE_SQL: dict[str, str] = {}
+_LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+
+#: The other operators train models, tokenize, or search approximately, which SQL can't express.
+ORACLE_SQL: dict[str, str] = {
+    "op4_jaccard_join": rf"""WITH RECURSIVE d AS (SELECT CAST(doc_id AS BIGINT) AS id, regexp_extract_all({_LOWER}, '[^\x20\x09-\x0D]+') AS w FROM documents),
+ grams AS (SELECT id, w[i : i + 4] AS g FROM (SELECT id, w, unnest(range(1, len(w) - 3)) AS i FROM d WHERE len(w) >= 5) UNION SELECT id, w FROM d WHERE len(w) BETWEEN 1 AND 4),
+ sizes AS (SELECT id, count(*) AS n FROM grams GROUP BY id),
+ common AS (SELECT a.id AS x, b.id AS y, count(*) AS c FROM grams a JOIN grams b ON a.g = b.g AND a.id < b.id GROUP BY a.id, b.id),
+ links AS (SELECT x, y FROM common JOIN sizes p ON p.id = x JOIN sizes q ON q.id = y WHERE 100 * c >= 75 * (p.n + q.n - c)),
+ ties AS (SELECT x, y FROM links UNION SELECT y, x FROM links),
+ reach AS (SELECT id AS x, id AS y FROM d UNION SELECT r.x, b.y FROM reach r JOIN ties b ON b.x = r.y)
+ SELECT d.id AS doc_id, CAST(coalesce(n, 0) AS BIGINT) AS n_shingles, c.component_id FROM d LEFT JOIN sizes s ON s.id = d.id JOIN (SELECT x, min(y) AS component_id FROM reach GROUP BY x) c ON c.x = d.id""",
+    "op8_decontaminate": rf"""WITH d AS (SELECT CAST(doc_id AS BIGINT) AS id, regexp_extract_all({_LOWER}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
+ items AS (SELECT item_id, regexp_extract_all({_LOWER}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM benchmark WHERE item_id IS NOT NULL),
+ windows AS (SELECT DISTINCT item_id, k, w[j : j + k - 1] AS g FROM (SELECT item_id, w, least(10, len(w)) AS k, unnest(range(1, len(w) - least(10, len(w)) + 2)) AS j FROM items WHERE len(w) > 0)),
+ places AS (SELECT id, k, i, w[i : i + k - 1] AS g FROM (SELECT id, w, k, unnest(range(1, len(w) - k + 2)) AS i FROM d JOIN (SELECT DISTINCT k FROM windows) ON len(w) >= k)),
+ hits AS (SELECT p.id, p.i, p.k, x.item_id FROM places p JOIN windows x ON x.k = p.k AND x.g = p.g),
+ hit_words AS (SELECT id, count(DISTINCT x) AS n FROM (SELECT id, unnest(range(i, i + k)) AS x FROM hits) GROUP BY id),
+ hit_items AS (SELECT id, count(*) AS n, string_agg(s, ',' ORDER BY s) AS names FROM (SELECT DISTINCT id, CAST(item_id AS VARCHAR) AS s FROM hits) GROUP BY id)
+ SELECT d.id AS doc_id, CAST(len(d.w) AS BIGINT) AS n_words, CAST(coalesce(h.n, 0) AS BIGINT) AS n_hit, CAST(coalesce(t.n, 0) AS BIGINT) AS n_items, sha256(coalesce(t.names, '')) AS items_sha256, coalesce(h.n, 0) > 0 AS contaminated FROM d LEFT JOIN hit_words h ON h.id = d.id LEFT JOIN hit_items t ON t.id = d.id""",
+}
