@@ -34,7 +34,7 @@ from .textops import chunks, mix, ragged_take, shingles, word_hashes
 
 SHINGLE = 5
 SKETCH_BITS, SLICE_BITS = 22, 16
-ALL_PAIRS = 12  # possible pairs for each class of a shingle that it gives at once
+ALL_PAIRS = 12  # classes of a shingle that give all their pairs at once
 SALT = 64  # pairs of a hub that are verified together
 HISTOGRAM = 16
 _U = np.uint64
@@ -223,15 +223,14 @@ def _candidates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = slice(h, h + k)
         low, high = _partners(n[own], pos[own], before[own])
         count = high - low
-        if count.sum() <= ALL_PAIRS * k:
+        if count.sum() <= 2 * k:
             left.append(np.repeat(np.arange(h, h + k), count))
             right.append(h + ragged_take(low, count))
             continue
-        some = np.arange(h, h + k)
-        least_alone = h + int(np.argmax(before[own].astype(np.int64) + n[own] - pos[own] - n[own]))  # the member with the fewest shingles of its own
-        for other in (np.maximum(some - 1, h), np.full(k, h + k // 2), np.full(k, least_alone)):
-            left.append(some)
-            right.append(other)
+        # the member with the fewest shingles of its own, the same one for most shingles of a group of copies
+        some, alone = np.arange(h, h + k), n[own] - (before[own] + n[own] - pos[own])
+        left.append(some)
+        right.append(np.full(k, h + int(np.lexsort((cls[own], alone))[0])))
         later.append(some)
     x, y = np.concatenate(left), np.concatenate(right)
     good = (x != y) & _possible([n[x], pos[x], before[x]], [n[y], pos[y], before[y]])
