@@ -21,16 +21,17 @@ def by_id(df: DataFrame, ids: DataFrame, how: str, on: str = "doc_id") -> DataFr
 
 
 def _large_star(edges: DataFrame) -> DataFrame:
-    both = edges.union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
+    """Every node's greater neighbours, tied to the least of the node and its neighbours."""
+    both = edges.select(F.explode(F.array(F.struct("u", "v"), F.struct(F.col("v").alias("u"), F.col("u").alias("v")))).alias("e")).select("e.u", "e.v")
     least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-    return both.join(least, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v").distinct()
+    return both.join(least, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v")
 
 
 def _small_star(edges: DataFrame) -> DataFrame:
-    down = edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
-    least = down.groupBy("u").agg(F.min("v").alias("m"))
-    moved = down.join(least, "u").filter("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-    return moved.union(least.select("u", F.col("m").alias("v"))).filter("u <> v").distinct()
+    """Every node and its lesser neighbours, tied to the least of these; edges must point down."""
+    least = edges.groupBy("u").agg(F.min("v").alias("m"))
+    moved = edges.join(least, "u").select(F.explode(F.array(F.struct("u", F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("e"))
+    return moved.select("e.u", "e.v").filter("u <> v").distinct()
 
 
 def _forest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -57,15 +58,17 @@ def components(edges: DataFrame, scratch: Scratch, name: str) -> DataFrame:
     Alternates large and small stars until every edge points at the least node of its component. A hub's edges are
     joined to one row with its minimum, so a skewed join can be split; no node's neighbours are gathered.
     """
-    state, seen, step = None, None, 0
-    current = edges.select(F.col("u").cast("long"), F.col("v").cast("long")).filter("u <> v").mapInArrow(_forest, "u long, v long").filter("u <> v")
+    step, label = 0, f"{name}-0"
+    rows = edges.select(F.col("u").cast("long"), F.col("v").cast("long")).filter("u <> v")
+    current = scratch.write(rows.mapInArrow(_forest, "u long, v long").filter("u <> v"), label)
     while True:
+        # done once no node has two roots or is both below one and a root
+        below = current.select("u").distinct()
+        torn = current.groupBy("u").agg(F.count_distinct("v").alias("k")).filter("k > 1").select("u").union(current.select(F.col("v").alias("u")).join(below, "u", "left_semi"))
+        if torn.isEmpty():
+            return current.select("u", F.col("v").alias("component")).distinct()
         step += 1
+        raised = scratch.write(_large_star(current), f"{name}-raised-{step}")
+        current = scratch.write(_small_star(raised), f"{name}-{step}")
+        scratch.drop(label, f"{name}-raised-{step}")
         label = f"{name}-{step}"
-        current = scratch.write(_small_star(_large_star(current)), label)
-        state = current.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        if step > 1:
-            scratch.drop(f"{name}-{step - 1}")
-        if state == seen:
-            return current.select("u", F.col("v").alias("component"))
-        seen = state
