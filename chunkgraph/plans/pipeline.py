@@ -12,6 +12,7 @@ from ..functions.split import chunk_documents
 from ..functions.text import clean_text
 from ..functions.vectors import hashing_embedder, normalise
 from ..operators import graphs, prompts, retrieval
+from ..sources.readers import documents_and_ocr
 
 
 def ingest(files: DataFrame, size: int = 512, overlap: int = 50, lowercase: bool = True) -> DataFrame:
@@ -56,3 +57,19 @@ def chat(requests: DataFrame, log: DataFrame, user: tuple[DataFrame, DataFrame]
     answered = context.withColumn("retrieval_context", both).withColumn("llm_response", generate(prompts.rag_prompt(F.lit(system), both, F.col("query"))))
     hits = probed.filter("hit").select("query_id", "user_id", "query", "llm_response", F.lit(None).cast("string").alias("retrieval_context"), F.lit(True).alias("cached"))
     return hits.unionByName(answered.select("query_id", "user_id", "query", "llm_response", "retrieval_context", F.lit(False).alias("cached")))
+
+
+def build_user_graph(files: DataFrame, ocr: DataFrame | None, user_id: str, store, config: EngineConfig, mode: str = "all", embed: Callable[[Column], Column] | None = None) -> DataFrame:
+    """A user's files as a graph of their own, kept under the user's id; one row about each file.
+
+    Chunks of more than ten characters of (file, text), with those of recognised text if there are any."""
+    chunks = ingest(files).withColumn("source_type", F.lit("text"))
+    if ocr is not None:
+        read = ocr.filter((F.col("confidence") > 10) & (F.trim("text") != "")).select("file", F.trim("text").alias("text"))
+        chunks = documents_and_ocr(chunks, ingest(read).withColumn("source_type", F.lit("ocr")).withColumn("chunk_id", F.concat(F.lit("ocr"), "chunk_id")), mode)
+    chunks = chunks.filter(F.length(F.trim("chunk")) > 10).persist()
+    nodes = embed_chunks(chunks, embed).persist()
+    version = store.save(user_id, nodes, graphs.build(nodes, "knn", config), method="knn", reason="upload")
+    size = nodes.select(F.size("emb").alias("d")).agg(F.max("d").alias("embedding_dimension"))
+    about = chunks.groupBy("file").agg(F.count("*").alias("num_chunks"), F.count_if(F.col("source_type") == "ocr").alias("num_ocr_chunks"), F.count_if(F.col("source_type") == "text").alias("num_text_chunks"))
+    return about.join(F.broadcast(size)).select(F.lit(user_id).alias("user_id"), F.element_at(F.split("file", "/"), -1).alias("filename"), F.col("file").alias("file_path"), F.lit(f"{store.path}/graph_id={user_id}/version={version}").alias("graph_path"), "num_chunks", "num_ocr_chunks", "num_text_chunks", "embedding_dimension", F.current_timestamp().alias("processing_ts"))

@@ -76,6 +76,24 @@ def test_from_files_to_answers(spark, folder):
     assert [(r.cached, r.llm_response) for r in pipeline.chat(asked, log, None, (nodes, edges), c, "Be brief.").collect()] == [(True, "known")]
 
 
+def test_user_graph_and_checkpoints(spark, folder, tmp_path):
+    from chunkgraph.operators.runtime import CheckpointPolicy, Metrics, RetrievalCache, checkpoint
+
+    store, c = sinks.GraphStore(spark, str(tmp_path / "graphs")), EngineConfig(sim_threshold=0.05)
+    ocr = spark.createDataFrame([("s.pdf", "recognised words of a page", 80.0), ("s.pdf", "too unsure to keep", 5.0)], "file string, text string, confidence double")
+    about = pipeline.build_user_graph(readers.text_files(spark, folder), ocr, "u1", store, c).collect()
+    assert {r.filename for r in about} == {"f0.txt", "f1.txt", "f2.txt", "s.pdf"} and sum(r.num_ocr_chunks for r in about) == 1
+    nodes, edges = store.load("u1")
+    policy = CheckpointPolicy(every=10)
+    assert checkpoint(store, "u1", nodes, edges, 9, policy) is None
+    assert checkpoint(store, "u1", nodes, edges, 10, policy) == 2 and policy.last == 10
+    cache = RetrievalCache(most=1)
+    cache.put("u1", 1, "q", 5, [1, 2])
+    assert cache.get("u1", 1, "q", 5) == [1, 2] and cache.get("u1", 2, "q", 5) is None
+    with pytest.raises(KeyError):
+        Metrics().add("none")
+
+
 def test_stream(spark, folder, tmp_path):
     q = watch_folder(spark, folder + "/*.txt", str(tmp_path / "out"), str(tmp_path / "checkpoint"))
     q.awaitTermination(60)
