@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .labelled import held_out, training_rows
-from .textops import ALNUM_WORD, FOLDED_BYTES, chunks, gram_hashes, mix, span_hashes, words
+from .textops import ALNUM_WORD, FOLDED_BYTES, chunks, give_back, gram_hashes, mix, span_hashes, words
 
 #: Labelled documents that training sees at most.
 SAMPLE = 5_000
@@ -105,8 +105,10 @@ def fit(bags: list[tuple[int, np.ndarray, np.ndarray]]) -> Model:
         return Model(none, np.zeros(0), 0.0, float(y.mean()) if len(y) else 0.0)
     seen = [np.unique(b[1]) for b in bags]
     vocabulary, at = np.unique(np.concatenate(seen), return_inverse=True)
-    df = np.bincount(at)
-    toxic_df = np.bincount(at, np.repeat(y, [len(x) for x in seen]))
+    lengths = [len(x) for x in seen]
+    del seen
+    df, toxic_df = np.bincount(at), np.bincount(at, np.repeat(y, lengths))
+    del at
     # words whose share of toxic documents differs from the sample's by more than chance makes likely
     share = y.mean()
     apart = np.abs(toxic_df - df * share) / np.sqrt(df * share * (1 - share) * np.maximum(1 - df / len(y), 1e-9))
@@ -165,8 +167,12 @@ def train(docs: DataFrame, labels: DataFrame, bound: int = SAMPLE) -> Model:
     """A model of at most ``bound`` labelled documents."""
     sample = F.broadcast(training_rows(labels, "toxic", bound))
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).join(sample, "doc_id").select("label", "text")
-    bags = [(r.label, np.frombuffer(r.hashes, "<u8"), np.frombuffer(r.sentences, "<i4").astype(np.int64)) for r in rows.mapInArrow(_bags, BAGS).toLocalIterator()]
-    return fit(sorted(bags, key=lambda b: (b[0], b[1].tobytes())))
+    bags = [(r.label, np.frombuffer(r.hashes, "<u8"), np.frombuffer(r.sentences, "<i4")) for r in rows.mapInArrow(_bags, BAGS).toLocalIterator()]
+    bags.sort(key=lambda b: (b[0], b[1][:64].tobytes(), len(b[1])))
+    model = fit(bags)
+    bags.clear()
+    give_back()
+    return model
 
 
 def _scorer(model):
