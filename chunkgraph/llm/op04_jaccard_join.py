@@ -35,6 +35,7 @@ from .textops import chunks, mix, ragged_take, shingles, word_hashes
 SHINGLE = 5
 SKETCH_BITS, SLICE_BITS = 22, 16
 ALL_PAIRS = 12  # classes of a shingle that give all their pairs at once
+HUBS, EARLY = 8, 32  # of a larger group: classes that the others are paired with, and for how many of their shared shingles
 SALT = 64  # pairs of a hub that are verified together
 HISTOGRAM = 16
 _U = np.uint64
@@ -158,7 +159,8 @@ def _shared(buckets: int):
 
 
 def _ranked(buckets: int):
-    """Adds to each shared shingle how many shared ones stand before it in its prefix; sent on by shingle."""
+    """Adds to each shared shingle how many shared ones stand before it in its prefix, and how many of the prefix are
+    not shared; sent on by shingle."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         columns = blobs.gather(batches)
@@ -169,8 +171,9 @@ def _ranked(buckets: int):
         cls, token, n, pos = (c[by] for c in (cls, token, n, pos))
         head, size = _groups(cls)
         before = (np.arange(len(cls)) - np.repeat(head, size)).astype(np.int32)
+        alone = n - (3 * n + 3) // 4 + 1 - np.repeat(size, size).astype(np.int32)  # of the prefix
         out = blobs.Outbox(buckets)
-        yield from out.put(blobs.bucket_of(token, buckets), token, cls, n, pos, before)
+        yield from out.put(blobs.bucket_of(token, buckets), token, cls, n, pos, before, alone)
         yield from out.flush()
 
     return run
@@ -209,7 +212,7 @@ def _candidates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     if columns is None:
         return
     by = np.lexsort((columns[1], columns[2], columns[0]))
-    token, cls, n, pos, before = (c[by] for c in columns)
+    token, cls, n, pos, before, alone = (c[by] for c in columns)
     head, size = _groups(token)
     left, right, later = [], [], []
     small = np.repeat(size <= ALL_PAIRS, size)
@@ -227,10 +230,12 @@ def _candidates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             left.append(np.repeat(np.arange(h, h + k), count))
             right.append(h + ragged_take(low, count))
             continue
-        # the member with the fewest shingles of its own, the same one for most shingles of a group of copies
-        some, alone = np.arange(h, h + k), n[own] - (before[own] + n[own] - pos[own])
-        left.append(some)
-        right.append(np.full(k, h + int(np.lexsort((cls[own], alone))[0])))
+        # the members with the fewest shingles of their own, the same ones for most shingles of a group of copies
+        some = np.arange(h, h + k)
+        hubs = h + np.lexsort((cls[own], alone[own]))[:HUBS]
+        early = some[before[own] < EARLY]
+        left.append(np.repeat(early, len(hubs)))
+        right.append(np.tile(hubs, len(early)))
         later.append(some)
     x, y = np.concatenate(left), np.concatenate(right)
     good = (x != y) & _possible([n[x], pos[x], before[x]], [n[y], pos[y], before[y]])
