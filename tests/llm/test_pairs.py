@@ -127,6 +127,37 @@ def test_passages(docs, rows, none):
     assert op03_substring_dedup.duplicate_passages(none).count() == 0
 
 
+def test_passages_within_frequent_wording(spark):
+    """Pairs that share 50 words of which 40 are a line that many documents have, dealt over several tasks."""
+    rng = np.random.default_rng(7)
+    words = lambda n: [f"w{i}" for i in rng.integers(0, 10**9, n)]
+    line, texts, pairs = words(40), {}, {}
+    for k in range(60):
+        texts[k] = words(30) + line + words(30)
+    for k in range(60, 120, 2):
+        before, after = words(5), words(5)
+        for d in (k, k + 1):
+            texts[d] = words(30) + before + line + after + words(30)
+        pairs[k + 1] = k
+    for k in range(120, 150):
+        texts[k] = words(30) + line + words(30)
+    order = [int(k) for k in rng.permutation(150)]
+    docs = spark.createDataFrame([(k, " ".join(texts[k])) for k in order], "doc_id long, text string").repartition(7)
+    got = defaultdict(set)
+    for r in op03_substring_dedup.duplicate_passages(docs).collect():
+        got[r.doc_id, r.source_id].update(range(r.first_word, r.end_word))
+    for d, source in pairs.items():
+        assert set(range(30, 80)) <= got[d, source], d
+
+
+def test_run_hashes():
+    values = np.random.default_rng(3).integers(0, 3, 4000).astype(np.uint64)
+    for t in (1, 2, 5, 7, 46):
+        found = op03_substring_dedup.run_hashes(values, t).tolist()
+        runs = [tuple(values[i : i + t].tolist()) for i in range(len(values) - t + 1)]
+        assert len(found) == len(runs) and len(set(zip(found, runs))) == len(set(found)) == len(set(runs))
+
+
 def test_cut_passages(docs, rows):
     kept = op03_substring_dedup.remove_passages(docs)
     assert kept.columns == docs.columns and kept.count() == len(rows) + 2
