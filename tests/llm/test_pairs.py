@@ -11,7 +11,7 @@ from hypothesis import strategies as st
 from chunkgraph.llm import op03_substring_dedup, op04_jaccard_join, op08_decontaminate
 from chunkgraph.llm.graphs import components
 from chunkgraph.llm.storage import Scratch
-from chunkgraph.llm.textops import mix
+from chunkgraph.llm.textops import gram_hashes, mix
 
 
 def low(t):
@@ -150,6 +150,39 @@ def test_passages_within_frequent_wording(spark):
         assert set(range(30, 80)) <= got[d, source], d
 
 
+def test_passages_with_one_changed_word():
+    """Every place of the change in passages of 50 to 70 words: what still is alike is found in its whole length."""
+    rng = np.random.default_rng(11)
+    words = lambda n: rng.integers(0, 1 << 62, n).astype(np.uint64)
+    grams = lambda w: gram_hashes(w, 5)
+    for n in range(50, 71):
+        for place in range(n):
+            shared = words(n)
+            changed = shared.copy()
+            changed[place] = 1
+            x, a = grams(np.concatenate([words(90), changed, words(80)])), grams(np.concatenate([words(40), shared, words(70)]))
+            found = op03_substring_dedup.passages(x, a)
+            covered = set()
+            for s, e in found:
+                assert e - s >= 46 and any(op03_substring_dedup._alike(x[s:e], a[lo:hi]) for lo in range(34, 48) for hi in range(40 + n - 12, 40 + n + 6))
+                covered.update(range(s, e))
+            assert set(np.flatnonzero(np.isin(x, a)).tolist()) <= covered, (n, place)
+            assert len(covered) <= n - 4 + 5, (n, place)
+
+
+@pytest.mark.parametrize("n", (50, 58, 66))
+def test_passages_beside_a_repeated_line(n):
+    """The other document has the passage's first words twice."""
+    rng = np.random.default_rng(n)
+    words = lambda k: rng.integers(0, 1 << 62, k).astype(np.uint64)
+    shared = words(n)
+    changed = shared.copy()
+    changed[14] = 1
+    x = gram_hashes(np.concatenate([words(60), changed, words(60)]), 5)
+    a = gram_hashes(np.concatenate([shared[:12], words(60), shared, words(60)]), 5)
+    assert any(s <= 60 and e >= 60 + n - 4 for s, e in op03_substring_dedup.passages(x, a))
+
+
 def test_run_hashes():
     values = np.random.default_rng(3).integers(0, 3, 4000).astype(np.uint64)
     for t in (1, 2, 5, 7, 46):
