@@ -24,6 +24,7 @@ class EngineConfig:
     inter_chunk: float = 0.6
     inter_members: int = 3
     sample_ratio: float = 0.1
+    lsh_planes: int = 128
     lsh_bits: int = 64
     lsh_band: int = 8
     seed: int = 42

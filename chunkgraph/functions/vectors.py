@@ -41,7 +41,7 @@ def nodes_of(embeddings: DataFrame, id_col: str = "vec_id", vector_col: str = "e
     return rows.filter("node_id is not null and emb is not null")
 
 
-def _matrix(column: pa.Array) -> np.ndarray:
+def matrix(column: pa.Array) -> np.ndarray:
     flat = np.asarray(column.flatten(), np.float64)
     return flat.reshape(len(column), -1) if len(column) else np.zeros((0, 0))
 
@@ -66,7 +66,7 @@ def similarity_join(left: DataFrame, right: DataFrame, threshold: float, inclusi
             for batch in batches:
                 for a in range(0, len(batch), 512):
                     part = batch.slice(a, 512)
-                    own, x = part.column(0).to_numpy(), _matrix(part.column(1))
+                    own, x = part.column(0).to_numpy(), matrix(part.column(1))
                     s = x @ m.T
                     good = (s >= threshold if inclusive else s > threshold) & (own[:, None] != other[None, :])
                     if k is not None and s.shape[1] > k:

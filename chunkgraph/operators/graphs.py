@@ -2,15 +2,17 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.ml.clustering import KMeans, PowerIterationClustering
 from pyspark.ml.functions import array_to_vector
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..config import EngineConfig
-from ..functions.vectors import dot, normalise, similarity_join
+from ..functions.vectors import dot, matrix, normalise, similarity_join
 
 
 def ranked(edges: DataFrame, method: str, by_weight: bool = True) -> DataFrame:
@@ -130,7 +132,32 @@ def numbers(nodes: DataFrame) -> DataFrame:
     return spread.withColumn("inside_", inside).join(F.broadcast(bases), "part_").withColumn("i", F.col("base_") + F.col("inside_")).drop("part_", "base_", "inside_")
 
 
+def hyperplane_codes(nodes: DataFrame, planes: int, seed: int) -> DataFrame:
+    """(node_id, emb): for each of the seeded random hyperplanes 1 or -1, the side on which a vector lies."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if not len(batch):
+                continue
+            x = matrix(batch.column(1))
+            side = np.where(x @ np.random.default_rng(seed).standard_normal((x.shape[1], planes)) >= 0, 1.0, -1.0)
+            codes = pa.ListArray.from_arrays(pa.array(np.arange(len(x) + 1, dtype=np.int32) * planes), pa.array(side.reshape(-1)))
+            yield pa.RecordBatch.from_arrays([batch.column(0), codes], names=["node_id", "emb"])
+
+    return nodes.select(F.col("node_id").cast("long").alias("node_id"), F.col("emb").cast("array<double>").alias("emb")).mapInArrow(run, "node_id long, emb array<double>")
+
+
 def lsh(nodes: DataFrame, c: EngineConfig) -> DataFrame:
+    """The k nearest of all nodes by Hamming distance of hyperplane codes, kept above the threshold.
+
+    The inner product of two codes is the number of planes less twice the distance, so the blocked kernel ranks."""
+    codes = hyperplane_codes(nodes, c.lsh_planes, c.seed)
+    near = similarity_join(codes, codes, -float(c.lsh_planes), inclusive=True, k=c.k).select("src", "dst")
+    full = near.join(nodes.select(F.col("node_id").alias("src"), F.col("emb").alias("x")), "src").join(nodes.select(F.col("node_id").alias("dst"), F.col("emb").alias("y")), "dst")
+    return ranked(full.select("src", "dst", dot(F.col("x"), F.col("y")).alias("weight")).filter(F.col("weight") > c.sim_threshold), "lsh")
+
+
+def sign_bands(nodes: DataFrame, c: EngineConfig) -> DataFrame:
     """Candidates that share a band of sign bits, the k nearest of them by Hamming distance, kept above the threshold.
 
     Bits are signs of the first ``lsh_bits`` components; bands of ``lsh_band`` bits make the join an equi-join."""

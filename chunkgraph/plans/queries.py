@@ -147,7 +147,8 @@ def hybrid_edges(spark, d):
  far AS (SELECT src, dst, list_cosine_similarity(p.v, q.v) AS w, hamming(p.b, q.b) AS h FROM cand JOIN bits p ON p.id = src JOIN bits q ON q.id = dst)
  SELECT src, dst, round(w, 6) AS weight FROM (SELECT *, row_number() OVER (PARTITION BY src ORDER BY h, dst) AS r FROM far) WHERE r <= 10 AND w > 0.3""")
 def lsh_edges(spark, d):
-    return shown(graphs.lsh(nodes(spark, d), CONFIG))
+    """The bands that the SQL states; ``graphs.lsh`` ranks all nodes."""
+    return shown(graphs.sign_bands(nodes(spark, d), CONFIG))
 
 
 @query()

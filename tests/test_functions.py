@@ -122,3 +122,24 @@ def test_graph_invariants(spark):
         assert (e.src != e.dst).all() and (e.weight >= 0.3 - 1e-12).all(), name
         assert not e.duplicated(["src", "dst"]).any(), name
     assert graphs.build(n, "knn", c).groupBy("src").count().agg(F.max("count")).first()[0] <= 4
+
+
+def test_lsh_ranks_all_nodes_by_codes_of_whole_vectors(spark):
+    import numpy as np
+
+    from chunkgraph.functions.vectors import nodes_of
+
+    rng = np.random.default_rng(2)
+    x = rng.standard_normal((120, 384))
+    x[60:, 64:] = x[:60, 64:]  # pairs that are alike beyond the first 64 components only
+    x[60:, :64] = -x[:60, :64]
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    c = EngineConfig(sim_threshold=0.1, k=4)
+    found = {(r.src, r.dst) for r in graphs.build(nodes_of(spark.createDataFrame(list(enumerate(x.tolist())), "vec_id long, embedding array<double>")), "lsh", c).collect()}
+    side = x @ np.random.default_rng(c.seed).standard_normal((384, 128)) >= 0
+    apart = (side[:, None] != side[None]).sum(2)
+    want = set()
+    for i in range(120):
+        nearest = sorted((int(apart[i, j]), j) for j in range(120) if j != i)[:4]
+        want |= {(i, j) for _, j in nearest if x[i] @ x[j] > 0.1}
+    assert found == want and len({(i, i + 60) for i in range(60)} - found) <= 1
