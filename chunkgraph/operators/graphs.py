@@ -179,12 +179,13 @@ def sign_bands(nodes: DataFrame, c: EngineConfig) -> DataFrame:
 def spectral(nodes: DataFrame, c: EngineConfig) -> DataFrame:
     """Power iteration clusters of the positive similarities, then edges within clusters.
 
+    Up to 5000 nodes all positive similarities count, beyond that those of each node's nearest, 50 at most.
     A node that the clustering leaves out is a cluster of its own, which has no edge."""
     n = nodes.count()
     if n < 2:
         return knn(nodes, c).withColumn("method", F.lit("spectral"))
     k = max(2, min(c.n_clusters, n // 50)) if n > 5000 else max(2, min(c.n_clusters // 2, max(1, n // 20)))
-    near = similarity_join(nodes, nodes, max(c.sim_threshold, 1e-9), inclusive=True, k=c.k).select("src", "dst", "weight")
+    near = similarity_join(nodes, nodes, 1e-9, inclusive=True, k=min(50, max(2, n // 10)) if n > 5000 else None).select("src", "dst", "weight")
     if near.isEmpty():
         return ranked(near, "spectral")
     found = PowerIterationClustering(k=k, maxIter=10, srcCol="src", dstCol="dst", weightCol="weight").assignClusters(near)

@@ -143,3 +143,22 @@ def test_lsh_ranks_all_nodes_by_codes_of_whole_vectors(spark):
         nearest = sorted((int(apart[i, j]), j) for j in range(120) if j != i)[:4]
         want |= {(i, j) for _, j in nearest if x[i] @ x[j] > 0.1}
     assert found == want and len({(i, i + 60) for i in range(60)} - found) <= 1
+
+
+def test_spectral_clusters_by_all_positive_similarities(spark, monkeypatch):
+    import numpy as np
+
+    from chunkgraph.functions.vectors import nodes_of
+
+    x = np.random.default_rng(4).standard_normal((40, 6))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    seen = {}
+
+    class Clustering(graphs.PowerIterationClustering):
+        def assignClusters(self, edges):
+            seen["pairs"] = {(r.src, r.dst) for r in edges.collect()}
+            return super().assignClusters(edges)
+
+    monkeypatch.setattr(graphs, "PowerIterationClustering", Clustering)
+    graphs.spectral(nodes_of(spark.createDataFrame(list(enumerate(x.tolist())), "vec_id long, embedding array<double>")), EngineConfig(sim_threshold=0.7, k=3)).count()
+    assert seen["pairs"] == {(i, j) for i in range(40) for j in range(40) if i != j and x[i] @ x[j] > 1e-9}
