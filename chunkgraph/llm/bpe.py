@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import heapq
 import json
+import os
 import unicodedata
 from collections.abc import Callable, Iterator
 from functools import lru_cache
@@ -396,7 +397,8 @@ class PieceCache:
 
 
 def library_encoder(text: str):
-    """Encodes distinct pieces with the tokenizers library."""
+    """Encodes distinct pieces with the tokenizers library, in the calling thread alone: a worker has one core."""
+    os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
     from tokenizers import Tokenizer
 
     tokenizer = Tokenizer.from_str(text)

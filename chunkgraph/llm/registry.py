@@ -2,13 +2,12 @@
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
 from . import op01_quality_rules, op02_token_store, op03_substring_dedup, op04_jaccard_join, op05_ngram_lm, op06_html_blocks, op07_bpe_codec, op08_decontaminate, op09_ann_projections, op10_toxicity_mil
-from .storage import shared_dir
+from .storage import Scratch
 
 
 def tokenizer(name: str = "byte_bpe_50k.json") -> str:
@@ -26,9 +25,9 @@ def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
-    path = f"{shared_dir(spark)}/store-{uuid.uuid4().hex}"
-    op02_token_store.write_store(table(spark, sf_dir, "documents"), tokenizer(), path)
-    return op02_token_store.read_digests(spark, path)
+    store = Scratch(spark, "store").path  # deleted as the driver exits
+    op02_token_store.write_store(table(spark, sf_dir, "documents"), tokenizer(), store)
+    return op02_token_store.read_digests(spark, store)
 
 
 def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

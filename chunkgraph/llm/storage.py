@@ -54,3 +54,16 @@ class Scratch:
 
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+def plan_bytes(df: DataFrame) -> int:
+    """What the optimizer takes for the size of a plan: that of the files for a scan."""
+    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+
+
+def buckets_for(df: DataFrame, per: int = 128 << 20) -> int:
+    """The number of buckets that rows of df are dealt to: the session's shuffle partitions, more if the input is
+    larger than ``per`` bytes a bucket, so that a bucket's size doesn't grow with the input."""
+    size = plan_bytes(df)
+    known = size < 1 << 60  # plans without statistics report a size beyond any table
+    return max(partitions(df.sparkSession), -(-size // per) if known else 1)

@@ -91,30 +91,62 @@ def test_store(spark, docs, rows, none, library, tokenizer_file, tmp_path):
         start += len(ids)
     for r in op02_token_store.read_ids(spark, path).collect():
         assert r.ids == [*library.encode(texts[r.doc_id] or "", add_special_tokens=False).ids, 0]
-    assert op02_token_store.verify_manifest(spark, path)
+    head = [r for r in spark.read.parquet(f"{path}/manifest").collect() if r.part < 0]
+    assert [(r.n_docs, r.n_tokens) for r in head] == [(len(found), start)]
     addresses = [a for r in spark.read.parquet(f"{path}/data").filter("kind = 'pack'").collect() for a in op02_token_store._leaves(r.addresses)]
     assert len(addresses) == len(set(addresses))
     op02_token_store.write_store(none, tokenizer_file, f"{path}-none")
     assert op02_token_store.read_digests(spark, f"{path}-none").count() == 0
 
 
-def test_store_notices_a_changed_chunk(spark, docs, tokenizer_file, tmp_path):
+def test_store_notices_changes(spark, docs, tokenizer_file, tmp_path):
+    """A changed chunk, a lost or replaced recipe, a lost part and a changed manifest."""
     from pyspark.sql import functions as F
 
     path = f"file://{tmp_path}/store"
     op02_token_store.write_store(docs, tokenizer_file, path)
-    data = spark.read.parquet(f"{path}/data")
-    changed = data.withColumn("ids", F.when(F.col("kind") == "pack", F.expr("cast(concat(x'ffff', substring(ids, 3, 1 << 30)) as binary)")))
-    changed.write.partitionBy("kind").parquet(f"{path}-bad/data")
-    spark.read.parquet(f"{path}/recipes").write.parquet(f"{path}-bad/recipes")
-    with pytest.raises(Exception, match="address"):
-        op02_token_store.read_digests(spark, f"{path}-bad").collect()
+    whole = {x: spark.read.parquet(f"{path}/{x}") for x in ("data", "recipes", "manifest")}
+    recipes, manifest = whole["recipes"], whole["manifest"]
+    part = recipes.agg(F.max("part")).first()[0]
+    flipped = F.when(F.col("kind") == "pack", F.expr("cast(concat(x'ffff', substring(ids, 3, 1 << 30)) as binary)"))
+    last, pack = recipes.agg(F.max("start")).first()[0], whole["data"].agg(F.max("pack")).first()[0]
+    changes = [
+        ({"data": whole["data"].withColumn("ids", flipped)}, "address"),
+        ({"recipes": recipes.filter(F.col("start") != last)}, "manifest"),
+        ({"recipes": recipes.filter(F.col("start") != last).union(recipes.filter(F.col("start") == 0).withColumn("part", F.lit(part)).withColumn("start", F.lit(last)))}, "manifest"),
+        ({"recipes": recipes.filter(F.col("part") != part)}, "parts"),
+        ({"recipes": recipes.filter(F.col("part") != part), "manifest": manifest.filter(F.col("part") != part)}, "head"),
+        ({"data": whole["data"].filter(F.col("pack").isNull() | (F.col("pack") != pack))}, "missing"),
+    ]
+    for k, (changed, word) in enumerate(changes):
+        bad = f"{path}-bad-{k}"
+        for name, df in (whole | changed).items():
+            (df.write.partitionBy("kind") if name == "data" else df.write).parquet(f"{bad}/{name}")
+        with pytest.raises(Exception, match=word):
+            op02_token_store.read_digests(spark, bad).collect()
+
+
+def test_store_of_a_wide_vocabulary(spark, tmp_path):
+    """Ids beyond 16 bits are stored wider, which the files say."""
+    import json
+
+    import public_tokenizers
+
+    spec = json.loads(open(public_tokenizers.path("byte_bpe_50k.json"), encoding="utf-8").read())
+    wide = f"{tmp_path}/wide.json"
+    json.dump(spec, open(wide, "w", encoding="utf-8"))
+    texts = spark.createDataFrame([(1, "one two"), (2, "three")], "doc_id long, text string")
+    op02_token_store.write_store(texts, wide, f"file://{tmp_path}/store", end_id=70_000)
+    assert {r.ids[-1] for r in op02_token_store.read_ids(spark, f"file://{tmp_path}/store").collect()} == {70_000}
+    assert op02_token_store.read_digests(spark, f"file://{tmp_path}/store").count() == 2
 
 
 @settings(max_examples=100, deadline=None)
-@given(st.binary(max_size=300), st.binary(max_size=300))
-def test_combined_crc(a, b):
-    assert op02_token_store.combine_crc(zlib.crc32(a), zlib.crc32(b), len(b)) == zlib.crc32(a + b)
+@given(st.lists(st.binary(max_size=300), min_size=1, max_size=5))
+def test_combined_crc(parts):
+    size = np.array([len(p) for p in parts], np.int64)
+    moved = op02_token_store.shifted_crc(np.array([zlib.crc32(p) for p in parts], np.uint32), size.sum() - np.cumsum(size))
+    assert int(np.bitwise_xor.reduce(moved)) == zlib.crc32(b"".join(parts))
 
 
 def test_chunks_follow_content():
