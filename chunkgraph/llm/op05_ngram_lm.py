@@ -1,19 +1,27 @@
-"""Interpolated modified Kneser-Ney language model of word pairs.
+"""Interpolated modified Kneser-Ney language model of word triples (``order`` 3) or pairs (``order`` 2).
 
-Counting: tasks fold equal keys and exchange them as arrays, so a frequent word or pair costs a task one entry.
-Storage: one file of sorted hashes for each bucket of words and of pairs, in the shared folder; the files together
-grow with the corpus, none of them has to fit into memory. Workers map the files and search them by hash. Where the
-shared folder is no local path, a worker fetches a file once into its own folder and maps it there.
+Counting: tasks fold equal keys and exchange them as packed arrays, so a frequent word or triple costs a task one
+entry. Triples go by their middle word: whatever is counted of (u, v, w), that is the words after (u, v), those
+before (v, w) and those after v, then lies in one bucket. A word so frequent that it would fill buckets of its own is
+dealt to several by the word before it, and its pairs meet by their last word in a second exchange.
 
-A word's number is its rank among the sorted hashes; a pair's key is the two numbers, so pairs don't collide. Keys
-are spread over buckets by a one-to-one mixing. With c the count of a pair (u, w):
+Storage: sorted arrays of hashes, one file for each bucket, in the shared folder; the files together grow with the
+corpus, none has to fit into memory. A hash's first bits name its slot in a small index, the next 32 are stored.
+Workers map the files and search them; where the shared folder is no local path, a host fetches a file once.
 
-  p(w | u) = (c - D(c)) / c(u) + g(u) * q(w)
-  q(w)     = (t(w) - E(t(w))) / T + h / (V + 1)
+With start marks before a text and an end token after it, V distinct words and c the count of a triple:
 
-t(w) counts the words before w, T the distinct pairs; D and E are the modified discounts by count (1, 2, 3 and
-more), from the counts of counts of pairs and of t. g(u) and h give back what the discounts took. The first word
-follows a start mark; an end token closes each document. An unknown word has q = h / (V + 1).
+  p3(w | u v) = (c(uvw) - D3) / c(uv) + g(uv) * p2(w | v)
+  p2(w | v)   = (t(vw) - D2) / t(v) + g(v) * p1(w)
+  p1(w)       = (t(w) - D1) / T + h / (V + 1)
+
+t(vw) counts the distinct words before vw, and is the plain count where v is the start mark; t(v) sums it over w;
+t(w) counts the distinct words before w, T the distinct pairs. D are the modified discounts by count (1, 2, 3 and
+more), from the counts of counts of each order; g and h give back what the discounts took. An unseen context leaves
+the lower order as it is. Order 2 has p2 as its highest, with plain counts.
+
+A word's number is its rank among the sorted hashes, with 64 bits. Two different n-grams of a bucket meet in a slot's
+32 bits about once in 10**9 pairs of lookups; everything else is exact.
 
 Defined cases: a null or wordless text is the end token alone; rows with a null doc_id are learned from and not held
 out; repeated rows count each time; without training rows every word is unknown and probabilities are those of a
@@ -25,6 +33,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import lru_cache
@@ -36,16 +45,20 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import blobs
-from .storage import Scratch, partitions
-from .textops import chunks, mix, word_hashes
+from .storage import Scratch, buckets_for
+from .textops import chunks, give_back, mix, word_hashes
 
 FOLD = 7
 HELD = 2
+ORDER = 3
+BUCKET_BYTES = 32 << 20  # of the input, for each bucket
+HEAVY = 4  # a word with more than a HEAVY-th of a bucket's tokens is dealt to several
 _U = np.uint64
 END = np.array([0x9D5C0B7F3A1E6428], _U)  # the hash of the end token
-START = (1 << 32) - 1  # the number of the start mark
-MANY = 255  # counts from here on stand in files of their own
-_LOW = _U(0xFFFFFFFF)
+START = 1 << 62  # the number of the start mark
+FULL = 255  # counts from here on stand in files of their own
+PER_SLOT = 8
+_K = [_U(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9)]
 
 
 def held_out() -> Column:
@@ -53,81 +66,141 @@ def held_out() -> Column:
 
 
 def write_file(folder: str, name: str, *columns: np.ndarray) -> None:
-    """Writes columns one after the other; a repeated attempt of a task writes the same bytes."""
+    """Writes columns one after the other; every attempt of a task writes the same bytes, under a name of its own first."""
     fs, path = pafs.FileSystem.from_uri(folder)
     fs.create_dir(path, recursive=True)
-    part = f"{path}/.{name}.{os.getpid()}"
+    part = f"{path}/.{name}.{uuid.uuid4().hex}"
     with fs.open_output_stream(part) as out:
         for c in columns:
-            out.write(np.ascontiguousarray(c).tobytes())
+            out.write(np.ascontiguousarray(c))
     fs.move(part, f"{path}/{name}")
 
 
 @lru_cache(4096)
-def mapped(folder: str, name: str, rows: int, kinds: str) -> list[np.ndarray]:
-    """The columns of a file, mapped into memory; kinds: a numpy type for each column."""
+def mapped(folder: str, name: str, kinds: tuple[tuple[str, int], ...]) -> list[np.ndarray]:
+    """The columns of a file, mapped into memory; kinds: numpy type and number of rows of each."""
     fs, path = pafs.FileSystem.from_uri(folder)
     path = f"{path}/{name}"
     if not isinstance(fs, pafs.LocalFileSystem):
-        local = os.path.join(tempfile.gettempdir(), f"{folder.rstrip('/').rpartition('/')[2]}-{name}-{os.getpid()}")
-        with fs.open_input_stream(path) as source, open(local, "wb") as out:
-            while block := source.read(1 << 22):
-                out.write(block)
+        # one copy for all workers of the host, in the executor's own temporary folder, which goes with the executor
+        local = os.path.join(tempfile.gettempdir(), f"{folder.rstrip('/').replace('/', '_').rpartition(':')[2]}-{name}")
+        if not os.path.exists(local):
+            part = f"{local}.{uuid.uuid4().hex}"
+            with fs.open_input_stream(path) as source, open(part, "wb") as out:
+                while block := source.read(1 << 22):
+                    out.write(block)
+            os.replace(part, local)
         path = local
-    if not rows:
-        return [np.zeros(0, k) for k in kinds.split()]
+    if not any(n for _, n in kinds):
+        return [np.zeros(0, k) for k, _ in kinds]
     whole, at, out = np.memmap(path, np.uint8, "r"), 0, []
-    for k in kinds.split():
-        size = np.dtype(k).itemsize * rows
-        out.append(whole[at : at + size].view(k))
+    for k, n in kinds:
+        size = np.dtype(k).itemsize * n
+        out.append(np.frombuffer(whole[at : at + size], k) if size else np.zeros(0, k))
         at += size
     return out
 
 
+def _runs(bucket: np.ndarray, n: int) -> Iterator[tuple[int, int, int]]:
+    """(bucket, first row, row after the last) of ascending buckets."""
+    edges = np.searchsorted(bucket, np.arange(n + 1))
+    for b in np.flatnonzero(np.diff(edges)).tolist():
+        yield b, int(edges[b]), int(edges[b + 1])
+
+
 @dataclass
 class Table:
-    """Sorted hashes in buckets that are ranges of the hash."""
+    """Sorted 64-bit hashes in buckets that are ranges of the hash, with one more column."""
 
     folder: str
     name: str
     sizes: list[int]
-    kinds: str
-
-    def bucket(self, b: int) -> list[np.ndarray]:
-        return mapped(self.folder, f"{self.name}-{b:05d}", self.sizes[b], self.kinds)
 
-    def find(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """For ascending hashes: whether each is known, its bucket and its place there."""
+    def find(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """For ascending hashes: whether each is known, its bucket, its place there and its value."""
         n = len(self.sizes)
         bucket = blobs.bucket_of(keys, n)
-        edges = np.searchsorted(bucket, np.arange(n + 1))
-        known, place = np.zeros(len(keys), bool), np.zeros(len(keys), np.int64)
-        for b in np.flatnonzero(np.diff(edges)).tolist():
-            x, y = int(edges[b]), int(edges[b + 1])
-            if not self.sizes[b]:
+        known, place, value = np.zeros(len(keys), bool), np.zeros(len(keys), np.int64), np.zeros(len(keys), np.int64)
+        for b, x, y in _runs(bucket, n):
+            if not (rows := self.sizes[b]):
                 continue
-            own = self.bucket(b)[0]
+            own, count = mapped(self.folder, f"{self.name}-{b:05d}", (("<u8", rows), ("<u8", rows)))
             i = np.searchsorted(own, keys[x:y])
             i[i == len(own)] = 0
-            known[x:y], place[x:y] = own[i] == keys[x:y], i
-        return known, bucket, place
-
-    def take(self, column: int, known: np.ndarray, bucket: np.ndarray, place: np.ndarray) -> np.ndarray:
-        """A column's values, 0 where unknown; rows ascend by bucket."""
-        out = np.zeros(len(known), np.int64)
-        edges = np.searchsorted(bucket, np.arange(len(self.sizes) + 1))
-        for b in np.flatnonzero(np.diff(edges)).tolist():
-            x, y = int(edges[b]), int(edges[b + 1])
-            some = known[x:y]
-            if some.any():
-                out[x:y][some] = self.bucket(b)[column][place[x:y][some]]
-        return out
+            hit = own[i] == keys[x:y]
+            known[x:y], place[x:y] = hit, i
+            value[x:y][hit] = count[i[hit]]
+        return known, bucket, place, value
+
 
+def slots_of(rows: int) -> int:
+    return 1 << max(0, (rows // PER_SLOT).bit_length())
+
+
+def write_grams(folder: str, name: str, keys: np.ndarray, *counts: np.ndarray) -> tuple[int, int]:
+    """Writes distinct hashes with counts of a byte each; greater ones follow as rows of 64-bit counts.
+
+    Returns the number of rows and of those."""
+    by = np.argsort(keys)
+    keys, counts = keys[by], [c[by] for c in counts]
+    slots = slots_of(len(keys))
+    shift = _U(64 - slots.bit_length() + 1)
+    slot = (keys >> shift).astype(np.int64) if slots > 1 else np.zeros(len(keys), np.int64)
+    index = np.searchsorted(slot, np.arange(slots + 1)).astype(np.uint32)
+    low = ((keys << _U(slots.bit_length() - 1)) >> _U(32)).astype(np.uint32)
+    large = np.flatnonzero(np.any([c >= FULL for c in counts], axis=0))
+    write_file(folder, name, index, low, *(np.minimum(c, FULL).astype(np.uint8) for c in counts), large.astype(np.uint32), *(c[large].astype(np.uint64) for c in counts))
+    return len(keys), len(large)
+
+
+def read_grams(folder: str, name: str, rows: int, large: int, counts: int, keys: np.ndarray) -> tuple[np.ndarray, list[np.ndarray]]:
+    """Whether each hash is in a file, and its counts (0 where it isn't)."""
+    out = [np.zeros(len(keys), np.int64) for _ in range(counts)]
+    if not rows:
+        return np.zeros(len(keys), bool), out
+    slots = slots_of(rows)
+    index, low, *rest = mapped(folder, name, (("<u4", slots + 1), ("<u4", rows), *[("u1", rows)] * counts, ("<u4", large), *[("<u8", large)] * counts))
+    slot = (keys >> _U(64 - slots.bit_length() + 1)).astype(np.int64) if slots > 1 else np.zeros(len(keys), np.int64)
+    want = ((keys << _U(slots.bit_length() - 1)) >> _U(32)).astype(np.uint32)
+    at, end = index[slot].astype(np.int64), index[slot + 1].astype(np.int64)
+    live = np.flatnonzero(at < end)
+    place = np.full(len(keys), -1, np.int64)
+    while len(live):  # a slot's few rows one after the other
+        got = low[at[live]]
+        hit = got == want[live]
+        place[live[hit]] = at[live[hit]]
+        live = live[~hit & (got < want[live])]
+        at[live] += 1
+        live = live[at[live] < end[live]]
+    found = np.flatnonzero(place >= 0)
+    place = place[found]
+    for o, c in zip(out, rest[:counts]):
+        o[found] = c[place]
+    if large:
+        i = np.minimum(np.searchsorted(rest[counts], place), large - 1)
+        some = np.flatnonzero(rest[counts][i] == place)
+        for o, c in zip(out, rest[counts + 1 :]):
+            o[found[some]] = c[i[some]]
+    known = np.zeros(len(keys), bool)
+    known[found] = True
+    return known, out
+
+
+def _first_of_runs(*columns: np.ndarray) -> np.ndarray:
+    """Where one of the columns changes."""
+    n = len(columns[0])
+    change = np.zeros(n, bool)
+    if n:
+        change[0] = True
+        for c in columns:
+            change[1:] |= c[1:] != c[:-1]
+    return np.flatnonzero(change)
 
-def _sum_equal(bucket, key, count) -> list[np.ndarray]:
+
+def _sum_words(bucket, key, count) -> list[np.ndarray]:
     by = np.argsort(key, kind="stable")
     key, count, bucket = key[by], count[by], bucket[by]
-    head = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
+    head = _first_of_runs(key)
     return [bucket[head], key[head], np.add.reduceat(count, head)]
 
 
@@ -141,11 +214,11 @@ def _tokens(column: pa.Array) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
 
 def _count_words(buckets: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        out = blobs.Outbox(buckets, 1 << 20, _sum_equal)
+        out = blobs.Outbox(buckets, 1 << 20, _sum_words)
         for batch in batches:
             for _, flat, _ in _tokens(batch.column(0)):
                 key, count = np.unique(flat, return_counts=True)
-                yield from out.put(blobs.bucket_of(key, buckets), key, count.astype(np.uint32))
+                yield from out.put(blobs.bucket_of(key, buckets), key, count.astype(np.uint64))
         yield from out.flush()
 
     return run
@@ -160,12 +233,15 @@ def _by_bucket(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, list[np
         yield b, [np.concatenate(c) for c in zip(*parts.pop(b))]
 
 
-def _store_words(folder: str):
+def _store_words(folder: str, buckets: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b, (key, count) in _by_bucket(batches):
-            _, key, count = _sum_equal(np.zeros(len(key), np.int32), key, count.astype(np.uint64))
-            write_file(folder, f"word-{b:05d}", key, count.astype(np.uint64))
-            yield pa.RecordBatch.from_arrays([pa.array([b], pa.int32()), pa.array([len(key)]), pa.array([int(count.sum())])], names=["bucket", "size", "total"])
+            _, key, count = _sum_words(np.zeros(len(key), np.int32), key, count)
+            write_file(folder, f"word-{b:05d}", key, count)
+            total = int(count.sum())
+            # what may be heavy in the whole: the bucket can't tell, its greatest counts suffice
+            some = np.argsort(count)[::-1][: HEAVY * buckets]
+            yield pa.RecordBatch.from_arrays([pa.array([b], pa.int32()), pa.array([len(key)]), pa.array([total]), pa.array([some.tolist()], pa.list_(pa.int64())), pa.array([count[some].astype(np.int64).tolist()], pa.list_(pa.int64()))], names=["bucket", "size", "total", "places", "counts"])
 
     return run
 
@@ -177,6 +253,8 @@ class Words:
     table: Table
     bases: np.ndarray
     tokens: int
+    heavy: np.ndarray  # ascending numbers of the words that are dealt to several buckets
+    ways: np.ndarray  # to how many
 
     @property
     def distinct(self) -> int:
@@ -185,88 +263,205 @@ class Words:
     def number(self, flat: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(number of each token, -1 if unknown; its count)."""
         keys, back = np.unique(flat, return_inverse=True)
-        known, bucket, place = self.table.find(keys)
+        known, bucket, place, count = self.table.find(keys)
         number = np.where(known, self.bases[bucket] + place, -1)
-        return number[back], self.table.take(1, known, bucket, place)[back]
+        return number[back], count[back]
+
+    def heavy_place(self, v: np.ndarray) -> np.ndarray:
+        """Where each number stands among the heavy ones, -1 if it isn't one."""
+        if not len(self.heavy):
+            return np.full(len(v), -1)
+        i = np.minimum(np.searchsorted(self.heavy, v), len(self.heavy) - 1)
+        return np.where(self.heavy[i] == v, i, -1)
+
+
+def _spread(words: Words, v: np.ndarray, by: np.ndarray) -> np.ndarray:
+    """The hash whose first bits name the bucket of middle words; heavy ones are split by another word."""
+    at = words.heavy_place(v)
+    salt = np.zeros(len(v), _U)
+    some = np.flatnonzero(at >= 0)
+    salt[some] = (mix(by[some].astype(_U) + _K[2]) >> _U(32)) % words.ways[at[some]].astype(_U)
+    return mix(v.astype(_U) * _K[0] + salt * _K[1] + _U(1))
+
+
+def _pair_hash(v: np.ndarray, w: np.ndarray) -> np.ndarray:
+    return mix(v.astype(_U) * _K[0] + mix(w.astype(_U) + _K[1]))
+
+
+def _triple_hash(u: np.ndarray, v: np.ndarray, w: np.ndarray) -> np.ndarray:
+    return mix(_pair_hash(v, w) + mix(u.astype(_U) + _K[2]) * _K[0])
+
+
+def _before(number: np.ndarray, ends: np.ndarray, back: int) -> np.ndarray:
+    """The number that stands so many places before each token, the start mark before the text."""
+    out = np.full(len(number), START, np.int64)
+    out[back:] = number[: len(number) - back] if back else number
+    starts = np.concatenate([[0], ends[:-1]])[: len(ends)]
+    for k in range(back):
+        at = starts + k
+        out[at[at < ends]] = START
+    return out
+
+
+def _order_key(spread: np.ndarray, rest: np.ndarray) -> np.ndarray:
+    """A key that sorts by bucket and middle word first, then by a hash of the rest."""
+    return (spread & ~_U((1 << 40) - 1)) | (rest >> _U(24))
+
 
+def _sum_grams(spread, rest, *columns) -> tuple[np.ndarray, list[np.ndarray]]:
+    """Sums the last column over equal others. Returns the kept rows' spread, and the columns."""
+    by = np.argsort(_order_key(spread, rest))
+    *keys, count = (c[by] for c in columns)
+    head = _first_of_runs(*keys)
+    return spread[by][head], [*(c[head] for c in keys), np.add.reduceat(count, head) if len(head) else count]
 
-def _count_pairs(words, buckets: int):
+
+def _count_grams(words, order: int, buckets: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        out = blobs.Outbox(buckets, 1 << 20, _sum_equal)
+        out = _GramBox(words.value, order, buckets)
         for batch in batches:
             for _, flat, ends in _tokens(batch.column(0)):
                 number, _ = words.value.number(flat)
-                key, count = np.unique(_pair_keys(number, ends), return_counts=True)
-                yield from out.put(blobs.bucket_of(mix(key), buckets), key, count.astype(np.uint32))
+                u = _before(number, ends, 2) if order == 3 else np.zeros(len(number), np.int64)
+                yield from out.put(u, _before(number, ends, 1), number)
         yield from out.flush()
+        give_back()
 
     return run
 
 
-def _pair_keys(number: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    before = np.empty(len(number), np.int64)
-    before[1:] = number[:-1]
-    before[np.concatenate([[0], ends[:-1]])[: len(ends)]] = START
-    return before.astype(_U) << _U(32) | number.astype(_U) & _LOW
+class _GramBox:
+    """Gathers n-grams, folds equal ones and hands them out by bucket."""
+
+    LIMIT = 3 << 19
+
+    def __init__(self, words: Words, order: int, buckets: int):
+        self.words, self.order, self.buckets, self.held, self.size = words, order, buckets, [], 0
+
+    def put(self, *columns: np.ndarray) -> Iterator[pa.RecordBatch]:
+        self.held.append(columns)
+        self.size += len(columns[0])
+        if self.size >= self.LIMIT:
+            yield from self.flush()
+
+    def flush(self) -> Iterator[pa.RecordBatch]:
+        if not self.size:
+            return
+        u, v, w = (np.concatenate(c) for c in zip(*self.held))
+        self.held, self.size = [], 0
+        spread = _spread(self.words, v, u if self.order == 3 else w)
+        spread, columns = _sum_grams(spread, _triple_hash(u, v, w), u, v, w, np.ones(len(u), np.int64))
+        rows = [(b, len(c[0]), blobs.pack(*c)) for b, c in blobs.split(blobs.bucket_of(spread, self.buckets), *columns)]
+        yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows), (pa.int32(), pa.int64(), pa.binary()))], names=["bucket", "rows", "blob"])
+
+
+TIES, PAIRS, TOTALS, STORED = range(4)  # what a blob of the second exchange holds
 
 
-def _store_pairs(folder: str, words: int, buckets: int):
-    """Writes the pairs of a bucket; gives, by word, the kinds of pairs that it begins and how many it ends."""
+def _of_counts(count: np.ndarray) -> np.ndarray:
+    return np.array([(count == k).sum() for k in (1, 2, 3, 4)], np.int64)
+
+
+def _kinds(count: np.ndarray, head: np.ndarray) -> list[np.ndarray]:
+    """For runs of rows: the sum of the counts, and how many are 1, 2, and 3 or more."""
+    if not len(head):
+        return [np.zeros(0, np.int64)] * 4
+    return [np.add.reduceat(count, head), *(np.add.reduceat((np.minimum(count, 3) == k).astype(np.int64), head) for k in (1, 2, 3))]
+
+
+def _span(distinct: int, buckets: int) -> int:
+    return max(1, -(-distinct // buckets))
+
+
+def _store_grams(folder: str, words, order: int, buckets: int):
+    """Writes what a bucket of middle words has, and sends on what is counted by last word."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b, (key, count) in _by_bucket(batches):
-            _, key, count = _sum_equal(np.zeros(len(key), np.int32), key, count.astype(np.uint32))
-            h = mix(key)
-            by = np.argsort(h)
-            h, c = h[by], count[by]
-            many = np.flatnonzero(c >= MANY)
-            write_file(folder, f"pair-{b:05d}", h, np.minimum(c, MANY).astype(np.uint8))
-            write_file(folder, f"many-{b:05d}", h[many], c[many].astype(np.uint32))
-            first, last = (key >> _U(32)).astype(np.int64), (key & _LOW).astype(np.int64)
-            kind = np.minimum(count, 3).astype(np.int64) - 1
-            owner = np.concatenate([first, last])
-            which = np.concatenate([kind, np.full(len(last), 3)])
-            both, n = np.unique(owner << 2 | which, return_counts=True)
-            owner, which = both >> 2, (both & 3).astype(np.uint8)
-            span = max(1, -(-(words + 1) // buckets))
-            at = np.where(owner == START, words, owner)
-            rows = [(x, len(c[0]), blobs.pack(*c)) for x, c in blobs.split((at // span).astype(np.int32), at, which, n.astype(np.uint32))]
-            of_counts = np.array([(count == k).sum() for k in (1, 2, 3, 4)], np.int64)
-            rows.append((b, 0, blobs.pack(np.array([b, len(key), len(many)], np.int64), of_counts)))  # two columns: what the bucket holds
-            yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows), (pa.int32(), pa.int64(), pa.binary()))], names=["bucket", "rows", "blob"])
+        m = words.value
+        span = _span(m.distinct, buckets)
+        for b, (u, v, w, count) in _by_bucket(batches):
+            spread = _spread(m, v, u if order == 3 else w)
+            _, (u, v, w, count) = _sum_grams(spread, _triple_hash(u, v, w), u, v, w, count)
+            held = [b]
+            if order == 3:
+                held += write_grams(folder, f"triple-{b:05d}", _triple_hash(u, v, w), count)
+                by = np.argsort(_order_key(mix(v.astype(_U)), _pair_hash(u, v)), kind="stable")
+                cu, cv = u[by], v[by]
+                head = _first_of_runs(cu, cv)
+                stats = _kinds(count[by], head)
+                # contexts of one occurrence are known by their pair, but for the start of a text
+                keep = (stats[0] > 1) | (cv[head] == START)
+                held += write_grams(folder, f"context-{b:05d}", _pair_hash(cu[head][keep], cv[head][keep]), *(s[keep] for s in stats))
+                of_counts = _of_counts(count)
+            else:
+                held += [0, 0, 0, 0]
+                of_counts = np.zeros(4, np.int64)
+            by = np.argsort(_order_key(mix(v.astype(_U)), _pair_hash(v, w)), kind="stable")
+            v, w = v[by], w[by]
+            head = _first_of_runs(v, w)
+            plain = np.add.reduceat(count[by], head) if len(head) else count
+            v, w = v[head], w[head]
+            t = plain if order == 2 else np.where(v == START, plain, np.diff(np.append(head, len(by))))
+            heavy = m.heavy_place(v) >= 0
+            held += write_grams(folder, f"pair-{b:05d}", _pair_hash(v[~heavy], w[~heavy]), t[~heavy])
+            own = np.flatnonzero(~heavy)
+            head = _first_of_runs(v[own])
+            totals = _kinds(t[own], head)
+            held += write_grams(folder, f"total-{b:05d}", mix(v[own][head].astype(_U)), *totals)
+            ties, n = np.unique(w[own], return_counts=True)
+            rows = [(x, len(c[0]), blobs.pack(np.array([TIES], np.uint8), *c)) for x, c in blobs.split((ties // span).astype(np.int32), ties, n)]
+            far = np.flatnonzero(heavy)
+            rows += [(x, len(c[0]), blobs.pack(np.array([PAIRS], np.uint8), *c)) for x, c in blobs.split((w[far] // span).astype(np.int32), v[far], w[far], t[far])]
+            rows.append((b, 0, blobs.pack(np.array([STORED], np.uint8), np.array(held, np.int64), of_counts, _of_counts(t[own]))))
+            yield pa.RecordBatch.from_arrays([pa.array(x, t_) for x, t_ in zip(zip(*rows), (pa.int32(), pa.int64(), pa.binary()))], names=["bucket", "rows", "blob"])
+        give_back()
 
     return run
 
 
-STORED = "kind string, bucket int, size long, many long, of_counts array<long>, kinds array<long>"
+RESULTS = "kind int, bucket int, word long, numbers array<long>"
 
 
-def _stored(kind: str, bucket: int, size: int, many: int, of_counts: list[int], kinds: list[int]) -> pa.RecordBatch:
-    whole = pa.list_(pa.int64())
-    return pa.RecordBatch.from_arrays([pa.array([kind]), pa.array([bucket], pa.int32()), pa.array([size], pa.int64()), pa.array([many], pa.int64()), pa.array([of_counts], whole), pa.array([kinds], whole)], names=[x.split()[0] for x in STORED.split(", ")])
+def _result(kind: int, bucket: int, word: list[int], numbers: list[list[int]]) -> pa.RecordBatch:
+    n = len(word)
+    return pa.RecordBatch.from_arrays([pa.array([kind] * n, pa.int32()), pa.array([bucket] * n, pa.int32()), pa.array(word, pa.int64()), pa.array(numbers, pa.list_(pa.int64()))], names=[x.split()[0] for x in RESULTS.split(", ")])
 
 
-def _store_contexts(folder: str, words: int, buckets: int):
-    span = max(1, -(-(words + 1) // buckets))
+def _store_ends(folder: str, words, buckets: int):
+    """Writes what is counted by last word: the distinct words before it, and the pairs of heavy words."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        parts: dict[int, list[list[np.ndarray]]] = {}
+        m = words.value
+        span = _span(m.distinct, buckets)
+        parts: dict[tuple[int, int], list[list[np.ndarray]]] = {}
         for batch in batches:
             for b, raw in zip(batch.column(0).to_pylist(), batch.column(2).to_pylist()):
-                columns = blobs.unpack(raw)
-                if len(columns) == 2:
-                    (bucket, size, many), of_counts = (c.tolist() for c in columns)
-                    yield _stored("pair", bucket, size, many, of_counts, [])
+                kind, *columns = blobs.unpack(raw)
+                if kind[0] == STORED:
+                    held, of_triples, of_pairs = (c.tolist() for c in columns)
+                    yield _result(STORED, b, [0], [[*held[1:], *of_triples, *of_pairs]])
                 else:
-                    parts.setdefault(b, []).append(columns)
-        for b in sorted(parts):
-            at, which, n = (np.concatenate(c) for c in zip(*parts.pop(b)))
-            size = min(span, words + 1 - b * span)
-            table = np.zeros((4, size), np.uint32)
-            np.add.at(table, (which.astype(np.int64), at - b * span), n)
-            write_file(folder, f"context-{b:05d}", *table)
-            of_counts = [int((table[3] == k).sum()) for k in (1, 2, 3, 4)]
-            yield _stored("context", b, size, 0, of_counts, [int((np.minimum(table[3], 3) == k).sum()) for k in (1, 2, 3)])
+                    parts.setdefault((b, int(kind[0])), []).append(columns)
+        for b in sorted({b for b, _ in parts}):
+            size = max(0, min(span, m.distinct - b * span))
+            ties = np.zeros(size, np.int64)
+            for w, n in parts.pop((b, TIES), []):
+                np.add.at(ties, w - b * span, n)
+            pairs, of_pairs, rows = [np.concatenate(c) for c in zip(*parts.pop((b, PAIRS), []))], np.zeros(4, np.int64), (0, 0)
+            if pairs:
+                v, w, t = pairs
+                by = np.lexsort((w, v))
+                v, w, t = v[by], w[by], t[by]
+                head = _first_of_runs(v, w)
+                v, w, t = v[head], w[head], np.add.reduceat(t, head)
+                rows = write_grams(folder, f"far-{b:05d}", _pair_hash(v, w), t)
+                np.add.at(ties, w - b * span, 1)
+                of_pairs = _of_counts(t)
+                head = _first_of_runs(v)
+                yield _result(TOTALS, b, v[head].tolist(), np.stack(_kinds(t, head), 1).tolist())
+            write_file(folder, f"ties-{b:05d}", ties)
+            kinds = [int((np.minimum(ties, 3) == k).sum()) for k in (1, 2, 3)]
+            yield _result(TIES, b, [size], [[*rows, *of_pairs.tolist(), *_of_counts(ties).tolist(), *kinds, int(ties.sum())]])
 
     return run
 
@@ -279,103 +474,178 @@ def discounts(of_counts: list[int]) -> np.ndarray:
     return np.array([0.0, *(min(max(d, 0.05), k - 0.05) for k, d in enumerate(raw, 1))])
 
 
+@dataclass
+class Grams:
+    """The files of one kind of n-gram."""
+
+    folder: str
+    name: str
+    rows: list[int]
+    large: list[int]
+    counts: int = 1
+
+    def find(self, bucket: np.ndarray, keys: np.ndarray) -> tuple[np.ndarray, list[np.ndarray]]:
+        """For keys whose buckets ascend: whether each is known, and its counts."""
+        known, out = np.zeros(len(keys), bool), [np.zeros(len(keys), np.int64) for _ in range(self.counts)]
+        for b, x, y in _runs(bucket, len(self.rows)):
+            if self.rows[b]:
+                hit, got = read_grams(self.folder, f"{self.name}-{b:05d}", self.rows[b], self.large[b], self.counts, keys[x:y])
+                known[x:y] = hit
+                for o, g in zip(out, got):
+                    o[x:y] = g
+        return known, out
+
+
 @dataclass
 class Model:
+    order: int
     words: Words
-    pairs: Table
-    many: Table  # the pairs that occur MANY times or more
-    contexts: Table
+    triples: Grams
+    contexts: Grams  # (sum, kinds) of what follows two words
+    pairs: Grams
+    totals: Grams  # (sum, kinds) of what follows a word
+    far: Grams  # the pairs of heavy words
+    heavy_totals: np.ndarray  # the same as totals for each heavy word
+    folder: str
+    sizes: list[int]  # of the files by last word
     span: int
-    documents: int
-    pair_discounts: np.ndarray
-    word_discounts: np.ndarray
+    of: list[np.ndarray]  # discounts by order
     distinct_pairs: int
     given_back: float  # h
 
-    def context(self, number: np.ndarray, columns: list[int]) -> list[np.ndarray]:
-        """Columns of the contexts of numbers (the start mark as the number after the last)."""
-        bucket = number // self.span
-        by = np.argsort(bucket, kind="stable")
-        out = [np.zeros(len(number), np.float64) for _ in columns]
-        ids, first = np.unique(bucket[by], return_index=True)
-        for b, x, y in zip(ids.tolist(), first.tolist(), [*first[1:].tolist(), len(by)]):
-            if self.contexts.sizes[b]:
-                for o, c in zip(out, columns):
-                    o[by[x:y]] = self.contexts.bucket(b)[c][number[by[x:y]] - b * self.span]
+    def ties(self, number: np.ndarray) -> np.ndarray:
+        """t of known numbers."""
+        out = np.zeros(len(number), np.int64)
+        by = np.argsort(number, kind="stable")
+        for b, x, y in _runs(number[by] // self.span, len(self.sizes)):
+            out[by[x:y]] = mapped(self.folder, f"ties-{b:05d}", (("<i8", self.sizes[b]),))[0][number[by[x:y]] - b * self.span]
+        return out
+
+    def _taken(self, kinds: list[np.ndarray], order: int) -> np.ndarray:
+        return sum(k * d for k, d in zip(kinds, self.of[order][1:]))
+
+    def _lowest(self, number: np.ndarray) -> np.ndarray:
+        distinct, back = np.unique(number, return_inverse=True)
+        known = distinct >= 0
+        t = np.zeros(len(distinct), np.int64)
+        t[known] = self.ties(distinct[known])
+        seen = np.maximum(t - self.of[1][np.minimum(t, 3)], 0)
+        return (seen / max(1, self.distinct_pairs) + self.given_back / (self.words.distinct + 1))[back]
+
+    def _totals(self, v: np.ndarray) -> list[np.ndarray]:
+        """(sum, kinds) of what follows known words."""
+        distinct, back = np.unique(v, return_inverse=True)
+        heavy = self.words.heavy_place(distinct)
+        spread = mix(distinct.astype(_U) * _K[0] + _U(1))
+        by = np.argsort(spread)
+        _, found = self.totals.find(blobs.bucket_of(spread[by], len(self.totals.rows)), mix(distinct[by].astype(_U)))
+        out = []
+        for k, f in enumerate(found):
+            column = np.zeros(len(distinct), np.int64)
+            column[by] = f
+            if len(self.heavy_totals):
+                column = np.where(heavy >= 0, self.heavy_totals[heavy, k], column)
+            out.append(column[back])
         return out
 
-    def lower(self, number: np.ndarray) -> np.ndarray:
-        """q of numbers, -1 for unknown words."""
-        v = self.words.distinct
-        known = number >= 0
-        t = np.zeros(len(number))
-        if known.any():
-            t[known] = self.context(number[known], [3])[0]
-        seen = np.maximum(t - self.word_discounts[np.minimum(t, 3).astype(np.int64)], 0)
-        return seen / max(1, self.distinct_pairs) + self.given_back / (v + 1)
-
-    def log10(self, number: np.ndarray, count: np.ndarray, ends: np.ndarray) -> np.ndarray:
-        """log10 p of every token after the one before it."""
-        v = self.words.distinct
-        q_of, back = np.unique(number, return_inverse=True)
-        p = self.lower(q_of)[back]
-        starts = np.concatenate([[0], ends[:-1]])[: len(ends)]
-        before, before_count = np.empty(len(number), np.int64), np.empty(len(number), np.float64)
-        before[1:], before_count[1:] = number[:-1], count[:-1]
-        before[starts], before_count[starts] = v, self.documents
-        known = (before >= 0) & (before_count > 0)
-        if known.any():
-            u, back = np.unique(before[known], return_inverse=True)
-            n1, n2, n3 = self.context(u, [0, 1, 2])
-            taken = n1 * self.pair_discounts[1] + n2 * self.pair_discounts[2] + n3 * self.pair_discounts[3]
-            total = before_count[known]
-            p[known] *= taken[back] / total
-            both = known & (number >= 0)
-            key = _pair_keys(number, ends)[both]
-            h, back = np.unique(mix(key), return_inverse=True)
-            found, bucket, place = self.pairs.find(h)
-            c = self.pairs.take(1, found, bucket, place)
-            often = np.flatnonzero(c == MANY)
-            if len(often):
-                c[often] = self.many.take(1, *self.many.find(h[often]))
-            c = c[back].astype(np.float64)
-            p[both] += np.maximum(c - self.pair_discounts[np.minimum(c, 3).astype(np.int64)], 0) / before_count[both]
+    def log10(self, number: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        """log10 p of every token after those before it."""
+        n = len(number)
+        p = self._lowest(number)
+        v = _before(number, ends, 1)
+        heard = np.flatnonzero(v >= 0)  # else the word before is unknown
+        total, *kinds = self._totals(v[heard])
+        follows = total > 0
+        heard, total, kinds = heard[follows], total[follows], [k[follows] for k in kinds]
+        p[heard] *= self._taken(kinds, 2) / total
+        pair = np.zeros(n, np.int64)  # t of the pair that each token ends
+        far = self.words.heavy_place(v) >= 0
+        for grams, some in ((self.pairs, (v >= 0) & (number >= 0) & ~far), (self.far, (v >= 0) & (number >= 0) & far)):
+            at = np.flatnonzero(some)
+            if not len(at):
+                continue
+            if grams is self.far:
+                bucket = number[at] // self.span
+            else:
+                bucket = blobs.bucket_of(mix(v[at].astype(_U) * _K[0] + _U(1)), len(grams.rows))
+            by = np.argsort(bucket, kind="stable")
+            at = at[by]
+            _, (found,) = grams.find(bucket[by], _pair_hash(v[at], number[at]))
+            pair[at] = found
+        seen = pair[heard]
+        p[heard] += np.maximum(seen - self.of[2][np.minimum(seen, 3)], 0) / total
+        if self.order == 2:
+            return np.log10(p)
+        u = _before(number, ends, 2)
+        # two words before that were learned together, or the start of a text
+        begins = (u == START) & (v == START)
+        behind = np.zeros(n, np.int64)
+        behind[1:] = pair[:-1]
+        behind[v == START] = 0
+        at = np.flatnonzero(begins & (self.words.tokens > 0) | (behind > 0))
+        if not len(at):
+            return np.log10(p)
+        spread = _spread(self.words, v[at], u[at])
+        bucket = blobs.bucket_of(spread, len(self.contexts.rows))
+        by = np.argsort(bucket, kind="stable")
+        at, bucket = at[by], bucket[by]
+        known, (total, *kinds) = self.contexts.find(bucket, _pair_hash(u[at], v[at]))
+        once = ~known  # contexts of one occurrence are not stored
+        total, kinds[0] = np.where(once, 1, total), np.where(once, 1, kinds[0])
+        p[at] *= self._taken(kinds, 3) / total
+        some = np.flatnonzero(number[at] >= 0)
+        x = at[some]
+        _, (count,) = self.triples.find(bucket[some], _triple_hash(u[x], v[x], number[x]))
+        p[x] += np.maximum(count - self.of[3][np.minimum(count, 3)], 0) / total[some]
         return np.log10(p)
 
 
-def train(docs: DataFrame, scratch: Scratch) -> Model:
+def train(docs: DataFrame, scratch: Scratch, order: int = ORDER) -> Model:
     """Counts (text) of docs and writes the model's files under the scratch folder."""
+    if order not in (2, 3):
+        raise ValueError("the model's order is 2 or 3")
     spark = docs.sparkSession
-    n = 2 * partitions(spark)
     folder = f"{scratch.path}/model"
     text = docs.select(F.col("text").cast("string").alias("text"))
-    found = blobs.exchange(text.mapInArrow(_count_words(n), blobs.SCHEMA), n).mapInArrow(_store_words(folder), "bucket int, size long, total long")
-    rows = found.collect()  # one row for each bucket
-    sizes = [0] * n
-    for r in rows:
+    n = 2 * buckets_for(text, BUCKET_BYTES)
+    rows = blobs.exchange(text.mapInArrow(_count_words(n), blobs.SCHEMA), n).mapInArrow(_store_words(folder, n), "bucket int, size long, total long, places array<long>, counts array<long>")
+    tokens, sizes, often = 0, [0] * n, []
+    for r in rows.toLocalIterator():  # one row for each bucket
         sizes[r.bucket] = r.size
-    words = Words(Table(folder, "word", sizes, "<u8 <u8"), np.concatenate([[0], np.cumsum(sizes)[:-1]]).astype(np.int64), sum(r.total for r in rows))
-    v = words.distinct
-    if v >= START:
-        raise ValueError("more distinct words than pair keys can number")
+        tokens += r.total
+        often += [(r.bucket, p, c) for p, c in zip(r.places, r.counts) if c * HEAVY * n > r.total]
+    bases = np.concatenate([[0], np.cumsum(sizes)[:-1]]).astype(np.int64)
+    documents = text.count()
+    often = [(int(bases[b]) + p, c) for b, p, c in often] + [(START, documents)]
+    heavy = sorted((w, -(-c * HEAVY * n // tokens)) for w, c in often if c * HEAVY * n > tokens)
+    words = Words(Table(folder, "word", sizes), bases, tokens, np.array([w for w, _ in heavy], np.int64), np.array([k for _, k in heavy], np.int64))
     sent = spark.sparkContext.broadcast(words)
-    pairs = blobs.exchange(text.mapInArrow(_count_pairs(sent, n), blobs.SCHEMA), n).mapInArrow(_store_pairs(folder, v, n), blobs.SCHEMA)
-    stored = blobs.exchange(pairs, n).mapInArrow(_store_contexts(folder, v, n), STORED).collect()  # two rows for each bucket
-    pair_sizes, many_sizes, context_sizes = [0] * n, [0] * n, [0] * n
-    of_pairs, of_words, kinds = [0] * 4, [0] * 4, [0] * 3
-    for r in stored:
-        if r.kind == "pair":
-            pair_sizes[r.bucket], many_sizes[r.bucket] = r["size"], r.many
-            of_pairs = [x + y for x, y in zip(of_pairs, r.of_counts)]
+    grams = blobs.exchange(text.mapInArrow(_count_grams(sent, order, n), blobs.SCHEMA), n).mapInArrow(_store_grams(folder, sent, order, n), blobs.SCHEMA)
+    stored = scratch.write(blobs.exchange(grams, n).mapInArrow(_store_ends(folder, sent, n), RESULTS), "stored")
+    names = ["triple", "context", "pair", "total"]
+    held = {name: ([0] * n, [0] * n) for name in [*names, "far"]}
+    end_sizes, of_triples, of_pairs, of_words, kinds, distinct = [0] * n, np.zeros(4, np.int64), np.zeros(4, np.int64), np.zeros(4, np.int64), [0, 0, 0], 0
+    for r in stored.filter(F.col("kind") != TOTALS).toLocalIterator():  # two rows for each bucket
+        if r.kind == STORED:
+            for k, name in enumerate(names):
+                held[name][0][r.bucket], held[name][1][r.bucket] = r.numbers[2 * k : 2 * k + 2]
+            of_triples += r.numbers[8:12]
+            of_pairs += r.numbers[12:16]
         else:
-            context_sizes[r.bucket] = r["size"]
-            of_words = [x + y for x, y in zip(of_words, r.of_counts)]
-            kinds = [x + y for x, y in zip(kinds, r.kinds)]
-    word_discounts = discounts(of_words)
-    total = sum(pair_sizes)
-    given_back = sum(d * k for d, k in zip(word_discounts[1:], kinds)) / total if total else 1.0
-    documents = text.count()
-    return Model(words, Table(folder, "pair", pair_sizes, "<u8 u1"), Table(folder, "many", many_sizes, "<u8 <u4"), Table(folder, "context", context_sizes, "<u4 <u4 <u4 <u4"), max(1, -(-(v + 1) // n)), documents, discounts(of_pairs), word_discounts, total, given_back)
+            end_sizes[r.bucket] = r.word
+            held["far"][0][r.bucket], held["far"][1][r.bucket] = r.numbers[:2]
+            of_pairs += r.numbers[2:6]
+            of_words += r.numbers[6:10]
+            kinds = [x + y for x, y in zip(kinds, r.numbers[10:13])]
+            distinct += r.numbers[13]
+    heavy_totals = np.zeros((len(heavy), 4), np.int64)
+    summed = stored.filter(F.col("kind") == TOTALS).groupBy("word").agg(*[F.sum(F.col("numbers")[k]).alias(f"n{k}") for k in range(4)])
+    for r in summed.toLocalIterator():  # one row for each heavy word
+        heavy_totals[words.heavy_place(np.array([r.word]))[0]] = r[1:]
+    word_discounts = discounts(of_words.tolist())
+    given_back = sum(d * k for d, k in zip(word_discounts[1:], kinds)) / distinct if distinct else 1.0
+    grams_of = lambda name, counts=1: Grams(folder, name, *held[name], counts)
+    return Model(order, words, grams_of("triple"), grams_of("context", 4), grams_of("pair"), grams_of("total", 4), grams_of("far"), heavy_totals, folder, end_sizes, _span(words.distinct, n), [np.zeros(4), word_discounts, discounts(of_pairs.tolist()), discounts(of_triples.tolist())], distinct, given_back)
 
 
 RESULT = "doc_id long, n_tokens long, n_known long, base_score double, score double"
@@ -391,7 +661,7 @@ def _scorer(model):
                 starts = np.concatenate([[0], ends[:-1]])
                 base = np.log10((count + 1) / whole)
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).slice(a, len(ends)), pa.array(ends - starts), pa.array(np.add.reduceat((count > 0).astype(np.int64), starts)), pa.array(np.add.reduceat(base, starts)), pa.array(np.add.reduceat(m.log10(number, count, ends), starts))],
+                    [batch.column(0).slice(a, len(ends)), pa.array(ends - starts), pa.array(np.add.reduceat((count > 0).astype(np.int64), starts)), pa.array(np.add.reduceat(base, starts)), pa.array(np.add.reduceat(m.log10(number, ends), starts))],
                     names=["doc_id", "n_tokens", "n_known", "base_score", "score"],
                 )
 
@@ -406,7 +676,7 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
     return found.select("doc_id", held_out().alias("held_out"), "n_tokens", "n_known", F.lit(model.words.tokens).cast("long").alias("train_tokens"), "base_score", "score", F.pow(F.lit(10.0), -F.col("score") / F.col("n_tokens")).alias("perplexity"))
 
 
-def language_model(docs: DataFrame) -> DataFrame:
+def language_model(docs: DataFrame, order: int = ORDER) -> DataFrame:
     """Learns from the documents that are not held out, and scores all."""
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return score(rows, train(rows.filter(~held_out()), Scratch(docs.sparkSession, "language-model")))
+    return score(rows, train(rows.filter(~held_out()), Scratch(docs.sparkSession, "language-model"), order))

@@ -1,5 +1,6 @@
 import math
 import re
+import time
 import zlib
 from collections import Counter, defaultdict
 
@@ -87,41 +88,68 @@ def test_toxicity(spark, labelled):
     assert op10_toxicity_mil.toxicity(docs.limit(0), labels).count() == 0
 
 
-def test_language_model(spark, docs, rows, none):
-    found = op05_ngram_lm.language_model(docs).collect()
+@pytest.mark.parametrize("order", [2, 3])
+def test_language_model(docs, rows, none, order):
+    """Against a plain count of n-grams in dictionaries."""
+    found = op05_ngram_lm.language_model(docs, order).collect()
     assert len(found) == len(rows) + 2
     texts = [(r.doc_id, (r.text or "")) for r in docs.select("doc_id", "text").collect()]
     tokens = [(d, re.findall(r"[^\x20\x09-\x0D]+", t.translate({i: i + 32 for i in range(65, 91)})) + ["\0end"]) for d, t in texts]
     held = lambda d: d is not None and zlib.crc32(str(d).encode()) % 7 == 2
-    c, pairs, before = Counter(), Counter(), Counter()
+    start, c, top = "\0start", Counter(), Counter()
+    grams = lambda w: zip(*([*[start] * (order - 1), *w][k:] for k in range(order)))
     for d, w in tokens:
         if not held(d):
             c.update(w)
-            pairs.update(zip(["\0start", *w], w))
-            before.update(["\0start", *w][:-1])
-    n, v, t = sum(c.values()), len(c), Counter(w for _, w in pairs)
+            top.update(grams(w))
+    n, v = sum(c.values()), len(c)
+    levels = {order: top}
+    if order == 3:
+        plain, pairs = Counter(), Counter(g[1:] for g in top)
+        for g, k in top.items():
+            plain[g[1:]] += k
+        levels[2] = Counter({g: plain[g] if g[0] == start else k for g, k in pairs.items()})
+    levels[1] = Counter(g[1:] for g in levels[2])
     counts = lambda x: [sum(k == i for k in x.values()) for i in (1, 2, 3, 4)]
-    d2, d1 = op05_ngram_lm.discounts(counts(pairs)), op05_ngram_lm.discounts(counts(t))
-    given = sum(d1[min(k, 3)] for k in t.values()) / len(pairs)
-    taken = defaultdict(float)
-    for (u, _), k in pairs.items():
-        taken[u] += d2[min(k, 3)]
-    q = lambda w: max(t[w] - d1[min(t[w], 3)], 0) / len(pairs) + given / (v + 1)
-
-    def p(u, w):
-        if not before[u]:
-            return q(w)
-        return max(pairs[u, w] - d2[min(pairs[u, w], 3)], 0) / before[u] + taken[u] / before[u] * q(w)
-
-    assert math.isclose(sum(p("one", w) for w in c) + p("one", "\0unknown"), 1, rel_tol=1e-9)
+    less = {k: op05_ngram_lm.discounts(counts(x)) for k, x in levels.items()}
+    total, taken = defaultdict(int), defaultdict(float)
+    for k, x in levels.items():
+        for g, m in x.items():
+            total[g[:-1]] += m if k > 1 else 1 * m
+            taken[g[:-1]] += less[k][min(m, 3)]
+
+    def p(context, w):
+        k = len(context) + 1
+        lower = p(context[1:], w) if k > 1 else taken[()] / total[()] / (v + 1)
+        if k > 1 and not total[context]:
+            return lower
+        m = levels[k][(*context, w)]
+        seen = max(m - less[k][min(m, 3)], 0) / total[context]
+        return seen + (taken[context] / total[context] * lower if k > 1 else lower)
+
+    context = ("one", "two")[-(order - 1) :]
+    assert math.isclose(sum(p(context, w) for w in c) + p(context, "\0unknown"), 1, rel_tol=1e-9)
     want = {}
     for d, w in tokens:
-        want[d] = (held(d), len(w), sum(c[x] > 0 for x in w), n, sum(math.log10((c[x] + 1) / (n + v + 1)) for x in w), sum(math.log10(p(u, x)) for u, x in zip(["\0start", *w], w)))
+        want[d] = (held(d), len(w), sum(c[x] > 0 for x in w), n, sum(math.log10((c[x] + 1) / (n + v + 1)) for x in w), sum(math.log10(p(g[:-1], g[-1])) for g in grams(w)))
     for r in found:
         x = want[r.doc_id]
         assert (r.held_out, r.n_tokens, r.n_known, r.train_tokens) == x[:4]
-        assert math.isclose(r.base_score, x[4], rel_tol=1e-9) and math.isclose(r.score, x[5], rel_tol=1e-9)
-    assert op05_ngram_lm.language_model(none).count() == 0
+        assert math.isclose(r.base_score, x[4], rel_tol=1e-9) and math.isclose(r.score, x[5], rel_tol=1e-9), r
+    assert op05_ngram_lm.language_model(none, order).count() == 0
+
+
+def test_large_counts_are_whole(tmp_path):
+    """Counts beyond a byte and beyond 32 bits come back; unknown hashes have none."""
+    rng = np.random.default_rng(1)
+    keys = np.unique(rng.integers(0, 1 << 63, 5000).astype(np.uint64) * np.uint64(2))
+    one, two = rng.integers(1, 3, len(keys)), np.full(len(keys), 7)
+    one[::50], two[3] = 300 + (1 << 40), 254
+    rows, large = op05_ngram_lm.write_grams(f"file://{tmp_path}", "t", keys, one, two)
+    known, (x, y) = op05_ngram_lm.read_grams(f"file://{tmp_path}", "t", rows, large, 2, keys[::-1])
+    assert known.all() and (x[::-1] == one).all() and (y[::-1] == two).all()
+    known, (x, y) = op05_ngram_lm.read_grams(f"file://{tmp_path}", "t", rows, large, 2, rng.integers(0, 1 << 63, 5000).astype(np.uint64))
+    assert not known.any() and not x.any() and not y.any()
 
 
 def test_language_model_without_training(spark):
@@ -153,6 +181,45 @@ def test_main_text(spark):
     assert op06_html_blocks.extract(pages.limit(0)).count() == 0
 
 
+def text_of(page):
+    return op06_html_blocks.main_text(page, op06_html_blocks.train())
+
+
+def test_main_text_by_words_and_links():
+    """Pages that say nothing by their elements, and articles with menus that only their links tell."""
+    menu = "".join(f"<li><a href=/{i}>Item {i}</a></li>" for i in range(5))
+    long = "This is a paragraph of some length that tells the reader, in plain words and without links, what the page is about."
+    assert text_of("<div><h1>Title</h1><p>Short one.</p><p>Another longer paragraph with a few more words in it.</p></div>") == "Title\nShort one.\nAnother longer paragraph with a few more words in it."
+    assert text_of(f"<div><ul>{menu}</ul></div><div><h1>Title here</h1><p>{long}</p><p>Short.</p><p>{long}</p></div><div><a href=x>About us</a> <a href=y>Contact</a></div>") == f"Title here\n{long}\nShort.\n{long}"
+    assert text_of(f"<article><h1>Title here</h1><p>{long}</p><p>{long}</p><ul>{menu}</ul></article>") == f"Title here\n{long}\n{long}"
+    assert text_of(f"<article><p>{long}</p><p><a href=x>See this</a></p><p>{long} <a href=y>there</a></p></article>") == f"{long}\nSee this\n{long} there"
+    assert text_of(f"<div>{long}</div><article><p>Mine.</p></article><div>{long}</div>") == "Mine."
+
+
+def test_no_markup_in_text():
+    for page, want in [
+        ('<article><p title="abc>Hello there my friend</p><p>next</p></article>', "Hello there my friend\nnext"),
+        ("<article><p data=it's>kept <b class=\"x\"id='y'>bold</b></p></article>", "kept bold"),
+        ('<article><p title="a > b" hidden-not>x</p><p title="<b>bold</b>">y</p></article>', "x\ny"),
+        ('<article><a title="x>Hello <a href="u">v</a></article>', "Hello v"),
+        ("<article>a < b and 3 <4 d</article>", "a < b and 3 <4 d"),
+        ("<article><p>text</p><b never closed", "text"),
+        ("<article><!DOCTYPE x><?php y ?><![CDATA[z]]>w</article>", "w"),
+    ]:
+        assert text_of(page) == want, page
+
+
+def test_pages_take_linear_time():
+    """Malformed and deeply nested markup of megabytes, in the time that twice the half takes."""
+    for piece in ("<a ", '<a href="', "<div>", "</x>", "<p><x>", "<!--", "<a b='", '<p title="x>y', "<x><p>", "word <b>word</b> ", "<li><a href=x>y</a>", "&amp;"):
+        page = piece * (2_000_000 // len(piece))
+        began = time.process_time()
+        op06_html_blocks.blocks(page)
+        assert time.process_time() - began < 20, piece
+    long = "word " * 600_000
+    assert len(text_of(f"<article><p>{long}</p></article>")) == 5 * 600_000 - 1
+
+
 def vectors():
     rng = np.random.default_rng(4)
     x = rng.standard_normal((900, 16)) * rng.uniform(0.5, 2, (900, 1))
