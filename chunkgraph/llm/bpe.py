@@ -404,10 +404,24 @@ def library_encoder(text: str):
     tokenizer = Tokenizer.from_str(text)
     tokenizer.no_truncation()
     tokenizer.no_padding()
+    # a token shows each of its bytes as one character; added tokens are shown as they are
+    vocabulary = tokenizer.get_vocab(with_added_tokens=False)
+    added = {i: t.content for i, t in tokenizer.get_added_tokens_decoder().items()}
+    size = np.zeros(1 + max([0, *vocabulary.values(), *added]), np.int64)
+    for shown, i in vocabulary.items():
+        size[i] = len(shown)
+    for i, content in added.items():
+        size[i] = len(content.encode())
 
     def encode(data, starts, ends):
         raw = data.tobytes()
         some = [raw[a:b].decode() for a, b in zip(starts.tolist(), ends.tolist())]
+        ids = np.array(tokenizer.encode_batch_fast([some], is_pretokenized=True, add_special_tokens=False)[0].ids, np.uint32)
+        # the pieces' ends by bytes, as their tokens hold the same bytes
+        at, want = np.cumsum(size[ids]), np.cumsum(ends - starts)
+        last = np.searchsorted(at, want)
+        if len(ids) and at[-1] == want[-1] and (at[last] == want).all():
+            return ids, np.diff(last, prepend=-1)
         found = [e.ids for e in tokenizer.encode_batch_fast(some, add_special_tokens=False)]
         count = np.fromiter(map(len, found), np.int64, len(found))
         return np.fromiter((i for x in found for i in x), np.uint32, int(count.sum())), count
