@@ -8,10 +8,12 @@ Pairs of a shingle pass a length and a positional filter; distinct pairs pass a
 the overlap from 16 counts for each set; what is left is verified on the sets, once.
 
 Large groups of near copies don't give all their pairs: a shingle with more than ``ALL_PAIRS`` classes first gives
-neighbours by size and the pairs with its middle class. Only pairs that the links found so far don't connect
-follow, so components are those of all links. Equal sets are linked by class.
+the pairs with its few classes that have least of their own. Only pairs that the links found so far don't connect
+follow, each at the first of the shingles that both have (as far as the first ``NAMING`` of each tell), so components
+are those of all links. Equal sets are linked by class.
 
-Skew: tokens of a shingle are folded by class within a task and spread by hash; a hub's verification is salted.
+Skew: tokens of a shingle are folded by class within a task and spread by hash; the pairs of a shingle of very many
+classes are dealt to several tasks as blocks of rows and columns; a hub's verification is salted.
 
 Defined cases: a null or wordless text has an empty set, n_shingles 0, and is linked with nothing; fewer than five
 words are one shingle; rows that share a doc_id are one document; rows with a null doc_id are linked by nothing
@@ -28,14 +30,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import blobs
-from .graphs import by_id, components
+from .graphs import BROADCAST_IDS, by_id, components
 from .storage import Scratch, partitions
 from .textops import chunks, mix, ragged_take, shingles, word_hashes
 
 SHINGLE = 5
 SKETCH_BITS, SLICE_BITS = 22, 16
 ALL_PAIRS = 12  # classes of a shingle that give all their pairs at once
-HUBS, EARLY = 8, 32  # of a larger group: classes that the others are paired with, and for how many of their shared shingles
+HUBS, EARLY = 4, 8  # of a larger group: classes that the others are paired with, and for how many of their shared shingles
+NAMING = 16  # shingles of a class by which a pair of the second step is known to be named before
+TESTS = 1 << 18  # pairs of rows of a shingle that a task looks at together
 SALT = 64  # pairs of a hub that are verified together
 HISTOGRAM = 16
 _U = np.uint64
@@ -246,33 +250,67 @@ def _candidates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.nulls(k, pa.int64()), pa.nulls(k, pa.int64()), pa.array(token[z].view(np.int64)), pa.array(cls[z]), *(pa.array(c[z].astype(np.int32)) for c in (n, pos, before))], names=[x.split()[0] for x in CANDIDATES.split(", ")])
 
 
+ACROSS = "token long, cls long, n int, pos int, before int, component long, main long, block int, side int, early array<long>"
+
+
+def _named(x: list[np.ndarray], y: list[np.ndarray]) -> np.ndarray:
+    """Whether rows x and y of a shingle have one of the first shingles before it in common."""
+    sizes = np.fromiter(map(len, y), np.int64, len(y))
+    flat, row = np.concatenate(y), np.repeat(np.arange(len(y)), sizes)
+    by = np.argsort(flat, kind="stable")
+    flat, row = flat[by], row[by]
+    out = np.zeros((len(x), len(y)), bool)
+    for i, own in enumerate(x):
+        low, high = np.searchsorted(flat, own, "left"), np.searchsorted(flat, own, "right")
+        for p, q in zip(low.tolist(), high.tolist()):
+            out[i, row[p:q]] = True
+    return out
+
+
 def _across(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Pairs of different components from rows (token, cls, n, pos, before, component) that come together by token."""
-    held: list[np.ndarray] = []
-
-    def pairs(rows: np.ndarray) -> Iterator[pa.RecordBatch]:
-        rows = rows[np.lexsort((rows[:, 1], rows[:, 2]))]
-        _, cls, n, pos, before, component = rows.T
-        name, count = np.unique(component, return_counts=True)
-        rest = np.flatnonzero(component != name[count.argmax()])
-        for a in range(0, len(rest), 64):
-            x = np.repeat(rest[a : a + 64], len(rows))
-            y = np.tile(np.arange(len(rows)), len(x) // len(rows))
-            good = component[x] != component[y]
-            x, y = x[good], y[good]
-            good = _possible([n[x], pos[x], before[x]], [n[y], pos[y], before[y]])
+    """Pairs of different components from rows as ``ACROSS``, which come together by token and block.
+
+    Side 0 has rows outside the token's largest component, side 1 rows of all; each row of side 0 takes those of the
+    largest component, and those of others whose class is greater."""
+    held: list[list[np.ndarray]] = []
+
+    def pairs(rows: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
+        left, right = ([c[np.flatnonzero(rows[8] == side)] for c in rows] for side in (0, 1))
+        _, cls, n, pos, before, component, main, _, _, early = right
+        if not len(cls):
+            return
+        largest = component == main
+        for a in range(0, len(left[0]), 64):
+            _, own_cls, own_n, own_pos, own_before, own_component, _, _, _, own_early = (c[a : a + 64, None] for c in left)
+            good = (own_component != component) & (largest | (cls > own_cls))
+            good &= _possible([own_n, own_pos, own_before], [n, pos, before])
             if good.any():
-                yield _pair_batch(cls[x[good]], cls[y[good]]).select(["a", "b"])
+                good &= ~_named(own_early[:, 0].tolist(), early.tolist())
+            x, y = np.nonzero(good)
+            if len(x):
+                yield _pair_batch(own_cls[x, 0], cls[y]).select(["a", "b"])
+
+    def columns(batch: pa.RecordBatch) -> list[np.ndarray]:
+        lists = batch.column(9)
+        flat, at = np.asarray(lists.values, np.int64), np.asarray(lists.offsets)
+        token = np.asarray(batch.column(0), np.int64)
+        early = np.empty(len(batch), object)
+        for i, (a, b) in enumerate(zip(at.tolist(), at[1:].tolist())):
+            first = flat[a:b]  # those that stand before this one, which the classes' common order tells
+            here = np.flatnonzero(first == token[i])
+            early[i] = first[: here[0]] if len(here) else first
+        return [*(np.asarray(c, np.int64) for c in batch.columns[:9]), early]
 
     for batch in batches:
-        held.append(np.stack([np.asarray(c, np.int64) for c in batch.columns], 1))
-        whole = np.concatenate(held)
-        head, _ = _groups(whole[:, 0])
+        held.append(columns(batch))
+        whole = [np.concatenate(c) for c in zip(*held)]
+        change = (whole[0][1:] != whole[0][:-1]) | (whole[7][1:] != whole[7][:-1])
+        head = np.flatnonzero(np.concatenate([[True], change])) if len(whole[0]) else np.zeros(0, np.int64)
         for x, y in zip(head[:-1].tolist(), head[1:].tolist()):
-            yield from pairs(whole[x:y])
-        held = [whole[head[-1] :]] if len(head) else []
-    if held and len(held[0]):
-        yield from pairs(np.concatenate(held))
+            yield from pairs([c[x:y] for c in whole])
+        held = [[c[head[-1] :] for c in whole]] if len(head) else []
+    if held and len(held[0][0]):
+        yield from pairs([np.concatenate(c) for c in zip(*held)])
 
 
 def _packed(s: np.ndarray) -> bytes:
@@ -291,10 +329,11 @@ def _needed_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Links (u, v) from rows (hub, other, u, v, packed set); a hub's own set comes first, without another."""
     hub, hub_set = None, None
     for batch in batches:
-        a, b = [], []
-        for key, other, packed in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).to_pylist()):
+        links = []
+        for key, other, u, v, packed in zip(*(c.to_pylist() for c in batch.columns)):
             own = np.cumsum(blobs.unpack(packed)[0])
             if other is None:
                 hub, hub_set = key, own
@@ -305,9 +344,8 @@ def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             i[i == len(hub_set)] = 0
             common = int((hub_set[i] == own).sum())
             if 100 * common >= 75 * (len(own) + len(hub_set) - common):
-                a.append(key)
-                b.append(other)
-        yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
+                links.append((u, v))
+        yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in (zip(*links) if links else ([], []))], names=["u", "v"])
 
 
 class Join:
@@ -335,61 +373,67 @@ class Join:
         pairs = found.filter("a is not null").select("a", "b").distinct()
         return pairs, found.filter("token is not null").select("token", "cls", "n", "pos", "before")
 
-    def suffix_filter(self, pairs: DataFrame) -> DataFrame:
-        info = self.classes.select("cls", "n", "histogram")
-        x = info.select(F.col("cls").alias("a"), F.col("n").alias("na"), F.col("histogram").alias("ha"))
-        y = info.select(F.col("cls").alias("b"), F.col("n").alias("nb"), F.col("histogram").alias("hb"))
-        apart = F.aggregate(F.zip_with("ha", "hb", lambda p, q: F.abs(p - q).cast("long")), F.lit(0).cast("long"), lambda s, v: s + v)
-        return pairs.join(x, "a").join(y, "b").filter(F.col("na") + F.col("nb") >= 7 * apart).select("a", "b")
-
     def verify(self, pairs: DataFrame, label: str) -> DataFrame:
-        """The pairs whose sets have at least 75 % in common. The class with more pairs is the hub of a pair."""
+        """Links (u, v) between the first documents of classes whose sets have at least 75 % in common.
+
+        Sixteen counts of each set bound what a pair can have in common. The class with more pairs is its hub."""
         pairs = self.scratch.write(pairs, f"{label}-pairs")
         degree = pairs.select(F.explode(F.array("a", "b")).alias("cls")).groupBy("cls").agg(F.count("*").alias("degree"))
-        degree = self.scratch.write(degree, f"{label}-degree")
-        reps = degree.join(self.classes, "cls").select(F.col("rep").alias("doc_id"))
-        sets = by_id(self.docs, reps, "left_semi").select("text").mapInArrow(_needed_sets, "cls long, packed binary")
+        info = self.scratch.write(degree.join(self.classes, "cls").select("cls", "rep", "n", "histogram", "degree"), f"{label}-classes")
+        sets = by_id(self.docs, info.select(F.col("rep").alias("doc_id")), "left_semi").select("text").mapInArrow(_needed_sets, "cls long, packed binary")
         sets = self.scratch.write(sets, f"{label}-sets")
-        da = degree.select(F.col("cls").alias("a"), F.col("degree").alias("da"))
-        db = degree.select(F.col("cls").alias("b"), F.col("degree").alias("db"))
+        both = pairs.join(info.toDF("a", "ra", "na", "ha", "da"), "a").join(info.toDF("b", "rb", "nb", "hb", "db"), "b")
+        apart = F.aggregate(F.zip_with("ha", "hb", lambda p, q: F.abs(p - q).cast("long")), F.lit(0).cast("long"), lambda s, v: s + v)
+        both = both.filter(F.col("na") + F.col("nb") >= 7 * apart)
         first = F.col("da") >= F.col("db")
-        hubs = pairs.join(da, "a").join(db, "b").select(F.when(first, F.col("a")).otherwise(F.col("b")).alias("hub"), F.when(first, F.col("b")).otherwise(F.col("a")).alias("other"), F.greatest("da", "db").alias("degree"))
-        hubs = hubs.select("hub", "other", F.pmod(F.xxhash64("other"), F.ceil(F.col("degree") / SALT)).cast("int").alias("salt"))
-        right = hubs.join(sets.withColumnRenamed("cls", "other"), "other").select("hub", "other", "packed", "salt")
-        left = hubs.select("hub", "salt").distinct().join(sets.withColumnRenamed("cls", "hub"), "hub").select("hub", F.lit(None).cast("long").alias("other"), "packed", "salt")
-        both = left.unionByName(right).repartition(self.n, "hub", "salt").sortWithinPartitions("hub", "salt", F.col("other").asc_nulls_first())
-        links = both.select("hub", "other", "packed").mapInArrow(_verify, "a long, b long")
-        links = links.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-        links = self.scratch.write(links, f"{label}-links")
-        self.scratch.drop(f"{label}-sets", f"{label}-degree")
+        hubs = both.select(F.when(first, F.col("a")).otherwise(F.col("b")).alias("hub"), F.when(first, F.col("b")).otherwise(F.col("a")).alias("other"), F.col("ra").alias("u"), F.col("rb").alias("v"), F.greatest("da", "db").alias("degree"))
+        hubs = self.scratch.write(hubs.withColumn("salt", F.pmod(F.xxhash64("other"), F.ceil(F.col("degree") / SALT)).cast("int")).drop("degree"), f"{label}-hubs")
+        right = hubs.join(sets.withColumnRenamed("cls", "other"), "other").select("hub", "other", "u", "v", "packed", "salt")
+        none = F.lit(None).cast("long")
+        left = hubs.select("hub", "salt").distinct().join(sets.withColumnRenamed("cls", "hub"), "hub").select("hub", none.alias("other"), none.alias("u"), none.alias("v"), "packed", "salt")
+        together = left.unionByName(right).repartition(self.n, "hub", "salt").sortWithinPartitions("hub", "salt", F.col("other").asc_nulls_first())
+        links = self.scratch.write(together.select("hub", "other", "u", "v", "packed").mapInArrow(_verify, "u long, v long"), f"{label}-links")
+        self.scratch.drop(f"{label}-sets", f"{label}-classes", f"{label}-hubs")
         return links
 
     def labels(self, links: DataFrame, name: str) -> DataFrame:
         """(cls, component): the least doc_id that links reach from a class."""
         rep = self.classes.select("cls", "rep")
-        edges = links.join(rep.toDF("a", "u"), "a").join(rep.toDF("b", "v"), "b").select("u", "v")
         if name == "all":  # rows that share a doc_id tie their classes together
             tied = self.members.filter("doc_id is not null and n > 0").select("doc_id", "cls").distinct()
             tied = tied.join(tied.groupBy("doc_id").agg(F.count("*").alias("k")).filter("k > 1"), "doc_id").join(rep, "cls")
-            edges = edges.union(tied.select("doc_id", "rep"))
-        found = components(edges, self.scratch, f"components-{name}")
+            links = links.union(tied.select("doc_id", "rep"))
+        found = components(links, self.scratch, f"components-{name}")
         return rep.join(found.withColumnRenamed("u", "rep"), "rep", "left").select("cls", F.coalesce("component", "rep").alias("component"))
 
     def links(self) -> DataFrame:
-        """Links between classes that have the components of all links."""
+        """Links between classes, by their first documents, that have the components of all links."""
         pairs, big = self.candidates()
-        done = self.suffix_filter(pairs)
-        links = self.verify(done, "first")
+        links = self.verify(pairs, "first")
         if big.isEmpty():
             return links
-        tested = self.spark.read.schema("a long, b long").parquet(f"{self.scratch.path}/first-pairs")
+        tested = self.scratch.read("first-pairs", pairs.schema)
         label = self.labels(links, "first")
-        big = big.join(label, "cls")
-        torn = big.groupBy("token").agg(F.min("component").alias("x"), F.max("component").alias("y")).filter("x <> y").select("token")
-        big = big.join(torn, "token", "left_semi").select("token", "cls", "n", "pos", "before", "component")
-        more = big.repartition(self.n, "token").sortWithinPartitions("token").mapInArrow(_across, "a long, b long")
-        more = more.distinct().join(tested, ["a", "b"], "left_anti")
-        return links.union(self.verify(self.suffix_filter(more), "second"))
+        big = self.scratch.write(big.join(label, "cls"), "big")
+        # shingles whose classes are not all connected, and into how many rows and columns of blocks their pairs are cut
+        held = big.groupBy("token", "component").agg(F.count("*").alias("k")).groupBy("token").agg(F.sum("k").alias("rows"), F.max(F.struct("k", "component")).alias("m"))
+        rest = F.col("rows") - F.col("m.k")
+        torn = held.filter(rest > 0).select("token", F.col("m.component").alias("main"), F.ceil(F.sqrt(F.col("rows") * rest / TESTS)).cast("int").alias("cuts"))
+        torn = self.scratch.write(torn, "torn")
+        few = torn.limit(BROADCAST_IDS // 2 + 1).count() <= BROADCAST_IDS // 2
+        big = self.scratch.write(big.join(F.broadcast(torn) if few else torn.hint("shuffle_merge"), "token"), "torn-rows")
+        self.scratch.drop("big", "candidates")
+        first = F.transform(F.slice(F.array_sort(F.collect_list(F.struct("pos", "token"))), 1, NAMING), lambda x: x["token"])
+        big = big.join(big.groupBy("cls").agg(first.alias("early")), "cls")
+        own, cuts = F.pmod(F.xxhash64("cls"), F.col("cuts")), F.sequence(F.lit(0), F.col("cuts") - 1)
+        left = big.filter("component <> main").withColumn("side", F.lit(0)).withColumn("block", F.explode(F.transform(cuts, lambda j: own * F.col("cuts") + j)))
+        right = big.withColumn("side", F.lit(1)).withColumn("block", F.explode(F.transform(cuts, lambda i: i * F.col("cuts") + own)))
+        names = [x.split()[0] for x in ACROSS.split(", ")]
+        blocks = left.select(names).union(right.select(names)).withColumn("block", F.col("block").cast("int"))
+        more = blocks.repartition(self.n, "token", "block").sortWithinPartitions("token", "block").mapInArrow(_across, "a long, b long")
+        more = self.verify(more.distinct().join(tested, ["a", "b"], "left_anti"), "second")
+        self.scratch.drop("torn", "torn-rows", "first-pairs", "second-pairs")
+        return links.union(more)
 
     def documents(self) -> DataFrame:
         label = self.scratch.write(self.labels(self.links(), "all"), "labels")
