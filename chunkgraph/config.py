@@ -25,8 +25,6 @@ class EngineConfig:
     inter_members: int = 3
     sample_ratio: float = 0.1
     lsh_planes: int = 128
-    lsh_bits: int = 64
-    lsh_band: int = 8
     seed: int = 42
     max_candidates: int = 100
     max_paths_per_pair: int | None = 10
@@ -63,9 +61,15 @@ def profile(name: str, **changes) -> EngineConfig:
     return replace(PROFILES[name], **changes)
 
 
+#: The words of consent and of refusal.
+TRUE_WORDS = ("1", "true", "yes", "on", "y", "t")
+FALSE_WORDS = ("0", "false", "no", "off", "n", "f")
+
+
 def parse_bool(value: Column) -> Column:
-    """True for the usual words of consent; null stays null."""
-    return F.lower(F.trim(value)).isin("true", "1", "yes", "y", "on")
+    """True for the words of consent, false for those of refusal, whatever their case; null for any other text."""
+    word = F.lower(F.regexp_replace(value, r"(?U)\A\s+|\s+\z", ""))
+    return F.when(word.isin(*TRUE_WORDS), True).when(word.isin(*FALSE_WORDS), False)
 
 
 def parse_list(value: Column) -> Column:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import unicodedata
+from collections.abc import Mapping
 from html.parser import HTMLParser
 
 import pandas as pd
@@ -74,29 +75,29 @@ def clean_text(text: Column, lowercase: bool = False, remove_html: bool = True,
     return F.trim(F.regexp_replace(t, SPACES, " "))
 
 
-#: What markdown marks are replaced with, in order.
+#: What markdown marks are replaced with, in order. d: only \\n ends a line; U: white space and digits of
+#: all scripts.
 MARKDOWN = [
     (r"(?s)```.*?```", ""),
-    (r"`([^`]+)`", "$1"),
-    (r"!\[[^\]]*\]\([^)]*\)", ""),
-    (r"\[([^\]]+)\]\([^)]+\)", "$1"),
-    (r"(?m)^#{1,6}[ \t]*", ""),
-    (r"\*\*([^*]+)\*\*", "$1"),
-    (r"__([^_]+)__", "$1"),
-    (r"\*([^*]+)\*", "$1"),
-    (r"_([^_]+)_", "$1"),
-    (r"(?m)^[ \t]*>[ \t]?", ""),
-    (r"(?m)^[ \t]*[-*+][ \t]+", ""),
-    (r"(?m)^[ \t]*[0-9]+\.[ \t]+", ""),
-    (r"(?m)^[ \t]*-{3,}[ \t]*$", ""),
+    (r"`([^`]*)`", "$1"),
+    (r"(?d)!\[.*?\]\(.*?\)", ""),
+    (r"(?d)\[(.*?)\]\(.*?\)", "$1"),
+    (r"(?mdU)^#{1,6}\s*", ""),
+    (r"(?d)(\*\*|__)(.*?)\1", "$2"),
+    (r"(?d)(\*|_)(.*?)\1", "$2"),
+    (r"(?mdU)^>\s?", ""),
+    (r"(?mdU)^\s*[-*+]\s+", ""),
+    (r"(?mdU)^\s*\d+\.\s+", ""),
+    (r"(?md)^---+$", ""),
     (r"\n{2,}", "\n"),
 ]
 
 
 def strip_markdown(text: Column) -> Column:
+    """Text without markdown marks; null stays null."""
     for pattern, by in MARKDOWN:
         text = F.regexp_replace(text, pattern, by)
-    return F.regexp_replace(text, r"\A[\s]+|[\s]+\z", "")
+    return F.regexp_replace(text, r"(?U)\A\s+|\s+\z", "")
 
 
 def unique_filename(name: Column, at: Column, salt: Column, types: tuple[str, ...] = (".txt", ".pdf", ".md")) -> Column:
@@ -126,10 +127,31 @@ def bilingual_prompt(question: Column, arabic: str, english: str) -> Column:
     return F.concat(F.when(has_arabic(question), arabic).otherwise(english), question)
 
 
+def size_gb(length: Column) -> Column:
+    """A size in bytes as gigabytes."""
+    return length.cast("double") / 1024**3
+
+
 def size_text(length: Column) -> Column:
-    """A size in bytes for people."""
-    n = length.cast("double")
-    out = F.format_string("%.2f GB", n / 1024**3)
-    for unit, step in (("MB", 1024**2), ("KB", 1024)):
-        out = F.when(n < step * 1024, F.format_string(f"%.2f {unit}", n / step)).otherwise(out)
-    return out
+    """A size in bytes for people, as ``File size: 0.01 GB``."""
+    return F.concat(F.lit("File size: "), F.format_string("%.2f", size_gb(length)), F.lit(" GB"))
+
+
+def json_ready(value):
+    """Any object as what JSON can hold: mappings with text keys, sequences and sets as lists, numpy values as plain
+    ones, bytes as text with what is no UTF-8 replaced, other objects by their attributes."""
+    import numpy as np
+
+    if isinstance(value, np.ndarray):
+        return json_ready(value.tolist())
+    if isinstance(value, np.generic):
+        return json_ready(value.item())
+    if isinstance(value, (bytes, bytearray)):
+        return bytes(value).decode("utf-8", errors="replace")
+    if isinstance(value, Mapping):
+        return {str(k): json_ready(v) for k, v in value.items()}
+    if isinstance(value, (list, tuple, set, frozenset)):
+        return [json_ready(v) for v in value]
+    if hasattr(value, "__dict__") and not isinstance(value, type):
+        return json_ready(vars(value))
+    return value

@@ -7,10 +7,10 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Rows of the right side that are sent to the tasks at a time.
+#: Rows of the left side that a task holds.
 BLOCK = 8192
 
 
@@ -46,52 +46,98 @@ def matrix(column: pa.Array) -> np.ndarray:
     return flat.reshape(len(column), -1) if len(column) else np.zeros((0, 0))
 
 
-def similarity_join(left: DataFrame, right: DataFrame, threshold: float, inclusive: bool, k: int | None = None) -> DataFrame:
-    """(src, dst, weight) of pairs of distinct ids whose inner product reaches the threshold; per src the k best.
-
-    left, right: (node_id, emb). The right side passes in blocks of ``BLOCK`` rows, each one matrix product a batch
-    of the left side; threshold and k apply inside, so the square of pairs is never a table. The k best of the
-    blocks are merged by a window over src.
+def _best(row: np.ndarray, dst: np.ndarray, weight: np.ndarray, k: int) -> tuple[np.ndarray, ...]:
+    """Of (row, dst, weight) the k best of each row, ties to the lesser dst, with their ranks from 1."""
+    by = np.lexsort((dst, -weight, row))
+    row, dst, weight = row[by], dst[by], weight[by]
+    head = np.flatnonzero(np.concatenate([[True], row[1:] != row[:-1]])) if len(row) else np.zeros(0, np.int64)
+    rank = np.arange(len(row)) - np.repeat(head, np.diff(np.append(head, len(row)))) + 1
+    keep = rank <= k
+    return row[keep], dst[keep], weight[keep], rank[keep]
+
+
+def _kernel(threshold: float, inclusive: bool, k: int | None, distinct: bool):
+    """Pairs from rows (group, block, side, node_id, emb): side 0 of a group and block comes before side 1."""
+
+    def pairs(own: np.ndarray, x: np.ndarray, other: np.ndarray, m: np.ndarray) -> Iterator[tuple[np.ndarray, ...]]:
+        step = max(1, (1 << 22) // max(1, len(other)))
+        for a in range(0, len(own), step):
+            s = x[a : a + step] @ m.T
+            good = s >= threshold if inclusive else s > threshold
+            if distinct:
+                good &= own[a : a + step, None] != other[None, :]
+            if k is not None and s.shape[1] > k:
+                kth = np.partition(np.where(good, s, -np.inf), s.shape[1] - k, axis=1)[:, s.shape[1] - k]
+                good &= s >= kth[:, None]
+            i, j = np.nonzero(good)
+            yield i + a, other[j], s[i, j]
+
+    def batch_of(src, dst, weight, rank) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(src), pa.array(dst), pa.array(weight), pa.array(rank.astype(np.int32))], names=["src", "dst", "weight", "nbr_rank"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, ids, vectors, held = None, [], [], []
+
+        def done() -> Iterator[pa.RecordBatch]:
+            if held:
+                row, dst, weight, rank = _best(*(np.concatenate(c) for c in zip(*held)), k)
+                yield batch_of(ids[0][row], dst, weight, rank)
+
+        for batch in batches:
+            group, block, side, node = (np.asarray(batch.column(i)) for i in range(4))
+            cut = np.flatnonzero(np.concatenate([[True], (group[1:] != group[:-1]) | (block[1:] != block[:-1]) | (side[1:] != side[:-1]), [True]])) if len(batch) else []
+            for a, b in zip(cut[:-1], cut[1:]):
+                if (here := (int(group[a]), int(block[a]))) != key:
+                    yield from done()
+                    key, ids, vectors, held = here, [], [], []
+                m = matrix(batch.column(4).slice(a, b - a))
+                if side[a] == 0:
+                    ids.append(node[a:b])
+                    vectors.append(m)
+                    continue
+                if not ids:
+                    continue
+                if len(ids) > 1:
+                    ids, vectors = [np.concatenate(ids)], [np.concatenate(vectors)]
+                for row, dst, weight in pairs(ids[0], vectors[0], node[a:b], m):
+                    if k is None:
+                        yield batch_of(ids[0][row], dst, weight, np.zeros(len(row), np.int32))
+                    else:
+                        held.append((row, dst, weight))
+                        if sum(len(h[0]) for h in held) > 4 * k * len(ids[0]) + (1 << 16):
+                            held = [_best(*(np.concatenate(c) for c in zip(*held)), k)[:3]]
+        yield from done()
+
+    return run
+
+
+def similarity_join(left: DataFrame, right: DataFrame, threshold: float, inclusive: bool, k: int | None = None, distinct: bool = True, group: str | None = None) -> DataFrame:
+    """(src, dst, weight) of pairs of ids whose inner product reaches the threshold; per src the k best, with nbr_rank.
+
+    left, right: (node_id, emb), and a column to join on if ``group`` names one. The left side is cut into blocks of
+    about ``BLOCK`` rows; a task holds one block and takes the rows of the right side (of its group) in batches, each
+    one matrix product, so that neither side is ever in one place and the square of pairs is never a table. The right
+    side is sent once for each block. ``distinct`` leaves out pairs of equal ids.
     """
     spark = left.sparkSession
-    n = spark.sparkContext.defaultParallelism
-    rows = left.select("node_id", "emb").repartition(n, "node_id")
-    out, block = None, []
-
-    def probe(ids: list[int], vectors: np.ndarray) -> DataFrame:
-        sent = spark.sparkContext.broadcast((np.array(ids, np.int64), vectors))
-
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            other, m = sent.value
-            for batch in batches:
-                for a in range(0, len(batch), 512):
-                    part = batch.slice(a, 512)
-                    own, x = part.column(0).to_numpy(), matrix(part.column(1))
-                    s = x @ m.T
-                    good = (s >= threshold if inclusive else s > threshold) & (own[:, None] != other[None, :])
-                    if k is not None and s.shape[1] > k:
-                        kth = np.partition(np.where(good, s, -np.inf), s.shape[1] - k, axis=1)[:, s.shape[1] - k]
-                        good &= s >= kth[:, None]
-                    i, j = np.nonzero(good)
-                    yield pa.RecordBatch.from_arrays([pa.array(own[i]), pa.array(other[j]), pa.array(s[i, j])], names=["src", "dst", "weight"])
-
-        return rows.mapInArrow(run, "src long, dst long, weight double")
-
-    for r in right.select("node_id", "emb").toLocalIterator():
-        block.append((r.node_id, r.emb))
-        if len(block) == BLOCK:
-            found = probe([i for i, _ in block], np.array([v for _, v in block], np.float64))
-            out, block = found if out is None else out.union(found), []
-    if block or out is None:
-        vectors = np.array([v for _, v in block], np.float64) if block else np.zeros((0, 0))
-        if not block:
-            return spark.createDataFrame([], "src long, dst long, weight double")
-        found = probe([i for i, _ in block], vectors)
-        out = found if out is None else out.union(found)
-    if k is None:
-        return out
-    best = Window.partitionBy("src").orderBy(F.col("weight").desc(), "dst")
-    return out.withColumn("nbr_rank", F.row_number().over(best)).filter(F.col("nbr_rank") <= k)
+    tasks = max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    key = F.lit(0).cast("long") if group is None else F.col(group).cast("long")
+    own, others = (df.select(key.alias("group"), F.col("node_id").cast("long").alias("node_id"), "emb") for df in (left, right))
+    if group is None:
+        # as many blocks as there are tasks for a small left side
+        blocks = max(tasks, -(-left.count() // BLOCK))
+        own = own.withColumn("blocks", F.lit(blocks))
+        others = others.withColumn("blocks", F.lit(blocks))
+    else:
+        sizes = own.groupBy("group").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
+        tasks = max(tasks, -(-left.count() // BLOCK))
+        own, others = own.join(sizes, "group"), others.join(sizes, "group")
+    own = own.select("group", F.pmod(F.xxhash64("node_id"), F.col("blocks")).cast("int").alias("block"), F.lit(0).alias("side"), "node_id", "emb")
+    others = others.select("group", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), F.lit(1).alias("side"), "node_id", "emb")
+    both = own.union(others).withColumn("part", F.pmod(F.col("block") + F.when(F.col("group") == 0, 0).otherwise(F.xxhash64("group")), tasks).cast("int"))
+    placed = both.repartitionById(tasks, F.col("part")).drop("part").sortWithinPartitions("group", "block", "side")
+    found = placed.mapInArrow(_kernel(threshold, inclusive, k, distinct), "src long, dst long, weight double, nbr_rank int")
+    return found if k is not None else found.drop("nbr_rank")
 
 
 def hashing_embedder(size: int = 384):

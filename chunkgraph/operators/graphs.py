@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from ..config import EngineConfig
 from ..functions.vectors import dot, matrix, normalise, similarity_join
+from ..scratch import Scratch
 
 
 def ranked(edges: DataFrame, method: str, by_weight: bool = True) -> DataFrame:
@@ -37,18 +38,15 @@ def intra_cluster(clustered: DataFrame, c: EngineConfig, small: int | None = Non
     """Edges within clusters of (node_id, emb, cluster).
 
     A cluster of at most ``small`` members links every pair above the threshold from the lower id; a larger one links
-    each member to its k nearest above it. An equi-join on the cluster; AQE splits a cluster that is too large."""
+    each member to its k nearest above it. Large clusters go in blocks, so no task compares a whole one with itself."""
     small = max(c.k, 20) if small is None else small
     k = c.intra_k if k is None else k
     sizes = clustered.groupBy("cluster").agg(F.count("*").alias("members"))
-    rows = clustered.join(sizes, "cluster")
-    a = rows.select("cluster", "members", F.col("node_id").alias("src"), F.col("emb").alias("x"))
-    b = rows.select("cluster", F.col("node_id").alias("dst"), F.col("emb").alias("y"))
-    pairs = a.join(b, "cluster").filter((F.col("src") != F.col("dst")) & ((F.col("members") > small) | (F.col("src") < F.col("dst"))))
-    scored = pairs.select("src", "dst", "members", dot(F.col("x"), F.col("y")).alias("weight")).filter(F.col("weight") > c.sim_threshold)
-    order = Window.partitionBy("src").orderBy(F.col("weight").desc(), "dst")
-    kept = scored.withColumn("r", F.row_number().over(order)).filter((F.col("members") <= small) | (F.col("r") <= k))
-    return ranked(kept.select("src", "dst", "weight"), method)
+    rows = clustered.join(sizes, "cluster").select("cluster", "members", "node_id", "emb")
+    few, many = rows.filter(F.col("members") <= small), rows.filter(F.col("members") > small)
+    pairs = similarity_join(few, few, c.sim_threshold, inclusive=False, group="cluster").filter("src < dst")
+    near = similarity_join(many, many, c.sim_threshold, inclusive=False, k=k, group="cluster").select("src", "dst", "weight")
+    return ranked(pairs.unionByName(near), method)
 
 
 def inter_cluster(clustered: DataFrame, c: EngineConfig) -> DataFrame:
@@ -105,7 +103,7 @@ def approximate(nodes: DataFrame, c: EngineConfig) -> DataFrame:
     n = nodes.count()
     m = min(int(n * c.sample_ratio), 3 * c.k, n - 1)
     if m < 1:
-        return ranked(nodes.sparkSession.createDataFrame([], "src long, dst long, weight double"), "approximate")
+        return ranked(nodes.select(F.col("node_id").alias("src"), F.col("node_id").alias("dst"), F.lit(0.0).alias("weight")).filter("false"), "approximate")
     numbered = numbers(nodes)
     offset = (F.col("i") * 7919 + F.col("j")) % (n - 1) + 1
     asked = numbered.select(F.col("node_id").alias("src"), F.col("emb").alias("x"), "i", F.explode(F.sequence(F.lit(0), F.lit(m - 1))).alias("j"))
@@ -120,27 +118,37 @@ def approximate(nodes: DataFrame, c: EngineConfig) -> DataFrame:
 def numbers(nodes: DataFrame) -> DataFrame:
     """Adds i, the rank of node_id from 0, without gathering the nodes in one partition.
 
-    Ranges of ids get the number of nodes before them from one count for each range."""
-    spread = nodes.repartitionByRange("node_id").sortWithinPartitions("node_id").withColumn("part_", F.spark_partition_id()).persist()
-    counts = sorted((r.part_, r["count"]) for r in spread.groupBy("part_").count().collect())
-    base, before = 0, []
-    for part, k in counts:
-        before.append((part, base))
-        base += k
-    bases = nodes.sparkSession.createDataFrame(before or [(0, 0)], "part_ int, base_ long")
+    Ranges of ids are written to the shared folder, and get the number of nodes before them from one count each."""
+    scratch = Scratch(nodes.sparkSession, "numbers")
+    spread = scratch.write(nodes.repartitionByRange("node_id").sortWithinPartitions("node_id").withColumn("part_", F.spark_partition_id()), "ranges")
+    counts = sorted((r.part_, r["count"]) for r in spread.groupBy("part_").count().collect())  # one row for each partition
+    bases = pa.table({"part_": pa.array([p for p, _ in counts], pa.int32()), "base_": pa.array(np.cumsum([0, *(k for _, k in counts)])[: len(counts)], pa.int64())})
     inside = F.row_number().over(Window.partitionBy("part_").orderBy("node_id")) - 1
-    return spread.withColumn("inside_", inside).join(F.broadcast(bases), "part_").withColumn("i", F.col("base_") + F.col("inside_")).drop("part_", "base_", "inside_")
+    numbered = spread.withColumn("inside_", inside).join(F.broadcast(nodes.sparkSession.createDataFrame(bases)), "part_")
+    return numbered.withColumn("i", F.col("base_") + F.col("inside_")).drop("part_", "base_", "inside_")
+
+
+#: The modulus and the steps by which plane signs are drawn; SQL can draw the same ones.
+PRIME, STEP_I, STEP_J, STEP_SEED = 2147483647, 7919, 104729, 15485863
+
+
+def plane_signs(size: int, planes: int, seed: int) -> np.ndarray:
+    """For each component and hyperplane 1 or -1, drawn by squaring twice modulo a prime; the same everywhere."""
+    x = ((np.arange(1, size + 1)[:, None] * STEP_I) + np.arange(1, planes + 1)[None, :] * STEP_J + seed * STEP_SEED) % PRIME
+    for _ in range(3):
+        x = (x * x + 12345) % PRIME
+    return np.where((x >> 16) % 2 == 1, 1.0, -1.0)
 
 
 def hyperplane_codes(nodes: DataFrame, planes: int, seed: int) -> DataFrame:
-    """(node_id, emb): for each of the seeded random hyperplanes 1 or -1, the side on which a vector lies."""
+    """(node_id, emb): for each of the seeded hyperplanes 1 or -1, the side on which a vector lies."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if not len(batch):
                 continue
             x = matrix(batch.column(1))
-            side = np.where(x @ np.random.default_rng(seed).standard_normal((x.shape[1], planes)) >= 0, 1.0, -1.0)
+            side = np.where(x @ plane_signs(x.shape[1], planes, seed) >= 0, 1.0, -1.0)
             codes = pa.ListArray.from_arrays(pa.array(np.arange(len(x) + 1, dtype=np.int32) * planes), pa.array(side.reshape(-1)))
             yield pa.RecordBatch.from_arrays([batch.column(0), codes], names=["node_id", "emb"])
 
@@ -157,25 +165,6 @@ def lsh(nodes: DataFrame, c: EngineConfig) -> DataFrame:
     return ranked(full.select("src", "dst", dot(F.col("x"), F.col("y")).alias("weight")).filter(F.col("weight") > c.sim_threshold), "lsh")
 
 
-def sign_bands(nodes: DataFrame, c: EngineConfig) -> DataFrame:
-    """Candidates that share a band of sign bits, the k nearest of them by Hamming distance, kept above the threshold.
-
-    Bits are signs of the first ``lsh_bits`` components; bands of ``lsh_band`` bits make the join an equi-join."""
-    bits = F.transform(F.slice("emb", 1, c.lsh_bits), lambda x: F.when(x >= 0, F.lit("1")).otherwise(F.lit("0")))
-    signed = nodes.select("node_id", "emb", F.array_join(bits, "").alias("bits"))
-    cut = F.expr(f"transform(sequence(0, cast((length(bits) - 1) div {c.lsh_band} as int)), b -> concat(b, ':', substring(bits, b * {c.lsh_band} + 1, {c.lsh_band})))")
-    banded = signed.withColumn("band", F.explode(cut))
-    x = banded.select("band", F.col("node_id").alias("src"))
-    y = banded.select("band", F.col("node_id").alias("dst"))
-    pairs = x.join(y, "band").filter("src <> dst").select("src", "dst").distinct()
-    full = pairs.join(signed.select(F.col("node_id").alias("src"), F.col("emb").alias("x"), F.col("bits").alias("p")), "src").join(signed.select(F.col("node_id").alias("dst"), F.col("emb").alias("y"), F.col("bits").alias("q")), "dst")
-    apart = F.aggregate(F.zip_with(F.split("p", ""), F.split("q", ""), lambda a, b: (a != b).cast("int")), F.lit(0), lambda s, v: s + v)
-    scored = full.select("src", "dst", apart.alias("apart"), dot(F.col("x"), F.col("y")).alias("weight"))
-    best = Window.partitionBy("src").orderBy("apart", "dst")
-    kept = scored.withColumn("r", F.row_number().over(best)).filter((F.col("r") <= c.k) & (F.col("weight") > c.sim_threshold))
-    return ranked(kept.select("src", "dst", "weight"), "lsh")
-
-
 def spectral(nodes: DataFrame, c: EngineConfig) -> DataFrame:
     """Power iteration clusters of the positive similarities, then edges within clusters.
 
@@ -207,9 +196,13 @@ def merge(*edges: DataFrame) -> DataFrame:
     return whole.withColumn("last_", F.row_number().over(last)).filter("last_ = 1").drop("last_")
 
 
+def hybrid_parts(nodes: DataFrame, c: EngineConfig, clustered: DataFrame | None = None) -> list[DataFrame]:
+    """The edges that the hybrid method adds, method by method."""
+    return [knn(nodes, c), hierarchical(nodes, c, clustered), approximate(nodes, c)]
+
+
 def hybrid(nodes: DataFrame, c: EngineConfig, clustered: DataFrame | None = None) -> DataFrame:
-    merged = merge(knn(nodes, c), hierarchical(nodes, c, clustered), approximate(nodes, c))
-    return ranked(merged.select("src", "dst", "weight"), "hybrid")
+    return ranked(merge(*hybrid_parts(nodes, c, clustered)).select("src", "dst", "weight"), "hybrid")
 
 
 METHODS: dict[str, Callable[..., DataFrame]] = {

@@ -6,11 +6,26 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 #: The texts that a prompt is made of.
-HEADER = "Query: {query}\n\nRelevant evidence paths:\n"
+HEADER = "QUERY: {query}\n\nRELATED EVIDENCE PATHS:"
 MORE = "... (%d more paths truncated)"
-USER_SECTION = "USER DOCUMENTS:\n"
-MAIN_SECTION = "KNOWLEDGE BASE:\n"
-NO_CONTEXT = "No relevant context was found."
+OPENING = 'You are a knowledgeable and professional AI assistant. A user has asked the following question:\n\nQuestion: "{query}"\n\n'
+BASED_ON = "Based on the following relevant information:\n\n"
+RULE = "\n\n" + "=" * 50
+USER_SECTION = "RELEVANT INFORMATION FROM USER DOCUMENTS:\n"
+MAIN_SECTION = "RELEVANT GENERAL KNOWLEDGE:\n"
+CLOSING = "\n\nPlease provide a comprehensive, accurate, and helpful response to the user's question."
+NO_CONTEXT = """No specific relevant information was found in the available knowledge base for this query.
+
+Please:
+1. Acknowledge that specific information is not available in the current knowledge base
+2. Provide any general guidance or suggestions that might be helpful
+3. Suggest how the user might rephrase their question or what additional context might help
+4. Maintain a supportive and professional tone"""
+SYSTEM = (
+    "You are a knowledgeable and helpful AI assistant. Use the provided context to help answer the user's question. "
+    "If the context is incomplete, make your best effort to provide a coherent and helpful response based on your general knowledge. "
+    "Never say 'I don't know'."
+)
 
 
 def path_line(rank: Column, score: Column, text: Column) -> Column:
@@ -18,14 +33,14 @@ def path_line(rank: Column, score: Column, text: Column) -> Column:
     return F.concat(rank.cast("string"), F.lit(". [Score: "), F.format_string("%.3f", F.round(score, 6)), F.lit("] "), text)
 
 
-def evidence_prompts(queries: DataFrame, paths: DataFrame, max_paths: int = 10, max_length: int = 4000) -> DataFrame:
-    """(query_id, query, n_paths, prompt) from paths with path_rank and path_text.
+def evidence_prompts(queries: DataFrame, paths: DataFrame, max_paths: int = 10, max_length: int = 4000, text: str = "full_text") -> DataFrame:
+    """(query_id, query, n_paths, prompt) from paths with path_rank, score and the whole texts of their nodes.
 
-    Lines are added while the header's and their lengths stay within ``max_length``, newlines not counted; the first
-    that doesn't fit ends the list, and a last line tells how many are left out."""
+    Lines are added while the header's and their lengths stay within ``max_length``, newlines between lines not
+    counted; the first that doesn't fit ends the list, and a last line tells how many are left out."""
     head = F.replace(F.lit(HEADER), F.lit("{query}"), F.col("query"))
     kept = paths.filter(F.col("path_rank") <= max_paths).join(queries.select("query_id", "query"), "query_id")
-    lines = kept.select("query_id", "path_rank", path_line(F.col("path_rank"), F.col("score"), F.col("path_text")).alias("line"), F.length(head).alias("head"))
+    lines = kept.select("query_id", "path_rank", path_line(F.col("path_rank"), F.col("score"), F.col(text)).alias("line"), F.length(head).alias("head"))
     order = Window.partitionBy("query_id").orderBy("path_rank")
     used = lines.withColumn("used", F.col("head") + F.sum(F.length("line")).over(order.rowsBetween(Window.unboundedPreceding, 0)))
     whole = Window.partitionBy("query_id")
@@ -35,17 +50,26 @@ def evidence_prompts(queries: DataFrame, paths: DataFrame, max_paths: int = 10,
     counts = cut.groupBy("query_id").agg(F.max("n").alias("n"), F.max("cut").alias("cut"))
     rows = queries.select("query_id", "query").join(counts, "query_id", "left").join(body, "query_id", "left")
     more = F.when(F.col("cut").isNotNull(), F.format_string(MORE, (F.col("n") - F.col("cut") + 1).cast("int")))
-    return rows.select("query_id", "query", F.coalesce("n", F.lit(0)).cast("int").alias("n_paths"), F.concat(head, F.concat_ws("\n", "body", more)).alias("prompt"))
+    return rows.select("query_id", "query", F.coalesce("n", F.lit(0)).cast("int").alias("n_paths"), F.concat_ws("\n", head, "body", more).alias("prompt"))
 
 
-def dual_context(user: Column, main: Column) -> Column:
-    """The user's context before the shared one; a rule stands right before the first section, blank lines between."""
-    sections = F.array_compact(F.array(F.when(F.length(F.trim(user)) > 0, F.concat(F.lit(USER_SECTION), user)), F.when(F.length(F.trim(main)) > 0, F.concat(F.lit(MAIN_SECTION), main))))
-    return F.when(F.size(sections) == 0, F.lit(NO_CONTEXT)).otherwise(F.concat(F.lit("\n\n" + "=" * 50), F.array_join(sections, "\n\n")))
+def stripped(text: Column) -> Column:
+    """Without white space of any kind at either end."""
+    return F.regexp_replace(text, r"(?U)\A\s+|\s+\z", "")
 
 
-def rag_prompt(system: Column, context: Column, question: Column) -> Column:
-    return F.concat_ws("\n\n", F.concat(F.lit("SYSTEM:\n"), system), F.concat(F.lit("CONTEXT:\n"), context), F.concat(F.lit("USER QUESTION:\n"), question), F.lit("ASSISTANT:"))
+def dual_context(user: Column, main: Column, query: Column) -> Column:
+    """The question, then the user's context before the shared one; a rule stands right before the first section,
+    blank lines between. Without either, what to do then."""
+    sections = F.array_compact(F.array(*[F.when(F.length(stripped(t)) > 0, F.concat(F.lit(name), stripped(t))) for name, t in ((USER_SECTION, user), (MAIN_SECTION, main))]))
+    known = F.concat(F.lit(BASED_ON + RULE), F.array_join(sections, "\n\n"), F.lit(CLOSING))
+    return F.concat(F.replace(F.lit(OPENING), F.lit("{query}"), F.coalesce(query, F.lit(""))), F.when(F.size(sections) == 0, F.lit(NO_CONTEXT)).otherwise(known))
+
+
+def rag_prompt(context: Column, question: Column, system: Column | None = None) -> Column:
+    """System text (``SYSTEM`` unless another is given), context and question, a blank line between."""
+    system = F.lit(SYSTEM) if system is None else system
+    return F.concat_ws("\n\n", F.concat(F.lit("SYSTEM: "), system), F.concat(F.lit("CONTEXT: "), context), F.concat(F.lit("USER QUESTION: "), question), F.lit("ASSISTANT:"))
 
 
 def truncate_prompt(prompt: Column, max_chars: int, system: Column | None = None) -> Column:
@@ -66,4 +90,4 @@ def cache_misses(requests: DataFrame, log: DataFrame) -> DataFrame:
 
 def extractive_answer(prompt: Column, max_chars: int = 512) -> Column:
     """An offline stand-in for a text model: the beginning of the prompt's context."""
-    return F.substring(F.regexp_extract(prompt, r"(?s)CONTEXT:\n(.*?)\n\nUSER QUESTION:", 1), 1, max_chars)
+    return F.substring(F.regexp_extract(prompt, r"(?s)CONTEXT: (.*?)\n\nUSER QUESTION:", 1), 1, max_chars)

@@ -8,44 +8,87 @@ from pyspark.sql import functions as F
 from ..config import EngineConfig
 from ..functions.text import preview
 from ..functions.vectors import similarity_join
+from ..scratch import Scratch
+
+
+def check_nodes(nodes: DataFrame) -> int:
+    """The size of the nodes' vectors; an error for no nodes, a node without a vector, or vectors of several sizes."""
+    r = nodes.agg(F.count("*").alias("n"), F.count("emb").alias("vectors"), F.min(F.size("emb")).alias("least"), F.max(F.size("emb")).alias("most")).first()
+    if not r.n:
+        raise ValueError("the graph has no nodes")
+    if r.vectors < r.n or r.least != r.most or r.least < 1:
+        raise ValueError("every node needs a vector, all of one size")
+    return r.most
+
+
+def check_queries(queries: DataFrame, top_k: int, size: int | None = None) -> None:
+    """An error for a blank query, a query vector of another size than the nodes', or a top_k below 1."""
+    if not isinstance(top_k, int) or top_k < 1:
+        raise ValueError("top_k must be positive")
+    if "query" in queries.columns and not queries.filter(F.col("query").isNull() | ~F.col("query").rlike(r"(?U)\S")).isEmpty():
+        raise ValueError("a query must not be blank")
+    if size is not None and not queries.filter(F.coalesce(F.size("emb"), F.lit(-1)) != size).isEmpty():
+        raise ValueError("query vectors must have the size of the nodes' vectors")
 
 
 def top_nodes(queries: DataFrame, nodes: DataFrame, top_k: int, max_candidates: int = 100) -> DataFrame:
     """(query_id, node_id, sim, rk): the nearest nodes of (query_id, emb), at most ``max_candidates``.
 
-    Nodes pass in blocks against partitions of queries; a query's own node, if it is one, is a candidate."""
+    A query's own node, if it is one, is a candidate. If both sides have a ``graph_id``, a query sees the nodes of its
+    graph alone, and the result has the graph_id."""
     if top_k < 1:
         raise ValueError("top_k must be positive")
-    k = min(top_k, max_candidates)
-    # negative numbers for queries keep the kernel from leaving out a node that has the query's number
-    asked = queries.select((-F.col("query_id") - 1).alias("node_id"), "emb")
-    found = similarity_join(asked, nodes.filter("node_id >= 0"), -2.0, inclusive=True, k=k)
-    return found.select((-F.col("src") - 1).alias("query_id"), F.col("dst").alias("node_id"), F.col("weight").alias("sim"), F.col("nbr_rank").alias("rk"))
+    asked, group = queries.withColumn("node_id", F.col("query_id")), None
+    if "graph_id" in queries.columns and "graph_id" in nodes.columns:
+        asked, nodes, group = asked.withColumn("scope", F.xxhash64("graph_id")), nodes.withColumn("scope", F.xxhash64("graph_id")), "scope"
+    found = similarity_join(asked, nodes, float("-inf"), inclusive=True, k=min(top_k, max_candidates), distinct=False, group=group)
+    found = found.select(F.col("src").alias("query_id"), F.col("dst").alias("node_id"), F.col("weight").alias("sim"), F.col("nbr_rank").alias("rk"))
+    return found if group is None else found.join(queries.select("query_id", "graph_id"), "query_id")
 
 
 def missing_nodes(seeds: DataFrame, nodes: DataFrame) -> DataFrame:
-    return seeds.join(nodes.select("node_id"), "node_id", "left_anti")
+    return seeds.join(nodes.select(*_keys(nodes, "node_id")), _keys(nodes, "node_id"), "left_anti")
+
+
+def _keys(rows: DataFrame, *names: str) -> list[str]:
+    """The names, and graph_id where rows have one."""
+    return [*(["graph_id"] if "graph_id" in rows.columns else []), *names]
 
 
-def simple_paths(seeds: DataFrame, edges: DataFrame, max_hops: int, config: EngineConfig) -> DataFrame:
+def simple_paths(seeds: DataFrame, edges: DataFrame, max_hops: int, config: EngineConfig, nodes: DataFrame | None = None) -> DataFrame:
     """(query_id, src, dst, path, rank_path, hops, n_nodes, weight_prod, score) from better to worse ranked seeds.
 
-    One equi-join of the frontier with the edges for each hop. Of a pair of seeds the first
-    ``max_paths_per_pair`` paths in the order of a depth-first search count (edges by nbr_rank); the score filter
-    comes after. Without that limit, prefixes whose score is already too low are dropped on the way, which loses
-    nothing where weights are at most 1."""
-    if max_hops < 1:
+    Seeds and edges are written to the shared folder once, and so is each hop's frontier, one equi-join with the
+    edges. A prefix goes on only where a worse seed can still be reached in the hops that are left, which loses
+    nothing. Of a pair of seeds the first ``max_paths_per_pair`` paths in the order of a depth-first search count
+    (edges by nbr_rank); the score filter comes after. Without that limit, prefixes whose score is already too low
+    are dropped on the way, which loses nothing where weights are at most 1. Seeds that are none of ``nodes``, if
+    they are given, are an error. If seeds and edges have a ``graph_id``, a query stays within its graph."""
+    if not isinstance(max_hops, int) or max_hops < 1:
         raise ValueError("max_hops must be at least 1")
-    ends = seeds.select("query_id", F.col("node_id").alias("end"), F.col("rk").alias("end_rk"))
-    step = edges.select(F.col("src").alias("last"), F.col("dst").alias("next"), "weight", "nbr_rank")
-    frontier = seeds.select("query_id", F.col("node_id").alias("src"), "rk", F.col("node_id").alias("last"), F.array("node_id").alias("path"), F.expr("cast(array() as array<int>)").alias("rank_path"), F.lit(1.0).alias("weight_prod"))
+    scratch = Scratch(edges.sparkSession, "paths")
+    key = _keys(edges)
+    seeds = scratch.write(seeds.select(*key, "query_id", "node_id", "rk"), "seeds")
+    if nodes is not None and not missing_nodes(seeds, nodes).isEmpty():
+        raise ValueError("a seed is no node of the graph")
+    edges = scratch.write(edges.select(*key, "src", "dst", "weight", "nbr_rank"), "edges")
+    ends = seeds.select("query_id", F.col("node_id").alias("last"), F.col("rk").alias("end_rk"))
+    # by query, the nodes from which a seed is at most so many edges away, and the worst rank of such seeds
+    reach = [seeds.groupBy("query_id", *key, F.col("node_id").alias("last")).agg(F.max("rk").alias("worst"))]
+    for hop in range(1, max_hops):
+        back = reach[-1].withColumnRenamed("last", "dst").join(edges.select(*key, "src", "dst"), [*key, "dst"]).select("query_id", *key, F.col("src").alias("last"), "worst")
+        reach.append(scratch.write(back.union(reach[-1].select(back.columns)).groupBy("query_id", *key, "last").agg(F.max("worst").alias("worst")), f"reach-{hop}"))
+    step = edges.select(*key, F.col("src").alias("last"), F.col("dst").alias("next"), "weight", "nbr_rank")
+    frontier = seeds.select("query_id", *key, F.col("node_id").alias("src"), "rk", F.col("node_id").alias("last"), F.array("node_id").alias("path"), F.expr("cast(array() as array<int>)").alias("rank_path"), F.lit(1.0).alias("weight_prod"))
     found = None
     for hop in range(1, max_hops + 1):
-        joined = frontier.join(step, "last").filter(~F.array_contains("path", F.col("next")))
-        frontier = joined.select("query_id", "src", "rk", F.col("next").alias("last"), F.concat("path", F.array("next")).alias("path"), F.concat("rank_path", F.array(F.col("nbr_rank").cast("int"))).alias("rank_path"), (F.col("weight_prod") * F.col("weight")).alias("weight_prod"))
+        joined = frontier.join(step, [*key, "last"]).filter(~F.array_contains("path", F.col("next")))
+        moved = joined.select("query_id", *key, "src", "rk", F.col("next").alias("last"), F.concat("path", F.array("next")).alias("path"), F.concat("rank_path", F.array(F.col("nbr_rank").cast("int"))).alias("rank_path"), (F.col("weight_prod") * F.col("weight")).alias("weight_prod"))
         if config.max_paths_per_pair is None:
-            frontier = frontier.filter(F.col("weight_prod") * config.decay_rate**hop >= config.prune_thresh)
-        reached = frontier.join(ends, (frontier.last == ends.end) & (frontier.query_id == ends.query_id) & (frontier.rk < ends.end_rk)).select(frontier.query_id, "src", F.col("end").alias("dst"), "path", "rank_path", "weight_prod", F.lit(hop).alias("hops"))
+            moved = moved.filter(F.col("weight_prod") * config.decay_rate**hop >= config.prune_thresh)
+        useful = moved.join(reach[max_hops - hop].drop(*key), ["query_id", "last"]).filter("worst > rk").select(moved.columns)
+        frontier = scratch.write(useful, f"hop-{hop}")
+        reached = frontier.join(ends, ["query_id", "last"]).filter("rk < end_rk").select("query_id", *key, "src", F.col("last").alias("dst"), "path", "rank_path", "weight_prod", F.lit(hop).alias("hops"))
         found = reached if found is None else found.unionByName(reached)
     if config.max_paths_per_pair is not None:
         order = Window.partitionBy("query_id", "src", "dst").orderBy("rank_path")
@@ -66,11 +109,15 @@ def ranked_paths(paths: DataFrame) -> DataFrame:
 
 
 def path_texts(paths: DataFrame, nodes: DataFrame, size: int = 50) -> DataFrame:
-    """Adds path_text: previews of the nodes' texts in order, Node_<id> for a node without one."""
-    steps = paths.select("query_id", "path", F.posexplode("path").alias("at", "node_id"))
-    named = steps.join(nodes.select("node_id", "text"), "node_id", "left")
-    shown = preview(F.coalesce("text", F.concat(F.lit("Node_"), F.col("node_id").cast("string"))), size)
-    joined = named.groupBy("query_id", "path").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("at", shown.alias("t")))), lambda s: s["t"]), " → ").alias("path_text"))
+    """Adds path_text, previews of the nodes' texts in order, and full_text, the texts as they are; Node_<id> for a
+    node without one."""
+    key = _keys(nodes, "node_id")
+    steps = paths.select("query_id", *key[:-1], "path", F.posexplode("path").alias("at", "node_id"))
+    named = steps.join(nodes.select(*key, "text"), key, "left")
+    whole = F.coalesce("text", F.concat(F.lit("Node_"), F.col("node_id").cast("string")))
+    listed = F.array_sort(F.collect_list(F.struct("at", preview(whole, size).alias("shown"), whole.alias("whole"))))
+    text = lambda name: F.array_join(F.transform(listed, lambda s: s[name]), " → ")
+    joined = named.groupBy("query_id", "path").agg(text("shown").alias("path_text"), text("whole").alias("full_text"))
     return paths.join(joined, ["query_id", "path"])
 
 

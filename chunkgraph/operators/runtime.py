@@ -6,43 +6,59 @@ import time
 from collections import OrderedDict
 from contextlib import contextmanager
 from dataclasses import dataclass, field
+from threading import Lock
 
 from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
+from ..scratch import Scratch
+
 #: The names that metrics may have.
-METRICS = ("graph_builds", "retrievals", "cache_hits", "cache_misses", "paths_found", "prompts", "errors", "seconds")
+METRICS = ("graph_build_time", "retrieval_time", "path_pruning_time", "nodes_processed", "edges_created", "paths_pruned", "cache_hits", "cache_misses")
 
 
 @dataclass
 class Metrics:
-    """Named counters; an unknown name is an error."""
+    """Named counters that several threads may change; an unknown name is an error."""
 
-    values: dict[str, float] = field(default_factory=lambda: dict.fromkeys(METRICS, 0.0))
+    values: dict[str, float] = field(default_factory=lambda: dict.fromkeys(METRICS, 0))
+    lock: Lock = field(default_factory=Lock, repr=False)
 
     def add(self, name: str, by: float = 1) -> None:
+        with self.lock:
+            self.values[self._known(name)] += by
+
+    def put(self, name: str, value: float) -> None:
+        with self.lock:
+            self.values[self._known(name)] = value
+
+    def report(self) -> dict[str, float]:
+        with self.lock:
+            return dict(self.values)
+
+    def _known(self, name: str) -> str:
         if name not in self.values:
             raise KeyError(f"unknown metric {name!r}")
-        self.values[name] += by
+        return name
 
     @contextmanager
-    def timed(self):
+    def timed(self, name: str):
+        """Adds the seconds of a block to a metric, however it ends."""
+        self._known(name)
         began = time.perf_counter()
         try:
             yield
-        except Exception:
-            self.add("errors")
-            raise
         finally:
-            self.add("seconds", time.perf_counter() - began)
+            self.add(name, time.perf_counter() - began)
 
     def observe(self, rows: DataFrame, name: str) -> tuple[DataFrame, Observation]:
-        """The rows with a count that their own job takes, so that no job is run for it."""
-        if name not in self.values:
-            raise KeyError(f"unknown metric {name!r}")
-        seen = Observation(name)
+        """The rows with a count that their own job takes, so that no job is run for it; ``take`` adds it."""
+        seen = Observation(self._known(name))
         return rows.observe(seen, F.count(F.lit(1)).alias("n")), seen
 
+    def take(self, seen: Observation, name: str) -> None:
+        self.add(name, seen.get["n"])
+
 
 class RetrievalCache:
     """Ranked ids by graph, its version, query and top_k; the oldest entry goes first. A new version misses."""
@@ -81,6 +97,20 @@ class CheckpointPolicy:
         self.last, self.at = processed, time.monotonic()
 
 
+@contextmanager
+def session(cache: RetrievalCache | None = None, *frames: DataFrame, scratch: Scratch | None = None):
+    """A block after which the cache is empty, the frames are no longer kept and the scratch tables are gone."""
+    try:
+        yield
+    finally:
+        if cache is not None:
+            cache.entries.clear()
+        for f in frames:
+            f.unpersist()
+        if scratch is not None:
+            scratch.close()
+
+
 def checkpoint(store, graph_id: str, nodes: DataFrame, edges: DataFrame, processed: int, policy: CheckpointPolicy, reason: str = "auto") -> int | None:
     """Saves the graph as a new version if the policy says so; the version, or none."""
     if not policy.due(processed):

@@ -14,11 +14,25 @@ def chunk_stats(chunks: DataFrame) -> DataFrame:
     return chunks.groupBy("data_name").agg(F.count("*").alias("n_chunks"), F.sum("size").alias("total_size"), F.avg("size").alias("avg_size"))
 
 
-def graph_metrics(nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    """One row: nodes, distinct edges, edges as they were added, mean of in and out degree."""
+def graph_metrics(nodes: DataFrame, edges: DataFrame, added: DataFrame | None = None) -> DataFrame:
+    """One row: nodes, distinct edges, edges as they were added (also those that another method had added before),
+    mean of in and out degree."""
     n = nodes.agg(F.count("*").alias("n_nodes"))
-    e = edges.agg(F.count_distinct("src", "dst").alias("n_edges"), F.count("*").alias("edges_added"))
-    return n.join(F.broadcast(e)).withColumn("avg_degree", F.when(F.col("n_nodes") > 0, 2.0 * F.col("n_edges") / F.col("n_nodes")).otherwise(0.0))
+    e = edges.agg(F.count_distinct("src", "dst").alias("n_edges"))
+    a = (edges if added is None else added).agg(F.count("*").alias("edges_added"))
+    return n.join(F.broadcast(e)).join(F.broadcast(a)).withColumn("avg_degree", F.when(F.col("n_nodes") > 0, 2.0 * F.col("n_edges") / F.col("n_nodes")).otherwise(0.0))
+
+
+def outcome_counts(rows: DataFrame, status: str = "status", *by: str) -> DataFrame:
+    """Rows, successes and failures, as a whole or by columns; anything but ``success`` has failed."""
+    ok = F.coalesce(F.col(status) == "success", F.lit(False))
+    return rows.groupBy(*by).agg(F.count("*").alias("total"), F.count_if(ok).alias("success_count"), F.count_if(~ok).alias("failed_count"))
+
+
+def insert_report(counts: DataFrame) -> DataFrame:
+    """Adds the message of an insert run to outcome counts."""
+    none = F.col("total") == 0
+    return counts.withColumn("message", F.when(none, "No chunks generated from the input path.").otherwise(F.format_string("Chunking complete: %d inserted, %d failed.", F.col("success_count"), F.col("failed_count"))))
 
 
 def degrees(nodes: DataFrame, edges: DataFrame) -> DataFrame:
@@ -35,14 +49,21 @@ def display_edges(edges: DataFrame, least: float) -> DataFrame:
     return edges.filter(F.col("weight").isNotNull() & (F.col("weight") >= least))
 
 
+#: Marker colours by label, and that of any other.
+COLOURS = {"chunk": "blue", "concept": "green", "query": "red"}
+OTHER_COLOUR = "gray"
+
+
 def display_nodes(nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    """Nodes with degree, marker size, hover text and colour by label."""
+    """Nodes with degree (1 at least), marker size, colour by label, and hover text: the text's beginning, or the label."""
     d = degrees(nodes, edges)
     most = d.agg(F.greatest(F.max("degree"), F.lit(1)).alias("most"))
     rows = nodes.join(d, "node_id").join(F.broadcast(most))
-    hover = F.when(F.length("text") > 120, F.concat(F.substring("text", 1, 120), F.lit("…"))).otherwise(F.col("text"))
-    label = F.col("label") if "label" in nodes.columns else F.lit("chunk")
-    return rows.select("node_id", label.alias("label"), "degree", F.least(6 + 14.0 * F.col("degree") / F.col("most"), F.lit(24.0)).alias("marker"), hover.alias("hover"))
+    label = F.coalesce(F.col("label"), F.lit("unknown")) if "label" in nodes.columns else F.lit("chunk")
+    hover = F.when(F.length("text") > 120, F.concat(F.substring("text", 1, 120), F.lit("…"))).when(F.length("text") > 0, F.col("text")).otherwise(label)
+    colours = F.create_map(*[F.lit(x) for kv in COLOURS.items() for x in kv])
+    degree = F.greatest("degree", F.lit(1))
+    return rows.select("node_id", label.alias("label"), degree.alias("degree"), F.least(6 + 14.0 * degree / F.col("most"), F.lit(24.0)).alias("marker"), F.coalesce(colours[label], F.lit(OTHER_COLOUR)).alias("colour"), hover.alias("hover"))
 
 
 def node_lookup(nodes: DataFrame, edges: DataFrame, node_id: int) -> DataFrame:
@@ -60,11 +81,23 @@ def health(metrics: DataFrame, memory_gb: Column, config: EngineConfig) -> DataF
 
 
 def evaluation_summary(records: DataFrame) -> DataFrame:
-    """Totals, success rates in per cent and mean figures over successes: of all, by category and by language."""
+    """Totals, success rates in per cent and mean figures over successes: of all, by category and by language.
+
+    Graphics figures are means over the successes that have a use of the graphics unit other than zero."""
     ok = F.col("status") == "success"
-    good = lambda c: F.avg(F.when(ok, F.col(c)))
+    on_gpu = ok & (F.col("gpu_percent") != 0)
+    good = lambda c, which=ok: F.avg(F.when(which, F.col(c)))
     whole = records.groupingSets([[], ["category"], ["language"]], "category", "language")
-    return whole.agg(F.count("*").alias("total"), F.count_if(ok).alias("success"), F.round(100.0 * F.count_if(ok) / F.count("*"), 2).alias("success_rate"), good("response_time").alias("avg_response_time"), good("ram_gb").alias("avg_ram_gb"), good("gpu_percent").alias("avg_gpu_percent"))
+    return whole.agg(
+        F.count("*").alias("total"), F.count_if(ok).alias("success"), F.count_if(~F.coalesce(ok, F.lit(False))).alias("failed"), F.round(100.0 * F.count_if(ok) / F.count("*"), 2).alias("success_rate"),
+        F.round(good("response_time"), 3).alias("avg_response_time"), F.round(good("ram_gb"), 3).alias("avg_ram_gb"), F.round(good("cpu_percent"), 2).alias("avg_cpu_percent"),
+        F.round(good("gpu_percent", on_gpu), 2).alias("avg_gpu_percent"), F.round(good("gpu_memory_mb", on_gpu), 2).alias("avg_gpu_memory_mb"),
+    )
+
+
+def latency_mean(runs: DataFrame, seconds: str = "seconds") -> DataFrame:
+    """One row: how many retrievals there were and their mean time."""
+    return runs.agg(F.count(seconds).alias("retrievals"), F.avg(seconds).alias("avg_seconds"))
 
 
 def ocr_join(boxes: DataFrame, least: float) -> DataFrame:

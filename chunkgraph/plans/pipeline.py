@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -12,6 +13,7 @@ from ..functions.split import chunk_documents
 from ..functions.text import clean_text
 from ..functions.vectors import hashing_embedder, normalise
 from ..operators import graphs, prompts, retrieval
+from ..scratch import Scratch
 from ..sources.readers import documents_and_ocr
 
 
@@ -32,7 +34,7 @@ def embed_chunks(chunks: DataFrame, embed: Callable[[Column], Column] | None = N
 
 
 def retrieve(queries: DataFrame, nodes: DataFrame, edges: DataFrame, top_k: int, max_hops: int, config: EngineConfig) -> DataFrame:
-    """Ranked paths with their texts, for (query_id, query, emb)."""
+    """Ranked paths with their texts, for (query_id, query, emb). With a graph_id each query stays in its graph."""
     seeds = retrieval.top_nodes(queries, nodes, top_k, config.max_candidates)
     paths = retrieval.ranked_paths(retrieval.simple_paths(seeds, edges, max_hops, config))
     return retrieval.path_texts(paths, nodes)
@@ -42,19 +44,41 @@ def evidence(queries: DataFrame, nodes: DataFrame, edges: DataFrame, top_k: int,
     return prompts.evidence_prompts(queries, retrieve(queries, nodes, edges, top_k, max_hops, config))
 
 
-def chat(requests: DataFrame, log: DataFrame, user: tuple[DataFrame, DataFrame] | None, main: tuple[DataFrame, DataFrame], config: EngineConfig, system: str, generate: Callable[[Column], Column] = prompts.extractive_answer, top_k: int = 5, max_hops: int = 2) -> DataFrame:
-    """Log rows for requests (query_id, user_id, query, emb): logged answers as they are, others from both graphs."""
+def embed_queries(queries: DataFrame, embed: Callable[[Column], Column] | None = None) -> DataFrame:
+    """Adds emb, the unit vector of the query's text; blank queries are an error. A task's retries are its tries."""
+    retrieval.check_queries(queries, 1)
+    return queries.withColumn("emb", (embed or hashing_embedder())(F.col("query")).cast("array<double>")).withColumn("emb", normalise(F.col("emb")))
+
+
+def together(graphs_by_id: dict[str, tuple[DataFrame, DataFrame]]) -> tuple[DataFrame, DataFrame]:
+    """(nodes, edges) of several graphs, told apart by graph_id."""
+    named = [[t.withColumn("graph_id", F.lit(name)) for t in graph] for name, graph in graphs_by_id.items()]
+    nodes, edges = (reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), side) for side in zip(*named))
+    return nodes, edges
+
+
+def dual_contexts(requests: DataFrame, nodes: DataFrame, edges: DataFrame, main_id: str, top_k: int, max_hops: int, config: EngineConfig) -> DataFrame:
+    """(query_id, user_context, main_context) for requests (query_id, user_id, query, emb).
+
+    One pipeline over both graphs of a request, the one whose graph_id is its user_id and the main one; a context
+    is null where no path was found."""
+    main = F.lit(main_id)
+    sides = requests.select("query_id", "query", "emb", F.explode(F.array(F.struct(F.lit(0).alias("side"), F.col("user_id").cast("string").alias("graph_id")), F.struct(F.lit(1).alias("side"), main.alias("graph_id")))).alias("s"))
+    asked = sides.select((F.col("query_id") * 2 + F.col("s.side")).alias("query_id"), "query", "emb", F.col("s.graph_id").alias("graph_id")).filter("graph_id is not null")
+    found = evidence(asked, nodes, edges, top_k, max_hops, config).filter("n_paths > 0")
+    side = F.pmod("query_id", F.lit(2))
+    return found.groupBy(((F.col("query_id") - side) / 2).cast("long").alias("query_id")).agg(F.max(F.when(side == 0, F.col("prompt"))).alias("user_context"), F.max(F.when(side == 1, F.col("prompt"))).alias("main_context"))
+
+
+def chat(requests: DataFrame, log: DataFrame, nodes: DataFrame, edges: DataFrame, main_id: str, config: EngineConfig, system: str | None = None, generate: Callable[[Column], Column] = prompts.extractive_answer, top_k: int = 5, max_hops: int = 2) -> DataFrame:
+    """Log rows for requests (query_id, user_id, query, emb): logged answers as they are, others from the user's graph
+    and the main one among (nodes, edges) with a graph_id."""
     probed = prompts.probe_cache(requests.drop("emb"), log)
     misses = prompts.cache_misses(requests, log)
-    context = misses.select("query_id", "user_id", "query")
-    for name, graph in (("user_context", user), ("main_context", main)):
-        if graph is None:
-            context = context.withColumn(name, F.lit(None).cast("string"))
-        else:
-            found = evidence(misses, *graph, top_k, max_hops, config).select("query_id", F.when(F.col("n_paths") > 0, F.col("prompt")).alias(name))
-            context = context.join(found, "query_id", "left")
-    both = prompts.dual_context(F.col("user_context"), F.col("main_context"))
-    answered = context.withColumn("retrieval_context", both).withColumn("llm_response", generate(prompts.rag_prompt(F.lit(system), both, F.col("query"))))
+    context = misses.select("query_id", "user_id", "query").join(dual_contexts(misses, nodes, edges, main_id, top_k, max_hops, config), "query_id", "left")
+    both = prompts.dual_context(F.col("user_context"), F.col("main_context"), F.col("query"))
+    prompt = prompts.rag_prompt(both, F.col("query"), None if system is None else F.lit(system))
+    answered = context.withColumn("retrieval_context", both).withColumn("llm_response", generate(prompt))
     hits = probed.filter("hit").select("query_id", "user_id", "query", "llm_response", F.lit(None).cast("string").alias("retrieval_context"), F.lit(True).alias("cached"))
     return hits.unionByName(answered.select("query_id", "user_id", "query", "llm_response", "retrieval_context", F.lit(False).alias("cached")))
 
@@ -67,8 +91,9 @@ def build_user_graph(files: DataFrame, ocr: DataFrame | None, user_id: str, stor
     if ocr is not None:
         read = ocr.filter((F.col("confidence") > 10) & (F.trim("text") != "")).select("file", F.trim("text").alias("text"))
         chunks = documents_and_ocr(chunks, ingest(read).withColumn("source_type", F.lit("ocr")).withColumn("chunk_id", F.concat(F.lit("ocr"), "chunk_id")), mode)
-    chunks = chunks.filter(F.length(F.trim("chunk")) > 10).persist()
-    nodes = embed_chunks(chunks, embed).persist()
+    scratch = Scratch(files.sparkSession, "user-graph")
+    chunks = scratch.write(chunks.filter(F.length(F.trim("chunk")) > 10), "chunks")
+    nodes = scratch.write(embed_chunks(chunks, embed), "nodes")
     version = store.save(user_id, nodes, graphs.build(nodes, "knn", config), method="knn", reason="upload")
     size = nodes.select(F.size("emb").alias("d")).agg(F.max("d").alias("embedding_dimension"))
     about = chunks.groupBy("file").agg(F.count("*").alias("num_chunks"), F.count_if(F.col("source_type") == "ocr").alias("num_ocr_chunks"), F.count_if(F.col("source_type") == "text").alias("num_text_chunks"))

@@ -2,7 +2,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from chunkgraph.config import EngineConfig
-from chunkgraph.operators import graphs
+from chunkgraph.operators import graphs, stats
 from chunkgraph.plans import pipeline
 from chunkgraph.sources import readers, sinks
 from chunkgraph.streaming.ingest import watch_folder
@@ -68,12 +68,40 @@ def test_from_files_to_answers(spark, folder):
     assert chunks.filter(F.length("chunk") > 200).count() == 0
     nodes = pipeline.embed_chunks(chunks).persist()
     edges = graphs.build(nodes, "knn", c).persist()
-    asked = nodes.filter("node_id = 0").select(F.lit(0).cast("long").alias("query_id"), F.lit("u").alias("user_id"), F.lit("graphs?").alias("query"), "emb")
+    own = nodes.withColumn("text", F.concat(F.lit("mine: "), "text"))
+    both = pipeline.together({"main": (nodes, edges), "u": (own, edges)})
+    asked = nodes.filter("node_id = 0").select(F.explode(F.array(F.lit("u"), F.lit("other"))).alias("user_id"), F.lit("graphs?").alias("query"), "emb").withColumn("query_id", F.when(F.col("user_id") == "u", 0).otherwise(1).cast("long"))
     log = spark.createDataFrame([], "user_id string, query string, llm_response string, created_at long, entry_id string")
-    answer = pipeline.chat(asked, log, None, (nodes, edges), c, "Be brief.").collect()
-    assert len(answer) == 1 and not answer[0].cached and "KNOWLEDGE BASE" in answer[0].retrieval_context
+    answer = {r.user_id: r for r in pipeline.chat(asked, log, *both, "main", c).collect()}
+    assert not answer["u"].cached and "RELEVANT INFORMATION FROM USER DOCUMENTS:\nQUERY: graphs?" in answer["u"].retrieval_context and "mine: " in answer["u"].retrieval_context
+    assert "USER DOCUMENTS" not in answer["other"].retrieval_context and "RELEVANT GENERAL KNOWLEDGE:\nQUERY: graphs?" in answer["other"].retrieval_context
     log = spark.createDataFrame([("u", "graphs?", "known", 1, "e")], "user_id string, query string, llm_response string, created_at long, entry_id string")
-    assert [(r.cached, r.llm_response) for r in pipeline.chat(asked, log, None, (nodes, edges), c, "Be brief.").collect()] == [(True, "known")]
+    assert {(r.user_id, r.cached, r.llm_response == "known") for r in pipeline.chat(asked, log, *both, "main", c).collect()} == {("u", True, True), ("other", False, False)}
+
+
+def test_binary_files(spark, folder):
+    """Pages and images by extractors that stand in for a library."""
+    pages = readers.binary_pages(spark, folder, lambda raw: raw.decode().split(" of ")[:2], "f*.txt")
+    assert [(r.page_no, r.text) for r in pages.filter(F.col("file").endswith("f0.txt")).orderBy("page_no").collect()] == [(0, "File 0 tells"), (1, "graphs. words")]
+    images = readers.binary_images(spark, folder, lambda raw: [(0, "png", raw[:4]), (3, "jpg", b"")], "f*.txt")
+    assert sorted((r.page, r.img_no, r.ext, bytes(r.bytes)) for r in images.collect())[:1] == [(0, 0, "png", b"File")] and images.count() == 6
+
+
+def test_embedding_rows(spark):
+    rows = spark.createDataFrame([("[1, 2.5]", " a\nb "), ("[1, null]", "c"), ("no", "d"), (None, "e")], "embedding string, chunk string")
+    assert [(r.embedding, r.chunk) for r in readers.embedding_rows(rows).collect()] == [([1.0, 2.5], "a b")]
+
+
+def test_stores(spark):
+    for name, row in (("embed_vector", "chunk_id string"), ("chatbot", "user_id string")):
+        spark.sql(f"DROP TABLE IF EXISTS {name}")
+        sinks.append(spark.createDataFrame([("x",)], row), name)
+        assert spark.table(name).count() == 1
+    assert set(sinks.reset(spark, erase_all=True)) == {"chunks", "embed_vector", "chatbot"}
+    found = {r.table_name: r.n_rows for r in stats.catalog_inventory(spark).collect()}
+    assert found["embed_vector"] == 0
+    for name in ("chunks", "embed_vector", "chatbot"):
+        spark.sql(f"DROP TABLE {name}")
 
 
 def test_user_graph_and_checkpoints(spark, folder, tmp_path):
