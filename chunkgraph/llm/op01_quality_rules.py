@@ -7,7 +7,8 @@ No shuffle over the documents: statistics are a projection, and the sample (at m
 Training takes place on the driver over at most ``SAMPLE`` rows of a few numbers each.
 
 Defined cases: a null text counts as empty; an empty text has statistics 0 and gets a score like any other; rows
-with a null doc_id are scored and not held out; repeated rows are scored alike; labels other than 0 and 1 are left
+with a null doc_id are scored and not held out; repeated rows are scored alike; an id's row counts for each
+text that it has in training, at most four times the bound in all; labels other than 0 and 1 are left
 out; without labels of both kinds the score is the share of label 1, or 0.5; other columns are not read.
 """
 
@@ -29,31 +30,35 @@ TREES, DEPTH, BINS, RATE = 40, 3, 48, 0.3
 LASSO = 2e-4
 
 
-def statistics(text: Column) -> dict[str, Column]:
-    """Numbers that describe a whole text, whatever its language."""
+def pieces(text: Column) -> dict[str, Column]:
+    """What statistics are taken from: the text, its lower-cased words and its lines that are not empty."""
     t = F.coalesce(text.cast("string"), F.lit(""))
-    size = F.length(t).cast("double")
-    words = F.filter(F.split(F.lower(t), r"[ \t\n\x0B\f\r]+"), lambda w: w != "")
-    n = F.size(words).cast("double")
+    return {"text_": t, "words_": F.array_remove(F.split(F.lower(t), r"[ \t\n\x0B\f\r]+"), ""), "lines_": F.array_remove(F.split(t, "\n"), "")}
+
+
+def statistics() -> dict[str, Column]:
+    """Numbers that describe a whole text, whatever its language, from columns as ``pieces`` names them."""
+    t, words, lines = F.col("text_"), F.col("words_"), F.col("lines_")
+    size, n, rows = F.length(t).cast("double"), F.size(words).cast("double"), F.size(lines).cast("double")
     share = lambda part, whole: F.when(whole > 0, part / whole).otherwise(F.lit(0.0))
     left = lambda pattern: F.length(F.regexp_replace(t, pattern, "")).cast("double")
-    again = F.size(F.filter(F.arrays_zip(words, F.slice(words, 2, 1 << 30).alias("next")), lambda x: x["0"] == x["next"])).cast("double")
-    lines = F.filter(F.split(t, "\n"), lambda x: x != "")
+    of = lambda characters: size - F.length(F.translate(t, characters, "")).cast("double")
+    again = F.size(F.array_remove(F.zip_with(words, F.slice(words, 2, 1 << 30), lambda a, b: F.coalesce(a == b, F.lit(False))), False)).cast("double")
     return {
         "chars": size,
         "words": n,
         "word_length": share(size, n),
         "upper": share(left(r"[^\p{Lu}]+"), size),
         "letters": share(left(r"[^\p{L}]+"), size),
-        "digits": share(left(r"[^0-9]+"), size),
-        "shouts": share(left(r"[^!?]+"), size),
-        "symbols": share(left(r"[^#$%&*@^~=+<>\\]+"), size),
-        "bars": share(left(r"[^|]+"), size),
-        "stops": share(left(r"[^.,;:]+"), size),
+        "digits": share(of("0123456789"), size),
+        "shouts": share(of("!?"), size),
+        "symbols": share(of("#$%&*@^~=+<>\\"), size),
+        "bars": share(of("|"), size),
+        "stops": share(of(".,;:"), size),
         "distinct": share(F.size(F.array_distinct(words)).cast("double"), n),
         "repeats": share(again, n),
-        "line_length": share(size, F.size(lines).cast("double")),
-        "distinct_lines": share(F.size(F.array_distinct(lines)).cast("double"), F.size(lines).cast("double")),
+        "line_length": share(size, rows),
+        "distinct_lines": share(F.size(F.array_distinct(lines)).cast("double"), rows),
     }
 
 
@@ -66,9 +71,12 @@ class Rules:
 
     bias: float = 0.0
     rules: list[tuple[Rule, float]] = field(default_factory=list)
+    constant: float | None = None  # the score of every text
 
     def column(self) -> Column:
         """The score from columns named as the statistics."""
+        if self.constant is not None:
+            return F.lit(float(self.constant))
         z = F.lit(float(self.bias))
         for rule, weight in self.rules:
             parts = [F.col(f"`{name}`") > t if above else F.col(f"`{name}`") <= t for name, above, t in rule]
@@ -79,6 +87,8 @@ class Rules:
         return 1.0 / (1.0 + F.exp(-z))
 
     def scores(self, names: list[str], x: np.ndarray) -> np.ndarray:
+        if self.constant is not None:
+            return np.full(len(x), self.constant)
         z = np.full(len(x), self.bias)
         for rule, weight in self.rules:
             z += weight * holds(rule, names, x)
@@ -161,9 +171,9 @@ def lasso_logistic(a: np.ndarray, y: np.ndarray, penalty: float, steps: int = 40
 
 def fit(names: list[str], x: np.ndarray, y: np.ndarray) -> Rules:
     if not len(y):
-        return Rules()
+        return Rules(constant=0.5)
     if y.min() == y.max():
-        return Rules(bias=20.0 if y[0] else -20.0)
+        return Rules(constant=float(y[0]))
     rules = extract_rules(names, x, y)
     if not rules:
         return Rules(bias=float(np.log(y.mean() / (1 - y.mean()))))
@@ -175,14 +185,19 @@ def fit(names: list[str], x: np.ndarray, y: np.ndarray) -> Rules:
 
 
 def describe(docs: DataFrame) -> DataFrame:
-    """doc_id and the statistics of each document."""
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), *[c.alias(name) for name, c in statistics(F.col("text")).items()])
+    """doc_id and the statistics of each document. Words and lines are split once, in a projection of their own."""
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), *[c.alias(name) for name, c in pieces(F.col("text")).items()])
+    return rows.select("doc_id", *[c.alias(name) for name, c in statistics().items()])
 
 
 def train(described: DataFrame, labels: DataFrame, bound: int = SAMPLE) -> Rules:
-    """Fits a model to the labelled rows of a table of statistics."""
+    """Fits a model to the labelled rows of a table of statistics.
+
+    Rows are taken and fitted in the order of their values, so the model doesn't depend on how they are dealt to
+    partitions."""
     names = [c for c in described.columns if c != "doc_id"]
-    rows = described.join(F.broadcast(training_rows(labels, "quality", bound)), "doc_id").select("label", *names).limit(4 * bound).toPandas()
+    rows = described.join(F.broadcast(training_rows(labels, "quality", bound)), "doc_id").select("doc_id", "label", *names)
+    rows = rows.orderBy("doc_id", "label", *names).limit(4 * bound).toPandas()
     return fit(names, rows[names].to_numpy(np.float64), rows["label"].to_numpy(np.float64))
 
 

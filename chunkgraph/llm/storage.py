@@ -1,55 +1,12 @@
-"""Tables written to the shared checkpoint folder, to cut lineage so that a lost executor costs a re-read only."""
+"""The shared folder of intermediate tables, and how input is dealt to tasks."""
 
 from __future__ import annotations
 
-import atexit
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 
-#: Used only where the session names no shared folder (tests on one machine).
-DEFAULT_DIR = "file:///tmp/checkpoints/chunkgraph"
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder of ``spark.checkpoint.dir``; the default above where that is unset."""
-    return (spark.conf.get("spark.checkpoint.dir", None) or DEFAULT_DIR).rstrip("/")
-
-
-def _delete(spark: SparkSession, path: str) -> None:
-    jvm = spark.sparkContext._jvm
-    target = jvm.org.apache.hadoop.fs.Path(path)
-    target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
-
-
-class Scratch:
-    """A folder of intermediate tables of one operator call.
+from ..scratch import Scratch, shared_dir
 
-    ``write`` runs the plan once and returns a frame that reads the written Parquet. ``drop`` deletes a table
-    that nothing reads any more; tables that a returned frame still reads are deleted as the driver exits.
-    """
-
-    def __init__(self, spark: SparkSession, name: str):
-        self.spark = spark
-        self.path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-        atexit.register(self.close)
-
-    def write(self, df: DataFrame, label: str) -> DataFrame:
-        df.write.mode("errorifexists").parquet(f"{self.path}/{label}")
-        return self.read(label, df.schema)
-
-    def read(self, label: str, schema) -> DataFrame:
-        return self.spark.read.schema(schema).parquet(f"{self.path}/{label}")
-
-    def drop(self, *labels: str) -> None:
-        for label in labels:
-            _delete(self.spark, f"{self.path}/{label}")
-
-    def close(self) -> None:
-        try:
-            _delete(self.spark, self.path)
-        except Exception:  # the session may be gone by now
-            pass
+__all__ = ["Scratch", "buckets_for", "partitions", "plan_bytes", "shared_dir", "spread"]
 
 
 def partitions(spark: SparkSession) -> int:
@@ -67,3 +24,11 @@ def buckets_for(df: DataFrame, per: int = 128 << 20) -> int:
     size = plan_bytes(df)
     known = size < 1 << 60  # plans without statistics report a size beyond any table
     return max(partitions(df.sparkSession), -(-size // per) if known else 1)
+
+
+def spread(df: DataFrame, least: int = 4 << 20) -> DataFrame:
+    """A scan of a few large files, dealt to all cores; one that has a task for each core stays as it is."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    if plan_bytes(df) < least or df._jdf.queryExecution().toRdd().getNumPartitions() >= cores:
+        return df
+    return df.repartition(cores)
