@@ -2,17 +2,19 @@
 
 Documents are indexed in shards of whole texts: a shard's suffix array holds its word positions sorted by the words
 that follow. Every suffix of every test item is looked up by binary search, which gives all places of its first
-ten words (the window) and its longest verbatim match. Words that no test item has sort as one symbol that
-matches nothing, and suffixes that begin with one are left out: no test suffix can begin there.
+ten words (the window), and its matches are followed word by word to their ends. Words that no test item has sort as
+one symbol that matches nothing, and suffixes that begin with one are left out: no test suffix can begin there.
 
-The test items are sent to the tasks in blocks of at most ``BLOCK_BYTES`` of text (one item at least). With more
-than one block, the documents pass through one block after the other. There is no shuffle, so no skew: a passage
-in many documents gives matches in each shard only.
+The documents pass once. Test items are sent to the tasks in blocks of at most ``BLOCK_BYTES`` of text (one item at
+least); a shard is indexed once, by the words of all blocks, and searched with one block after the other. Together
+the items must fit into a worker. There is no shuffle, so no skew: a passage in many documents gives matches in each
+shard only, and windows that items share are searched once.
 
 Defined cases: a null text has no words and is hit by nothing; an item without words has no window; one of fewer
 than ten words is one window; item rows with a null item_id are left out; rows that share an item_id are one item;
 one result row for each row of docs, whatever its doc_id; texts of any length are searched whole, and a window
-never crosses documents; empty tables give empty results; other columns are not read.
+never crosses documents; of equally long matches the one that comes first in the document counts, then the least
+item_id as text; empty tables give empty results; other columns are not read.
 """
 
 from __future__ import annotations
@@ -26,7 +28,6 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .storage import Scratch
 from .textops import ALNUM_WORD, chunks, ragged_take, word_hashes
 
 WINDOW = 10
@@ -36,20 +37,13 @@ _U = np.uint64
 
 
 class Tests:
-    """The suffixes of a block of test items."""
+    """The suffixes of a block of test items; words are ranked by a vocabulary that all blocks share."""
 
-    def __init__(self, items: list[tuple[str, str]], window: int = WINDOW):
+    def __init__(self, items: list[tuple[str, str]], window: int = WINDOW, vocabulary: np.ndarray | None = None):
         self.window = window
-        column = pa.array([t for _, t in items], pa.string())
-        hashes, owner = [], []
-        for a, _, data, offsets in chunks(column):
-            h, first = word_hashes(data, offsets, ALNUM_WORD)
-            hashes.append(h)
-            owner.append(np.repeat(np.arange(a, a + len(first) - 1), np.diff(first)))
-        flat = np.concatenate(hashes) if hashes else np.zeros(0, _U)
+        flat, self.owner = item_words(items)
         self.names = [str(i) for i, _ in items]
-        self.owner = np.concatenate(owner) if owner else np.zeros(0, np.int64)
-        self.vocabulary = np.unique(flat)
+        self.vocabulary = np.unique(flat) if vocabulary is None else vocabulary
         self.bits = max(1, int(len(self.vocabulary) + 1).bit_length())
         self.ranks = np.searchsorted(self.vocabulary, flat) + 1
         sizes = np.bincount(self.owner, minlength=len(items)) if len(items) else np.zeros(0, np.int64)
@@ -60,22 +54,42 @@ class Tests:
         self.opens = self.left >= length  # the suffixes that a whole window begins
         self.length = length
         self.keys = pack_words(self.ranks, begin, self.bits, window)
+        # equal windows are searched once: their suffixes stand together
+        at = np.flatnonzero(self.opens)
+        by = at[np.lexsort([*(k[at] for k in self.keys), length[at]])]
+        columns = [length[by], *(k[by] for k in self.keys)]
+        head = np.zeros(len(by), bool)
+        head[:1] = True
+        for c in columns:
+            head[1:] |= c[1:] != c[:-1]
+        first = np.flatnonzero(head)
+        self.suffixes, self.group_at, self.group_size = by, first, np.diff(np.append(first, len(by)))
+        self.one = by[first]  # a suffix of each different window
 
     def bounds(self) -> tuple[list[np.ndarray], list[np.ndarray]]:
-        """Least and greatest keys that begin with each suffix's window."""
-        at = np.flatnonzero(self.opens)
+        """Least and greatest keys that begin with each different window."""
         per = 64 // self.bits
         low, high = [], []
         for k, key in enumerate(self.keys):
-            inside = np.clip(self.length[at] - k * per, 0, per)
+            inside = np.clip(self.length[self.one] - k * per, 0, per)
             free = ((per - inside) * self.bits).astype(_U)
             full = free >= _U(64)
             fill = np.where(full, ~_U(0), (_U(1) << np.where(full, _U(0), free)) - _U(1))
-            low.append(key[at] & ~fill)
-            high.append(key[at] | fill)
+            low.append(key[self.one] & ~fill)
+            high.append(key[self.one] | fill)
         return low, high
 
 
+def item_words(items: list[tuple[str, str]]) -> tuple[np.ndarray, np.ndarray]:
+    """Word hashes of all items one after the other, and the item of each word."""
+    hashes, owner = [], []
+    for a, _, data, offsets in chunks(pa.array([t for _, t in items], pa.string())):
+        h, first = word_hashes(data, offsets, ALNUM_WORD)
+        hashes.append(h)
+        owner.append(np.repeat(np.arange(a, a + len(first) - 1), np.diff(first)))
+    return (np.concatenate(hashes), np.concatenate(owner)) if hashes else (np.zeros(0, _U), np.zeros(0, np.int64))
+
+
 def pack_words(ranks: np.ndarray, begin: np.ndarray, bits: int, depth: int) -> list[np.ndarray]:
     """The next ``depth`` ranks from every position, 0 beyond the end of its text, as 64-bit keys in order."""
     n, texts = len(ranks), len(begin) - 1
@@ -120,59 +134,60 @@ def search(keys: list[np.ndarray], query: list[np.ndarray], right: bool = False)
 class Shard:
     """The suffix array of some documents."""
 
-    def __init__(self, tests: Tests, data: np.ndarray, offsets: np.ndarray):
+    def __init__(self, vocabulary: np.ndarray, window: int, data: np.ndarray, offsets: np.ndarray):
         hashes, self.first = word_hashes(data, offsets, ALNUM_WORD)
-        i = np.searchsorted(tests.vocabulary, hashes)
-        i[i == len(tests.vocabulary)] = 0
-        known = tests.vocabulary[i] == hashes if len(tests.vocabulary) else np.zeros(len(hashes), bool)
-        self.tests, self.ranks = tests, np.where(known, i + 1, 0)
-        keys = pack_words(self.ranks, self.first, tests.bits, tests.window)
+        i = np.searchsorted(vocabulary, hashes)
+        i[i == len(vocabulary)] = 0
+        known = vocabulary[i] == hashes if len(vocabulary) else np.zeros(len(hashes), bool)
+        self.ranks = np.where(known, i + 1, 0)
+        keys = pack_words(self.ranks, self.first, max(1, int(len(vocabulary) + 1).bit_length()), window)
         at = np.flatnonzero(known)
         self.array = at[np.lexsort([k[at] for k in reversed(keys)])]
         self.keys = [k[self.array] for k in keys]
 
-    def hits(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(word position, window length, test suffix) of every occurrence of a window."""
-        low, high = self.tests.bounds()
-        suffix = np.flatnonzero(self.tests.opens)
+    def hits(self, tests: Tests) -> tuple[np.ndarray, np.ndarray]:
+        """(word position, different window) of every occurrence of a window."""
+        low, high = tests.bounds()
         a, b = search(self.keys, low), search(self.keys, high, right=True)
         count = b - a
-        which = np.repeat(suffix, count)
-        return self.array[ragged_take(a, count)], self.tests.length[which], which
+        return self.array[ragged_take(a, count)], np.repeat(np.arange(len(tests.one)), count)
+
+    def follow(self, tests: Tests, position: np.ndarray, suffix: np.ndarray) -> np.ndarray:
+        """How many words are equal from each position and test suffix on, within a document and an item."""
+        end = self.first[self.document(position) + 1]
+        length, live = np.zeros(len(position), np.int64), np.arange(len(position))
+        while len(live):
+            d = length[live]
+            live = live[(d < tests.left[suffix[live]]) & (position[live] + d < end[live])]
+            live = live[tests.ranks[suffix[live] + length[live]] == self.ranks[position[live] + length[live]]]
+            length[live] += 1
+        return length
 
     def document(self, position: np.ndarray) -> np.ndarray:
         return np.searchsorted(self.first, position, "right") - 1
 
-    def longest(self) -> tuple[np.ndarray, np.ndarray]:
+    def longest(self, tests: Tests) -> tuple[np.ndarray, np.ndarray]:
         """(length in words, word position) of each test suffix's longest match here; beside its place in the array."""
-        t = self.tests
-        at = search(self.keys, t.keys)
-        best, where = np.zeros(len(t.ranks), np.int64), np.zeros(len(t.ranks), np.int64)
+        at = search(self.keys, tests.keys)
+        best, where = np.zeros(len(tests.ranks), np.int64), np.zeros(len(tests.ranks), np.int64)
         if not len(self.array):
             return best, where
         # beyond the window's depth equal keys are in no order: each of them is followed to its end
-        right = search(self.keys, t.keys, right=True)
+        right = search(self.keys, tests.keys, right=True)
         first, last = np.maximum(at - 1, 0), np.minimum(right + 1, len(self.array))
         count = last - first
-        suffix = np.repeat(np.arange(len(t.ranks)), count)
+        suffix = np.repeat(np.arange(len(tests.ranks)), count)
         position = self.array[ragged_take(first, count)]
-        end = self.first[self.document(position) + 1]
-        length, live = np.zeros(len(position), np.int64), np.arange(len(position))
-        while len(live):
-            d = length[live]
-            ok = (d < t.left[suffix[live]]) & (position[live] + d < end[live])
-            live = live[ok]
-            live = live[t.ranks[suffix[live] + length[live]] == self.ranks[position[live] + length[live]]]
-            length[live] += 1
+        length = self.follow(tests, position, suffix)
         by = np.lexsort((position, -length, suffix))
         head = np.flatnonzero(np.concatenate([[True], suffix[by][1:] != suffix[by][:-1]]))
         best[suffix[by][head]], where[suffix[by][head]] = length[by][head], position[by][head]
         return best, where
 
 
-@lru_cache(4)
-def _tests(items: tuple[tuple[str, str], ...]) -> Tests:
-    return Tests(list(items))
+@lru_cache(8)
+def _tests(items: tuple[tuple[str, str], ...], vocabulary: bytes) -> Tests:
+    return Tests(list(items), WINDOW, np.frombuffer(vocabulary, _U))
 
 
 def blocks(benchmark: DataFrame) -> Iterator[tuple[tuple[str, str], ...]]:
@@ -185,82 +200,101 @@ def blocks(benchmark: DataFrame) -> Iterator[tuple[tuple[str, str], ...]]:
         yield tuple(sorted((r.item_id, r.text) for r in rows))
 
 
-STATE = "spans binary, items array<string>"
+def prepared(benchmark: DataFrame) -> tuple[list, object]:
+    """Broadcasts of the blocks of test items, and of the words that all of them have."""
+    context = benchmark.sparkSession.sparkContext
+    sent, words_ = [], np.zeros(0, _U)
+    for block in blocks(benchmark):
+        sent.append(context.broadcast(block))
+        words_ = np.union1d(words_, item_words(list(block))[0])
+    return sent, context.broadcast(words_.tobytes())
+
 
+STATE = "spans binary, items array<string>, longest int, longest_at int, longest_item string"
 
-def _scan(broadcast, kept: list[str]):
-    """Adds a block's hits to the spans and items of each document."""
+
+def _scan(sent, vocabulary, kept: list[str]):
+    """Adds the hits of all blocks to each document."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tests = _tests(broadcast.value)
         for batch in batches:
-            text = batch.schema.get_field_index("text")
-            spans, items = batch.column(batch.schema.get_field_index("spans")), batch.column(batch.schema.get_field_index("items"))
-            for a, b, data, offsets in chunks(batch.column(text), SHARD):
-                shard = Shard(tests, data, offsets)
-                position, length, suffix = shard.hits()
+            for a, b, data, offsets in chunks(batch.column(batch.schema.get_field_index("text")), SHARD):
+                shard = Shard(np.frombuffer(vocabulary.value, _U), WINDOW, data, offsets)
                 change = np.zeros(len(shard.ranks) + 1, np.int64)
-                np.add.at(change, position, 1)
-                np.add.at(change, position + length, -1)
                 found: dict[int, set[str]] = {}
-                pairs = np.unique(shard.document(position) << 32 | tests.owner[suffix])
-                for d, i in zip((pairs >> 32).tolist(), (pairs & 0xFFFFFFFF).tolist()):
-                    found.setdefault(d, set()).add(tests.names[i])
-                for d in range(b - a):
-                    if old := spans[a + d].as_py():
-                        x, y = np.frombuffer(old, "<i4").reshape(-1, 2).T
-                        np.add.at(change, x + shard.first[d], 1)
-                        np.add.at(change, y + shard.first[d], -1)
-                        found.setdefault(d, set()).update(items[a + d].as_py())
+                best: dict[int, tuple[int, int, str]] = {}
+                for block in sent:
+                    tests = _tests(block.value, vocabulary.value)
+                    position, window = shard.hits(tests)
+                    if not len(position):
+                        continue
+                    np.add.at(change, position, 1)
+                    np.add.at(change, position + tests.length[tests.one[window]], -1)
+                    document = shard.document(position)
+                    pairs = np.unique(document << 32 | window)  # a document and a window of it, then the window's items
+                    d, w = pairs >> 32, pairs & 0xFFFFFFFF
+                    owner = tests.owner[tests.suffixes[ragged_take(tests.group_at[w], tests.group_size[w])]]
+                    for x, i in np.unique(np.stack([np.repeat(d, tests.group_size[w]), owner], 1), axis=0).tolist():
+                        found.setdefault(x, set()).add(tests.names[i])
+                    # a longest match begins where none does a word before it; every item of its window is followed
+                    count = tests.group_size[window]
+                    suffix = tests.suffixes[ragged_take(tests.group_at[window], count)]
+                    place = np.repeat(position, count)
+                    opening = (place == shard.first[shard.document(place)]) | (tests.place[suffix] == 0)
+                    inner = np.flatnonzero(~opening)
+                    opening[inner] = shard.ranks[place[inner] - 1] != tests.ranks[suffix[inner] - 1]
+                    suffix, place = suffix[opening], place[opening]
+                    length, of = shard.follow(tests, place, suffix), shard.document(place)
+                    at = place - shard.first[of]
+                    by = np.lexsort((tests.owner[suffix], at, -length, of))
+                    head = by[np.flatnonzero(np.concatenate([[True], of[by][1:] != of[by][:-1]]))] if len(by) else by
+                    for x, n, p, i in zip(of[head].tolist(), length[head].tolist(), at[head].tolist(), tests.owner[suffix[head]].tolist()):
+                        mine = (-n, p, tests.names[i])
+                        best[x] = min(best.get(x, mine), mine)
                 hit = np.cumsum(change[:-1]) > 0
                 own = []
                 for d in range(b - a):
                     x, y = int(shard.first[d]), int(shard.first[d + 1])
-                    if d in found:
-                        edge = np.flatnonzero(np.diff(np.concatenate([[0], hit[x:y].astype(np.int8), [0]])))
-                        own.append(edge.astype("<i4").tobytes())
-                    else:
-                        own.append(b"")
+                    edge = np.flatnonzero(np.diff(np.concatenate([[0], hit[x:y].astype(np.int8), [0]]))) if d in found else np.zeros(0, np.int64)
+                    own.append(edge.astype("<i4").tobytes())
                 columns = [batch.column(batch.schema.get_field_index(c)).slice(a, b - a) for c in kept]
-                yield pa.RecordBatch.from_arrays([*columns, pa.array(np.diff(shard.first)), pa.array(own, pa.binary()), pa.array([sorted(found.get(d, ())) for d in range(b - a)], pa.list_(pa.string()))], names=[*kept, "n_words", "spans", "items"])
+                longest = [best.get(d) for d in range(b - a)]
+                yield pa.RecordBatch.from_arrays(
+                    [*columns, pa.array(np.diff(shard.first)), pa.array(own, pa.binary()), pa.array([sorted(found.get(d, ())) for d in range(b - a)], pa.list_(pa.string())), pa.array([x and -x[0] for x in longest], pa.int32()), pa.array([x and x[1] for x in longest], pa.int32()), pa.array([x and x[2] for x in longest], pa.string())],
+                    names=[*kept, "n_words", *[x.split()[0] for x in STATE.split(", ")]],
+                )
 
     return run
 
 
 def matches(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """The columns of docs with ``n_words``, ``spans`` (pairs of 32-bit word positions, half open) and ``items``.
+    """The columns of docs with ``n_words``, ``spans`` (pairs of 32-bit word positions, half open), ``items``, and the
+    longest verbatim match: ``longest`` words from word ``longest_at`` on, of ``longest_item``; null for none.
 
     Columns of docs with these names are replaced."""
-    spark = docs.sparkSession
-    fields = [f for f in docs.schema.fields if f.name not in ("n_words", "spans", "items")]
-    kept = [f.name for f in fields]
+    added = ["n_words", *[x.split()[0] for x in STATE.split(", ")]]
+    fields = [f for f in docs.schema.fields if f.name not in added]
     schema = f"{', '.join(f'`{f.name}` {f.dataType.simpleString()}' for f in fields)}, n_words long, {STATE}"
-    state = docs.select(*kept, F.lit(b"").alias("spans"), F.expr("cast(array() as array<string>)").alias("items"))
-    scratch = Scratch(spark, "decontaminate")
-    for k, block in enumerate(blocks(benchmark)):
-        if k:
-            state = scratch.write(state, f"block-{k}").select(*kept, "spans", "items")
-            if k > 1:
-                scratch.drop(f"block-{k - 1}")
-        state = state.mapInArrow(_scan(spark.sparkContext.broadcast(block), kept), schema)
-    return state
+    kept = [f.name for f in fields]
+    return docs.select(*kept).mapInArrow(_scan(*prepared(benchmark), kept), schema)
 
 
 def _digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        doc, n_words, spans, items = batch.columns
+        doc, n_words, spans, items, *longest = batch.columns
         hit = [int(np.diff(np.frombuffer(x, "<i4").reshape(-1, 2).astype(np.int64)).sum()) for x in spans.to_pylist()]
         names = items.to_pylist()
         yield pa.RecordBatch.from_arrays(
-            [doc, n_words, pa.array(hit, pa.int64()), pa.array([len(x) for x in names], pa.int64()), pa.array([hashlib.sha256(",".join(sorted(x)).encode()).hexdigest() for x in names]), pa.array([x > 0 for x in hit])],
-            names=["doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated"],
+            [doc, n_words, pa.array(hit, pa.int64()), pa.array([len(x) for x in names], pa.int64()), pa.array([hashlib.sha256(",".join(sorted(x)).encode()).hexdigest() for x in names]), pa.array([x > 0 for x in hit]), *longest],
+            names=["doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated", "longest", "longest_at", "longest_item"],
         )
 
 
 def digests(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """(doc_id, n_words, n_hit, n_items, items_sha256, contaminated) of each document."""
+    """(doc_id, n_words, n_hit, n_items, items_sha256, contaminated, longest, longest_at, longest_item) of each document."""
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return matches(rows, benchmark).select("doc_id", "n_words", "spans", "items").mapInArrow(_digest, "doc_id long, n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean")
+    schema = "doc_id long, n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean, longest int, longest_at int, longest_item string"
+    return matches(rows, benchmark).drop("text").select("doc_id", "n_words", "spans", "items", "longest", "longest_at", "longest_item").mapInArrow(_digest, schema)
 
 
 def clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
@@ -274,17 +308,15 @@ def clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 def longest_matches(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """(item_id, item_word, length, doc_id, doc_word): each test suffix's longest verbatim match and a place of it,
     the least doc_id and position of equals; suffixes that match no word are left out."""
-    spark = docs.sparkSession
-    out = None
-    for block in blocks(benchmark):
-        sent = spark.sparkContext.broadcast(block)
-
-        def run(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
-            tests = _tests(sent.value)
-            for batch in batches:
-                for a, _, data, offsets in chunks(batch.column(1), SHARD):
-                    shard = Shard(tests, data, offsets)
-                    length, position = shard.longest()
+    sent, vocabulary = prepared(benchmark)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for a, _, data, offsets in chunks(batch.column(1), SHARD):
+                shard = Shard(np.frombuffer(vocabulary.value, _U), WINDOW, data, offsets)
+                for block in sent:
+                    tests = _tests(block.value, vocabulary.value)
+                    length, position = shard.longest(tests)
                     some = np.flatnonzero(length)
                     d = shard.document(position[some])
                     yield pa.RecordBatch.from_arrays(
@@ -292,8 +324,7 @@ def longest_matches(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
                         names=["item_id", "item_word", "length", "doc_id", "doc_word"],
                     )
 
-        rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-        found = rows.mapInArrow(run, "item_id string, item_word long, length long, doc_id long, doc_word long")
-        out = found if out is None else out.union(found)
-    best = out.groupBy("item_id", "item_word").agg(F.min(F.struct((-F.col("length")).alias("less"), "doc_id", "doc_word")).alias("m"))
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    found = rows.mapInArrow(run, "item_id string, item_word long, length long, doc_id long, doc_word long")
+    best = found.groupBy("item_id", "item_word").agg(F.min(F.struct((-F.col("length")).alias("less"), "doc_id", "doc_word")).alias("m"))
     return best.select("item_id", "item_word", (-F.col("m.less")).alias("length"), "m.doc_id", "m.doc_word")
