@@ -1,8 +1,11 @@
 """Toxicity by multiple-instance learning.
 
 A document is a bag of sentences. A sentence's score is a logistic function of the words it has, and of how its
-words begin (so that inflected words share evidence); a document is toxic if any sentence is (noisy-or). Weights are trained from document labels alone, and the sentences that make a
-document toxic are found by their own scores.
+words begin (so that inflected words share evidence); a document is toxic if any sentence is (noisy-or). Weights are
+trained from document labels alone, and the sentences that make a document toxic are found by their own scores.
+
+Near copies of the sample with equal labels train once (``without_copies``), as a large group of them would outvote
+all other texts.
 
 No shuffle over the documents: the sample (at most ``SAMPLE`` ids) and the model (words of the sample) are
 broadcast, both bounded by the sample's parameter. Training takes place on the driver.
@@ -88,12 +91,26 @@ def softplus(z: np.ndarray) -> np.ndarray:
 
 
 def without_copies(bags: list[tuple[int, np.ndarray, np.ndarray]]) -> list[tuple[int, np.ndarray, np.ndarray]]:
-    """One document of those that share the least hash of their five-word runs, as near copies mostly do."""
-    first = {}
+    """The first document of each group of near copies with the same label, so that a large group counts once.
+
+    A copy has the same least five-word shingle as the first, and sets of shingles that are alike by 0.75 or more;
+    documents of other labels are no copies, whatever their text."""
+    kept, firsts = [], {}
     for b in bags:
-        grams = gram_hashes(b[1], 5) if len(b[1]) >= 5 else mix(b[1])
-        first.setdefault(int(grams.min()) if len(grams) else -1, b)
-    return list(first.values())
+        words_ = b[1][: len(b[1]) // (1 + len(STEMS))]  # what follows are the words' beginnings
+        grams = np.unique(gram_hashes(words_, 5)) if len(words_) >= 5 else words_[:0] if not len(words_) else mix(words_ * np.arange(1, 2 * len(words_), 2, np.uint64)).sum(dtype=np.uint64, keepdims=True)
+        others = firsts.setdefault((b[0], int(grams[0]) if len(grams) else -1), [])
+        if any(alike(grams, o) for o in others):
+            continue
+        others.append(grams)
+        kept.append(b)
+    return kept
+
+
+def alike(a: np.ndarray, b: np.ndarray) -> bool:
+    """Whether two ascending sets have three quarters of their union in common; two empty ones do."""
+    common = len(np.intersect1d(a, b, assume_unique=True))
+    return 100 * common >= 75 * (len(a) + len(b) - common)
 
 
 def fit(bags: list[tuple[int, np.ndarray, np.ndarray]]) -> Model:
