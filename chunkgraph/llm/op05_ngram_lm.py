@@ -46,7 +46,7 @@ from pyspark.sql import functions as F
 
 from . import blobs
 from .storage import Scratch, buckets_for
-from .textops import chunks, give_back, mix, word_hashes
+from .textops import CHUNK, chunks, give_back, mix, word_hashes
 
 FOLD = 7
 HELD = 2
@@ -58,6 +58,7 @@ END = np.array([0x9D5C0B7F3A1E6428], _U)  # the hash of the end token
 START = 1 << 62  # the number of the start mark
 FULL = 255  # counts from here on stand in files of their own
 PER_SLOT = 8
+SCORED = 3 << 20  # bytes of text that a worker looks up together
 _K = [_U(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9)]
 
 
@@ -101,6 +102,11 @@ def mapped(folder: str, name: str, kinds: tuple[tuple[str, int], ...]) -> list[n
     return out
 
 
+def _by_bucket_order(bucket: np.ndarray, n: int) -> np.ndarray:
+    """A stable order by bucket; few buckets sort by radix."""
+    return np.argsort(bucket.astype(np.uint16) if n <= 1 << 16 else bucket, kind="stable")
+
+
 def _runs(bucket: np.ndarray, n: int) -> Iterator[tuple[int, int, int]]:
     """(bucket, first row, row after the last) of ascending buckets."""
     edges = np.searchsorted(bucket, np.arange(n + 1))
@@ -163,15 +169,13 @@ def read_grams(folder: str, name: str, rows: int, large: int, counts: int, keys:
     slot = (keys >> _U(64 - slots.bit_length() + 1)).astype(np.int64) if slots > 1 else np.zeros(len(keys), np.int64)
     want = ((keys << _U(slots.bit_length() - 1)) >> _U(32)).astype(np.uint32)
     at, end = index[slot].astype(np.int64), index[slot + 1].astype(np.int64)
-    live = np.flatnonzero(at < end)
-    place = np.full(len(keys), -1, np.int64)
-    while len(live):  # a slot's few rows one after the other
-        got = low[at[live]]
-        hit = got == want[live]
-        place[live[hit]] = at[live[hit]]
-        live = live[~hit & (got < want[live])]
-        at[live] += 1
-        live = live[at[live] < end[live]]
+    after, last = end.copy(), len(low) - 1
+    for _ in range(int((end - at).max(initial=0)).bit_length()):  # binary search among a slot's few rows
+        mid = (at + end) >> 1
+        less = (low[np.minimum(mid, last)] < want) & (mid < end)
+        at = np.where(less, mid + 1, at)
+        end = np.where(less, end, mid)
+    place = np.where((at < after) & (low[np.minimum(at, last)] == want), at, -1)
     found = np.flatnonzero(place >= 0)
     place = place[found]
     for o, c in zip(out, rest[:counts]):
@@ -204,9 +208,9 @@ def _sum_words(bucket, key, count) -> list[np.ndarray]:
     return [bucket[head], key[head], np.add.reduceat(count, head)]
 
 
-def _tokens(column: pa.Array) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+def _tokens(column: pa.Array, limit: int = CHUNK) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
     """(first row, hashes of words with the end token after each text, where each text ends)."""
-    for a, _, data, offsets in chunks(column):
+    for a, _, data, offsets in chunks(column, limit):
         hashes, first = word_hashes(data, offsets)
         flat = np.insert(hashes, first[1:], END[0])
         yield a, flat, first[1:] + np.arange(1, len(first))
@@ -260,12 +264,11 @@ class Words:
     def distinct(self) -> int:
         return int(sum(self.table.sizes))
 
-    def number(self, flat: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(number of each token, -1 if unknown; its count)."""
+    def distinct_of(self, flat: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(number of each distinct word, -1 if unknown; its count; the place of each token's word among them)."""
         keys, back = np.unique(flat, return_inverse=True)
         known, bucket, place, count = self.table.find(keys)
-        number = np.where(known, self.bases[bucket] + place, -1)
-        return number[back], count[back]
+        return np.where(known, self.bases[bucket] + place, -1), count, back
 
     def heavy_place(self, v: np.ndarray) -> np.ndarray:
         """Where each number stands among the heavy ones, -1 if it isn't one."""
@@ -321,7 +324,8 @@ def _count_grams(words, order: int, buckets: int):
         out = _GramBox(words.value, order, buckets)
         for batch in batches:
             for _, flat, ends in _tokens(batch.column(0)):
-                number, _ = words.value.number(flat)
+                number, _, back = words.value.distinct_of(flat)
+                number = number[back]
                 u = _before(number, ends, 2) if order == 3 else np.zeros(len(number), np.int64)
                 yield from out.put(u, _before(number, ends, 1), number)
         yield from out.flush()
@@ -516,8 +520,9 @@ class Model:
     def ties(self, number: np.ndarray) -> np.ndarray:
         """t of known numbers."""
         out = np.zeros(len(number), np.int64)
-        by = np.argsort(number, kind="stable")
-        for b, x, y in _runs(number[by] // self.span, len(self.sizes)):
+        bucket = number // self.span
+        by = _by_bucket_order(bucket, len(self.sizes))
+        for b, x, y in _runs(bucket[by], len(self.sizes)):
             out[by[x:y]] = mapped(self.folder, f"ties-{b:05d}", (("<i8", self.sizes[b]),))[0][number[by[x:y]] - b * self.span]
         return out
 
@@ -525,69 +530,67 @@ class Model:
         return sum(k * d for k, d in zip(kinds, self.of[order][1:]))
 
     def _lowest(self, number: np.ndarray) -> np.ndarray:
-        distinct, back = np.unique(number, return_inverse=True)
-        known = distinct >= 0
-        t = np.zeros(len(distinct), np.int64)
-        t[known] = self.ties(distinct[known])
+        """p1 of distinct words."""
+        known = number >= 0
+        t = np.zeros(len(number), np.int64)
+        t[known] = self.ties(number[known])
         seen = np.maximum(t - self.of[1][np.minimum(t, 3)], 0)
-        return (seen / max(1, self.distinct_pairs) + self.given_back / (self.words.distinct + 1))[back]
-
-    def _totals(self, v: np.ndarray) -> list[np.ndarray]:
-        """(sum, kinds) of what follows known words."""
-        distinct, back = np.unique(v, return_inverse=True)
-        heavy = self.words.heavy_place(distinct)
-        spread = mix(distinct.astype(_U) * _K[0] + _U(1))
-        by = np.argsort(spread)
-        _, found = self.totals.find(blobs.bucket_of(spread[by], len(self.totals.rows)), mix(distinct[by].astype(_U)))
-        out = []
+        return seen / max(1, self.distinct_pairs) + self.given_back / (self.words.distinct + 1)
+
+    def _totals(self, v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """What follows distinct numbers: the sum, and what the discounts take of it; 0 for unknown words."""
+        heavy = self.words.heavy_place(v)
+        spread = mix(v.astype(_U) * _K[0] + _U(1))
+        bucket = blobs.bucket_of(spread, len(self.totals.rows))
+        by = _by_bucket_order(bucket, len(self.totals.rows))
+        _, found = self.totals.find(bucket[by], mix(v[by].astype(_U)))
+        columns = []
         for k, f in enumerate(found):
-            column = np.zeros(len(distinct), np.int64)
+            column = np.zeros(len(v), np.int64)
             column[by] = f
             if len(self.heavy_totals):
                 column = np.where(heavy >= 0, self.heavy_totals[heavy, k], column)
-            out.append(column[back])
-        return out
+            columns.append(np.where(v >= 0, column, 0))
+        return columns[0], self._taken(columns[1:], 2)
 
-    def log10(self, number: np.ndarray, ends: np.ndarray) -> np.ndarray:
-        """log10 p of every token after those before it."""
-        n = len(number)
-        p = self._lowest(number)
+    def log10(self, distinct: np.ndarray, back: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        """log10 p of every token after those before it; tokens as places among distinct numbers."""
+        number = distinct[back]
+        p = self._lowest(distinct)[back]
         v = _before(number, ends, 1)
-        heard = np.flatnonzero(v >= 0)  # else the word before is unknown
-        total, *kinds = self._totals(v[heard])
-        follows = total > 0
-        heard, total, kinds = heard[follows], total[follows], [k[follows] for k in kinds]
-        p[heard] *= self._taken(kinds, 2) / total
-        pair = np.zeros(n, np.int64)  # t of the pair that each token ends
-        far = self.words.heavy_place(v) >= 0
-        for grams, some in ((self.pairs, (v >= 0) & (number >= 0) & ~far), (self.far, (v >= 0) & (number >= 0) & far)):
+        # what follows a word is looked up once for each distinct word, and for the start mark
+        total, taken = self._totals(np.append(distinct, START))
+        place = np.empty(len(back), np.int64)
+        place[1:], place[np.concatenate([[0], ends[:-1]])[: len(ends)]] = back[:-1], len(distinct)
+        total, taken = total[place], taken[place]
+        heard = np.flatnonzero(total > 0)  # else the word before is unknown
+        p[heard] *= taken[heard] / total[heard]
+        pair = np.zeros(len(number), np.int64)  # t of the pair that each token ends
+        both = (v >= 0) & (number >= 0)
+        far = both & (self.words.heavy_place(v) >= 0)
+        for grams, some in ((self.pairs, both & ~far), (self.far, far)):
             at = np.flatnonzero(some)
             if not len(at):
                 continue
-            if grams is self.far:
-                bucket = number[at] // self.span
-            else:
-                bucket = blobs.bucket_of(mix(v[at].astype(_U) * _K[0] + _U(1)), len(grams.rows))
-            by = np.argsort(bucket, kind="stable")
+            bucket = number[at] // self.span if grams is self.far else blobs.bucket_of(mix(v[at].astype(_U) * _K[0] + _U(1)), len(grams.rows))
+            by = _by_bucket_order(bucket, len(grams.rows))
             at = at[by]
             _, (found,) = grams.find(bucket[by], _pair_hash(v[at], number[at]))
             pair[at] = found
         seen = pair[heard]
-        p[heard] += np.maximum(seen - self.of[2][np.minimum(seen, 3)], 0) / total
+        p[heard] += np.maximum(seen - self.of[2][np.minimum(seen, 3)], 0) / total[heard]
         if self.order == 2:
             return np.log10(p)
         u = _before(number, ends, 2)
         # two words before that were learned together, or the start of a text
-        begins = (u == START) & (v == START)
-        behind = np.zeros(n, np.int64)
+        behind = np.zeros(len(number), np.int64)
         behind[1:] = pair[:-1]
         behind[v == START] = 0
-        at = np.flatnonzero(begins & (self.words.tokens > 0) | (behind > 0))
+        at = np.flatnonzero((u == START) & (v == START) & (self.words.tokens > 0) | (behind > 0))
         if not len(at):
             return np.log10(p)
-        spread = _spread(self.words, v[at], u[at])
-        bucket = blobs.bucket_of(spread, len(self.contexts.rows))
-        by = np.argsort(bucket, kind="stable")
+        bucket = blobs.bucket_of(_spread(self.words, v[at], u[at]), len(self.contexts.rows))
+        by = _by_bucket_order(bucket, len(self.contexts.rows))
         at, bucket = at[by], bucket[by]
         known, (total, *kinds) = self.contexts.find(bucket, _pair_hash(u[at], v[at]))
         once = ~known  # contexts of one occurrence are not stored
@@ -607,7 +610,7 @@ def train(docs: DataFrame, scratch: Scratch, order: int = ORDER) -> Model:
     spark = docs.sparkSession
     folder = f"{scratch.path}/model"
     text = docs.select(F.col("text").cast("string").alias("text"))
-    n = 2 * buckets_for(text, BUCKET_BYTES)
+    n = buckets_for(text, BUCKET_BYTES)
     rows = blobs.exchange(text.mapInArrow(_count_words(n), blobs.SCHEMA), n).mapInArrow(_store_words(folder, n), "bucket int, size long, total long, places array<long>, counts array<long>")
     tokens, sizes, often = 0, [0] * n, []
     for r in rows.toLocalIterator():  # one row for each bucket
@@ -656,12 +659,12 @@ def _scorer(model):
         m = model.value
         whole = m.words.tokens + m.words.distinct + 1
         for batch in batches:
-            for a, flat, ends in _tokens(batch.column(1)):
-                number, count = m.words.number(flat)
+            for a, flat, ends in _tokens(batch.column(1), SCORED):
+                number, count, back = m.words.distinct_of(flat)
                 starts = np.concatenate([[0], ends[:-1]])
-                base = np.log10((count + 1) / whole)
+                base, known = np.log10((count + 1) / whole)[back], (count > 0).astype(np.int64)[back]
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).slice(a, len(ends)), pa.array(ends - starts), pa.array(np.add.reduceat((count > 0).astype(np.int64), starts)), pa.array(np.add.reduceat(base, starts)), pa.array(np.add.reduceat(m.log10(number, ends), starts))],
+                    [batch.column(0).slice(a, len(ends)), pa.array(ends - starts), pa.array(np.add.reduceat(known, starts)), pa.array(np.add.reduceat(base, starts)), pa.array(np.add.reduceat(m.log10(number, back, ends), starts))],
                     names=["doc_id", "n_tokens", "n_known", "base_score", "score"],
                 )
 
