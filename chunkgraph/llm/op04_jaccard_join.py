@@ -5,7 +5,7 @@ shingles of a set are ordered rare first, by a count sketch over all documents t
 order gives the same links; the counts only make prefixes selective). Two sets with a Jaccard similarity of at
 least 75 % share a shingle among the first ``n - ceil(0.75 n) + 1`` of each, so prefixes are exchanged by shingle.
 Pairs of a shingle pass a length and a positional filter; distinct pairs pass a suffix filter, an upper bound of
-the overlap from 16 counts for each set; what is left is verified on the sets, once.
+the overlap from 128 counts for each set; what is left is verified on the sets, once.
 
 Large groups of near copies don't give all their pairs: a shingle with more than ``ALL_PAIRS`` classes first gives
 the pairs with its few classes that have least of their own. Only pairs that the links found so far don't connect
@@ -31,8 +31,8 @@ from pyspark.sql import functions as F
 
 from . import blobs
 from .graphs import BROADCAST_IDS, by_id, components
-from .storage import Scratch, partitions
-from .textops import chunks, mix, ragged_take, shingles, word_hashes
+from .storage import Scratch, buckets_for, partitions
+from .textops import chunks, list_column, mix, ragged_take, shingles, word_hashes
 
 SHINGLE = 5
 SKETCH_BITS, SLICE_BITS = 22, 16
@@ -41,10 +41,10 @@ HUBS, EARLY = 4, 8  # of a larger group: classes that the others are paired with
 NAMING = 16  # shingles of a class by which a pair of the second step is known to be named before
 TESTS = 1 << 18  # pairs of rows of a shingle that a task looks at together
 SALT = 64  # pairs of a hub that are verified together
-HISTOGRAM = 16
+HISTOGRAM = 128
 _U = np.uint64
 
-INFO = "doc_id long, n long, cls long, check long, histogram array<int>, slice int, counts binary"
+INFO = "doc_id long, n long, cls long, check long, slice int, counts binary"
 
 
 def _sets(column: pa.Array) -> Iterator[tuple[int, np.ndarray]]:
@@ -65,21 +65,21 @@ def _class(s: np.ndarray) -> tuple[int, int]:
 def _survey(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     sketch = np.zeros(1 << SKETCH_BITS, np.uint32)
     names = [x.split()[0] for x in INFO.split(", ")]
-    kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int32()), pa.int32(), pa.binary()]
+    kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.binary()]
     for batch in batches:
         rows = []
         for i, s in _sets(batch.column(1)):
             sketch_at = (s >> _U(64 - SKETCH_BITS)).astype(np.int64)
             np.add.at(sketch, sketch_at, 1)
-            rows.append((len(s), *_class(s), np.bincount((s & _U(HISTOGRAM - 1)).astype(np.int64), minlength=HISTOGRAM).tolist()))
-        n, cls, check, histogram = zip(*rows) if rows else ((), (), (), ())
+            rows.append((len(s), *_class(s)))
+        n, cls, check = zip(*rows) if rows else ((), (), ())
         none = [None] * len(rows)
-        yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip([batch.column(0), n, cls, check, histogram, none, none], kinds)], names=names)
+        yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip([batch.column(0), n, cls, check, none, none], kinds)], names=names)
     step = 1 << SLICE_BITS
     for k in range(len(sketch) // step):
         part = sketch[k * step : (k + 1) * step]
         if part.any():
-            yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip([[None]] * 5 + [[k], [blobs.pack(part)]], kinds)], names=names)
+            yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip([[None]] * 4 + [[k], [blobs.pack(part)]], kinds)], names=names)
 
 
 def _add_slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -94,14 +94,14 @@ def _add_slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def survey(docs: DataFrame, scratch: Scratch) -> tuple[DataFrame, bytes]:
-    """(size, class and histogram of every document; levels of the sketch: always 2**22 bytes)."""
+    """(size and class of every document; levels of the sketch: always 2**22 bytes)."""
     staged = scratch.write(docs.mapInArrow(_survey, INFO), "survey")
     n = min(partitions(docs.sparkSession), 1 << SKETCH_BITS - SLICE_BITS)
     slices = staged.filter("slice is not null").select("slice", "counts").repartition(n, "slice").mapInArrow(_add_slices, "slice int, levels binary").collect()
     levels = np.zeros(1 << SKETCH_BITS, np.uint8)
     for r in slices:
         levels[r.slice << SLICE_BITS : (r.slice + 1) << SLICE_BITS] = np.frombuffer(r.levels, np.uint8)
-    return staged.filter("slice is null").select("doc_id", "n", "cls", "check", "histogram"), levels.tobytes()
+    return staged.filter("slice is null").select("doc_id", "n", "cls", "check"), levels.tobytes()
 
 
 def prefix_size(n: int) -> int:
@@ -319,13 +319,19 @@ def _packed(s: np.ndarray) -> bytes:
     return blobs.pack(np.diff(short, prepend=_U(0)))
 
 
+SETS = "cls long, n long, histogram array<smallint>, packed binary"
+
+
 def _needed_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        cls, packed = [], []
+        cls, n, counts, packed = [], [], [], []
         for _, s in _sets(batch.column(0)):
             cls.append(_class(s)[0])
+            n.append(len(s))
+            counts.append(np.minimum(np.bincount((s & _U(HISTOGRAM - 1)).astype(np.int64), minlength=HISTOGRAM), 32767).astype(np.int16))
             packed.append(_packed(s))
-        yield pa.RecordBatch.from_arrays([pa.array(cls, pa.int64()), pa.array(packed, pa.binary())], names=["cls", "packed"])
+        histogram = list_column(pa.array(np.concatenate(counts) if counts else np.zeros(0, np.int16)), np.full(len(cls), HISTOGRAM))
+        yield pa.RecordBatch.from_arrays([pa.array(cls, pa.int64()), pa.array(n, pa.int64()), histogram, pa.array(packed, pa.binary())], names=[x.split()[0] for x in SETS.split(", ")])
 
 
 def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -355,11 +361,11 @@ class Join:
         self.spark = docs.sparkSession
         self.docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
         self.scratch = Scratch(self.spark, "jaccard")
-        self.n = partitions(self.spark)
+        self.n = buckets_for(self.docs)
         info, levels = survey(self.docs, self.scratch)
         self.levels = self.spark.sparkContext.broadcast(levels)
         whole = info.filter("doc_id is not null and n > 0")
-        reps = whole.groupBy("cls", "check").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.first("histogram").alias("histogram"))
+        reps = whole.groupBy("cls", "check").agg(F.min("doc_id").alias("rep"))
         self.classes = self.scratch.write(reps, "classes")
         self.members = info.select("doc_id", "n", "cls", "check")
 
@@ -376,12 +382,15 @@ class Join:
     def verify(self, pairs: DataFrame, label: str) -> DataFrame:
         """Links (u, v) between the first documents of classes whose sets have at least 75 % in common.
 
-        Sixteen counts of each set bound what a pair can have in common. The class with more pairs is its hub."""
+        The counts of each set's parts by hash bound what a pair can have in common, so that few sets are sent that
+        are not alike. The class with more pairs is a pair's hub."""
         pairs = self.scratch.write(pairs, f"{label}-pairs")
         degree = pairs.select(F.explode(F.array("a", "b")).alias("cls")).groupBy("cls").agg(F.count("*").alias("degree"))
-        info = self.scratch.write(degree.join(self.classes, "cls").select("cls", "rep", "n", "histogram", "degree"), f"{label}-classes")
-        sets = by_id(self.docs, info.select(F.col("rep").alias("doc_id")), "left_semi").select("text").mapInArrow(_needed_sets, "cls long, packed binary")
+        named = self.scratch.write(degree.join(self.classes, "cls").select("cls", "rep", "degree"), f"{label}-classes")
+        sets = by_id(self.docs, named.select(F.col("rep").alias("doc_id")), "left_semi").select("text").mapInArrow(_needed_sets, SETS)
         sets = self.scratch.write(sets, f"{label}-sets")
+        info = named.join(sets.select("cls", "n", "histogram"), "cls").select("cls", "rep", "n", "histogram", "degree")
+        sets = sets.select("cls", "packed")
         both = pairs.join(info.toDF("a", "ra", "na", "ha", "da"), "a").join(info.toDF("b", "rb", "nb", "hb", "db"), "b")
         apart = F.aggregate(F.zip_with("ha", "hb", lambda p, q: F.abs(p - q).cast("long")), F.lit(0).cast("long"), lambda s, v: s + v)
         both = both.filter(F.col("na") + F.col("nb") >= 7 * apart)
