@@ -10,7 +10,9 @@ from pyspark.sql import functions as F
 
 @dataclass(frozen=True)
 class EngineConfig:
-    """Everything that shapes a graph and a retrieval; checked on creation."""
+    """Everything that shapes a graph and a retrieval; checked on creation.
+
+    The limits max_candidates, max_paths_per_pair and max_graph_size are None for no limit."""
 
     k: int = 10
     sim_threshold: float = 0.7
@@ -26,9 +28,9 @@ class EngineConfig:
     sample_ratio: float = 0.1
     lsh_planes: int = 128
     seed: int = 42
-    max_candidates: int = 100
+    max_candidates: int | None = 100
     max_paths_per_pair: int | None = 10
-    max_graph_size: int = 100_000
+    max_graph_size: int | None = 100_000
     batch_size: int = 1000
     max_workers: int = 4
     cache_size: int = 100

@@ -7,6 +7,7 @@ import re
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, MapType, StructType
 
 SEPARATORS = ("\n\n", "\n", " ", "")
 HEADER = re.compile(r"(#{1,5})(?: (.*))?$")
@@ -139,6 +140,21 @@ def first_text(*columns: Column) -> Column:
     return out
 
 
+#: Where a chunk's text is looked for, in order.
+TEXT_KEYS = ("content", "text", "page_content")
+
+
+def text_of(chunks: DataFrame, column: str) -> Column:
+    """The text of chunks of any kind: text itself, a struct's or map's first of ``TEXT_KEYS`` that holds text, or
+    whatever it is as text (lists and other structs as JSON)."""
+    kind, c = chunks.schema[column].dataType, F.col(column)
+    if isinstance(kind, StructType):
+        return first_text(*[c[k] for k in TEXT_KEYS if k in kind.names], F.when(c.isNotNull(), F.to_json(c)))
+    if isinstance(kind, MapType):
+        return first_text(*[c[k] for k in TEXT_KEYS], F.when(c.isNotNull(), F.to_json(c)))
+    return first_text(F.to_json(c) if isinstance(kind, ArrayType) else c)
+
+
 def accepted_ocr(results: DataFrame, least: float = 10.0) -> DataFrame:
     """Results with text and a confidence above ``least``; the text stripped."""
     return results.filter((F.col("confidence") > least) & (F.trim("text") != "")).withColumn("text", F.trim("text"))

@@ -212,11 +212,12 @@ METHODS: dict[str, Callable[..., DataFrame]] = {
 
 
 def build(nodes: DataFrame, method: str, config: EngineConfig) -> DataFrame:
-    """Edges by a named method; a name that isn't known gives brute force. The first nodes by id, up to the cap."""
+    """Edges by a named method; a name that isn't known gives brute force. The first nodes by id, up to the cap if there is one."""
     if config.metric == "cosine":
         nodes = nodes.withColumn("emb", normalise(F.col("emb")))
     return METHODS.get(method, brute_force)(capped(nodes, config.max_graph_size), config)
 
 
-def capped(nodes: DataFrame, most: int) -> DataFrame:
-    return nodes.orderBy("node_id").limit(most)
+def capped(nodes: DataFrame, most: int | None) -> DataFrame:
+    """The first nodes by id; all of them without a limit."""
+    return nodes if most is None else nodes.orderBy("node_id").limit(most)

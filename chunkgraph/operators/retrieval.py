@@ -31,8 +31,9 @@ def check_queries(queries: DataFrame, top_k: int, size: int | None = None) -> No
         raise ValueError("query vectors must have the size of the nodes' vectors")
 
 
-def top_nodes(queries: DataFrame, nodes: DataFrame, top_k: int, max_candidates: int = 100) -> DataFrame:
-    """(query_id, node_id, sim, rk): the nearest nodes of (query_id, emb), at most ``max_candidates``.
+def top_nodes(queries: DataFrame, nodes: DataFrame, top_k: int, max_candidates: int | None = 100) -> DataFrame:
+    """(query_id, node_id, sim, rk): the nearest nodes of (query_id, emb), at most ``max_candidates`` if
+    that is a limit.
 
     A query's own node, if it is one, is a candidate. If both sides have a ``graph_id``, a query sees the nodes of its
     graph alone, and the result has the graph_id."""
@@ -41,7 +42,7 @@ def top_nodes(queries: DataFrame, nodes: DataFrame, top_k: int, max_candidates:
     asked, group = queries.withColumn("node_id", F.col("query_id")), None
     if "graph_id" in queries.columns and "graph_id" in nodes.columns:
         asked, nodes, group = asked.withColumn("scope", F.xxhash64("graph_id")), nodes.withColumn("scope", F.xxhash64("graph_id")), "scope"
-    found = similarity_join(asked, nodes, float("-inf"), inclusive=True, k=min(top_k, max_candidates), distinct=False, group=group)
+    found = similarity_join(asked, nodes, float("-inf"), inclusive=True, k=top_k if max_candidates is None else min(top_k, max_candidates), distinct=False, group=group)
     found = found.select(F.col("src").alias("query_id"), F.col("dst").alias("node_id"), F.col("weight").alias("sim"), F.col("nbr_rank").alias("rk"))
     return found if group is None else found.join(queries.select("query_id", "graph_id"), "query_id")
 

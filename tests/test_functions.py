@@ -250,6 +250,22 @@ def test_first_text_and_accepted_ocr(spark):
     assert [(r.file, r.text) for r in split.accepted_ocr(results).collect()] == [("i", "t")]
 
 
+def test_text_of_any_chunk(spark):
+    shape = "a string, b struct<text:string,content:string>, c map<string,string>, d array<string>, e struct<x:int>"
+    rows = spark.createDataFrame([(" t ", ("x", " "), {"page_content": "p", "text": "null"}, ["q"], (1,)), ("None", ("x", "y"), {"k": "v"}, None, None)], shape)
+    found = rows.select(*[split.text_of(rows, c).alias(c) for c in rows.columns]).collect()
+    assert [tuple(r) for r in found] == [("t", "x", "p", '["q"]', '{"x":1}'), (None, "y", '{"k":"v"}', None, None)]
+
+
+def test_limits_can_be_none(spark):
+    nodes = spark.createDataFrame([(i, [1.0, i / 150]) for i in range(150)], "node_id long, emb array<double>")
+    assert graphs.capped(nodes, 10).count() == 10 and graphs.capped(nodes, None).count() == 150
+    asked = spark.createDataFrame([(0, [1.0, 0.0])], "query_id long, emb array<double>")
+    assert retrieval.top_nodes(asked, nodes, 120).count() == 100 and retrieval.top_nodes(asked, nodes, 120, None).count() == 120
+    c = EngineConfig(max_graph_size=None, max_candidates=None, sim_threshold=0.1, k=2)
+    assert graphs.build(nodes, "knn", c).select("src").distinct().count() == 150
+
+
 def test_golden_chunks(spark):
     """Pieces of a small text, written out."""
     words = "".join(f"word{i:02d} " for i in range(30))
