@@ -7,7 +7,16 @@
   encode         gives the token ids of what is left
 
 A stage's result is written as Parquet and read again as the next one's documents, so a lost executor costs the
-stage that runs. All stages but the last return the columns of documents.
+stage that runs. All stages but the last return the columns of documents, whatever their names; n_chars, if there is
+such a column, follows a text that is cut.
+
+Defined cases, for every stage: a null text is kept as it is (it is not toxic, alike, repeated or contaminated), and
+so is a text without words; encode gives it no ids. Rows with a null doc_id are judged by their text alone: toxic and
+contaminated ones go, they are no copies and nothing is cut from them. Rows that share a doc_id are one document:
+they are no copies of each other, and stay or go together as copies; where several texts share an id, the passages
+found in any of them are cut by word position from each. Copies of equal rank, passages and windows are settled by
+the least doc_id. Texts of any length are read whole. Empty documents, labels or benchmark tables give what is left
+without them: no model means no document is rejected as toxic.
 """
 
 from __future__ import annotations
