@@ -20,24 +20,32 @@ def _planes(a: np.ndarray) -> bytes:
 
 
 def pack(*columns: np.ndarray) -> bytes:
+    """Columns as bytes; 64-bit ones that ascend go as differences."""
     parts = [struct.pack("<B", len(columns))]
     for c in columns:
         c = np.ascontiguousarray(c)
-        parts.append(struct.pack("<2sQ", c.dtype.str[1:3].encode(), len(c)))
+        kind = c.dtype.str[1:3].encode()
+        if kind in _RISING and len(c) > 1 and (c[1:] >= c[:-1]).all():
+            kind, c = _RISING[kind], np.concatenate([c[:1], c[1:] - c[:-1]])
+        parts.append(struct.pack("<2sQ", kind, len(c)))
         parts.append(_planes(c))
     return zstandard.ZstdCompressor(level=1).compress(b"".join(parts))
 
 
+_RISING = {b"u8": b"U8", b"i8": b"I8"}
+
+
 def unpack(blob: bytes) -> list[np.ndarray]:
     raw = zstandard.ZstdDecompressor().decompress(blob)
     at, out = 1, []
     for _ in range(raw[0]):
         kind, n = struct.unpack_from("<2sQ", raw, at)
         at += 10
-        dtype = np.dtype("<" + kind.decode())
+        dtype = np.dtype("<" + kind.decode().lower())
         flat = np.frombuffer(raw, np.uint8, n * dtype.itemsize, at)
         at += n * dtype.itemsize
-        out.append(np.ascontiguousarray(flat.reshape(dtype.itemsize, n).T).reshape(-1).view(dtype) if n else np.zeros(0, dtype))
+        c = np.ascontiguousarray(flat.reshape(dtype.itemsize, n).T).reshape(-1).view(dtype) if n else np.zeros(0, dtype)
+        out.append(np.cumsum(c, dtype=dtype) if kind in _RISING.values() else c)
     return out
 
 

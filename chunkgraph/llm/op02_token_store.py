@@ -40,7 +40,7 @@ from pyspark.sql import functions as F
 
 from . import blobs
 from .bpe import PieceCache, library_encoder, per_document
-from .storage import Scratch, buckets_for
+from .storage import Scratch, buckets_for, release
 from .textops import binary_column, chunks, give_back, mix, ragged_take
 
 ADDRESS = 16
@@ -232,6 +232,8 @@ def write_store(docs: DataFrame, tokenizer_file: str, path: str, end_id: int = 0
     n = buckets_for(rows)
     flow = rows.mapInArrow(_stager(spark.sparkContext.broadcast(text), end_id, dtype, 4 * n), FLOW)
     flow.repartition(n, "bucket").mapInArrow(_packer, DATA).write.partitionBy("kind").parquet(f"{path}/data")
+    del flow
+    release(spark)
     recipes = _data(spark, path, "recipe").select("doc_id", "n_tokens", "addresses", "lengths", "root")
     ordered = scratch.write(recipes.repartitionByRange(n, F.col("doc_id").asc_nulls_first(), "n_tokens", "root").sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "n_tokens", "root").withColumn("part", F.spark_partition_id()), "ordered")
     parts = ordered.groupBy("part").agg(F.sum("n_tokens").alias("tokens")).collect()  # one row for each partition

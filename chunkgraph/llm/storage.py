@@ -2,11 +2,19 @@
 
 from __future__ import annotations
 
+import gc
+
 from pyspark.sql import DataFrame, SparkSession
 
 from ..scratch import Scratch, shared_dir
 
-__all__ = ["Scratch", "buckets_for", "partitions", "plan_bytes", "shared_dir", "spread"]
+__all__ = ["Scratch", "buckets_for", "partitions", "plan_bytes", "release", "shared_dir", "spread"]
+
+
+def release(spark: SparkSession) -> None:
+    """Lets Spark delete the shuffle files of plans that nothing refers to any more, once their result is written."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
 
 
 def partitions(spark: SparkSession) -> int:

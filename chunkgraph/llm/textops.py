@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import ctypes
 from collections.abc import Iterator
+from functools import wraps
 
 import numpy as np
 import pyarrow as pa
@@ -161,6 +162,19 @@ def binary_column(flat: np.ndarray, lengths: np.ndarray) -> pa.Array:
     return pa.Array.from_buffers(pa.binary(), len(lengths), [None, pa.py_buffer(at), pa.py_buffer(np.ascontiguousarray(flat).view(np.uint8))])
 
 
+def tidy(run):
+    """A function over batches that gives memory back once it is through."""
+
+    @wraps(run)
+    def wrapped(batches):
+        try:
+            yield from run(batches)
+        finally:
+            give_back()
+
+    return wrapped
+
+
 def give_back() -> None:
     """Returns memory that Python has freed to the system, as workers outlive their tasks."""
     try:
