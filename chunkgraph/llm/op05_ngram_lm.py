@@ -45,7 +45,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import blobs
-from .storage import Scratch, buckets_for
+from .storage import Scratch, buckets_for, release
 from .textops import CHUNK, chunks, give_back, mix, word_hashes
 
 FOLD = 7
@@ -217,7 +217,7 @@ def _tokens(column: pa.Array, limit: int = CHUNK) -> Iterator[tuple[int, np.ndar
 
 
 def _count_words(buckets: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out = blobs.Outbox(buckets, 1 << 20, _sum_words)
         for batch in batches:
             for _, flat, _ in _tokens(batch.column(0)):
@@ -225,7 +225,7 @@ def _count_words(buckets: int):
                 yield from out.put(blobs.bucket_of(key, buckets), key, count.astype(np.uint64))
         yield from out.flush()
 
-    return run
+    return count_words
 
 
 def _by_bucket(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, list[np.ndarray]]]:
@@ -238,7 +238,7 @@ def _by_bucket(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, list[np
 
 
 def _store_words(folder: str, buckets: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def store_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b, (key, count) in _by_bucket(batches):
             _, key, count = _sum_words(np.zeros(len(key), np.int32), key, count)
             write_file(folder, f"word-{b:05d}", key, count)
@@ -247,7 +247,7 @@ def _store_words(folder: str, buckets: int):
             some = np.argsort(count)[::-1][: HEAVY * buckets]
             yield pa.RecordBatch.from_arrays([pa.array([b], pa.int32()), pa.array([len(key)]), pa.array([total]), pa.array([some.tolist()], pa.list_(pa.int64())), pa.array([count[some].astype(np.int64).tolist()], pa.list_(pa.int64()))], names=["bucket", "size", "total", "places", "counts"])
 
-    return run
+    return store_words
 
 
 @dataclass
@@ -307,20 +307,23 @@ def _before(number: np.ndarray, ends: np.ndarray, back: int) -> np.ndarray:
 
 
 def _order_key(spread: np.ndarray, rest: np.ndarray) -> np.ndarray:
-    """A key that sorts by bucket and middle word first, then by a hash of the rest."""
+    """A key that sorts by middle word first, then by a hash of the rest."""
     return (spread & ~_U((1 << 40) - 1)) | (rest >> _U(24))
 
 
-def _sum_grams(spread, rest, *columns) -> tuple[np.ndarray, list[np.ndarray]]:
-    """Sums the last column over equal others. Returns the kept rows' spread, and the columns."""
-    by = np.argsort(_order_key(spread, rest))
-    *keys, count = (c[by] for c in columns)
-    head = _first_of_runs(*keys)
-    return spread[by][head], [*(c[head] for c in keys), np.add.reduceat(count, head) if len(head) else count]
+def _sum_grams(bucket: np.ndarray, rest: np.ndarray, u: np.ndarray, v: np.ndarray, w: np.ndarray, count: np.ndarray) -> list[np.ndarray]:
+    """(bucket, u, v, w, count), summed over equal triples, by bucket and middle word, which packs well.
+
+    rest: a hash of the triple, by which equal ones come together."""
+    by = np.argsort(rest)
+    by = by[np.lexsort((v[by], bucket[by]))]
+    bucket, u, v, w, count = (c[by] for c in (bucket, u, v, w, count))
+    head = _first_of_runs(u, v, w)
+    return [bucket[head], u[head], v[head], w[head], np.add.reduceat(count, head) if len(head) else count]
 
 
 def _count_grams(words, order: int, buckets: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def count_grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out = _GramBox(words.value, order, buckets)
         for batch in batches:
             for _, flat, ends in _tokens(batch.column(0)):
@@ -331,7 +334,7 @@ def _count_grams(words, order: int, buckets: int):
         yield from out.flush()
         give_back()
 
-    return run
+    return count_grams
 
 
 class _GramBox:
@@ -353,9 +356,9 @@ class _GramBox:
             return
         u, v, w = (np.concatenate(c) for c in zip(*self.held))
         self.held, self.size = [], 0
-        spread = _spread(self.words, v, u if self.order == 3 else w)
-        spread, columns = _sum_grams(spread, _triple_hash(u, v, w), u, v, w, np.ones(len(u), np.int64))
-        rows = [(b, len(c[0]), blobs.pack(*c)) for b, c in blobs.split(blobs.bucket_of(spread, self.buckets), *columns)]
+        bucket = blobs.bucket_of(_spread(self.words, v, u if self.order == 3 else w), self.buckets)
+        bucket, *columns = _sum_grams(bucket, _triple_hash(u, v, w), u, v, w, np.ones(len(u), np.int64))
+        rows = [(b, len(c[0]), blobs.pack(*c)) for b, c in blobs.split(bucket, *columns)]
         yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows), (pa.int32(), pa.int64(), pa.binary()))], names=["bucket", "rows", "blob"])
 
 
@@ -380,12 +383,11 @@ def _span(distinct: int, buckets: int) -> int:
 def _store_grams(folder: str, words, order: int, buckets: int):
     """Writes what a bucket of middle words has, and sends on what is counted by last word."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def store_grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = words.value
         span = _span(m.distinct, buckets)
         for b, (u, v, w, count) in _by_bucket(batches):
-            spread = _spread(m, v, u if order == 3 else w)
-            _, (u, v, w, count) = _sum_grams(spread, _triple_hash(u, v, w), u, v, w, count)
+            _, u, v, w, count = _sum_grams(np.zeros(len(u), np.int32), _triple_hash(u, v, w), u, v, w, count)
             held = [b]
             if order == 3:
                 held += write_grams(folder, f"triple-{b:05d}", _triple_hash(u, v, w), count)
@@ -420,7 +422,7 @@ def _store_grams(folder: str, words, order: int, buckets: int):
             yield pa.RecordBatch.from_arrays([pa.array(x, t_) for x, t_ in zip(zip(*rows), (pa.int32(), pa.int64(), pa.binary()))], names=["bucket", "rows", "blob"])
         give_back()
 
-    return run
+    return store_grams
 
 
 RESULTS = "kind int, bucket int, word long, numbers array<long>"
@@ -434,7 +436,7 @@ def _result(kind: int, bucket: int, word: list[int], numbers: list[list[int]]) -
 def _store_ends(folder: str, words, buckets: int):
     """Writes what is counted by last word: the distinct words before it, and the pairs of heavy words."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def store_ends(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = words.value
         span = _span(m.distinct, buckets)
         parts: dict[tuple[int, int], list[list[np.ndarray]]] = {}
@@ -467,7 +469,7 @@ def _store_ends(folder: str, words, buckets: int):
             kinds = [int((np.minimum(ties, 3) == k).sum()) for k in (1, 2, 3)]
             yield _result(TIES, b, [size], [[*rows, *of_pairs.tolist(), *_of_counts(ties).tolist(), *kinds, int(ties.sum())]])
 
-    return run
+    return store_ends
 
 
 def discounts(of_counts: list[int]) -> np.ndarray:
@@ -610,7 +612,7 @@ def train(docs: DataFrame, scratch: Scratch, order: int = ORDER) -> Model:
     spark = docs.sparkSession
     folder = f"{scratch.path}/model"
     text = docs.select(F.col("text").cast("string").alias("text"))
-    n = buckets_for(text, BUCKET_BYTES)
+    n = 2 * buckets_for(text, BUCKET_BYTES)
     rows = blobs.exchange(text.mapInArrow(_count_words(n), blobs.SCHEMA), n).mapInArrow(_store_words(folder, n), "bucket int, size long, total long, places array<long>, counts array<long>")
     tokens, sizes, often = 0, [0] * n, []
     for r in rows.toLocalIterator():  # one row for each bucket
@@ -618,6 +620,8 @@ def train(docs: DataFrame, scratch: Scratch, order: int = ORDER) -> Model:
         tokens += r.total
         often += [(r.bucket, p, c) for p, c in zip(r.places, r.counts) if c * HEAVY * n > r.total]
     bases = np.concatenate([[0], np.cumsum(sizes)[:-1]]).astype(np.int64)
+    del rows
+    release(spark)
     documents = text.count()
     often = [(int(bases[b]) + p, c) for b, p, c in often] + [(START, documents)]
     heavy = sorted((w, -(-c * HEAVY * n // tokens)) for w, c in often if c * HEAVY * n > tokens)
@@ -625,6 +629,8 @@ def train(docs: DataFrame, scratch: Scratch, order: int = ORDER) -> Model:
     sent = spark.sparkContext.broadcast(words)
     grams = blobs.exchange(text.mapInArrow(_count_grams(sent, order, n), blobs.SCHEMA), n).mapInArrow(_store_grams(folder, sent, order, n), blobs.SCHEMA)
     stored = scratch.write(blobs.exchange(grams, n).mapInArrow(_store_ends(folder, sent, n), RESULTS), "stored")
+    del grams
+    release(spark)
     names = ["triple", "context", "pair", "total"]
     held = {name: ([0] * n, [0] * n) for name in [*names, "far"]}
     end_sizes, of_triples, of_pairs, of_words, kinds, distinct = [0] * n, np.zeros(4, np.int64), np.zeros(4, np.int64), np.zeros(4, np.int64), [0, 0, 0], 0
@@ -655,7 +661,7 @@ RESULT = "doc_id long, n_tokens long, n_known long, base_score double, score dou
 
 
 def _scorer(model):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def score_texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = model.value
         whole = m.words.tokens + m.words.distinct + 1
         for batch in batches:
@@ -668,7 +674,7 @@ def _scorer(model):
                     names=["doc_id", "n_tokens", "n_known", "base_score", "score"],
                 )
 
-    return run
+    return score_texts
 
 
 def score(docs: DataFrame, model: Model) -> DataFrame:
