@@ -31,8 +31,8 @@ from pyspark.sql import functions as F
 
 from . import blobs
 from .graphs import BROADCAST_IDS, by_id, components
-from .storage import Scratch, buckets_for, partitions
-from .textops import chunks, list_column, mix, ragged_take, shingles, word_hashes
+from .storage import Scratch, buckets_for, partitions, release
+from .textops import chunks, list_column, mix, ragged_take, shingles, tidy, word_hashes
 
 SHINGLE = 5
 SKETCH_BITS, SLICE_BITS = 22, 16
@@ -95,9 +95,9 @@ def _add_slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def survey(docs: DataFrame, scratch: Scratch) -> tuple[DataFrame, bytes]:
     """(size and class of every document; levels of the sketch: always 2**22 bytes)."""
-    staged = scratch.write(docs.mapInArrow(_survey, INFO), "survey")
+    staged = scratch.write(docs.mapInArrow(tidy(_survey), INFO), "survey")
     n = min(partitions(docs.sparkSession), 1 << SKETCH_BITS - SLICE_BITS)
-    slices = staged.filter("slice is not null").select("slice", "counts").repartition(n, "slice").mapInArrow(_add_slices, "slice int, levels binary").collect()
+    slices = staged.filter("slice is not null").select("slice", "counts").repartition(n, "slice").mapInArrow(tidy(_add_slices), "slice int, levels binary").collect()
     levels = np.zeros(1 << SKETCH_BITS, np.uint8)
     for r in slices:
         levels[r.slice << SLICE_BITS : (r.slice + 1) << SLICE_BITS] = np.frombuffer(r.levels, np.uint8)
@@ -108,10 +108,16 @@ def prefix_size(n: int) -> int:
     return n - -(-3 * n // 4) + 1
 
 
+def _by_first(bucket, first, *rest) -> list[np.ndarray]:
+    """Rows that ascend by their first column, which packs better."""
+    by = np.argsort(first, kind="stable")
+    return [c[by] for c in (bucket, first, *rest)]
+
+
 def _prefixes(levels, buckets: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         level = np.frombuffer(levels.value, np.uint8)
-        out = blobs.Outbox(buckets, 1 << 19)
+        out = blobs.Outbox(buckets, 1 << 19, _by_first)
         seen: set[int] = set()
         for batch in batches:
             for _, s in _sets(batch.column(0)):
@@ -155,7 +161,7 @@ def _shared(buckets: int):
         head, size = _groups(token)
         several = np.repeat(size > 1, size)
         token, cls, n, pos = (c[several] for c in (token, cls, n, pos))
-        out = blobs.Outbox(buckets)
+        out = blobs.Outbox(buckets, merge=_by_first)
         yield from out.put(blobs.bucket_of(mix(cls.view(_U)), buckets), cls, token, n, pos)
         yield from out.flush()
 
@@ -176,7 +182,7 @@ def _ranked(buckets: int):
         head, size = _groups(cls)
         before = (np.arange(len(cls)) - np.repeat(head, size)).astype(np.int32)
         alone = n - (3 * n + 3) // 4 + 1 - np.repeat(size, size).astype(np.int32)  # of the prefix
-        out = blobs.Outbox(buckets)
+        out = blobs.Outbox(buckets, merge=_by_first)
         yield from out.put(blobs.bucket_of(token, buckets), token, cls, n, pos, before, alone)
         yield from out.flush()
 
@@ -314,9 +320,8 @@ def _across(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _packed(s: np.ndarray) -> bytes:
-    """48 bits of each hash, ascending, as packed differences."""
-    short = np.sort(s >> _U(16))
-    return blobs.pack(np.diff(short, prepend=_U(0)))
+    """40 bits of each hash, ascending."""
+    return blobs.pack(np.sort(s >> _U(24)))
 
 
 SETS = "cls long, n long, histogram array<smallint>, packed binary"
@@ -340,7 +345,7 @@ def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         links = []
         for key, other, u, v, packed in zip(*(c.to_pylist() for c in batch.columns)):
-            own = np.cumsum(blobs.unpack(packed)[0])
+            own = blobs.unpack(packed)[0]
             if other is None:
                 hub, hub_set = key, own
                 continue
@@ -372,10 +377,12 @@ class Join:
     def candidates(self) -> tuple[DataFrame, DataFrame]:
         """(pairs of classes, members of the shingles that give their other pairs later)."""
         n = 2 * self.n
-        rows = self.docs.filter("doc_id is not null").select("text").mapInArrow(_prefixes(self.levels, n), blobs.SCHEMA)
-        shared = blobs.exchange(rows, n).mapInArrow(_shared(n), blobs.SCHEMA)
-        ranked = blobs.exchange(shared, n).mapInArrow(_ranked(n), blobs.SCHEMA)
-        found = self.scratch.write(blobs.exchange(ranked, n).mapInArrow(_candidates, CANDIDATES), "candidates")
+        rows = self.docs.filter("doc_id is not null").select("text").mapInArrow(tidy(_prefixes(self.levels, n)), blobs.SCHEMA)
+        shared = blobs.exchange(rows, n).mapInArrow(tidy(_shared(n)), blobs.SCHEMA)
+        ranked = blobs.exchange(shared, n).mapInArrow(tidy(_ranked(n)), blobs.SCHEMA)
+        found = self.scratch.write(blobs.exchange(ranked, n).mapInArrow(tidy(_candidates), CANDIDATES), "candidates")
+        del rows, shared, ranked
+        release(self.spark)
         pairs = found.filter("a is not null").select("a", "b").distinct()
         return pairs, found.filter("token is not null").select("token", "cls", "n", "pos", "before")
 
@@ -387,7 +394,7 @@ class Join:
         pairs = self.scratch.write(pairs, f"{label}-pairs")
         degree = pairs.select(F.explode(F.array("a", "b")).alias("cls")).groupBy("cls").agg(F.count("*").alias("degree"))
         named = self.scratch.write(degree.join(self.classes, "cls").select("cls", "rep", "degree"), f"{label}-classes")
-        sets = by_id(self.docs, named.select(F.col("rep").alias("doc_id")), "left_semi").select("text").mapInArrow(_needed_sets, SETS)
+        sets = by_id(self.docs, named.select(F.col("rep").alias("doc_id")), "left_semi").select("text").mapInArrow(tidy(_needed_sets), SETS)
         sets = self.scratch.write(sets, f"{label}-sets")
         info = named.join(sets.select("cls", "n", "histogram"), "cls").select("cls", "rep", "n", "histogram", "degree")
         sets = sets.select("cls", "packed")
@@ -401,8 +408,9 @@ class Join:
         none = F.lit(None).cast("long")
         left = hubs.select("hub", "salt").distinct().join(sets.withColumnRenamed("cls", "hub"), "hub").select("hub", none.alias("other"), none.alias("u"), none.alias("v"), "packed", "salt")
         together = left.unionByName(right).repartition(self.n, "hub", "salt").sortWithinPartitions("hub", "salt", F.col("other").asc_nulls_first())
-        links = self.scratch.write(together.select("hub", "other", "u", "v", "packed").mapInArrow(_verify, "u long, v long"), f"{label}-links")
+        links = self.scratch.write(together.select("hub", "other", "u", "v", "packed").mapInArrow(tidy(_verify), "u long, v long"), f"{label}-links")
         self.scratch.drop(f"{label}-sets", f"{label}-classes", f"{label}-hubs")
+        release(self.spark)
         return links
 
     def labels(self, links: DataFrame, name: str) -> DataFrame:
@@ -439,7 +447,7 @@ class Join:
         right = big.withColumn("side", F.lit(1)).withColumn("block", F.explode(F.transform(cuts, lambda i: i * F.col("cuts") + own)))
         names = [x.split()[0] for x in ACROSS.split(", ")]
         blocks = left.select(names).union(right.select(names)).withColumn("block", F.col("block").cast("int"))
-        more = blocks.repartition(self.n, "token", "block").sortWithinPartitions("token", "block").mapInArrow(_across, "a long, b long")
+        more = blocks.repartition(self.n, "token", "block").sortWithinPartitions("token", "block").mapInArrow(tidy(_across), "a long, b long")
         more = self.verify(more.distinct().join(tested, ["a", "b"], "left_anti"), "second")
         self.scratch.drop("torn", "torn-rows", "first-pairs", "second-pairs")
         return links.union(more)

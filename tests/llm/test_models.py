@@ -253,24 +253,85 @@ def test_chi_square_quantile():
     assert math.isclose(op09_ann_projections.chi_square_quantile(0.95, 12), 21.026, abs_tol=1e-3)
 
 
-def test_pipeline(spark, tmp_path, docs, rows, tokenizer_file):
-    corpus_pipeline = pytest.importorskip("corpus_pipeline")
-    d = str(tmp_path)
-    docs.select("doc_id", "text", "lang", "source", "n_chars").filter("doc_id is not null").dropDuplicates(["doc_id"]).write.parquet(f"{d}/documents.parquet")
-    spark.createDataFrame([(i, 1, 0) for i in range(20)], "doc_id long, quality int, toxic int").write.parquet(f"{d}/labels.parquet")
-    spark.createDataFrame([(1, " ".join(rows[8][1].split()[2:20]))], "item_id long, text string").write.parquet(f"{d}/benchmark.parquet")
-    assert [f.__name__ for _, f in corpus_pipeline.STAGES] == ["toxicity", "near_copies", "passages", "decontaminate", "encode"]
-    found = {r.doc_id: r for r in corpus_pipeline.run(spark, d).collect()}
-    assert 8 not in found and 0 in found and found[1].ids == []
-    from tokenizers import Tokenizer
-
-    assert found[20].ids == Tokenizer.from_file(tokenizer_file).encode(rows[20][1], add_special_tokens=False).ids
-    near = [i for i in range(36, 47)]
-    assert sum(i in found for i in near) == 1
-
-
 def test_scratch_is_removed(spark):
     s = Scratch(spark, "test")
     assert s.write(spark.range(3), "x").count() == 3
     s.drop("x")
     s.close()
+
+
+def test_quality_does_not_depend_on_partitions(spark):
+    """Equal scores from two partitionings of the test tables, the compiled column against the arrays, and labels of
+    held-out rows that the scores tell apart."""
+    import os
+
+    d = "/root/testdata/sf0.01"
+    if not os.path.isdir(d):
+        pytest.skip("no test tables")
+    docs, labels = spark.read.parquet(f"{d}/documents.parquet"), spark.read.parquet(f"{d}/labels.parquet")
+    one = {r.doc_id: (r.score, r.predicted) for r in op01_quality_rules.quality(docs.repartition(2), labels.repartition(3)).collect()}
+    described = op01_quality_rules.describe(docs.repartition(7, "text"))
+    model = op01_quality_rules.train(described, labels)
+    two = {r.doc_id: (r.score, r.predicted) for r in op01_quality_rules.score(described, model).collect()}
+    assert one == two
+    names = [c for c in described.columns if c != "doc_id"]
+    rows = described.toPandas()
+    assert np.allclose(model.scores(names, rows[names].to_numpy(np.float64)), [two[i][0] for i in rows.doc_id], rtol=1e-12)
+    y = {r.doc_id: r.quality for r in labels.filter("quality in (0, 1)").collect() if zlib.crc32(str(r.doc_id).encode()) % 5 == 0 and r.doc_id in two}
+    assert auc([two[i][0] for i in y], [y[i] for i in y]) > 0.95
+
+
+def test_toxicity_of_held_out_rows(spark):
+    import os
+
+    d = "/root/testdata/sf0.1"
+    if not os.path.isdir(d):
+        pytest.skip("no test tables")
+    labels = {r.doc_id: r.toxic for r in spark.read.parquet(f"{d}/labels.parquet").filter("toxic in (0, 1)").collect()}
+    found = {r.doc_id: r for r in op10_toxicity_mil.toxicity(spark.read.parquet(f"{d}/documents.parquet"), spark.read.parquet(f"{d}/labels.parquet")).collect()}
+    held = [(found[i].predicted, t) for i, t in labels.items() if i in found and found[i].held_out]
+    both, said, true = sum(p and t for p, t in held), sum(p for p, _ in held), sum(t for _, t in held)
+    assert both / said > 0.94 and both / true > 0.83
+
+
+def test_copies_have_one_label_and_like_shingles():
+    h = lambda text: np.array([zlib.crc32(w.encode()) * 7919 for w in text.split()], np.uint64)
+    bag = lambda label, text: (label, np.concatenate([h(text)] * 3), np.zeros(3 * len(text.split()), np.int32))
+    base = " ".join(f"w{i}" for i in range(60))
+    near, far = base.replace("w30", "x"), base + " " + " ".join(f"v{i}" for i in range(60))
+    bags = [bag(0, base), bag(0, base), bag(1, base), bag(0, near), bag(0, far), bag(0, ""), bag(0, ""), bag(1, ""), bag(0, "a b"), bag(0, "a b"), bag(0, "b a")]
+    kept = op10_toxicity_mil.without_copies(bags)
+    assert [next(i for i, b in enumerate(bags) if b is k) for k in kept] == [0, 2, 4, 5, 7, 8, 10]
+
+
+def test_clashing_columns_and_long_texts(spark, labelled):
+    """Columns that the operators use themselves are no input, and very long texts are scored whole."""
+    docs, labels = labelled
+    plain1, plain10 = ({r.doc_id: r.score for r in f(docs, labels).collect()} for f in (op01_quality_rules.quality, op10_toxicity_mil.toxicity))
+    for c in ("score", "label", "words", "chars", "text_", "words_", "held_out", "predicted", "sentence"):
+        docs, labels = docs.withColumn(c, F.lit("x")), labels.withColumn(c, F.lit("x"))
+    long = docs.filter("doc_id = 9").withColumn("doc_id", F.lit(7000).cast("long")).withColumn("text", F.concat(F.repeat(F.lit("some plain words. "), 100_000), F.lit("zlowt grunk zlowen.")))
+    found = {r.doc_id: r.score for r in op01_quality_rules.quality(docs.union(long), labels).collect()}
+    assert {i: found[i] for i in plain1} == plain1 and 0 <= found[7000] <= 1
+    found = {r.doc_id: r.score for r in op10_toxicity_mil.toxicity(docs.union(long), labels).collect()}
+    assert {i: found[i] for i in plain10} == plain10 and found[7000] > 0.5
+
+
+def test_neighbours_over_many_shards(spark, monkeypatch):
+    """Recall with small shards, many equal vectors, vectors of another size and clashing columns."""
+    monkeypatch.setattr(op09_ann_projections, "SHARD", 60)
+    monkeypatch.setattr(op09_ann_projections, "SAMPLE", 200)
+    x = vectors()
+    x[300:600] = x[300]
+    rows = [(i, v.tolist(), 1, 2, 3.0, 4) for i, v in enumerate(x)] + [(5000 + i, [float(i), 1.0, 2.0], 1, 2, 3.0, 4) for i in range(30)]
+    docs = spark.createDataFrame(rows, "vec_id long, embedding array<double>, size int, box long, score double, shard int").repartition(5)
+    found = op09_ann_projections.neighbours(docs).toPandas()
+    hit = 0
+    for q, own in found[found.query_id < 900].groupby("query_id"):
+        s = x @ x[q]
+        s[q] = -np.inf
+        best = np.lexsort((np.arange(900), -s))[:20]
+        hit += len(set(s[best]) & set(s[own.vec_id])) / len(set(s[best]))
+        assert len(own) == 20 and list(own.sort_values("rank").vec_id) == [v for _, v in sorted(zip(-own.score, own.vec_id))]
+    assert hit >= 0.9 * found[found.query_id < 900].query_id.nunique() == 0.9 * 45
+    assert set(found[found.query_id >= 5000].query_id) == {5000, 5020} and (found[found.query_id >= 5000].vec_id >= 5000).all()

@@ -222,6 +222,22 @@ def brute_hits(items, t):
     return len(w), len(hit), names
 
 
+def brute_longest(items, t):
+    """The longest run of words that begins with a window of an item, its place and item; first and least of equals."""
+    word, best = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"), (0, 0, "")
+    w = word.findall(low(t))
+    for i, x in items:
+        v = word.findall(low(x))
+        for a in range(len(v) - min(10, len(v)) + 1 if v else 0):
+            for b in [b for b in range(len(w)) if w[b] == v[a]]:
+                n = 0
+                while a + n < len(v) and b + n < len(w) and v[a + n] == w[b + n]:
+                    n += 1
+                if n >= min(10, len(v)):
+                    best = min(best, (-n, b, str(i)))
+    return (-best[0], best[1], best[2]) if best[0] else (None, None, None)
+
+
 @pytest.fixture(scope="session")
 def items(rows):
     word = lambda i, a, b: " ".join(rows[i][1].split()[a:b])
@@ -241,6 +257,7 @@ def test_hits(spark, docs, rows, none, items, monkeypatch):
             n, hit, names = brute_hits(items, texts[r.doc_id])
             digest = hashlib.sha256(",".join(sorted(names)).encode()).hexdigest()
             assert (r.n_words, r.n_hit, r.n_items, r.items_sha256, r.contaminated) == (n, hit, len(names), digest, hit > 0), r.doc_id
+            assert (r.longest, r.longest_at, r.longest_item) == brute_longest(items, texts[r.doc_id]), r.doc_id
     assert op08_decontaminate.digests(none, bench).count() == 0
     assert op08_decontaminate.digests(docs, bench.limit(0)).filter("contaminated").count() == 0
     kept = op08_decontaminate.clean(docs, bench)
