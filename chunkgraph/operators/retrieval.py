@@ -59,8 +59,8 @@ def _keys(rows: DataFrame, *names: str) -> list[str]:
 def simple_paths(seeds: DataFrame, edges: DataFrame, max_hops: int, config: EngineConfig, nodes: DataFrame | None = None) -> DataFrame:
     """(query_id, src, dst, path, rank_path, hops, n_nodes, weight_prod, score) from better to worse ranked seeds.
 
-    Seeds and edges are written to the shared folder once, and so is each hop's frontier, one equi-join with the
-    edges. A prefix goes on only where a worse seed can still be reached in the hops that are left, which loses
+    Seeds and edges are written to the shared folder once, and so is each inner hop's frontier, one equi-join with
+    the edges. A prefix goes on only where a worse seed can still be reached in the hops that are left, which loses
     nothing. Of a pair of seeds the first ``max_paths_per_pair`` paths in the order of a depth-first search count
     (edges by nbr_rank); the score filter comes after. Without that limit, prefixes whose score is already too low
     are dropped on the way, which loses nothing where weights are at most 1. Seeds that are none of ``nodes``, if
@@ -88,7 +88,8 @@ def simple_paths(seeds: DataFrame, edges: DataFrame, max_hops: int, config: Engi
         if config.max_paths_per_pair is None:
             moved = moved.filter(F.col("weight_prod") * config.decay_rate**hop >= config.prune_thresh)
         useful = moved.join(reach[max_hops - hop].drop(*key), ["query_id", "last"]).filter("worst > rk").select(moved.columns)
-        frontier = scratch.write(useful, f"hop-{hop}")
+        # the first hop is a scan of the edges of the seeds, and nothing follows the last one
+        frontier = scratch.write(useful, f"hop-{hop}") if 1 < hop < max_hops else useful
         reached = frontier.join(ends, ["query_id", "last"]).filter("rk < end_rk").select("query_id", *key, "src", F.col("last").alias("dst"), "path", "rank_path", "weight_prod", F.lit(hop).alias("hops"))
         found = reached if found is None else found.unionByName(reached)
     if config.max_paths_per_pair is not None:
