@@ -380,12 +380,12 @@ def _span(distinct: int, buckets: int) -> int:
     return max(1, -(-distinct // buckets))
 
 
-def _store_grams(folder: str, words, order: int, buckets: int):
-    """Writes what a bucket of middle words has, and sends on what is counted by last word."""
+def _store_grams(folder: str, words, order: int, ends: int):
+    """Writes what a bucket of middle words has, and sends on what is counted by last word, to fewer buckets."""
 
     def store_grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = words.value
-        span = _span(m.distinct, buckets)
+        span = _span(m.distinct, ends)
         for b, (u, v, w, count) in _by_bucket(batches):
             _, u, v, w, count = _sum_grams(np.zeros(len(u), np.int32), _triple_hash(u, v, w), u, v, w, count)
             held = [b]
@@ -418,7 +418,7 @@ def _store_grams(folder: str, words, order: int, buckets: int):
             rows = [(x, len(c[0]), blobs.pack(np.array([TIES], np.uint8), *c)) for x, c in blobs.split((ties // span).astype(np.int32), ties, n)]
             far = np.flatnonzero(heavy)
             rows += [(x, len(c[0]), blobs.pack(np.array([PAIRS], np.uint8), *c)) for x, c in blobs.split((w[far] // span).astype(np.int32), v[far], w[far], t[far])]
-            rows.append((b, 0, blobs.pack(np.array([STORED], np.uint8), np.array(held, np.int64), of_counts, _of_counts(t[own]))))
+            rows.append((b % ends, 0, blobs.pack(np.array([STORED], np.uint8), np.array(held, np.int64), of_counts, _of_counts(t[own]))))
             yield pa.RecordBatch.from_arrays([pa.array(x, t_) for x, t_ in zip(zip(*rows), (pa.int32(), pa.int64(), pa.binary()))], names=["bucket", "rows", "blob"])
         give_back()
 
@@ -433,19 +433,19 @@ def _result(kind: int, bucket: int, word: list[int], numbers: list[list[int]]) -
     return pa.RecordBatch.from_arrays([pa.array([kind] * n, pa.int32()), pa.array([bucket] * n, pa.int32()), pa.array(word, pa.int64()), pa.array(numbers, pa.list_(pa.int64()))], names=[x.split()[0] for x in RESULTS.split(", ")])
 
 
-def _store_ends(folder: str, words, buckets: int):
+def _store_ends(folder: str, words, ends: int):
     """Writes what is counted by last word: the distinct words before it, and the pairs of heavy words."""
 
     def store_ends(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = words.value
-        span = _span(m.distinct, buckets)
+        span = _span(m.distinct, ends)
         parts: dict[tuple[int, int], list[list[np.ndarray]]] = {}
         for batch in batches:
             for b, raw in zip(batch.column(0).to_pylist(), batch.column(2).to_pylist()):
                 kind, *columns = blobs.unpack(raw)
                 if kind[0] == STORED:
                     held, of_triples, of_pairs = (c.tolist() for c in columns)
-                    yield _result(STORED, b, [0], [[*held[1:], *of_triples, *of_pairs]])
+                    yield _result(STORED, held[0], [0], [[*held[1:], *of_triples, *of_pairs]])
                 else:
                     parts.setdefault((b, int(kind[0])), []).append(columns)
         for b in sorted({b for b, _ in parts}):
@@ -626,14 +626,14 @@ def train(docs: DataFrame, scratch: Scratch, order: int = ORDER) -> Model:
     often = [(int(bases[b]) + p, c) for b, p, c in often] + [(START, documents)]
     heavy = sorted((w, -(-c * HEAVY * n // tokens)) for w, c in often if c * HEAVY * n > tokens)
     words = Words(Table(folder, "word", sizes), bases, tokens, np.array([w for w, _ in heavy], np.int64), np.array([k for _, k in heavy], np.int64))
-    sent = spark.sparkContext.broadcast(words)
-    grams = blobs.exchange(text.mapInArrow(_count_grams(sent, order, n), blobs.SCHEMA), n).mapInArrow(_store_grams(folder, sent, order, n), blobs.SCHEMA)
-    stored = scratch.write(blobs.exchange(grams, n).mapInArrow(_store_ends(folder, sent, n), RESULTS), "stored")
+    sent, ends = spark.sparkContext.broadcast(words), max(1, n // 4)
+    grams = blobs.exchange(text.mapInArrow(_count_grams(sent, order, n), blobs.SCHEMA), n).mapInArrow(_store_grams(folder, sent, order, ends), blobs.SCHEMA)
+    stored = scratch.write(blobs.exchange(grams, ends).mapInArrow(_store_ends(folder, sent, ends), RESULTS), "stored")
     del grams
     release(spark)
     names = ["triple", "context", "pair", "total"]
-    held = {name: ([0] * n, [0] * n) for name in [*names, "far"]}
-    end_sizes, of_triples, of_pairs, of_words, kinds, distinct = [0] * n, np.zeros(4, np.int64), np.zeros(4, np.int64), np.zeros(4, np.int64), [0, 0, 0], 0
+    held = {name: ([0] * n, [0] * n) for name in names} | {"far": ([0] * ends, [0] * ends)}
+    end_sizes, of_triples, of_pairs, of_words, kinds, distinct = [0] * ends, np.zeros(4, np.int64), np.zeros(4, np.int64), np.zeros(4, np.int64), [0, 0, 0], 0
     for r in stored.filter(F.col("kind") != TOTALS).toLocalIterator():  # two rows for each bucket
         if r.kind == STORED:
             for k, name in enumerate(names):
@@ -654,7 +654,7 @@ def train(docs: DataFrame, scratch: Scratch, order: int = ORDER) -> Model:
     word_discounts = discounts(of_words.tolist())
     given_back = sum(d * k for d, k in zip(word_discounts[1:], kinds)) / distinct if distinct else 1.0
     grams_of = lambda name, counts=1: Grams(folder, name, *held[name], counts)
-    return Model(order, words, grams_of("triple"), grams_of("context", 4), grams_of("pair"), grams_of("total", 4), grams_of("far"), heavy_totals, folder, end_sizes, _span(words.distinct, n), [np.zeros(4), word_discounts, discounts(of_pairs.tolist()), discounts(of_triples.tolist())], distinct, given_back)
+    return Model(order, words, grams_of("triple"), grams_of("context", 4), grams_of("pair"), grams_of("total", 4), grams_of("far"), heavy_totals, folder, end_sizes, _span(words.distinct, ends), [np.zeros(4), word_discounts, discounts(of_pairs.tolist()), discounts(of_triples.tolist())], distinct, given_back)
 
 
 RESULT = "doc_id long, n_tokens long, n_known long, base_score double, score double"
