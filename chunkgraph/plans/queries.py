@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from ..config import EngineConfig, parse_bool
 from ..functions import split, text, vectors
 from ..operators import graphs, prompts, retrieval, stats
+from ..sources.readers import spread
 from ..sources.sinks import upserted
 from . import pipeline
 
@@ -295,12 +296,12 @@ def _clean_sql(column: str, lower: bool) -> str:
 
 @query(f"SELECT CAST(doc_id AS BIGINT) AS doc_id, {_clean_sql('text', True)} AS cleaned FROM documents")
 def clean_documents(spark, d):
-    return read(spark, d, "documents").select("doc_id", text.clean_text(F.col("text"), lowercase=True, remove_html=False).alias("cleaned"))
+    return spread(read(spark, d, "documents")).select("doc_id", text.clean_text(F.col("text"), lowercase=True, remove_html=False).alias("cleaned"))
 
 
 @query(f"SELECT CAST(page_id AS BIGINT) AS page_id, {_clean_sql('html', False)} AS cleaned FROM pages")
 def clean_pages(spark, d):
-    return read(spark, d, "pages").select("page_id", text.clean_text(F.col("html"), remove_html=False, normalise=False).alias("cleaned"))
+    return spread(read(spark, d, "pages")).select("page_id", text.clean_text(F.col("html"), remove_html=False, normalise=False).alias("cleaned"))
 
 
 ENTITIES = {"copy": "©", "middot": "·", "nbsp": chr(160), "lt": "<", "gt": ">", "quot": '"', "#39": "''", "amp": "&"}
@@ -314,7 +315,7 @@ def _unescaped(t: str) -> str:
 
 @query(f"SELECT CAST(page_id AS BIGINT) AS page_id, {_unescaped(r"regexp_replace(html, '(?is)<script.*?</script>|<style.*?</style>|<!--.*?-->|<[^>]*>', '', 'g')")} AS text FROM pages")
 def strip_html(spark, d):
-    return read(spark, d, "pages").select("page_id", text.strip_html("html").alias("text"))
+    return spread(read(spark, d, "pages")).select("page_id", text.strip_html("html").alias("text"))
 
 
 # no back-references there: each mark has a branch of its own
@@ -339,17 +340,17 @@ def strip_markdown(spark, d):
     """Documents with marks put in."""
     nl = F.lit("\n")
     marked = F.concat(F.lit("# "), F.coalesce("source", F.lit("")), nl, F.lit("- **"), F.replace(F.col("text"), F.lit(". "), F.lit("** _and_ [x](y) *z*\n> ")), nl, nl, F.lit("12. `c` ![i](u) __a_b__ **a*b**"), nl, F.lit("---"))
-    return read(spark, d, "documents").select("doc_id", text.strip_markdown(marked).alias("text"))
+    return spread(read(spark, d, "documents")).select("doc_id", text.strip_markdown(marked).alias("text"))
 
 
 @query()
 def chunk_documents(spark, d):
-    return split.chunk_documents(read(spark, d, "documents").select("doc_id", "source", "text"))
+    return split.chunk_documents(spread(read(spark, d, "documents")).select("doc_id", "source", "text"))
 
 
 @query()
 def chunk_markdown(spark, d):
-    pages = read(spark, d, "documents").select("doc_id", F.concat(F.lit("# "), "source", F.lit("\n"), F.col("text")).alias("text"))
+    pages = spread(read(spark, d, "documents")).select("doc_id", F.concat(F.lit("# "), "source", F.lit("\n"), F.col("text")).alias("text"))
     return split.chunk_markdown(pages)
 
 

@@ -59,6 +59,48 @@ def binary_images(spark: SparkSession, path: str, extract: Callable[[bytes], lis
     return files.mapInPandas(run, "file string, page int, img_no int, ext string, bytes binary")
 
 
+def extract_text(images: DataFrame, engines: dict[str, Callable[[bytes], tuple[str, float]]], primary: str, prepare: Callable[[bytes], bytes] | None = None, first: float = 30.0, other: float = 20.0) -> DataFrame:
+    """(file, page, img_no, engine, text, confidence, accepted, error) of images (file, page, img_no, bytes).
+
+    Engines are arguments, as none comes with this one. The primary engine is asked first, the others in order until a
+    confidence (of 100) is above ``first`` for the primary one or ``other``; else the last answer stands. An engine that
+    fails passes on to the next; an image that none reads has the last error."""
+    order = [primary, *[e for e in engines if e != primary]]
+    if primary not in engines:
+        raise ValueError(f"no engine {primary!r}")
+
+    def read(raw: bytes) -> tuple:
+        answer, error = None, None
+        for name in order:
+            try:
+                text, confidence = engines[name](prepare(raw) if prepare else raw)
+            except Exception as e:  # an engine's failure is its answer
+                error = f"{name}: {e}"
+                continue
+            answer = (name, text, float(confidence), confidence > (first if name == primary else other))
+            if answer[3]:
+                break
+        return (*(answer or (None, None, None, False)), error if answer is None else None)
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            found = pd.DataFrame([read(bytes(b)) for b in batch["bytes"]], columns=["engine", "text", "confidence", "accepted", "error"])
+            yield pd.concat([batch[["file", "page", "img_no"]].reset_index(drop=True), found], axis=1)
+
+    schema = "file string, page int, img_no int, engine string, text string, confidence double, accepted boolean, error string"
+    return images.select("file", "page", "img_no", "bytes").mapInPandas(run, schema)
+
+
+def spread(rows: DataFrame, least: int = 4 << 20) -> DataFrame:
+    """A scan of few large files dealt to all cores, for work that costs more than the exchange; one that has a task
+    for each core, or that is small, stays as it is."""
+    plan = rows._jdf.queryExecution()
+    cores = rows.sparkSession.sparkContext.defaultParallelism
+    if int(str(plan.optimizedPlan().stats().sizeInBytes())) < least or plan.toRdd().getNumPartitions() >= cores:
+        return rows
+    return rows.repartition(cores)
+
+
 def identifier(name: str) -> str:
     if not re.fullmatch(r"[A-Za-z_]\w*", name):
         raise ValueError(f"{name!r} is no table name")

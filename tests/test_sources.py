@@ -87,6 +87,20 @@ def test_binary_files(spark, folder):
     assert sorted((r.page, r.img_no, r.ext, bytes(r.bytes)) for r in images.collect())[:1] == [(0, 0, "png", b"File")] and images.count() == 6
 
 
+def test_text_of_images(spark):
+    def broken(raw):
+        raise OSError("no such model")
+
+    engines = {"b": lambda raw: (raw.decode(), 20.1 if raw == b"two" else 1.0), "a": lambda raw: (raw.decode().upper(), 30.1 if raw == b"one" else 30.0), "c": broken}
+    images = spark.createDataFrame([("f", 0, i, bytearray(x)) for i, x in enumerate((b"one", b"two", b"three"))], "file string, page int, img_no int, bytes binary")
+    found = {r.img_no: (r.engine, r.text, r.accepted, r.error) for r in readers.extract_text(images, engines, "a").collect()}
+    assert found == {0: ("a", "ONE", True, None), 1: ("b", "two", True, None), 2: ("b", "three", False, None)}
+    found = [(r.engine, r.accepted, r.error) for r in readers.extract_text(images, {"c": broken}, "c", prepare=bytes).collect()]
+    assert found == [(None, False, "c: no such model")] * 3
+    with pytest.raises(ValueError):
+        readers.extract_text(images, engines, "none")
+
+
 def test_embedding_rows(spark):
     rows = spark.createDataFrame([("[1, 2.5]", " a\nb "), ("[1, null]", "c"), ("no", "d"), (None, "e")], "embedding string, chunk string")
     assert [(r.embedding, r.chunk) for r in readers.embedding_rows(rows).collect()] == [([1.0, 2.5], "a b")]
