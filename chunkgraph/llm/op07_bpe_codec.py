@@ -63,7 +63,7 @@ def _text(raw: bytes) -> bytes:
 
 
 def encode(docs: DataFrame, tokenizer_file: str, text: str = "text", ids: str = "ids") -> DataFrame:
-    """Adds ``ids`` (array<int>) and ``n_tokens``; all columns of docs but equal names stay."""
+    """Adds ``ids`` (array<int>) and ``n_tokens``; columns of docs with these names are replaced, all others stay."""
     spec = docs.sparkSession.sparkContext.broadcast(open(tokenizer_file, encoding="utf-8").read())
     kept = docs.drop(ids, "n_tokens")
     schema = f"{', '.join(f'`{f.name}` {f.dataType.simpleString()}' for f in kept.schema.fields)}, `{ids}` array<int>, n_tokens long"

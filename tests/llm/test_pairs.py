@@ -68,6 +68,21 @@ def test_jaccard_join_of_many_near_copies(spark):
     assert {r.doc_id: (r.n_shingles, r.component_id) for r in found} == brute_components(texts)
 
 
+def test_jaccard_join_cuts_hot_shingles_into_blocks(spark, monkeypatch):
+    """Families that share a common passage and few links: what the first step leaves apart is tested in blocks."""
+    monkeypatch.setattr(op04_jaccard_join, "TESTS", 40)
+    rng = np.random.default_rng(6)
+    common, texts = [f"c{i}" for i in range(100)], {}
+    for k in range(70):
+        own = list(common)
+        for i in rng.choice(100, int(rng.integers(1, 9)), replace=False):
+            own[i] = f"x{k}_{i}"
+        texts[k] = " ".join(own)
+    found = op04_jaccard_join.near_duplicates(spark.createDataFrame(list(texts.items()), "doc_id long, text string")).collect()
+    want = brute_components(texts)
+    assert {r.doc_id: (r.n_shingles, r.component_id) for r in found} == want and 1 < len({c for _, c in want.values()}) < 60
+
+
 def test_one_of_each_group_stays(docs, rows):
     kept = op04_jaccard_join.keep_one(docs)
     assert kept.columns == docs.columns

@@ -78,6 +78,15 @@ def test_round_trip_keeps_columns(docs, tokenizer_file):
     assert back == {r.doc_id: r.text or "" for r in docs.collect()}
 
 
+def test_columns_with_the_names_of_results_are_replaced(docs, tokenizer_file):
+    from pyspark.sql import functions as F
+
+    clash = docs.withColumn("ids", F.lit("x")).withColumn("n_tokens", F.lit("y"))
+    encoded = op07_bpe_codec.encode(clash, tokenizer_file)
+    assert encoded.columns == [*docs.columns, "ids", "n_tokens"]
+    assert [(r.doc_id, r.ids) for r in encoded.orderBy("doc_id", "text").collect()] == [(r.doc_id, r.ids) for r in op07_bpe_codec.encode(docs, tokenizer_file).orderBy("doc_id", "text").collect()]
+
+
 def test_store(spark, docs, rows, none, library, tokenizer_file, tmp_path):
     path = f"file://{tmp_path}/store"
     op02_token_store.write_store(docs, tokenizer_file, path)
