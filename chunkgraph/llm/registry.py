@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from . import op01_quality_rules, op02_token_store, op03_substring_dedup, op04_jaccard_join, op05_ngram_lm, op06_html_blocks, op07_bpe_codec, op08_decontaminate, op09_ann_projections, op10_toxicity_mil
-from .storage import Scratch, spread
+from .storage import Scratch, batches_of_texts, spread
 
 
 def tokenizer(name: str = "byte_bpe_50k.json") -> str:
@@ -17,6 +17,7 @@ def tokenizer(name: str = "byte_bpe_50k.json") -> str:
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    batches_of_texts(spark)
     return spread(spark.read.parquet(f"{sf_dir}/{name}.parquet"))
 
 

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from ..scratch import Scratch, shared_dir
 from ..sources.readers import spread
 
-__all__ = ["Scratch", "buckets_for", "partitions", "plan_bytes", "release", "shared_dir", "spread"]
+__all__ = ["Scratch", "batches_of_texts", "buckets_for", "partitions", "plan_bytes", "release", "shared_dir", "spread"]
 
 
 def release(spark: SparkSession) -> None:
@@ -33,3 +33,14 @@ def buckets_for(df: DataFrame, per: int = 128 << 20) -> int:
     size = plan_bytes(df)
     known = size < 1 << 60  # plans without statistics report a size beyond any table
     return max(partitions(df.sparkSession), -(-size // per) if known else 1)
+
+
+#: Rows of a batch that goes to a Python worker: texts are long, and both sides hold whole batches.
+BATCH_ROWS = 2048
+
+
+def batches_of_texts(spark: SparkSession) -> None:
+    """Lowers the session's rows of an Arrow batch to ``BATCH_ROWS``, unless it has been set to fewer."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(key)) <= BATCH_ROWS:
+        spark.conf.set(key, BATCH_ROWS)
