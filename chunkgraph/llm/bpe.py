@@ -294,7 +294,7 @@ class Speculative:
         new = pairs[~known]
         if len(new):
             good[~known] = self.compatible(new >> 32, new & 0xFFFFFFFF)
-            keep = len(self.checked_pairs) < 4_000_000
+            keep = len(self.checked_pairs) < 1_000_000
             keys = np.concatenate([self.checked_pairs, new]) if keep else new
             by = np.argsort(keys)
             self.checked_good = (np.concatenate([self.checked_good, good[~known]]) if keep else good[~known])[by]
@@ -344,7 +344,7 @@ class Speculative:
 class PieceCache:
     """Ids of the distinct pieces that a worker has met: sorted hashes over one flat array of ids."""
 
-    def __init__(self, encode: Callable[[np.ndarray, np.ndarray, np.ndarray], tuple[np.ndarray, np.ndarray]], most: int = 1_500_000):
+    def __init__(self, encode: Callable[[np.ndarray, np.ndarray, np.ndarray], tuple[np.ndarray, np.ndarray]], most: int = 500_000):
         self.encode, self.most = encode, most
         self.clear()
 

@@ -2,7 +2,7 @@
 
 Greedy longest matches propose the tokens of every distinct piece, array comparisons test all adjacent pairs, and
 only pieces that fail a test are merged exactly. No shuffle: a map over the documents. A worker holds the
-vocabulary, its piece cache (at most 1.5 million pieces) and about a megabyte of text at a time.
+vocabulary, its piece cache (about half a million pieces) and about a megabyte of text at a time.
 
 Defined cases: a null text counts as empty (no tokens, the hash of no bytes); one output row for each input row,
 repeated or not, null ids included; texts of any length are encoded whole; an empty table gives an empty result;

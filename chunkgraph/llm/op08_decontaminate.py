@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 from .textops import ALNUM_WORD, chunks, ragged_take, word_hashes
 
 WINDOW = 10
-SHARD = 4 << 20  # bytes of text in a suffix array
+SHARD = 1 << 20  # bytes of text in a suffix array
 BLOCK_BYTES = 8 << 20
 _U = np.uint64
 
