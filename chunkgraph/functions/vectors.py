@@ -3,15 +3,24 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Rows of the left side that a task holds.
+from ..scratch import Scratch
+
+#: Rows of the left side that a task holds, where both sides are large.
 BLOCK = 8192
+#: Rows and bytes of a side that is small: every task holds it.
+HELD, HELD_BYTES = 8192, 128 << 20
+#: Products are rounded, as their last bits depend on how rows are put together; what differs by less is a tie.
+DIGITS, TIE = 12, 1e-11
+#: Pivots around which the left side is cut at most.
+PIVOTS = 1024
 
 
 def dot(a: Column, b: Column) -> Column:
@@ -42,6 +51,10 @@ def nodes_of(embeddings: DataFrame, id_col: str = "vec_id", vector_col: str = "e
 
 
 def matrix(column: pa.Array) -> np.ndarray:
+    """The rows of a column of vectors; of binary codes, each bit is 1 or -1."""
+    if pa.types.is_binary(column.type):
+        raw = np.frombuffer(b"".join(column.to_pylist()), np.uint8).reshape(len(column), -1) if len(column) else np.zeros((0, 0), np.uint8)
+        return np.unpackbits(raw, axis=1).astype(np.float32) * 2 - 1
     flat = np.asarray(column.flatten(), np.float64)
     return flat.reshape(len(column), -1) if len(column) else np.zeros((0, 0))
 
@@ -56,32 +69,57 @@ def _best(row: np.ndarray, dst: np.ndarray, weight: np.ndarray, k: int) -> tuple
     return row[keep], dst[keep], weight[keep], rank[keep]
 
 
+def _pairs(own: np.ndarray, x: np.ndarray, other: np.ndarray, m: np.ndarray, threshold: float, inclusive: bool, k: int | None, distinct: bool) -> Iterator[tuple[np.ndarray, ...]]:
+    """(row of x, id in other, product) of the pairs that reach the threshold, with k only those that may be the best of a row."""
+    step = max(1, (1 << 22) // max(1, len(other)))
+    for a in range(0, len(own), step):
+        s = x[a : a + step] @ m.T
+        good = s >= threshold if inclusive else s > threshold
+        if distinct:
+            good &= own[a : a + step, None] != other[None, :]
+        if k is not None and s.shape[1] > k:
+            kth = np.partition(np.where(good, s, -np.inf), s.shape[1] - k, axis=1)[:, s.shape[1] - k]
+            good &= s >= kth[:, None] - TIE
+        i, j = np.nonzero(good)
+        yield i + a, other[j], np.round(s[i, j].astype(np.float64), DIGITS)
+
+
+class _Found:
+    """Pairs of the rows of one side; with k the best of each row so far."""
+
+    def __init__(self, k: int | None):
+        self.k, self.held, self.size, self.kept = k, [], 0, 1 << 16
+
+    def put(self, row: np.ndarray, dst: np.ndarray, weight: np.ndarray) -> None:
+        self.held.append((row, dst, weight))
+        self.size += len(row)
+        if self.size > self.kept:
+            best = self.best()
+            self.held, self.size = [best[:3]], len(best[0])
+            self.kept = max(self.kept, 4 * self.size)
+
+    def best(self) -> tuple[np.ndarray, ...]:
+        return _best(*(np.concatenate(c) for c in zip(*self.held)), self.k)
+
+
+PAIRS = "src long, dst long, weight double, nbr_rank int"
+
+
+def _batch_of(src, dst, weight, rank=None) -> pa.RecordBatch:
+    rank = np.zeros(len(src), np.int32) if rank is None else rank.astype(np.int32)
+    return pa.RecordBatch.from_arrays([pa.array(src), pa.array(dst), pa.array(weight), pa.array(rank)], names=["src", "dst", "weight", "nbr_rank"])
+
+
 def _kernel(threshold: float, inclusive: bool, k: int | None, distinct: bool):
     """Pairs from rows (group, block, side, node_id, emb): side 0 of a group and block comes before side 1."""
 
-    def pairs(own: np.ndarray, x: np.ndarray, other: np.ndarray, m: np.ndarray) -> Iterator[tuple[np.ndarray, ...]]:
-        step = max(1, (1 << 22) // max(1, len(other)))
-        for a in range(0, len(own), step):
-            s = x[a : a + step] @ m.T
-            good = s >= threshold if inclusive else s > threshold
-            if distinct:
-                good &= own[a : a + step, None] != other[None, :]
-            if k is not None and s.shape[1] > k:
-                kth = np.partition(np.where(good, s, -np.inf), s.shape[1] - k, axis=1)[:, s.shape[1] - k]
-                good &= s >= kth[:, None]
-            i, j = np.nonzero(good)
-            yield i + a, other[j], s[i, j]
-
-    def batch_of(src, dst, weight, rank) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array(src), pa.array(dst), pa.array(weight), pa.array(rank.astype(np.int32))], names=["src", "dst", "weight", "nbr_rank"])
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key, ids, vectors, held = None, [], [], []
+        key, ids, vectors, found = None, [], [], _Found(k)
 
         def done() -> Iterator[pa.RecordBatch]:
-            if held:
-                row, dst, weight, rank = _best(*(np.concatenate(c) for c in zip(*held)), k)
-                yield batch_of(ids[0][row], dst, weight, rank)
+            if found.held:
+                row, dst, weight, rank = found.best()
+                yield _batch_of(ids[0][row], dst, weight, rank)
 
         for batch in batches:
             group, block, side, node = (np.asarray(batch.column(i)) for i in range(4))
@@ -89,7 +127,7 @@ def _kernel(threshold: float, inclusive: bool, k: int | None, distinct: bool):
             for a, b in zip(cut[:-1], cut[1:]):
                 if (here := (int(group[a]), int(block[a]))) != key:
                     yield from done()
-                    key, ids, vectors, held = here, [], [], []
+                    key, ids, vectors, found = here, [], [], _Found(k)
                 m = matrix(batch.column(4).slice(a, b - a))
                 if side[a] == 0:
                     ids.append(node[a:b])
@@ -99,44 +137,177 @@ def _kernel(threshold: float, inclusive: bool, k: int | None, distinct: bool):
                     continue
                 if len(ids) > 1:
                     ids, vectors = [np.concatenate(ids)], [np.concatenate(vectors)]
-                for row, dst, weight in pairs(ids[0], vectors[0], node[a:b], m):
+                for row, dst, weight in _pairs(ids[0], vectors[0], node[a:b], m, threshold, inclusive, k, distinct):
                     if k is None:
-                        yield batch_of(ids[0][row], dst, weight, np.zeros(len(row), np.int32))
+                        yield _batch_of(ids[0][row], dst, weight)
                     else:
-                        held.append((row, dst, weight))
-                        if sum(len(h[0]) for h in held) > 4 * k * len(ids[0]) + (1 << 16):
-                            held = [_best(*(np.concatenate(c) for c in zip(*held)), k)[:3]]
+                        found.put(row, dst, weight)
         yield from done()
 
     return run
 
 
+@dataclass
+class Side:
+    """The rows of a side that each task holds, by group."""
+
+    ids: np.ndarray
+    vectors: np.ndarray
+    rows: dict[int, np.ndarray]
+
+    @classmethod
+    def of(cls, table: pa.Table) -> Side:
+        group = np.asarray(table["group"])
+        return cls(np.asarray(table["node_id"]), matrix(table["emb"].combine_chunks()), {int(g): np.flatnonzero(group == g) for g in np.unique(group)})
+
+
+def small(rows: DataFrame) -> pa.Table | None:
+    """All rows, if they are few enough for each task to hold them; else none.
+
+    Rows are counted on ids alone, and no further than the limit, before any vector is read."""
+    if len(rows.select("node_id").take(HELD + 1)) > HELD:
+        return None
+    found = rows.toArrow()
+    return found if found.nbytes <= HELD_BYTES else None
+
+
+def _against(sent, of_left: bool, threshold: float, inclusive: bool, k: int | None, distinct: bool):
+    """Pairs of rows (group, node_id, emb) with the side that each task holds, which is the left or the right one.
+
+    With k and the left side held, what a task gives are the best among its own rows."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        side, found = sent.value, _Found(k)
+        for batch in batches:
+            group = np.asarray(batch.column(0))
+            for g in np.unique(group).tolist():
+                held, at = side.rows.get(g), np.flatnonzero(group == g)
+                if held is None:
+                    continue
+                here = batch.take(pa.array(at)) if len(at) < len(batch) else batch
+                ids, x = np.asarray(here.column(1)), matrix(here.column(2))
+                if of_left:
+                    for row, dst, weight in _pairs(side.ids[held], side.vectors[held], ids, x, threshold, inclusive, k, distinct):
+                        if k is None:
+                            yield _batch_of(side.ids[held[row]], dst, weight)
+                        else:
+                            found.put(held[row], dst, weight)
+                    continue
+                for row, dst, weight in _pairs(ids, x, side.ids[held], side.vectors[held], threshold, inclusive, k, distinct):
+                    if k is None:
+                        yield _batch_of(ids[row], dst, weight)
+                    else:
+                        row, dst, weight, rank = _best(row, dst, weight, k)
+                        yield _batch_of(ids[row], dst, weight, rank)
+        if found.held:
+            row, dst, weight, rank = found.best()
+            yield _batch_of(side.ids[row], dst, weight, rank)
+
+    return run
+
+
+def _first(pairs: DataFrame, k: int) -> DataFrame:
+    """Of the best of each task the best of all: k rows for each src and task are what is sent."""
+    order = Window.partitionBy("src").orderBy(F.col("weight").desc(), "dst")
+    return pairs.withColumn("nbr_rank", F.row_number().over(order)).filter(F.col("nbr_rank") <= k)
+
+
+def _nearest_cell(sent):
+    """Adds to (node_id, emb) the nearest pivot and the distance to it."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        pivots = sent.value
+        for batch in batches:
+            x = matrix(batch.column(1))
+            if not len(x):
+                continue
+            cell = np.argmax(2 * (x @ pivots.T) - (pivots**2).sum(axis=1), axis=1)
+            far = np.sqrt(((x - pivots[cell]) ** 2).sum(axis=1))
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(cell.astype(np.int32)), pa.array(far)], names=["node_id", "emb", "cell", "far"])
+
+    return run
+
+
+def _reached_blocks(sent, threshold: float):
+    """Adds to (node_id, emb) the blocks in which a row may have a partner.
+
+    For x in a cell of pivot p and radius R, x y = p y + (x - p) y is at most p y + R |y|."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        pivots, radius, base, size = sent.value
+        for batch in batches:
+            y = matrix(batch.column(1))
+            if not len(y):
+                continue
+            length = np.sqrt((y**2).sum(axis=1))[:, None]
+            able = y @ pivots.T + radius[None, :] * length >= threshold - 1e-9 * (1 + length)
+            able &= size > 0
+            i, cell = np.nonzero(able)
+            blocks = np.repeat(base[cell], size[cell]) + np.arange(size[cell].sum()) - np.repeat(np.cumsum(size[cell]) - size[cell], size[cell])
+            count = np.bincount(i, size[cell], len(y)).astype(np.int64)
+            lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(count)]).astype(np.int32)), pa.array(blocks.astype(np.int32)))
+            yield pa.RecordBatch.from_arrays([*batch.columns, lists], names=["node_id", "emb", "blocks"])
+
+    return run
+
+
+def pivot_blocks(left: DataFrame, right: DataFrame, threshold: float) -> tuple[DataFrame, DataFrame, int]:
+    """(block, node_id, emb) of both sides of a join above a threshold, and the number of blocks.
+
+    The left side is cut into cells around pivots of its own, a cell into blocks of about ``BLOCK`` rows. A right row
+    goes to those cells alone whose radius lets a product reach the threshold."""
+    spark, scratch, kind = left.sparkSession, Scratch(left.sparkSession, "cells"), left.schema["emb"].dataType.simpleString()
+    n = left.count()
+    pivots = matrix(left.orderBy(F.xxhash64("node_id"), "node_id").limit(min(PIVOTS, max(8, 2 * -(-n // BLOCK)))).select("emb").toArrow()["emb"].combine_chunks())
+    sent = spark.sparkContext.broadcast(pivots)
+    placed = scratch.write(left.select("node_id", "emb").mapInArrow(_nearest_cell(sent), f"node_id long, emb {kind}, cell int, far double"), "left")
+    radius, size = np.zeros(len(pivots)), np.zeros(len(pivots), np.int64)
+    for r in placed.groupBy("cell").agg(F.max("far").alias("far"), F.count("*").alias("n")).collect():  # a row for each pivot
+        radius[r.cell], size[r.cell] = r.far, -(-r.n // BLOCK)
+    base = np.cumsum(size) - size
+    cells = pa.table({"cell": pa.array(np.arange(len(pivots)), pa.int32()), "base": pa.array(base, pa.int32()), "blocks": pa.array(np.maximum(size, 1), pa.int32())})
+    own = placed.join(F.broadcast(spark.createDataFrame(cells)), "cell").select((F.col("base") + F.pmod(F.xxhash64("node_id"), F.col("blocks"))).cast("int").alias("block"), "node_id", "emb")
+    reached = right.select("node_id", "emb").mapInArrow(_reached_blocks(spark.sparkContext.broadcast((pivots, radius, base, size)), threshold), f"node_id long, emb {kind}, blocks array<int>")
+    return own, reached.select(F.explode("blocks").alias("block"), "node_id", "emb"), int(size.sum())
+
+
 def similarity_join(left: DataFrame, right: DataFrame, threshold: float, inclusive: bool, k: int | None = None, distinct: bool = True, group: str | None = None) -> DataFrame:
     """(src, dst, weight) of pairs of ids whose inner product reaches the threshold; per src the k best, with nbr_rank.
 
-    left, right: (node_id, emb), and a column to join on if ``group`` names one. The left side is cut into blocks of
-    about ``BLOCK`` rows; a task holds one block and takes the rows of the right side (of its group) in batches, each
-    one matrix product, so that neither side is ever in one place and the square of pairs is never a table. The right
-    side is sent once for each block. ``distinct`` leaves out pairs of equal ids.
+    left, right: (node_id, emb), where emb may be a binary code whose bits count as 1 and -1; and a column to join on if ``group`` names one. A side of at most ``HELD`` rows is held
+    by each task while the other side is scanned where it is; with k, each task of a scanned right side gives its k
+    best, which are merged. Two larger sides are cut into blocks: a task holds a block of the left side and takes the
+    right side's rows in batches, each one matrix product, so that neither side is ever in one place and the square of
+    pairs is never a table. Without groups the blocks are cells around pivots, and a right row is sent only where the
+    threshold can be reached; in a group it is sent to each block of the group. ``distinct`` leaves out pairs of equal ids.
     """
     spark = left.sparkSession
     tasks = max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    kind = "binary" if left.schema["emb"].dataType.simpleString() == "binary" else "array<double>"
     key = F.lit(0).cast("long") if group is None else F.col(group).cast("long")
-    own, others = (df.select(key.alias("group"), F.col("node_id").cast("long").alias("node_id"), "emb") for df in (left, right))
+    own, others = (df.select(key.alias("group"), F.col("node_id").cast("long").alias("node_id"), F.col("emb").cast(kind).alias("emb")) for df in (left, right))
+    for rows, scanned, of_left in ((own, others, True), (others, own, False)):
+        if (of_left and left is right) or (held := small(rows)) is None:
+            continue
+        if not held.num_rows:
+            found = spark.createDataFrame([], PAIRS)
+            return found if k is not None else found.drop("nbr_rank")
+        if left is right:  # as few rows
+            scanned = scanned.repartition(tasks, "node_id")
+        found = scanned.mapInArrow(_against(spark.sparkContext.broadcast(Side.of(held)), of_left, threshold, inclusive, k, distinct), PAIRS)
+        return found.drop("nbr_rank") if k is None else _first(found, k) if of_left else found
     if group is None:
-        # as many blocks as there are tasks for a small left side
-        blocks = max(tasks, -(-left.count() // BLOCK))
-        own = own.withColumn("blocks", F.lit(blocks))
-        others = others.withColumn("blocks", F.lit(blocks))
+        own, others, blocks = pivot_blocks(own, others, threshold)
+        own, others, tasks = own.withColumn("group", F.lit(0).cast("long")), others.withColumn("group", F.lit(0).cast("long")), max(tasks, blocks)
     else:
         sizes = own.groupBy("group").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
-        tasks = max(tasks, -(-left.count() // BLOCK))
         own, others = own.join(sizes, "group"), others.join(sizes, "group")
-    own = own.select("group", F.pmod(F.xxhash64("node_id"), F.col("blocks")).cast("int").alias("block"), F.lit(0).alias("side"), "node_id", "emb")
-    others = others.select("group", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), F.lit(1).alias("side"), "node_id", "emb")
-    both = own.union(others).withColumn("part", F.pmod(F.col("block") + F.when(F.col("group") == 0, 0).otherwise(F.xxhash64("group")), tasks).cast("int"))
+        own = own.withColumn("block", F.pmod(F.xxhash64("node_id"), F.col("blocks")).cast("int"))
+        others = others.withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    both = own.select("group", "block", F.lit(0).alias("side"), "node_id", "emb").union(others.select("group", "block", F.lit(1).alias("side"), "node_id", "emb"))
+    both = both.withColumn("part", F.pmod(F.col("block") + F.when(F.col("group") == 0, 0).otherwise(F.xxhash64("group")), tasks).cast("int"))
     placed = both.repartitionById(tasks, F.col("part")).drop("part").sortWithinPartitions("group", "block", "side")
-    found = placed.mapInArrow(_kernel(threshold, inclusive, k, distinct), "src long, dst long, weight double, nbr_rank int")
+    found = placed.mapInArrow(_kernel(threshold, inclusive, k, distinct), PAIRS)
     return found if k is not None else found.drop("nbr_rank")
 
 

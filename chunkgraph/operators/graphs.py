@@ -141,24 +141,26 @@ def plane_signs(size: int, planes: int, seed: int) -> np.ndarray:
 
 
 def hyperplane_codes(nodes: DataFrame, planes: int, seed: int) -> DataFrame:
-    """(node_id, emb): for each of the seeded hyperplanes 1 or -1, the side on which a vector lies."""
+    """(node_id, emb): a bit for each of the seeded hyperplanes, the side on which a vector lies."""
+    if planes < 8 or planes % 8:
+        raise ValueError("the number of hyperplanes must be a multiple of 8")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if not len(batch):
                 continue
             x = matrix(batch.column(1))
-            side = np.where(x @ plane_signs(x.shape[1], planes, seed) >= 0, 1.0, -1.0)
-            codes = pa.ListArray.from_arrays(pa.array(np.arange(len(x) + 1, dtype=np.int32) * planes), pa.array(side.reshape(-1)))
-            yield pa.RecordBatch.from_arrays([batch.column(0), codes], names=["node_id", "emb"])
+            side = np.packbits(x @ plane_signs(x.shape[1], planes, seed) >= 0, axis=1)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([r.tobytes() for r in side], pa.binary())], names=["node_id", "emb"])
 
-    return nodes.select(F.col("node_id").cast("long").alias("node_id"), F.col("emb").cast("array<double>").alias("emb")).mapInArrow(run, "node_id long, emb array<double>")
+    return nodes.select(F.col("node_id").cast("long").alias("node_id"), F.col("emb").cast("array<double>").alias("emb")).mapInArrow(run, "node_id long, emb binary")
 
 
 def lsh(nodes: DataFrame, c: EngineConfig) -> DataFrame:
     """The k nearest of all nodes by Hamming distance of hyperplane codes, kept above the threshold.
 
-    The inner product of two codes is the number of planes less twice the distance, so the blocked kernel ranks."""
+    A code is a bit for each plane. The inner product of two codes, their bits taken for 1 and -1, is the number of
+    planes less twice the distance, so the similarity join ranks; only the pairs that it finds meet their vectors."""
     codes = hyperplane_codes(nodes, c.lsh_planes, c.seed)
     near = similarity_join(codes, codes, -float(c.lsh_planes), inclusive=True, k=c.k).select("src", "dst")
     full = near.join(nodes.select(F.col("node_id").alias("src"), F.col("emb").alias("x")), "src").join(nodes.select(F.col("node_id").alias("dst"), F.col("emb").alias("y")), "dst")

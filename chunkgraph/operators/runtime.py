@@ -8,7 +8,7 @@ from contextlib import contextmanager
 from dataclasses import dataclass, field
 from threading import Lock
 
-from pyspark.sql import DataFrame, Observation
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from ..scratch import Scratch
@@ -51,10 +51,11 @@ class Metrics:
         finally:
             self.add(name, time.perf_counter() - began)
 
-    def observe(self, rows: DataFrame, name: str) -> tuple[DataFrame, Observation]:
-        """The rows with a count that their own job takes, so that no job is run for it; ``take`` adds it."""
+    def observe(self, rows: DataFrame, name: str, what: Column | None = None) -> tuple[DataFrame, Observation]:
+        """The rows with a count (of rows, if nothing else is asked) that their own job takes, so that no job is run for
+        it; ``take`` adds it."""
         seen = Observation(self._known(name))
-        return rows.observe(seen, F.count(F.lit(1)).alias("n")), seen
+        return rows.observe(seen, (F.count(F.lit(1)) if what is None else what).alias("n")), seen
 
     def take(self, seen: Observation, name: str) -> None:
         self.add(name, seen.get["n"])

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from dataclasses import replace
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -13,7 +14,9 @@ from ..functions.split import chunk_documents
 from ..functions.text import clean_text
 from ..functions.vectors import hashing_embedder, normalise
 from ..operators import graphs, prompts, retrieval
+from ..operators.runtime import Metrics
 from ..scratch import Scratch
+from ..sources.keyed import RetrievalTable
 from ..sources.readers import documents_and_ocr
 
 
@@ -33,11 +36,51 @@ def embed_chunks(chunks: DataFrame, embed: Callable[[Column], Column] | None = N
     return graphs.numbers(rows).select(F.col("i").cast("long").alias("node_id"), F.col("node_id").alias("chunk_id"), "text", "emb")
 
 
-def retrieve(queries: DataFrame, nodes: DataFrame, edges: DataFrame, top_k: int, max_hops: int, config: EngineConfig) -> DataFrame:
-    """Ranked paths with their texts, for (query_id, query, emb). With a graph_id each query stays in its graph."""
+def search(queries: DataFrame, nodes: DataFrame, edges: DataFrame, top_k: int, max_hops: int, config: EngineConfig, metrics: Metrics | None = None, scratch: Scratch | None = None) -> DataFrame:
+    """The paths between the seeds of each query; seeds and paths are timed and counted if there are metrics."""
     seeds = retrieval.top_nodes(queries, nodes, top_k, config.max_candidates)
-    paths = retrieval.ranked_paths(retrieval.simple_paths(seeds, edges, max_hops, config))
-    return retrieval.path_texts(paths, nodes)
+    if metrics is None:
+        return retrieval.simple_paths(seeds, edges, max_hops, config, scratch=scratch)
+    scratch = scratch or Scratch(nodes.sparkSession, "search")
+    with metrics.timed("retrieval_time"):
+        seeds = scratch.write(seeds, "nearest")
+    with metrics.timed("path_pruning_time"):
+        # the score filter is the last step; what it drops is counted as the paths are written
+        whole = retrieval.simple_paths(seeds, edges, max_hops, replace(config, prune_thresh=0.0), scratch=scratch)
+        good = F.col("score") >= config.prune_thresh
+        counted, seen = metrics.observe(whole, "paths_pruned", F.count_if(~good))
+        found = scratch.write(counted.filter(F.lit(True)), "paths")
+        metrics.take(seen, "paths_pruned")
+    return found.filter(good)
+
+
+def retrieve(queries: DataFrame, nodes: DataFrame, edges: DataFrame, top_k: int, max_hops: int, config: EngineConfig, metrics: Metrics | None = None, cache: RetrievalTable | None = None, graph: tuple[str, int] = ("main", 0), scratch: Scratch | None = None) -> DataFrame:
+    """Ranked paths with their texts, for (query_id, query, emb). With a graph_id each query stays in its graph.
+
+    Nodes and queries are checked as they are read. With a cache, queries that it knows for this graph (id and version),
+    top_k and max_hops take no part in the search; the others are kept in it."""
+    if not isinstance(top_k, int) or top_k < 1:
+        raise ValueError("top_k must be positive")
+    nodes, size = retrieval.checked_nodes(nodes)
+    queries = retrieval.checked_queries(queries, size)
+    if cache is None:
+        paths = search(queries, nodes, edges, top_k, max_hops, config, metrics, scratch)
+    else:
+        scratch = scratch or Scratch(nodes.sparkSession, "cached")
+        key = retrieval._keys(queries)
+        asked = queries.withColumn("digest", cache.digest())
+        told = scratch.write(asked.join(cache.known(*graph, top_k, max_hops), "digest", "left"), "asked")
+        hits, misses = told.filter("paths is not null"), told.filter("paths is null").drop("paths")
+        counts = told.agg(F.count("paths").alias("hits"), F.count_if(F.col("paths").isNull()).alias("misses")).first()
+        if metrics is not None:
+            metrics.add("cache_hits", counts.hits)
+            metrics.add("cache_misses", counts.misses)
+        paths = hits.select(*key, "query_id", F.inline("paths"))
+        if counts.misses:
+            found = scratch.write(search(misses, nodes, edges, top_k, max_hops, config, metrics, scratch).select(*paths.columns), "found")
+            cache.put(*graph, top_k, max_hops, misses, found)
+            paths = paths.unionByName(found)
+    return retrieval.path_texts(retrieval.ranked_paths(paths), nodes)
 
 
 def evidence(queries: DataFrame, nodes: DataFrame, edges: DataFrame, top_k: int, max_hops: int, config: EngineConfig) -> DataFrame:

@@ -111,18 +111,18 @@ def path_retrieval(spark, d):
     return paths_of_first(spark, d).select("src", "dst", F.array_join(F.col("path").cast("array<string>"), ">").alias("path"), "hops", "n_nodes", F.round("score", 6).alias("score"))
 
 
-@query(f"WITH RECURSIVE {ONE_GRAPH}, {KNN_OF_GRAPHS}, {BATCH.format(hops=3)} SELECT q AS query_id, src, dst, array_to_string(path, '>') AS path, CAST(hops AS INT) AS hops, round(score, 6) AS score FROM scored")
+@query(f"WITH RECURSIVE {ONE_GRAPH}, {KNN_OF_GRAPHS}, {BATCH.format(hops=4)} SELECT q AS query_id, src, dst, array_to_string(path, '>') AS path, CAST(hops AS INT) AS hops, round(score, 6) AS score FROM scored")
 def path_retrieval_batch(spark, d):
     n = nodes(spark, d)
-    found = pipeline.retrieve(batch_queries(spark, d), n, graphs.knn(n, CONFIG), 5, 3, CONFIG)
+    found = pipeline.retrieve(batch_queries(spark, d), n, graphs.knn(n, CONFIG), 5, 4, CONFIG)
     return found.select("query_id", "src", "dst", F.array_join(F.col("path").cast("array<string>"), ">").alias("path"), "hops", F.round("score", 6).alias("score"))
 
 
-@query(f"WITH RECURSIVE {ONE_GRAPH}, {KNN_OF_GRAPHS}, {BATCH.format(hops=3)} SELECT h.q AS query_id, CAST(coalesce(n, 0) AS INT) AS n_paths, coalesce(prompt, head) AS prompt FROM heads h LEFT JOIN prompts p ON p.q = h.q")
+@query(f"WITH RECURSIVE {ONE_GRAPH}, {KNN_OF_GRAPHS}, {BATCH.format(hops=4)} SELECT h.q AS query_id, CAST(coalesce(n, 0) AS INT) AS n_paths, coalesce(prompt, head) AS prompt FROM heads h LEFT JOIN prompts p ON p.q = h.q")
 def path_prompt(spark, d):
     """Prompts of whole texts under the length budget."""
     n = worded(nodes(spark, d))
-    return pipeline.evidence(batch_queries(spark, d), n, graphs.knn(n, CONFIG), 5, 3, CONFIG).select("query_id", "n_paths", "prompt")
+    return pipeline.evidence(batch_queries(spark, d), n, graphs.knn(n, CONFIG), 5, 4, CONFIG).select("query_id", "n_paths", "prompt")
 
 
 @query(f"WITH {SIM} SELECT src, dst, round(w, 6) AS weight FROM pairs WHERE w > 0.3")

@@ -7,7 +7,7 @@ import re
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.vectors import parse_embedding
@@ -91,6 +91,20 @@ def extract_text(images: DataFrame, engines: dict[str, Callable[[bytes], tuple[s
     return images.select("file", "page", "img_no", "bytes").mapInPandas(run, schema)
 
 
+#: A node-link document; links are also found under the name edges.
+NODE_LINK = "nodes array<struct<id:bigint,text:string,emb:array<double>>>, links array<struct<source:bigint,target:bigint,weight:double>>, edges array<struct<source:bigint,target:bigint,weight:double>>"
+
+
+def node_link(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
+    """(nodes, edges) of node-link documents (plain or .gz): (node_id, text, emb) and (src, dst, weight, nbr_rank), where
+    nbr_rank is the order of a node's links in the document. A document is read by one task."""
+    whole = spark.read.schema(NODE_LINK).option("multiLine", True).option("mode", "FAILFAST").json(path)
+    nodes = whole.select(F.inline("nodes")).select(F.col("id").alias("node_id"), "text", "emb")
+    links = whole.select(F.posexplode(F.coalesce("links", "edges")).alias("at", "e"))
+    rank = F.row_number().over(Window.partitionBy("e.source").orderBy("at"))
+    return nodes, links.select(F.col("e.source").alias("src"), F.col("e.target").alias("dst"), F.col("e.weight").alias("weight"), rank.alias("nbr_rank"))
+
+
 def spread(rows: DataFrame, least: int = 4 << 20) -> DataFrame:
     """A scan of few large files dealt to all cores, for work that costs more than the exchange; one that has a task
     for each core, or that is small, stays as it is."""

@@ -407,3 +407,99 @@ def test_spectral_clusters_by_all_positive_similarities(spark, monkeypatch):
     monkeypatch.setattr(graphs, "PowerIterationClustering", Clustering)
     graphs.spectral(nodes_of(spark.createDataFrame(list(enumerate(x.tolist())), "vec_id long, embedding array<double>")), EngineConfig(sim_threshold=0.7, k=3)).count()
     assert seen["pairs"] == {(i, j) for i in range(40) for j in range(40) if i != j and x[i] @ x[j] > 1e-9}
+
+
+def _unit_rows(spark, x):
+    return spark.createDataFrame([(i - 7, v.tolist()) for i, v in enumerate(x)], "node_id long, emb array<double>")
+
+
+@pytest.mark.parametrize("held", [8192, 100])
+def test_few_queries_are_held_and_nodes_stay(spark, monkeypatch, held):
+    """What is sent are the best of each task; the nodes are in no exchange."""
+    import numpy as np
+
+    from chunkgraph.functions import vectors
+
+    monkeypatch.setattr(vectors, "HELD", held)
+    rng = np.random.default_rng(1)
+    x = rng.standard_normal((300, 6))
+    x /= np.linalg.norm(x, axis=1)[:, None]
+    nodes = _unit_rows(spark, x).repartition(6).persist()
+    asked = nodes.filter("node_id in (0, 1, 5)").select(F.col("node_id").alias("query_id"), "emb")
+    found = retrieval.top_nodes(asked, nodes, 4)
+    # one scan of the nodes, in no exchange before the products
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert "Repartition" not in plan.split("MapInArrow")[1]
+    got = {}
+    for r in found.collect():
+        got.setdefault(r.query_id, []).append((r.rk, r.node_id, round(r.sim, 9)))
+    for q in (0, 1, 5):
+        s = x @ x[q + 7]
+        best = sorted(range(300), key=lambda j: (-s[j], j))[:4]
+        assert sorted(got[q]) == [(k + 1, j - 7, round(s[j], 9)) for k, j in enumerate(best)]
+    nodes.unpersist()
+
+
+def test_far_cells_are_not_sent(spark, monkeypatch):
+    """Two large sides go by cells around pivots: the same pairs, and no row goes where it has no partner."""
+    import numpy as np
+
+    from chunkgraph.functions import vectors
+
+    monkeypatch.setattr(vectors, "HELD", 10)
+    monkeypatch.setattr(vectors, "BLOCK", 16)
+    rng = np.random.default_rng(2)
+    x = np.repeat(np.eye(8), 30, axis=0) + 0.05 * rng.standard_normal((240, 8))
+    x /= np.linalg.norm(x, axis=1)[:, None]
+    rows = _unit_rows(spark, x)
+    s = x @ x.T
+    for inclusive, k in ((False, None), (True, 5)):
+        found = vectors.similarity_join(rows, rows, 0.7, inclusive, k=k).collect()
+        want = set()
+        for i in range(240):
+            near = sorted((j for j in range(240) if j != i and s[i, j] > 0.7), key=lambda j: (-s[i, j], j))[:k]
+            want |= {(i - 7, j - 7) for j in near}
+        assert {(r.src, r.dst) for r in found} == want and len(found) == len(want)
+    own, sent, blocks = vectors.pivot_blocks(rows, rows, 0.7)
+    assert own.count() == 240 and sent.count() < 240 * blocks / 3
+    assert vectors.pivot_blocks(rows, rows, -2.0)[1].count() == 240 * blocks
+
+
+def test_codes_are_bits(spark):
+    import numpy as np
+
+    from chunkgraph.functions import vectors
+
+    rng = np.random.default_rng(4)
+    codes = rng.integers(0, 256, (40, 16), np.uint8)
+    rows = spark.createDataFrame([(i, bytearray(c.tobytes())) for i, c in enumerate(codes)], "node_id long, emb binary")
+    far = np.array([[int(np.unpackbits(a ^ b).sum()) for b in codes] for a in codes])
+    for r in vectors.similarity_join(rows, rows, -128.0, True, k=3).collect():
+        near = sorted((j for j in range(40) if j != r.src), key=lambda j: (far[r.src, j], j))[r.nbr_rank - 1]
+        assert (r.dst, r.weight) == (near, 128 - 2 * far[r.src, near])
+
+
+@pytest.mark.parametrize("hops", [1, 2, 3, 4, 5])
+def test_search_meets_in_the_middle(spark, monkeypatch, hops):
+    """All simple paths up to the limit in depth-first order, also where stems are completed in many rounds."""
+    import random
+
+    rng = random.Random(hops)
+    monkeypatch.setattr(retrieval, "FIRST_STEMS", 3)
+    weights = {(a, b): round(rng.uniform(0.5, 1), 3) for a in range(11) for b in range(11) if a != b and rng.random() < 0.45}
+    edges = edges_of(spark, [(a, b, w) for (a, b), w in weights.items()])
+    after = {}
+    for r in sorted(edges.collect(), key=lambda r: r.nbr_rank):
+        after.setdefault(r.src, []).append(r.dst)
+
+    def walk(path, left):
+        if len(path) > 1:
+            yield path
+        for b in after.get(path[-1], []) if left else []:
+            if b not in path:
+                yield from walk([*path, b], left - 1)
+
+    seeds, c = [3, 8, 1], EngineConfig(sim_threshold=0.1, prune_thresh=0.0, max_paths_per_pair=4)
+    want = {tuple(p) for i, a in enumerate(seeds) for b in seeds[i + 1 :] for p in [p for p in walk([a], hops) if p[-1] == b][:4]}
+    found = retrieval.simple_paths(seeds_of(spark, seeds), edges, hops, c).collect()
+    assert {tuple(r.path) for r in found} == want and len(found) == len(want)
