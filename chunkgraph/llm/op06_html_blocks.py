@@ -59,20 +59,82 @@ UNQUOTED = re.compile(r"[^\s>]*+")
 RAW_END = {tag: re.compile(rf"</{tag}\s*+>", re.I) for tag in RAW}
 NAMES = re.compile(r"""(?:^|\s)(class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
 WORD = re.compile(r"[a-z]+")
+#: Words that begin the name of a state, which names nothing itself.
+STATES = frozenset("has have is no not with without".split())
 HIDES = re.compile(r"""(?:^|\s)hidden(?:\s|=|/|$)|display\s*:\s*none|aria-hidden\s*=\s*["']?true""", re.I)
 
 
+def named(names: str) -> Iterator[str]:
+    """What class, id or role names say: of each name the first and the last word, as the kind of thing stands at
+    either end of a compound (ad-slot, main-nav); names of states say nothing."""
+    for name in names.split():
+        found = WORD.findall(re.sub(r"([a-z])([A-Z])", r"\1 \2", name).lower())
+        if found and found[0] not in STATES:
+            yield found[0]
+            yield found[-1]
+
+
 @dataclass
 class Block:
     text: str
     words: int
     linked: int  # words inside links
-    around: int  # whether an enclosing element stands around an article
-    named_around: int  # whether a class, id or role says so
+    inner: int  # the number of the nearest element that may stand around an article, -1 for none
     centre: int
     named_centre: int
     heading: int
     container: int  # the number of the nearest container
+    around: int = 0  # whether an enclosing element stands around an article
+    named_around: int = 0  # whether a class, id or role says so
+
+
+class Surroundings:
+    """The elements whose tag or name says that they stand around an article, each with the next such one outside.
+
+    One that holds more than half of the page's plain words, and the article's mark (an element or name for articles, or
+    a first heading), is a frame of the page whatever it is called; so is one that holds them where no such mark is."""
+
+    def __init__(self):
+        self.parent: list[int] = []
+        self.tagged: list[int] = []
+        self.named: list[int] = []
+        self.centre: list[bool] = []
+        self.any_centre = False
+
+    def add(self, parent: int, tagged: bool, named: bool) -> int:
+        self.parent.append(parent)
+        self.tagged.append(int(tagged))
+        self.named.append(int(named))
+        self.centre.append(False)
+        return len(self.parent) - 1
+
+    def mark(self, inner: int) -> None:
+        """An article's mark inside of an element."""
+        self.any_centre = True
+        if inner >= 0:
+            self.centre[inner] = True
+
+    def tell(self, found: list[Block]) -> None:
+        """Sets the blocks' marks of what stands around them; one pass in, one pass out."""
+        plain = [0] * len(self.parent)
+        for b in found:
+            if b.inner >= 0:
+                plain[b.inner] += b.words - min(b.linked, b.words)
+        total = sum(b.words - min(b.linked, b.words) for b in found)
+        for i in range(len(self.parent) - 1, -1, -1):
+            if (up := self.parent[i]) >= 0:
+                plain[up] += plain[i]
+                self.centre[up] = self.centre[up] or self.centre[i]
+        tagged, named = list(self.tagged), list(self.named)
+        for i, up in enumerate(self.parent):
+            if 2 * plain[i] > total and (self.centre[i] or not self.any_centre):
+                tagged[i] = named[i] = 0
+            if up >= 0:
+                tagged[i] |= tagged[up]
+                named[i] |= named[up]
+        for b in found:
+            if b.inner >= 0:
+                b.around, b.named_around = tagged[b.inner], named[b.inner]
 
 
 class Page:
@@ -121,7 +183,7 @@ class Open:
     """The open elements; a search by name goes to the last of that name at once."""
 
     def __init__(self):
-        self.stack: list[tuple] = []  # tag; marks: around, named around, centre, named centre, hidden; container
+        self.stack: list[tuple] = []  # tag; marks: inner, centre, named centre, hidden; container
         self.by: dict[str, list[int]] = {}
         self.containers: list[int] = []
 
@@ -143,7 +205,7 @@ class Open:
 
     @property
     def marks(self) -> tuple:
-        return self.stack[-1][1] if self.stack else (0, 0, 0, 0, 0)
+        return self.stack[-1][1] if self.stack else (-1, 0, 0, 0)
 
     @property
     def container(self) -> int:
@@ -153,7 +215,7 @@ class Open:
 def blocks(page: str) -> list[Block]:
     """The text blocks of a page in order."""
     out: list[Block] = []
-    reader, open_ = Page(page), Open()
+    reader, open_, beside = Page(page), Open(), Surroundings()
     parts: list[str] = []
     links: list[str] = []
     link, heading, containers, at, n = -1, 0, 0, 0, len(page)  # link: open elements when the link began
@@ -163,11 +225,11 @@ def blocks(page: str) -> list[Block]:
         if parts:
             text = " ".join(html.unescape("".join(parts)).split())
             if text:
-                out.append(Block(text, len(text.split()), len(html.unescape("".join(links)).split()), *open_.marks[:4], heading, open_.container))
+                out.append(Block(text, len(text.split()), len(html.unescape("".join(links)).split()), *open_.marks[:3], heading, open_.container))
             parts, links = [], []
 
     def say(text: str):
-        if text and not open_.marks[4]:
+        if text and not open_.marks[3]:
             parts.append(text)
             if link >= 0:
                 links.append(text)
@@ -211,15 +273,20 @@ def blocks(page: str) -> list[Block]:
         own = set()
         if rest:
             for _, x, y, z in NAMES.findall(rest):
-                own.update(WORD.findall(re.sub(r"([a-z])([A-Z])", r"\1 \2", x or y or z).lower()))
-        above = open_.marks
-        named_around = int(bool(own & AROUND_WORDS) and tag not in ("html", "body", "article", "main"))
+                own.update(named(x or y or z))
+        inner, above = open_.marks[0], open_.marks
+        tagged, called = tag in AROUND, bool(own & AROUND_WORDS) and tag not in ("html", "body", "article", "main")
+        if tag in CENTRE or own & CENTRE_WORDS or tag == "h1":
+            beside.mark(inner)
+        if tagged or called:
+            inner = beside.add(inner, tagged, called)
         hidden = int(tag in HIDDEN or bool(rest and HIDES.search(rest)))
-        marks = (above[0] | (tag in AROUND), above[1] | named_around, above[2] | (tag in CENTRE), above[3] | int(bool(own & CENTRE_WORDS)), above[4] | hidden)
+        marks = (inner, above[1] | (tag in CENTRE), above[2] | int(bool(own & CENTRE_WORDS)), above[3] | hidden)
         if tag in CONTAINER:
             containers += 1
         open_.push(tag, marks, containers if tag in CONTAINER else open_.container)
     close()
+    beside.tell(out)
     return out
 
 
@@ -294,6 +361,12 @@ LABELLED = [
     "<article><ul><li><a>-W2</a><li><a>-W1</a><li><a>-W3</a><li><a>-W2</a></ul><h1>+W7</h1><p>+S55<h2>+W3</h2><p>+S80<p>+S20</article>",
     "<main><h1>+W5</h1><p>+S90<div><a>-W1</a></div><div><a>-W1</a></div><div><a>-W2</a></div><p>+S60<p>+S5</main>",
     "<article><p>+S40<ul><li>+W6<li>+W4<li>+W9<li>+S14</ul><p>+S30<ol><li>+S5<li>+S8</ol></article>",
+    "<article><h1>+W4</h1><p>+S50<ul><li><a>-W1</a><li><a>-W2</a><li><a>-W1</a></ul><p>+S55<p>+S20</article>",
+    "<main><p>+S30<ul><li><a>-W2</a><li><a>-W1</a><li><a>-W3</a><li><a>-W1</a></ul><p>+S70<p>+S35</main>",
+    # sources inside articles: links of many words after the text
+    "<article><h1>+W5</h1><p>+S60<p>+S45<h2>+W1</h2><ul><li><a>+W9</a><li><a>+W12</a><li><a>+W7</a></ul></article><div><a>-W2</a></div>",
+    "<main><p>+S80<p>+S30<ol><li><a>+W14</a><li><a>+W8</a><li><a>+W6</a><li><a>+W11</a></ol></main><footer>-W9</footer>",
+    "<article><p>+S25<p>+S50<ul><li><a>+W10</a><li><a>+W6</a></ul><ul><li><a>-W1</a><li><a>-W2</a><li><a>-W1</a></ul></article>",
     # pages without any hint but their text: long blocks with few links, and what stands between them
     "<body><p>+S70<p>+S45<p>+S9<p>+S33</body>",
     "<p><a>-W2</a><p><a>-W3</a><p><a>-W1</a><p>+S60<p>+S80<p>+S5<p>+S30<p><a>-W2</a><p><a>-W4</a><p><a>-W5</a>",

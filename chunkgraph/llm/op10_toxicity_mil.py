@@ -7,8 +7,9 @@ trained from document labels alone, and the sentences that make a document toxic
 Near copies of the sample with equal labels train once (``without_copies``), as a large group of them would outvote
 all other texts.
 
-No shuffle over the documents: the sample (at most ``SAMPLE`` ids) and the model (words of the sample) are
-broadcast, both bounded by the sample's parameter. Training takes place on the driver.
+No shuffle over the documents: the sample (at most ``SAMPLE`` ids, twice as many rows, of texts up to ``LONGEST``
+bytes) and the model (words of the sample) are broadcast, both bounded by the sample's parameter. Training takes
+place on the driver.
 
 Defined cases: a null or wordless text has no sentences and scores 0; a text without sentence ends is one
 sentence, however long; rows with a null doc_id are scored and not held out; repeated rows are scored alike;
@@ -33,9 +34,10 @@ from .textops import ALNUM_WORD, FOLDED_BYTES, chunks, give_back, gram_hashes, m
 SAMPLE = 5_000
 THRESHOLD = 0.5
 STEMS = (4, 6)  # bytes
+#: Bytes of a text that training takes; longer ones are scored whole, but teach nothing.
+LONGEST = 256 << 10
 LEAST_DOCS = 5  # documents of the sample that a word of the model occurs in
-LEAST_SHARE = 0.015  # and as a share of the sample's toxic documents
-LEAST_Z = 6.0  # standard deviations between a word's share of toxic documents and that of the sample
+LEAST_Z = 4.0  # standard deviations between a word's share of toxic documents and that of the sample
 EPOCHS, RATE, SHRINK = 200, 0.25, 1e-3
 
 
@@ -129,7 +131,7 @@ def fit(bags: list[tuple[int, np.ndarray, np.ndarray]]) -> Model:
     # words whose share of toxic documents differs from the sample's by more than chance makes likely
     share = y.mean()
     apart = np.abs(toxic_df - df * share) / np.sqrt(df * share * (1 - share) * np.maximum(1 - df / len(y), 1e-9))
-    vocabulary = vocabulary[(df >= max(LEAST_DOCS, LEAST_SHARE * y.sum())) & (apart >= LEAST_Z)]
+    vocabulary = vocabulary[(df >= LEAST_DOCS) & (apart >= LEAST_Z)]
     if not len(vocabulary):
         return Model(none, np.zeros(0), 0.0, float(y.mean()))
     feature, sentence, owner, base = [], [], [], 0
@@ -184,6 +186,8 @@ def train(docs: DataFrame, labels: DataFrame, bound: int = SAMPLE) -> Model:
     """A model of at most ``bound`` labelled documents."""
     sample = F.broadcast(training_rows(labels, "toxic", bound))
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).join(sample, "doc_id").select("label", "text")
+    # an id may repeat, so rows are bounded too
+    rows = rows.filter(F.coalesce(F.octet_length("text"), F.lit(0)) <= LONGEST).limit(2 * bound).repartition(docs.sparkSession.sparkContext.defaultParallelism)
     bags = [(r.label, np.frombuffer(r.hashes, "<u8"), np.frombuffer(r.sentences, "<i4")) for r in rows.mapInArrow(_bags, BAGS).toLocalIterator()]
     bags.sort(key=lambda b: (b[0], b[1][:64].tobytes(), len(b[1])))
     model = fit(bags)

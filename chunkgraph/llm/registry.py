@@ -99,13 +99,12 @@ _DIVERGENCE = r"""WITH d AS (SELECT row_number() OVER () AS r, CAST(doc_id AS BI
  grams AS (SELECT r, i, w[i : i + 2] AS g FROM (SELECT r, w, unnest(range(1, len(w) - 1)) AS i FROM d WHERE len(w) >= 3)),
  many AS (SELECT r, g FROM grams GROUP BY r, g HAVING count(*) > 1),
  again AS (SELECT r, count(DISTINCT j) AS n FROM (SELECT a.r, unnest([a.i, a.i + 1, a.i + 2]) AS j FROM grams a JOIN many m ON m.r = a.r AND m.g = a.g) GROUP BY r),
- extra AS (SELECT r, count(*) - count(DISTINCT g) AS n FROM grams GROUP BY r),
- x AS (SELECT d.*, len(w) AS nw, length(t) AS nc, coalesce(a.n, 0) AS repeats, coalesce(e.n, 0) AS extra, length(regexp_replace(t, '\p{Ll}+', '', 'g')) AS l1, length(regexp_replace(t, '[\p{Ll}\x20\x09-\x0D]+', '', 'g')) AS l2, length(regexp_replace(t, '[\p{Ll}\p{Lu}\x20\x09-\x0D]+', '', 'g')) AS l3,
-  length(regexp_replace(t, '[\p{L}\p{M}\x20\x09-\x0D]+', '', 'g')) AS l4, length(regexp_replace(t, '[\p{L}\p{M}\p{N}\x20\x09-\x0D]+', '', 'g')) AS l5, length(regexp_replace(t, '[\p{L}\p{M}\p{N}\p{P}\x20\x09-\x0D]+', '', 'g')) AS l6 FROM d LEFT JOIN again a ON a.r = d.r LEFT JOIN extra e ON e.r = d.r),
+ x AS (SELECT d.*, len(w) AS nw, length(t) AS nc, coalesce(a.n, 0) AS repeats, length(regexp_replace(t, '\p{Ll}+', '', 'g')) AS l1, length(regexp_replace(t, '[\p{Ll}\x20\x09-\x0D]+', '', 'g')) AS l2, length(regexp_replace(t, '[\p{Ll}\p{Lu}\x20\x09-\x0D]+', '', 'g')) AS l3,
+  length(regexp_replace(t, '[\p{L}\p{M}\x20\x09-\x0D]+', '', 'g')) AS l4, length(regexp_replace(t, '[\p{L}\p{M}\p{N}\x20\x09-\x0D]+', '', 'g')) AS l5, length(regexp_replace(t, '[\p{L}\p{M}\p{N}\p{P}\x20\x09-\x0D]+', '', 'g')) AS l6 FROM d LEFT JOIN again a ON a.r = d.r),
  c AS (SELECT *, [nc - l1, l1 - l2, l2 - l3, l3 - l4, l4 - l5, l5 - l6, l6] AS cells FROM x),
- fit AS (SELECT * FROM c WHERE nw >= 50 AND 2 * extra <= nw),
- voc AS (SELECT lang, word, count(*) AS n FROM (SELECT lang, unnest(w) AS word FROM fit) GROUP BY lang, word),
- best AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY n DESC, word) AS k FROM voc QUALIFY k <= 48),
+ fit AS (SELECT * FROM c WHERE nw >= 50),
+ voc AS (SELECT lang, word, count(*) AS n FROM (SELECT lang, unnest(w) AS word FROM fit) WHERE strlen(word) <= 8 GROUP BY lang, word),
+ best AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY n DESC, word) AS k FROM voc QUALIFY k <= 24),
  sizes AS (SELECT lang, sum(nw) AS n FROM fit GROUP BY lang),
  wref AS (SELECT lang, k, n FROM best UNION ALL SELECT b.lang, 0, any_value(s.n) - sum(b.n) FROM best b JOIN sizes s ON s.lang = b.lang GROUP BY b.lang),
  cref AS (SELECT lang, k, sum(n) AS n FROM (SELECT lang, unnest(cells) AS n, unnest(range(7)) AS k FROM fit) GROUP BY lang, k),
@@ -117,7 +116,7 @@ _DIVERGENCE = r"""WITH d AS (SELECT row_number() OVER () AS r, CAST(doc_id AS BI
  lines AS (SELECT r, count(*) - count(DISTINCT l) AS n FROM (SELECT r, unnest(string_split(t, chr(10))) AS l FROM d) WHERE regexp_matches(l, '[^\x20\x09-\x0D]') GROUP BY r),
  told AS (SELECT c.*, dw, dc, coalesce(l.n, 0) AS dup, nw < 50 OR 100 * repeats > 50 * nw AS failed FROM c LEFT JOIN far f ON f.r = c.r LEFT JOIN lines l ON l.r = c.r)
  SELECT id AS doc_id, CAST(nw AS BIGINT) AS n_words, CAST(length(regexp_replace(t, '[\x20\x09-\x0D]+', '', 'g')) AS BIGINT) AS word_chars, CAST(length(regexp_replace(t, '[^#*$%&|<>]+', '', 'g')) AS BIGINT) AS n_symbols, CAST(dup AS BIGINT) AS n_dup_lines, CAST(repeats AS BIGINT) AS n_repeat_words, failed AS base_failed,
- NOT failed AND coalesce(dc <= 0.3 * 0.3 + 6 / (8 * ln(2) * nc), true) AND coalesce(dw <= 0.2 * 0.2 + 48 / (8 * ln(2) * nw), true) AS kept, round(dc, 6) AS class_divergence, round(dw, 6) AS word_divergence FROM told"""
+ NOT failed AND coalesce(dc <= 0.3 * 0.3 + 6 / (8 * ln(2) * nc), true) AND coalesce(dw <= 0.2 * 0.2 + 24 / (8 * ln(2) * nw), true) AS kept, round(dc, 6) AS class_divergence, round(dw, 6) AS word_divergence FROM told"""
 
 #: The other operators train models, tokenize, or search approximately, which SQL can't express.
 ORACLE_SQL: dict[str, str] = {
