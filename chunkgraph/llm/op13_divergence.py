@@ -7,8 +7,9 @@ square by more than what a faithful sample of that size strays: for n draws into
 is about (k - 1) / (8 n ln 2). Texts below ``MIN_CHARS`` or ``MIN_WORDS`` aren't judged by that histogram, nor is any
 by a reference of fewer than ``MIN_REFERENCE`` words.
 
-The references are counted from the table, from all documents with ``MIN_WORDS`` words. Beside them stand base rules: too
-few words, or too many in windows that repeat.
+The references are the means of the histograms' shares over all documents with ``MIN_WORDS`` words, so that one
+document weighs like any other however often it repeats a word. Shares are counted in whole units, which makes sums
+exact. Beside them stand base rules: too few words, or too many in windows that repeat.
 
 All of it is Spark expressions. The first pass counts words by language, with partial counts before the shuffle, and
 keeps the commonest without sorting a vocabulary in one task (a limit by rank goes into each task). The second is a map:
@@ -39,8 +40,10 @@ NOT_SYMBOLS = "[^#*$%&|<>]+"
 COMMON = 24  # words of a reference; each has a character of its own after FIRST_CODE
 SHORT = 8  # bytes of a common word at most
 FIRST_CODE = 64
+#: Units of a document's share of a word, and of a class of characters.
+WORD_UNITS, CLASS_UNITS = 10**8, 10**4
 MIN_WORDS, MIN_CHARS, MIN_REFERENCE = 50, 200, 1000
-CLASS_LIMIT, WORD_LIMIT = 0.3, 0.2
+CLASS_LIMIT, WORD_LIMIT = 0.3, 0.25
 LANGUAGES, FEW_LANGUAGES, SALTS = 5000, 100, 32
 
 
@@ -98,23 +101,26 @@ def class_counts(text: Column) -> Column:
 
 
 def references(rows: DataFrame, common: int = COMMON) -> DataFrame:
-    """(lang, common, word_counts, class_counts, n): a language's commonest words in order, their counts and that of
-    all others, the counts of its classes of characters, and the number of its words."""
+    """(lang, common, word_counts, class_counts, n): a language's commonest words in order, their shares and that of
+    all others, the shares of its classes of characters, each as a sum over documents, and the number of its words."""
     if not 1 <= common <= 60:
         raise ValueError("a reference has 1 to 60 common words")
     w = F.col("w")
-    # no word has white space in it: " k n" stands for n of kind k, the classes of characters and the number of words
-    cells = F.concat(F.slice(class_counts(F.col("text")), 1, CELLS), F.array(F.size(w).cast("double")))
-    told = F.transform(cells, lambda n, k: F.concat(F.lit(" "), (k + 1).cast("string"), F.lit(" "), n.cast("long").cast("string")))
-    counts = rows.filter(F.size(w) >= MIN_WORDS).select("lang", F.explode(F.concat(w, told)).alias("word")).filter((F.octet_length("word") <= SHORT) | F.col("word").startswith(" ")).groupBy("lang", "word").agg(F.count("*").alias("n"))
+    size = F.size(w).cast("long")
+    unit = F.expr(f"{WORD_UNITS} div size(w)")
+    # no word has white space in it: " k n" stands for n of kind k; 1 to 7 the classes, then the words' units, then words
+    cells = F.transform(F.slice(class_counts(F.col("text")), 1, CELLS), lambda n: F.floor(n * CLASS_UNITS / F.length("text")))
+    told = F.transform(F.concat(cells, F.array(unit * size, size)), lambda n, k: F.concat(F.lit(" "), (k + 1).cast("string"), F.lit(" "), n.cast("string")))
+    rows = rows.filter(F.size(w) >= MIN_WORDS).select("lang", unit.alias("unit"), F.explode(F.concat(w, told)).alias("word"))
+    counts = rows.filter((F.octet_length("word") <= SHORT) | F.col("word").startswith(" ")).groupBy("lang", "word").agg(F.count("*").alias("n"), F.sum("unit").alias("units"))
     parts, kind = F.split("word", " "), F.col("word").startswith(" ")
-    counts = counts.select("lang", F.when(kind, F.get(parts, F.lit(1)).cast("int")).otherwise(0).alias("kind"), F.when(kind, "").otherwise(F.col("word")).alias("word"), (F.col("n") * F.when(kind, F.get(parts, F.lit(2)).cast("long")).otherwise(1)).alias("n"))
+    counts = counts.select("lang", F.when(kind, F.get(parts, F.lit(1)).cast("int")).otherwise(0).alias("kind"), F.when(kind, "").otherwise(F.col("word")).alias("word"), F.when(kind, F.col("n") * F.get(parts, F.lit(2)).cast("long")).otherwise(F.col("units")).alias("n"))
     counts = counts.groupBy("lang", "kind", "word").agg(F.sum("n").cast("double").alias("n"))
     rank = F.row_number().over(Window.partitionBy("lang", "kind").orderBy(F.col("n").desc(), "word"))
     best = counts.withColumn("r", rank).filter(F.col("r") <= common).groupBy("lang").agg(F.array_sort(F.collect_list(F.struct("kind", "r", "word", "n"))).alias("best"))
     known, kinds = F.filter("best", lambda b: b["kind"] == 0), F.transform(F.filter("best", lambda b: b["kind"] > 0), lambda b: b["n"])
-    sums = best.select("lang", F.transform(known, lambda b: b["word"]).alias("common"), F.transform(known, lambda b: b["n"]).alias("known"), F.slice(kinds, 1, CELLS).alias("class_counts"), F.element_at(kinds, -1).alias("n"))
-    others = F.col("n") - F.aggregate("known", F.lit(0.0), lambda s, x: s + x)
+    sums = best.select("lang", F.transform(known, lambda b: b["word"]).alias("common"), F.transform(known, lambda b: b["n"]).alias("known"), F.slice(kinds, 1, CELLS).alias("class_counts"), F.element_at(kinds, -2).alias("units"), F.element_at(kinds, -1).alias("n"))
+    others = F.col("units") - F.aggregate("known", F.lit(0.0), lambda s, x: s + x)
     return sums.select("lang", "common", F.concat("known", F.array(others)).alias("word_counts"), "class_counts", "n")
 
 

@@ -103,20 +103,20 @@ _DIVERGENCE = r"""WITH d AS (SELECT row_number() OVER () AS r, CAST(doc_id AS BI
   length(regexp_replace(t, '[\p{L}\p{M}\x20\x09-\x0D]+', '', 'g')) AS l4, length(regexp_replace(t, '[\p{L}\p{M}\p{N}\x20\x09-\x0D]+', '', 'g')) AS l5, length(regexp_replace(t, '[\p{L}\p{M}\p{N}\p{P}\x20\x09-\x0D]+', '', 'g')) AS l6 FROM d LEFT JOIN again a ON a.r = d.r),
  c AS (SELECT *, [nc - l1, l1 - l2, l2 - l3, l3 - l4, l4 - l5, l5 - l6, l6] AS cells FROM x),
  fit AS (SELECT * FROM c WHERE nw >= 50),
- voc AS (SELECT lang, word, count(*) AS n FROM (SELECT lang, unnest(w) AS word FROM fit) WHERE strlen(word) <= 8 GROUP BY lang, word),
+ voc AS (SELECT lang, word, sum(u) AS n FROM (SELECT lang, 100000000 // nw AS u, unnest(w) AS word FROM fit) WHERE strlen(word) <= 8 GROUP BY lang, word),
  best AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY n DESC, word) AS k FROM voc QUALIFY k <= 24),
- sizes AS (SELECT lang, sum(nw) AS n FROM fit GROUP BY lang),
- wref AS (SELECT lang, k, n FROM best UNION ALL SELECT b.lang, 0, any_value(s.n) - sum(b.n) FROM best b JOIN sizes s ON s.lang = b.lang GROUP BY b.lang),
- cref AS (SELECT lang, k, sum(n) AS n FROM (SELECT lang, unnest(cells) AS n, unnest(range(7)) AS k FROM fit) GROUP BY lang, k),
+ sizes AS (SELECT lang, sum(nw) AS n, sum((100000000 // nw) * nw) AS u FROM fit GROUP BY lang),
+ wref AS (SELECT lang, k, n FROM best UNION ALL SELECT b.lang, 0, any_value(s.u) - sum(b.n) FROM best b JOIN sizes s ON s.lang = b.lang GROUP BY b.lang),
+ cref AS (SELECT lang, k, sum(n) AS n FROM (SELECT lang, 10000 * unnest(cells) // nc AS n, unnest(range(7)) AS k FROM fit) GROUP BY lang, k),
  hits AS (SELECT o.r, b.k, count(*) AS n FROM (SELECT r, lang, unnest(w) AS word FROM c WHERE nw >= 50) o JOIN best b ON b.lang = o.lang AND b.word = o.word GROUP BY o.r, b.k),
  whist AS (SELECT r, k, n FROM hits UNION ALL SELECT c.r, 0, any_value(nw) - coalesce(sum(h.n), 0) FROM c LEFT JOIN hits h ON h.r = c.r WHERE nw >= 50 GROUP BY c.r),
- cells AS (SELECT 0 AS kind, c.r, w.k, CAST(coalesce(h.n, 0) AS DOUBLE) / nw AS p, CAST(w.n AS DOUBLE) / s.n AS q FROM c JOIN sizes s ON s.lang = c.lang AND s.n >= 1000 JOIN wref w ON w.lang = c.lang LEFT JOIN whist h ON h.r = c.r AND h.k = w.k WHERE nw >= 50
+ cells AS (SELECT 0 AS kind, c.r, w.k, CAST(coalesce(h.n, 0) AS DOUBLE) / nw AS p, CAST(w.n AS DOUBLE) / s.u AS q FROM c JOIN sizes s ON s.lang = c.lang AND s.n >= 1000 JOIN wref w ON w.lang = c.lang LEFT JOIN whist h ON h.r = c.r AND h.k = w.k WHERE nw >= 50
   UNION ALL SELECT 1, o.r, z.k, CAST(o.n AS DOUBLE) / o.nc, CAST(z.n AS DOUBLE) / sum(z.n) OVER (PARTITION BY o.r) FROM (SELECT r, lang, nc, unnest(cells) AS n, unnest(range(7)) AS k FROM c WHERE nc >= 200) o JOIN sizes s ON s.lang = o.lang AND s.n >= 1000 JOIN cref z ON z.lang = o.lang AND z.k = o.k),
  far AS (SELECT r, sum(CASE WHEN kind = 0 THEN (CASE WHEN p > 0 THEN p * log2(2 * p / (p + q)) ELSE 0 END + CASE WHEN q > 0 THEN q * log2(2 * q / (p + q)) ELSE 0 END) / 2 END) AS dw, sum(CASE WHEN kind = 1 THEN (CASE WHEN p > 0 THEN p * log2(2 * p / (p + q)) ELSE 0 END + CASE WHEN q > 0 THEN q * log2(2 * q / (p + q)) ELSE 0 END) / 2 END) AS dc FROM cells GROUP BY r),
  lines AS (SELECT r, count(*) - count(DISTINCT l) AS n FROM (SELECT r, unnest(string_split(t, chr(10))) AS l FROM d) WHERE regexp_matches(l, '[^\x20\x09-\x0D]') GROUP BY r),
  told AS (SELECT c.*, dw, dc, coalesce(l.n, 0) AS dup, nw < 50 OR 100 * repeats > 50 * nw AS failed FROM c LEFT JOIN far f ON f.r = c.r LEFT JOIN lines l ON l.r = c.r)
  SELECT id AS doc_id, CAST(nw AS BIGINT) AS n_words, CAST(length(regexp_replace(t, '[\x20\x09-\x0D]+', '', 'g')) AS BIGINT) AS word_chars, CAST(length(regexp_replace(t, '[^#*$%&|<>]+', '', 'g')) AS BIGINT) AS n_symbols, CAST(dup AS BIGINT) AS n_dup_lines, CAST(repeats AS BIGINT) AS n_repeat_words, failed AS base_failed,
- NOT failed AND coalesce(dc <= 0.3 * 0.3 + 6 / (8 * ln(2) * nc), true) AND coalesce(dw <= 0.2 * 0.2 + 24 / (8 * ln(2) * nw), true) AS kept, round(dc, 6) AS class_divergence, round(dw, 6) AS word_divergence FROM told"""
+ NOT failed AND coalesce(dc <= 0.3 * 0.3 + 6 / (8 * ln(2) * nc), true) AND coalesce(dw <= 0.25 * 0.25 + 24 / (8 * ln(2) * nw), true) AS kept, round(dc, 6) AS class_divergence, round(dw, 6) AS word_divergence FROM told"""
 
 #: The other operators train models, tokenize, or search approximately, which SQL can't express.
 ORACLE_SQL: dict[str, str] = {
