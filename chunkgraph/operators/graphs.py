@@ -184,6 +184,115 @@ def spectral(nodes: DataFrame, c: EngineConfig) -> DataFrame:
     return intra_cluster(clustered, c, method="spectral")
 
 
+#: Products with the affinity between two orthogonalisations, and how many times both are done.
+POWERS, ROUNDS = 3, 10
+
+
+def _affinity(near: DataFrame) -> DataFrame:
+    """(src, dst, weight): weights of both directions averaged, over the square roots of the degrees of both ends."""
+    both = near.select("src", "dst", "weight").unionAll(near.select(F.col("dst").alias("src"), F.col("src").alias("dst"), "weight"))
+    whole = both.filter("src <> dst").groupBy("src", "dst").agg((F.sum("weight") / 2).alias("weight"))
+    degree = whole.groupBy("src").agg(F.sum("weight").alias("degree"))
+    ends = whole.join(degree, "src").join(degree.select(F.col("src").alias("dst"), F.col("degree").alias("other")), "dst")
+    return ends.select("src", "dst", (F.col("weight") / F.sqrt(F.col("degree") * F.col("other"))).alias("weight"), "degree")
+
+
+def _narrow(batch: pa.RecordBatch, columns: int) -> np.ndarray:
+    return np.stack([np.asarray(batch.column(batch.schema.get_field_index(f"v{i}"))) for i in range(columns)], axis=1) if len(batch) else np.zeros((0, columns))
+
+
+def _inner(left: DataFrame, columns: int, names: tuple[str, str] = ("v", "v")) -> np.ndarray:
+    """The inner products of the columns of a tall matrix with those of itself or of another beside it: a square of
+    columns for each task comes back."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros((columns, columns))
+        for batch in batches:
+            x, y = (np.stack([np.asarray(batch.column(batch.schema.get_field_index(f"{n}{i}"))) for i in range(columns)], axis=1) for n in names)
+            total += x.T @ y
+        yield pa.RecordBatch.from_arrays([pa.array([total.reshape(-1).tolist()])], names=["g"])
+
+    rows = left.select(*[f"{n}{i}" for n in dict.fromkeys(names) for i in range(columns)]).mapInArrow(run, "g array<double>").toArrow()
+    return np.sum([np.array(g) for g in rows["g"].to_pylist()], axis=0).reshape(columns, columns)
+
+
+def _times(rows: DataFrame, right: np.ndarray) -> DataFrame:
+    """A tall matrix (node_id, v0, v1, ...) times a small one."""
+    columns = right.shape[0]
+    sent = rows.sparkSession.sparkContext.broadcast(right)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            y = _narrow(batch, columns) @ sent.value
+            yield pa.RecordBatch.from_arrays([batch.column(0), *[pa.array(y[:, i]) for i in range(y.shape[1])]], names=["node_id", *[f"v{i}" for i in range(y.shape[1])]])
+
+    return rows.select("node_id", *[f"v{i}" for i in range(columns)]).mapInArrow(run, ", ".join(["node_id long", *[f"v{i} double" for i in range(right.shape[1])]]))
+
+
+def spectral_embedding(near: DataFrame, components: int, seed: int = 42, rounds: int = ROUNDS) -> tuple[DataFrame, np.ndarray]:
+    """((node_id, v0, v1, ...), eigenvalues): the first eigenvectors of the normalised affinity of (src, dst, weight), over
+    the square roots of the degrees; ascending node ids and their weights are all that it depends on.
+
+    Block power iteration: the affinity is a table of entries, the block a tall narrow table, and a product is their join
+    with sums by row. Entries are halved and the identity's half is added, which keeps the order of eigenvalues
+    and makes all of them positive. Blocks are made orthogonal by their inner products, a square of columns that is
+    all that comes to the driver; at the end the block is turned to the eigenvectors within its span."""
+    spark, scratch = near.sparkSession, Scratch(near.sparkSession, "spectral")
+    entries = scratch.write(_affinity(near), "entries")
+    ids = entries.groupBy(F.col("src").alias("node_id")).agg(F.first("degree").alias("degree"))
+    # a few columns more than asked for make the wanted ones converge sooner
+    columns = components + max(2, components // 4)
+    names = [f"v{i}" for i in range(columns)]
+    start = [(F.pmod(F.xxhash64("node_id", F.lit(seed), F.lit(i)), F.lit(1 << 20)) / (1 << 19) - 1).alias(n) for i, n in enumerate(names)]
+    block = scratch.write(ids.select("node_id", *start), "block-0")
+
+    def product(rows: DataFrame, half: bool = True) -> DataFrame:
+        other = rows.withColumnRenamed("node_id", "dst")
+        summed = entries.select("src", "dst", "weight").join(other, "dst").groupBy(F.col("src").alias("node_id")).agg(*[F.sum(F.col("weight") * F.col(n)).alias(n) for n in names])
+        if not half:
+            return summed
+        mine = rows.select("node_id", *[F.col(n).alias(f"own_{n}") for n in names])
+        return summed.join(mine, "node_id").select("node_id", *[((F.col(n) + F.col(f"own_{n}")) / 2).alias(n) for n in names])
+
+    for k in range(1, rounds + 1):
+        for _ in range(POWERS):
+            block = product(block)
+        block = scratch.write(block, f"powers-{k}")
+        value, vector = np.linalg.eigh(_inner(block, columns))
+        # columns that have become dependent go to zero rather than to noise
+        scale = np.where(value > value.max() * 1e-13, 1 / np.sqrt(np.maximum(value, 1e-300)), 0.0)
+        block = scratch.write(_times(block, vector * scale), f"block-{k}")
+        scratch.drop(f"powers-{k}", f"block-{k - 1}")
+    image = product(block, half=False).select("node_id", *[F.col(n).alias(f"w{i}") for i, n in enumerate(names)])
+    turned = _inner(block.join(image, "node_id"), columns, ("v", "w"))
+    value, vector = np.linalg.eigh((turned + turned.T) / 2)
+    order = np.argsort(-value)[:components]
+    found = _times(block, vector[:, order])
+    shown = [f"v{i}" for i in range(components)]
+    return found.join(ids, "node_id").select("node_id", *[(F.col(n) / F.sqrt("degree")).alias(n) for n in shown]), value[order]
+
+
+def spectral_nodes(nodes: DataFrame, c: EngineConfig) -> DataFrame:
+    """Clusters of the spectral embedding of the positive similarities, then edges within clusters.
+
+    Up to 5000 nodes all positive similarities count, beyond that those of each node's nearest, 50 at most. Every node
+    has a cluster: one without a similar node stands at the origin of the embedding."""
+    n = nodes.count()
+    if n < 2:
+        return knn(nodes, c).withColumn("method", F.lit("spectral_embedding"))
+    k = min(n, max(2, min(c.n_clusters, n // 50)) if n > 5000 else max(2, min(c.n_clusters // 2, max(1, n // 20))))
+    near = Scratch(nodes.sparkSession, "near").write(similarity_join(nodes, nodes, 1e-9, inclusive=True, k=min(50, max(2, n // 10)) if n > 5000 else None).select("src", "dst", "weight"), "near")
+    if near.isEmpty():
+        return ranked(near, "spectral_embedding")
+    embedded, _ = spectral_embedding(near, k, c.seed)
+    names = [f"v{i}" for i in range(k)]
+    rows = nodes.select("node_id", "emb").join(embedded, "node_id", "left").fillna(0.0, names).select("node_id", "emb", array_to_vector(F.array(*names)).alias("features"))
+    rows = Scratch(nodes.sparkSession, "embedded").write(rows, "rows")
+    model = KMeans(k=k, seed=c.seed, maxIter=20).fit(rows)
+    clustered = model.transform(rows).select("node_id", "emb", F.col("prediction").alias("cluster"))
+    return intra_cluster(clustered, c, method="spectral_embedding")
+
+
 #: Which method's weight an edge keeps, the last first.
 HYBRID = {"knn": 1, "hierarchical": 2, "approximate": 3}
 
@@ -209,7 +318,7 @@ def hybrid(nodes: DataFrame, c: EngineConfig, clustered: DataFrame | None = None
 
 METHODS: dict[str, Callable[..., DataFrame]] = {
     "knn": knn, "hierarchical": hierarchical, "approximate": approximate, "multi_level": multi_level,
-    "hybrid": hybrid, "lsh": lsh, "spectral": spectral, "brute_force": brute_force,
+    "hybrid": hybrid, "lsh": lsh, "spectral": spectral, "spectral_embedding": spectral_nodes, "brute_force": brute_force,
 }
 
 

@@ -192,6 +192,12 @@ def spectral_edges(spark, d):
     return shown(graphs.spectral(nodes(spark, d), replace(CONFIG, n_clusters=10)))
 
 
+@query()
+def spectral_embedding_edges(spark, d):
+    """By the eigenvectors of the affinity of all rows."""
+    return shown(graphs.spectral_nodes(nodes(spark, d), replace(CONFIG, n_clusters=10)))
+
+
 @query()
 def kmeans_hier_edges(spark, d):
     return shown(graphs.hierarchical(nodes(spark, d), replace(CONFIG, n_clusters=10)))
