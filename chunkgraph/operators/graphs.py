@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import warnings
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -323,7 +324,10 @@ METHODS: dict[str, Callable[..., DataFrame]] = {
 
 
 def build(nodes: DataFrame, method: str, config: EngineConfig) -> DataFrame:
-    """Edges by a named method; a name that isn't known gives brute force. The first nodes by id, up to the cap if there is one."""
+    """Edges by a named method; a name that isn't known gives brute force. The first nodes by id, up to the cap if there is
+    one; a warning tells how many it leaves out."""
+    if config.max_graph_size is not None and (more := nodes.count() - config.max_graph_size) > 0:
+        warnings.warn(f"max_graph_size leaves out {more} nodes, those with the greatest ids", stacklevel=2)
     if config.metric == "cosine":
         nodes = nodes.withColumn("emb", normalise(F.col("emb")))
     return METHODS.get(method, brute_force)(capped(nodes, config.max_graph_size), config)

@@ -74,7 +74,8 @@ def node_lookup(nodes: DataFrame, edges: DataFrame, node_id: int) -> DataFrame:
 
 
 def health(metrics: DataFrame, memory_gb: Column, config: EngineConfig) -> DataFrame:
-    """Issues of a metrics row, and a status: none healthy, one or two a warning, more critical."""
+    """Issues of a metrics row, and a status: none healthy, one or two a warning, more critical. There are two kinds of
+    issues so far, so nothing is critical yet."""
     many = F.lit(False) if config.max_graph_size is None else F.col("n_nodes") > 0.9 * config.max_graph_size
     issues = F.array_compact(F.array(F.when(memory_gb > 0.8 * config.max_memory_gb, F.lit("memory")), F.when(many, F.lit("nodes"))))
     n = F.size(issues)

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from ..config import EngineConfig, parse_bool
 from ..functions import split, text, vectors
 from ..operators import graphs, prompts, retrieval, stats
+from ..scratch import Scratch
 from ..sources.readers import spread
 from ..sources.sinks import upserted
 from . import pipeline
@@ -228,7 +229,8 @@ def retrieve_direct_dot(spark, d):
 def graph_metrics(spark, d):
     """Of the hybrid graph: an edge that several methods find is added several times."""
     n = nodes(spark, d)
-    parts = graphs.hybrid_parts(n, CONFIG, clustered(spark, d))
+    scratch = Scratch(spark, "parts")  # each part is needed twice
+    parts = [scratch.write(p, f"part-{i}") for i, p in enumerate(graphs.hybrid_parts(n, CONFIG, clustered(spark, d)))]
     added = parts[0].unionByName(parts[1]).unionByName(parts[2])
     return stats.graph_metrics(n, graphs.merge(*parts), added).withColumn("avg_degree", F.round("avg_degree", 6))
 

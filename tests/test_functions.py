@@ -503,3 +503,10 @@ def test_search_meets_in_the_middle(spark, monkeypatch, hops):
     want = {tuple(p) for i, a in enumerate(seeds) for b in seeds[i + 1 :] for p in [p for p in walk([a], hops) if p[-1] == b][:4]}
     found = retrieval.simple_paths(seeds_of(spark, seeds), edges, hops, c).collect()
     assert {tuple(r.path) for r in found} == want and len(found) == len(want)
+
+
+def test_left_out_nodes_are_told(spark):
+    nodes = spark.createDataFrame([(i, [1.0, 0.1 * i]) for i in range(6)], "node_id long, emb array<double>")
+    with pytest.warns(UserWarning, match="leaves out 2 nodes"):
+        edges = graphs.build(nodes, "knn", EngineConfig(sim_threshold=0.1, max_graph_size=4))
+    assert {r.src for r in edges.collect()} == {0, 1, 2, 3}
