@@ -5,9 +5,10 @@ that follow. Every suffix of every test item is looked up by binary search, whic
 ten words (the window), and its matches are followed word by word to their ends. Words that no test item has sort as
 one symbol that matches nothing, and suffixes that begin with one are left out: no test suffix can begin there.
 
-The documents pass once. Test items are sent to the tasks in blocks of at most ``BLOCK_BYTES`` of text (one item at
-least); a shard is indexed once, by the words of all blocks, and searched with one block after the other. Together
-the items must fit into a worker. There is no shuffle, so no skew: a passage in many documents gives matches in each
+Test items are sent to the tasks in blocks of at most ``BLOCK_BYTES`` of text (one item at least); a shard is indexed
+once, by the words of all blocks, and searched with one block after the other. The documents pass once for
+``ROUND_BYTES`` of test items; if there are more, they pass again with the next blocks, and carry with them what has been
+found, through a table in the shared folder. So what a worker holds doesn't grow with the items. There is no shuffle, so no skew: a passage in many documents gives matches in each
 shard only, and windows that items share are searched once.
 
 Defined cases: a null text has no words and is hit by nothing; an item without words has no window; one of fewer
@@ -21,18 +22,19 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
-from functools import lru_cache
+from functools import lru_cache, reduce
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .storage import Scratch
 from .textops import ALNUM_WORD, chunks, ragged_take, word_hashes
 
 WINDOW = 10
 SHARD = 1 << 20  # bytes of text in a suffix array
-BLOCK_BYTES = 8 << 20
+BLOCK_BYTES, ROUND_BYTES = 8 << 20, 64 << 20
 _U = np.uint64
 
 
@@ -190,31 +192,32 @@ def _tests(items: tuple[tuple[str, str], ...], vocabulary: bytes) -> Tests:
     return Tests(list(items), WINDOW, np.frombuffer(vocabulary, _U))
 
 
-def blocks(benchmark: DataFrame) -> Iterator[tuple[tuple[str, str], ...]]:
-    """The test items in blocks of about ``BLOCK_BYTES`` of text, read one block at a time."""
-    items = benchmark.select(F.col("item_id").cast("string").alias("item_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")).filter("item_id is not null").distinct()
-    total = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    n = max(1, -(-total // BLOCK_BYTES))
-    for k in range(n):
-        rows = items.filter(F.pmod(F.xxhash64("item_id"), F.lit(n)) == k).collect()
-        yield tuple(sorted((r.item_id, r.text) for r in rows))
+Block = tuple[tuple[str, str], ...]
 
 
-def prepared(benchmark: DataFrame) -> tuple[list, object]:
-    """Broadcasts of the blocks of test items, and of the words that all of them have."""
+def rounds(benchmark: DataFrame) -> Iterator[tuple[list, object, bool]]:
+    """(broadcasts of blocks of test items, that of the words they have, whether it is the last) of about ``ROUND_BYTES``
+    each; one block at a time is on the driver."""
+    items = benchmark.select(F.col("item_id").cast("string").alias("item_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")).filter("item_id is not null").distinct()
+    total = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    n, each = max(1, -(-total // BLOCK_BYTES)), max(1, ROUND_BYTES // BLOCK_BYTES)
     context = benchmark.sparkSession.sparkContext
-    sent, words_ = [], np.zeros(0, _U)
-    for block in blocks(benchmark):
-        sent.append(context.broadcast(block))
-        words_ = np.union1d(words_, item_words(list(block))[0])
-    return sent, context.broadcast(words_.tobytes())
+    for first in range(0, n, each):
+        sent, words_ = [], np.zeros(0, _U)
+        for k in range(first, min(first + each, n)):
+            rows = items.filter(F.pmod(F.xxhash64("item_id"), F.lit(n)) == k).collect()
+            block: Block = tuple(sorted((r.item_id, r.text) for r in rows))
+            sent.append(context.broadcast(block))
+            words_ = np.union1d(words_, item_words(list(block))[0])
+        yield sent, context.broadcast(words_.tobytes()), first + each >= n
 
 
 STATE = "spans binary, items array<string>, longest int, longest_at int, longest_item string"
+NAMES = [x.split()[0] for x in STATE.split(", ")]
 
 
-def _scan(sent, vocabulary, kept: list[str]):
-    """Adds the hits of all blocks to each document."""
+def _scan(sent, vocabulary, kept: list[str], carried: bool):
+    """Adds the hits of all blocks to each document, beside those of earlier rounds if there were any."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -223,6 +226,14 @@ def _scan(sent, vocabulary, kept: list[str]):
                 change = np.zeros(len(shard.ranks) + 1, np.int64)
                 found: dict[int, set[str]] = {}
                 best: dict[int, tuple[int, int, str]] = {}
+                if carried:
+                    spans, items, *longest = (batch.column(batch.schema.get_field_index(c)).slice(a, b - a).to_pylist() for c in NAMES)
+                    for d, (x, names, n, p, i) in enumerate(zip(spans, items, *longest)):
+                        if names:
+                            edge = np.frombuffer(x, "<i4").reshape(-1, 2) + shard.first[d]
+                            np.add.at(change, edge[:, 0], 1)
+                            np.add.at(change, edge[:, 1], -1)
+                            found[d], best[d] = set(names), (-n, p, i)
                 for block in sent:
                     tests = _tests(block.value, vocabulary.value)
                     position, window = shard.hits(tests)
@@ -261,7 +272,7 @@ def _scan(sent, vocabulary, kept: list[str]):
                 longest = [best.get(d) for d in range(b - a)]
                 yield pa.RecordBatch.from_arrays(
                     [*columns, pa.array(np.diff(shard.first)), pa.array(own, pa.binary()), pa.array([sorted(found.get(d, ())) for d in range(b - a)], pa.list_(pa.string())), pa.array([x and -x[0] for x in longest], pa.int32()), pa.array([x and x[1] for x in longest], pa.int32()), pa.array([x and x[2] for x in longest], pa.string())],
-                    names=[*kept, "n_words", *[x.split()[0] for x in STATE.split(", ")]],
+                    names=[*kept, "n_words", *NAMES],
                 )
 
     return run
@@ -272,11 +283,22 @@ def matches(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     longest verbatim match: ``longest`` words from word ``longest_at`` on, of ``longest_item``; null for none.
 
     Columns of docs with these names are replaced."""
-    added = ["n_words", *[x.split()[0] for x in STATE.split(", ")]]
+    added = ["n_words", *NAMES]
     fields = [f for f in docs.schema.fields if f.name not in added]
     schema = f"{', '.join(f'`{f.name}` {f.dataType.simpleString()}' for f in fields)}, n_words long, {STATE}"
     kept = [f.name for f in fields]
-    return docs.select(*kept).mapInArrow(_scan(*prepared(benchmark), kept), schema)
+    rows, scratch, carried = docs.select(*kept), None, False
+    for k, (sent, vocabulary, last) in enumerate(rounds(benchmark)):
+        rows = rows.mapInArrow(_scan(sent, vocabulary, kept, carried), schema)
+        if last:
+            break
+        scratch, carried = scratch or Scratch(docs.sparkSession, "items"), True
+        rows = scratch.write(rows, f"round-{k}")
+        for x in [*sent, vocabulary]:
+            x.unpersist()
+        if k:
+            scratch.drop(f"round-{k - 1}")
+    return rows
 
 
 def _digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -308,23 +330,26 @@ def clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 def longest_matches(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """(item_id, item_word, length, doc_id, doc_word): each test suffix's longest verbatim match and a place of it,
     the least doc_id and position of equals; suffixes that match no word are left out."""
-    sent, vocabulary = prepared(benchmark)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for a, _, data, offsets in chunks(batch.column(1), SHARD):
-                shard = Shard(np.frombuffer(vocabulary.value, _U), WINDOW, data, offsets)
-                for block in sent:
-                    tests = _tests(block.value, vocabulary.value)
-                    length, position = shard.longest(tests)
-                    some = np.flatnonzero(length)
-                    d = shard.document(position[some])
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array([tests.names[i] for i in tests.owner[some].tolist()], pa.string()), pa.array(tests.place[some]), pa.array(length[some]), batch.column(0).take(pa.array(a + d)), pa.array(position[some] - shard.first[d])],
-                        names=["item_id", "item_word", "length", "doc_id", "doc_word"],
-                    )
+    def searched(sent, vocabulary):
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                for a, _, data, offsets in chunks(batch.column(1), SHARD):
+                    shard = Shard(np.frombuffer(vocabulary.value, _U), WINDOW, data, offsets)
+                    for block in sent:
+                        tests = _tests(block.value, vocabulary.value)
+                        length, position = shard.longest(tests)
+                        some = np.flatnonzero(length)
+                        d = shard.document(position[some])
+                        yield pa.RecordBatch.from_arrays(
+                            [pa.array([tests.names[i] for i in tests.owner[some].tolist()], pa.string()), pa.array(tests.place[some]), pa.array(length[some]), batch.column(0).take(pa.array(a + d)), pa.array(position[some] - shard.first[d])],
+                            names=["item_id", "item_word", "length", "doc_id", "doc_word"],
+                        )
+
+        return run
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    found = rows.mapInArrow(run, "item_id string, item_word long, length long, doc_id long, doc_word long")
+    parts = [rows.mapInArrow(searched(sent, vocabulary), "item_id string, item_word long, length long, doc_id long, doc_word long") for sent, vocabulary, _ in rounds(benchmark)]
+    found = reduce(DataFrame.unionAll, parts)
     best = found.groupBy("item_id", "item_word").agg(F.min(F.struct((-F.col("length")).alias("less"), "doc_id", "doc_word")).alias("m"))
     return best.select("item_id", "item_word", (-F.col("m.less")).alias("length"), "m.doc_id", "m.doc_word")

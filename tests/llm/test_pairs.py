@@ -262,8 +262,9 @@ def items(rows):
 def test_hits(spark, docs, rows, none, items, monkeypatch):
     bench = spark.createDataFrame([*items, (None, "one two three four")], "item_id long, text string")
     texts = {r[0]: r[1] for r in rows}
-    for block in (op08_decontaminate.BLOCK_BYTES, 200):  # in one block and in several
+    for block, whole in ((op08_decontaminate.BLOCK_BYTES, op08_decontaminate.ROUND_BYTES), (200, op08_decontaminate.ROUND_BYTES), (200, 400)):  # in one block, in several, and in several rounds
         monkeypatch.setattr(op08_decontaminate, "BLOCK_BYTES", block)
+        monkeypatch.setattr(op08_decontaminate, "ROUND_BYTES", whole)
         found = op08_decontaminate.digests(docs, bench).collect()
         assert len(found) == len(rows) + 2
         for r in found:
