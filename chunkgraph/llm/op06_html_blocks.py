@@ -363,6 +363,10 @@ LABELLED = [
     "<article><p>+S40<ul><li>+W6<li>+W4<li>+W9<li>+S14</ul><p>+S30<ol><li>+S5<li>+S8</ol></article>",
     "<article><h1>+W4</h1><p>+S50<ul><li><a>-W1</a><li><a>-W2</a><li><a>-W1</a></ul><p>+S55<p>+S20</article>",
     "<main><p>+S30<ul><li><a>-W2</a><li><a>-W1</a><li><a>-W3</a><li><a>-W1</a></ul><p>+S70<p>+S35</main>",
+    # articles of one link
+    "<article><p><a>+W1</a></article>",
+    "<article><a>+W2</a></article>",
+    "<main><p><a>+W3</a></main>",
     # sources inside articles: links of many words after the text
     "<article><h1>+W5</h1><p>+S60<p>+S45<h2>+W1</h2><ul><li><a>+W9</a><li><a>+W12</a><li><a>+W7</a></ul></article><div><a>-W2</a></div>",
     "<main><p>+S80<p>+S30<ol><li><a>+W14</a><li><a>+W8</a><li><a>+W6</a><li><a>+W11</a></ol></main><footer>-W9</footer>",
