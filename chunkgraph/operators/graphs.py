@@ -230,7 +230,7 @@ def _times(rows: DataFrame, right: np.ndarray) -> DataFrame:
     return rows.select("node_id", *[f"v{i}" for i in range(columns)]).mapInArrow(run, ", ".join(["node_id long", *[f"v{i} double" for i in range(right.shape[1])]]))
 
 
-def spectral_embedding(near: DataFrame, components: int, seed: int = 42, rounds: int = ROUNDS) -> tuple[DataFrame, np.ndarray]:
+def spectral_embedding(near: DataFrame, components: int, seed: int = 42, rounds: int | None = None) -> tuple[DataFrame, np.ndarray]:
     """((node_id, v0, v1, ...), eigenvalues): the first eigenvectors of the normalised affinity of (src, dst, weight), over
     the square roots of the degrees; ascending node ids and their weights are all that it depends on.
 
@@ -255,7 +255,7 @@ def spectral_embedding(near: DataFrame, components: int, seed: int = 42, rounds:
         mine = rows.select("node_id", *[F.col(n).alias(f"own_{n}") for n in names])
         return summed.join(mine, "node_id").select("node_id", *[((F.col(n) + F.col(f"own_{n}")) / 2).alias(n) for n in names])
 
-    for k in range(1, rounds + 1):
+    for k in range(1, (ROUNDS if rounds is None else rounds) + 1):
         for _ in range(POWERS):
             block = product(block)
         block = scratch.write(block, f"powers-{k}")
