@@ -37,7 +37,7 @@ def insert_report(counts: DataFrame) -> DataFrame:
 
 def degrees(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """(node_id, degree): edges in and out; nodes without one too."""
-    ends = edges.select(F.col("src").alias("node_id")).unionAll(edges.select(F.col("dst").alias("node_id")))
+    ends = edges.select(F.explode(F.array("src", "dst")).alias("node_id"))  # edges are computed once
     return nodes.select("node_id").join(ends.groupBy("node_id").agg(F.count("*").alias("degree")), "node_id", "left").fillna(0, ["degree"])
 
 

@@ -29,3 +29,20 @@ def test_codes_of_two_large_sides(spark, few_held):
     far = (bits[:, None] != bits[None]).sum(axis=2)
     expected = {(i, j) for i in range(60) for j in sorted((j for j in range(60) if j != i), key=lambda j: (far[i, j], j))[:10] if v[i] @ v[j] > 0.3}
     assert {(r.src, r.dst) for r in graphs.lsh(frame(spark, v), EngineConfig(sim_threshold=0.3, k=10)).collect()} == expected
+
+
+@pytest.mark.parametrize("k, distinct, threshold, scale", [(None, True, 0.3, 1.0), (3, True, 0.2, 1.0), (3, False, float("-inf"), 1e3), (70, True, -1.0, 1.0), (None, False, 0.0, 1e25)])
+def test_grid_of_blocks(spark, few_held, monkeypatch, k, distinct, threshold, scale):
+    monkeypatch.setattr(vectors, "BLOCK_BYTES", 1)
+    monkeypatch.setattr(vectors, "BLOB_BYTES", 512)
+    monkeypatch.setattr(vectors, "CELLS_SHARE", 0.0)
+    v = np.concatenate([unit_vectors(60, 8), unit_vectors(9, 8)[:5]]) * scale  # five twice
+    s = np.round(v @ v.T, 12)
+    expected = set()
+    for i in range(len(v)):
+        good = sorted((j for j in range(len(v)) if s[i, j] >= threshold and (i != j or not distinct)), key=lambda j: (-s[i, j], j))
+        expected |= {(i, j) for j in good[:k]}
+    found = vectors.similarity_join(frame(spark, v), frame(spark, v), threshold, inclusive=True, k=k, distinct=distinct).collect()
+    assert len(found) == len(expected)
+    assert {(r.src, r.dst) for r in found} == expected
+    assert all(abs(r.weight - s[r.src, r.dst]) <= 1e-9 * scale**2 for r in found)
