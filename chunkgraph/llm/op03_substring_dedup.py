@@ -11,7 +11,9 @@ passage of very many documents costs each task one row. That pairs all windows o
 the runs of ``LEAST`` shingles whose least is that of a larger group, under either of the first two functions, by the
 hash of the whole run: documents with the same run are all paired with the first of them, so no verbatim passage
 depends on who else has its least shingle. Larger groups are marked in a bitmap of fixed size; a bit that several
-shingles share only adds runs. Pairs of documents with a common run, or whose windows meet under at least
+shingles share only adds runs. So are, in the same places, the runs of ``SHORT`` shingles: passages that are alike in
+order have one in common, as with c common shingles they have c / 27 gaps at most, so a changed passage is found by any of
+its runs that no earlier document has beside frequent wording. Pairs of documents with a common run, or whose windows meet under at least
 ``ENOUGH`` functions are verified on the shingles that the windows cover: matches score 1, others -3, and the
 segments of positive score with at least ``LEAST`` shingles and a Jaccard similarity of at least 0.75 are passages.
 So are ranges of matches outside of them that reach this similarity though the score cuts them into shorter segments
@@ -40,6 +42,7 @@ from .textops import FOLDED_BYTES, chunks, give_back, gram_hashes, mix, ragged_t
 
 SHINGLE, WORDS = 5, 50
 LEAST = WORDS - SHINGLE + 1  # shingles of a passage
+SHORT = 18  # shingles of a run that passages that are alike have in common
 HASHES, ENOUGH = 6, 2
 FOLD = 1 << 18  # windows or runs that a task holds
 HOT_BITS = 26  # of the bitmap of least shingles that more than two windows have
@@ -242,14 +245,18 @@ def _hulls(doc, source, lo, hi, slo, shi) -> list[np.ndarray]:
 
 
 def same_runs(run: np.ndarray, doc: np.ndarray, at: np.ndarray) -> tuple[list[np.ndarray], list[np.ndarray]]:
-    """The hulls of documents with a run and the first document that has it, and the first row of each run."""
+    """The hulls of documents with a run and the first document that has it, and the first row of each run; runs whose
+    hash is odd are short."""
     by = np.lexsort((doc, run))
     run, doc, at = run[by], doc[by], at[by]
     head = np.flatnonzero(np.concatenate([[True], run[1:] != run[:-1]]))
     own = np.repeat(head, np.diff(np.append(head, len(run))))
     x = np.flatnonzero(doc != doc[own])
     y = own[x]
-    pairs = _hulls(doc[x], doc[y], at[x], at[x] + np.int32(LEAST - 1), at[y], at[y] + np.int32(LEAST - 1)) if len(x) else []
+    # a short run's passage goes on beside it
+    short = (run[x] & _U(1)).astype(bool)
+    before, after = np.where(short, LEAST, 0).astype(np.int32), np.where(short, SHORT + LEAST - 1, LEAST - 1).astype(np.int32)
+    pairs = _hulls(doc[x], doc[y], np.maximum(at[x] - before, 0), at[x] + after, np.maximum(at[y] - before, 0), at[y] + after) if len(x) else []
     return pairs, [run[head], doc[head], at[head]]
 
 
@@ -279,8 +286,14 @@ def _runs(hot, buckets: int):
                 at = np.flatnonzero(asked)
                 at = at[text[at] == text[at + LEAST - 1]]  # the others cross texts
                 if len(at):
-                    held.append((run_hashes(grams, LEAST)[at], ids[rows[text[at]]], (at - begin[text[at]]).astype(np.int32)))
-                    size += len(at)
+                    marks = np.zeros(len(grams) + 1, np.int32)
+                    marks[at] += 1
+                    marks[at + LEAST - SHORT + 1] -= 1
+                    near = np.flatnonzero(np.cumsum(marks) > 0)
+                    # the last bit tells short runs
+                    for run, where in ((run_hashes(grams, LEAST) & ~_U(1), at), (run_hashes(grams, SHORT) | _U(1), near)):
+                        held.append((run[where], ids[rows[text[where]]], (where - begin[text[where]]).astype(np.int32)))
+                        size += len(where)
                 if size >= FOLD:
                     yield fold(held)
                     held, size = [], 0
