@@ -5,7 +5,8 @@ shingles of a set are ordered rare first, by a count sketch over all documents t
 order gives the same links; the counts only make prefixes selective). Two sets with a Jaccard similarity of at
 least 75 % share a shingle among the first ``n - ceil(0.75 n) + 1`` of each, so prefixes are exchanged by shingle.
 Pairs of a shingle pass a length and a positional filter; distinct pairs pass a suffix filter, an upper bound of
-the overlap from 128 counts for each set; what is left is verified on the sets, once.
+the overlap from parities, one bit or more for each shingle of a set; what is left is verified on the sets, once.
+Sets go from the scan of the texts to their hubs at once, and only those of pairs that are left.
 
 Large groups of near copies don't give all their pairs: a shingle with more than ``ALL_PAIRS`` classes first gives
 the pairs with its few classes that have least of their own. Only pairs that the links found so far don't connect
@@ -32,7 +33,7 @@ from pyspark.sql import functions as F
 from . import blobs
 from .graphs import BROADCAST_IDS, by_id, components
 from .storage import Scratch, buckets_for, partitions, release
-from .textops import chunks, list_column, mix, ragged_take, shingles, tidy, word_hashes
+from .textops import chunks, mix, ragged_take, shingles, tidy, word_hashes
 
 SHINGLE = 5
 SKETCH_BITS, SLICE_BITS = 22, 16
@@ -41,7 +42,8 @@ HUBS, EARLY = 4, 8  # of a larger group: classes that the others are paired with
 NAMING = 16  # shingles of a class by which a pair of the second step is known to be named before
 TESTS = 1 << 18  # pairs of rows of a shingle that a task looks at together
 SALT = 64  # pairs of a hub that are verified together
-HISTOGRAM = 128
+PARITIES = 1 << 10, 1 << 20  # least and most bits of a set's parities
+SENT = 8 << 20  # bytes of sets in a batch
 _U = np.uint64
 
 INFO = "doc_id long, n long, cls long, check long, slice int, counts binary"
@@ -324,19 +326,70 @@ def _packed(s: np.ndarray) -> bytes:
     return blobs.pack(np.sort(s >> _U(24)))
 
 
-SETS = "cls long, n long, histogram array<smallint>, packed binary"
+def _parities(s: np.ndarray) -> bytes:
+    """Whether the shingles of each part by hash are odd in number; at least as many parts as shingles, up to a limit."""
+    parts = min(max(PARITIES[0], 1 << (len(s) - 1).bit_length()), PARITIES[1])
+    odd = np.bincount((s & _U(parts - 1)).astype(np.int64), minlength=parts) & 1
+    return np.packbits(odd.astype(np.uint8)).tobytes()
+
+
+def _apart(p: bytes, q: bytes) -> int:
+    """Shingles that one of two sets has alone, at least: one for each part whose parities differ."""
+    x, y = sorted((np.frombuffer(p, np.uint8), np.frombuffer(q, np.uint8)), key=len)
+    while len(y) > len(x):
+        y = y[: len(y) // 2] ^ y[len(y) // 2 :]
+    return int(np.bitwise_count(x ^ y).sum(dtype=np.int64))
+
+
+MARKS = "cls long, n long, parities binary"
+
+
+def _marks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        rows = [(_class(s)[0], len(s), _parities(s)) for _, s in _sets(batch.column(0))]
+        columns = zip(*rows) if rows else ((), (), ())
+        yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(columns, [pa.int64(), pa.int64(), pa.binary()])], names=[x.split()[0] for x in MARKS.split(", ")])
+
+
+def _suffixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of rows that end with the sizes and parities of both sets, those that may have enough in common."""
+    for batch in batches:
+        sizes = np.asarray(batch.column(5), np.int64) + np.asarray(batch.column(6), np.int64)
+        apart = np.fromiter(map(_apart, batch.column(7).to_pylist(), batch.column(8).to_pylist()), np.int64, len(batch))
+        yield batch.filter(pa.array(sizes >= 7 * apart)).select([0, 1, 2, 3, 4])
+
+
+PLACE = "struct<cls: long, hub: long, other: long, u: long, v: long, salt: int>"
+SENDING = "hub long, other long, u long, v long, salt int, packed binary"
 
 
 def _needed_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        cls, n, counts, packed = [], [], [], []
-        for _, s in _sets(batch.column(0)):
-            cls.append(_class(s)[0])
-            n.append(len(s))
-            counts.append(np.minimum(np.bincount((s & _U(HISTOGRAM - 1)).astype(np.int64), minlength=HISTOGRAM), 32767).astype(np.int16))
-            packed.append(_packed(s))
-        histogram = list_column(pa.array(np.concatenate(counts) if counts else np.zeros(0, np.int16)), np.full(len(cls), HISTOGRAM))
-        yield pa.RecordBatch.from_arrays([pa.array(cls, pa.int64()), pa.array(n, pa.int64()), histogram, pa.array(packed, pa.binary())], names=[x.split()[0] for x in SETS.split(", ")])
+        rows = [(_class(s)[0], _packed(s)) for _, s in _sets(batch.column(0))]
+        cls, packed = zip(*rows) if rows else ((), ())
+        yield pa.RecordBatch.from_arrays([pa.array(cls, pa.int64()), pa.array(packed, pa.binary())], names=["cls", "packed"])
+
+
+def _sent_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Sets of texts for each place of their class, from rows (text, places)."""
+    kinds = [pa.int64()] * 4 + [pa.int32(), pa.binary()]
+    names = [x.split()[0] for x in SENDING.split(", ")]
+    for batch in batches:
+        rows, size = [], 0
+        places = batch.column(1)
+        for i, s in _sets(batch.column(0)):
+            cls, packed = _class(s)[0], None
+            for x in places[i].as_py():
+                if x["cls"] != cls:  # of another text with this doc_id
+                    continue
+                packed = packed or _packed(s)
+                rows.append((x["hub"], x["other"], x["u"], x["v"], x["salt"], packed))
+                size += len(packed)
+                if size >= SENT:
+                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), kinds)], names=names)
+                    rows, size = [], 0
+        if rows:
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), kinds)], names=names)
 
 
 def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -386,30 +439,40 @@ class Join:
         pairs = found.filter("a is not null").select("a", "b").distinct()
         return pairs, found.filter("token is not null").select("token", "cls", "n", "pos", "before")
 
+    def sent(self, hubs: DataFrame) -> DataFrame:
+        """Rows as ``SENDING``: the set of each pair's other class, and the hub's own once for each salt.
+
+        While there are few, the places that sets go to are broadcast to where the texts are scanned."""
+        none = F.lit(None).cast("long")
+        place = lambda *c: F.struct(*c).cast(PLACE).alias("place")
+        right = hubs.select(F.col("v").alias("doc_id"), place("other", "hub", "other", "u", "v", "salt"))
+        left = hubs.select("hub", "u", "salt").distinct().select(F.col("u").alias("doc_id"), place("hub", "hub", none, none, none, "salt"))
+        places = left.unionByName(right)
+        if hubs.limit(BROADCAST_IDS // 8 + 1).count() <= BROADCAST_IDS // 8:
+            places = places.groupBy("doc_id").agg(F.collect_list("place").alias("places"))
+            return self.docs.join(F.broadcast(places), "doc_id").select("text", "places").mapInArrow(tidy(_sent_sets), SENDING)
+        sets = by_id(self.docs, places.select("doc_id").distinct(), "left_semi").select("text").mapInArrow(tidy(_needed_sets), "cls long, packed binary")
+        return places.select("place.*").join(sets, "cls").select([x.split()[0] for x in SENDING.split(", ")])
+
     def verify(self, pairs: DataFrame, label: str) -> DataFrame:
         """Links (u, v) between the first documents of classes whose sets have at least 75 % in common.
 
-        The counts of each set's parts by hash bound what a pair can have in common, so that few sets are sent that
+        The parities of each set's parts by hash bound what a pair can have in common, so that few sets are sent that
         are not alike. The class with more pairs is a pair's hub."""
         pairs = self.scratch.write(pairs, f"{label}-pairs")
         degree = pairs.select(F.explode(F.array("a", "b")).alias("cls")).groupBy("cls").agg(F.count("*").alias("degree"))
         named = self.scratch.write(degree.join(self.classes, "cls").select("cls", "rep", "degree"), f"{label}-classes")
-        sets = by_id(self.docs, named.select(F.col("rep").alias("doc_id")), "left_semi").select("text").mapInArrow(tidy(_needed_sets), SETS)
-        sets = self.scratch.write(sets, f"{label}-sets")
-        info = named.join(sets.select("cls", "n", "histogram"), "cls").select("cls", "rep", "n", "histogram", "degree")
-        sets = sets.select("cls", "packed")
-        both = pairs.join(info.toDF("a", "ra", "na", "ha", "da"), "a").join(info.toDF("b", "rb", "nb", "hb", "db"), "b")
-        apart = F.aggregate(F.zip_with("ha", "hb", lambda p, q: F.abs(p - q).cast("long")), F.lit(0).cast("long"), lambda s, v: s + v)
-        both = both.filter(F.col("na") + F.col("nb") >= 7 * apart)
+        marks = by_id(self.docs, named.select(F.col("rep").alias("doc_id")), "left_semi").select("text").mapInArrow(tidy(_marks), MARKS)
+        info = self.scratch.write(named.join(marks, "cls").select("cls", "rep", "n", "parities", "degree"), f"{label}-marks")
+        both = pairs.join(info.toDF("a", "ra", "na", "pa", "da"), "a").join(info.toDF("b", "rb", "nb", "pb", "db"), "b")
         first = F.col("da") >= F.col("db")
-        hubs = both.select(F.when(first, F.col("a")).otherwise(F.col("b")).alias("hub"), F.when(first, F.col("b")).otherwise(F.col("a")).alias("other"), F.col("ra").alias("u"), F.col("rb").alias("v"), F.greatest("da", "db").alias("degree"))
+        ends = [F.when(first, F.col(x)).otherwise(F.col(y)).alias(z) for x, y, z in (("a", "b", "hub"), ("b", "a", "other"), ("ra", "rb", "u"), ("rb", "ra", "v"))]
+        hubs = both.select(*ends, F.greatest("da", "db").alias("degree"), "na", "nb", "pa", "pb")
+        hubs = hubs.mapInArrow(tidy(_suffixes), "hub long, other long, u long, v long, degree long")
         hubs = self.scratch.write(hubs.withColumn("salt", F.pmod(F.xxhash64("other"), F.ceil(F.col("degree") / SALT)).cast("int")).drop("degree"), f"{label}-hubs")
-        right = hubs.join(sets.withColumnRenamed("cls", "other"), "other").select("hub", "other", "u", "v", "packed", "salt")
-        none = F.lit(None).cast("long")
-        left = hubs.select("hub", "salt").distinct().join(sets.withColumnRenamed("cls", "hub"), "hub").select("hub", none.alias("other"), none.alias("u"), none.alias("v"), "packed", "salt")
-        together = left.unionByName(right).repartition(self.n, "hub", "salt").sortWithinPartitions("hub", "salt", F.col("other").asc_nulls_first())
+        together = self.sent(hubs).repartition(self.n, "hub", "salt").sortWithinPartitions("hub", "salt", F.col("other").asc_nulls_first())
         links = self.scratch.write(together.select("hub", "other", "u", "v", "packed").mapInArrow(tidy(_verify), "u long, v long"), f"{label}-links")
-        self.scratch.drop(f"{label}-sets", f"{label}-classes", f"{label}-hubs")
+        self.scratch.drop(f"{label}-classes", f"{label}-marks", f"{label}-hubs")
         release(self.spark)
         return links
 

@@ -8,7 +8,7 @@ import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from chunkgraph.llm import op03_substring_dedup, op04_jaccard_join, op08_decontaminate
+from chunkgraph.llm import graphs, op03_substring_dedup, op04_jaccard_join, op08_decontaminate
 from chunkgraph.llm.graphs import components
 from chunkgraph.llm.storage import Scratch
 from chunkgraph.llm.textops import gram_hashes, mix
@@ -83,6 +83,42 @@ def test_jaccard_join_cuts_hot_shingles_into_blocks(spark, monkeypatch):
     assert {r.doc_id: (r.n_shingles, r.component_id) for r in found} == want and 1 < len({c for _, c in want.values()}) < 70
 
 
+def test_jaccard_join_sends_no_sets_of_large_texts_that_are_not_alike(spark, monkeypatch):
+    """Of all pairs of 4 large texts only the pair that is alike may have its sets sent."""
+    rng = np.random.default_rng(8)
+    texts = {k: [f"w{i}" for i in rng.integers(0, 10**6, 5000)] for k in range(3)}
+    texts[3] = [*texts[0][:4800], *texts[1][:200]]
+    join = op04_jaccard_join.Join(spark.createDataFrame([(k, " ".join(t)) for k, t in texts.items()], "doc_id long, text string"))
+    cls = [r.cls for r in join.classes.collect()]
+    pairs = spark.createDataFrame([(min(p), max(p)) for p in itertools.combinations(cls, 2)], "a long, b long")
+    rows, write = {}, join.scratch.write
+
+    def counted(df, label):
+        out = write(df, label)
+        rows[label] = out.count()
+        return out
+
+    monkeypatch.setattr(join.scratch, "write", counted)
+    found = {frozenset((r.u, r.v)) for r in join.verify(pairs, "first").collect()}
+    assert found == {frozenset((0, 3))} and rows["first-pairs"] == 6 and rows["first-hubs"] == 1
+
+
+def test_jaccard_join_with_places_that_are_not_broadcast(docs, rows, monkeypatch):
+    monkeypatch.setattr(op04_jaccard_join, "BROADCAST_IDS", 0)
+    monkeypatch.setattr(graphs, "BROADCAST_IDS", 0)
+    found = op04_jaccard_join.near_duplicates(docs).collect()
+    assert {r.doc_id: (r.n_shingles, r.component_id) for r in found if r.doc_id is not None} == brute_components({r[0]: r[1] for r in rows})
+
+
+@settings(max_examples=100, deadline=None)
+@given(st.integers(0, 3000), st.integers(0, 3000), st.integers(0, 3000), st.integers(0, 2**32))
+def test_parities_never_tell_sets_further_apart_than_they_are(common, x, y, seed):
+    h = np.unique(mix(np.arange(common + x + y, dtype=np.uint64) + np.uint64(seed)))
+    own, other = h[: len(h) - y], np.concatenate([h[:common], h[len(h) - y :]])
+    apart = op04_jaccard_join._apart(op04_jaccard_join._parities(own), op04_jaccard_join._parities(other))
+    assert apart <= len(np.setxor1d(own, other)) and apart == op04_jaccard_join._apart(op04_jaccard_join._parities(other), op04_jaccard_join._parities(own))
+
+
 def test_one_of_each_group_stays(docs, rows):
     kept = op04_jaccard_join.keep_one(docs)
     assert kept.columns == docs.columns
