@@ -7,9 +7,10 @@ trained from document labels alone, and the sentences that make a document toxic
 Near copies of the sample with equal labels train once (``without_copies``), as a large group of them would outvote
 all other texts.
 
-No shuffle over the documents: the sample (at most ``SAMPLE`` ids, twice as many rows, of texts up to ``LONGEST``
-bytes) and the model (words of the sample) are broadcast, both bounded by the sample's parameter. Training takes
-place on the driver.
+No shuffle over the documents: the ids of the sample (at most ``SAMPLE``, twice as many rows, of texts up to
+``LONGEST`` bytes) and the model (words of the sample) are broadcast, both bounded by the sample's parameter. Tasks
+leave out the sample's copies, count its words and number the sentences that have words of the model; the driver gets
+these numbers alone, no texts and no hashes of their words, and finds the weights.
 
 Defined cases: a null or wordless text has no sentences and scores 0; a text without sentence ends is one
 sentence, however long; rows with a null doc_id are scored and not held out; repeated rows are scored alike;
@@ -19,7 +20,7 @@ there are none; other columns are not read.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -28,7 +29,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .labelled import held_out, training_rows
-from .textops import ALNUM_WORD, FOLDED_BYTES, chunks, give_back, gram_hashes, mix, span_hashes, words
+from .storage import Scratch
+from .textops import ALNUM_WORD, FOLDED_BYTES, chunks, gram_hashes, mix, span_hashes, tidy, words
 
 #: Labelled documents that training sees at most.
 SAMPLE = 5_000
@@ -92,21 +94,31 @@ def softplus(z: np.ndarray) -> np.ndarray:
     return np.logaddexp(0, z)
 
 
-def without_copies(bags: list[tuple[int, np.ndarray, np.ndarray]]) -> list[tuple[int, np.ndarray, np.ndarray]]:
+def shingle_set(words_: np.ndarray) -> np.ndarray:
+    """The distinct five-word shingles of a document's words in ascending order; with fewer words, the whole as one."""
+    if len(words_) >= 5:
+        return np.unique(gram_hashes(words_, 5))
+    return words_[:0] if not len(words_) else mix(words_ * np.arange(1, 2 * len(words_), 2, np.uint64)).sum(dtype=np.uint64, keepdims=True)
+
+
+def own_words(hashes: np.ndarray) -> np.ndarray:
+    """Of a document's features the words; what follows are their beginnings."""
+    return hashes[: len(hashes) // (1 + len(STEMS))]
+
+
+def without_copies(bags: Iterable[tuple]) -> Iterator[tuple]:
     """The first document of each group of near copies with the same label, so that a large group counts once.
 
-    A copy has the same least five-word shingle as the first, and sets of shingles that are alike by 0.75 or more;
-    documents of other labels are no copies, whatever their text."""
-    kept, firsts = [], {}
+    bags: (label, word hashes, ...) of each document. A copy has the same least five-word shingle as the first, and
+    sets of shingles that are alike by 0.75 or more; documents of other labels are no copies, whatever their text."""
+    firsts: dict[tuple[int, int], list[np.ndarray]] = {}
     for b in bags:
-        words_ = b[1][: len(b[1]) // (1 + len(STEMS))]  # what follows are the words' beginnings
-        grams = np.unique(gram_hashes(words_, 5)) if len(words_) >= 5 else words_[:0] if not len(words_) else mix(words_ * np.arange(1, 2 * len(words_), 2, np.uint64)).sum(dtype=np.uint64, keepdims=True)
+        grams = shingle_set(own_words(b[1]))
         others = firsts.setdefault((b[0], int(grams[0]) if len(grams) else -1), [])
         if any(alike(grams, o) for o in others):
             continue
         others.append(grams)
-        kept.append(b)
-    return kept
+        yield b
 
 
 def alike(a: np.ndarray, b: np.ndarray) -> bool:
@@ -115,36 +127,92 @@ def alike(a: np.ndarray, b: np.ndarray) -> bool:
     return 100 * common >= 75 * (len(a) + len(b) - common)
 
 
-def fit(bags: list[tuple[int, np.ndarray, np.ndarray]]) -> Model:
-    """bags: (label, word hashes, sentence of each word) of each document."""
-    bags = without_copies(bags)
-    y = np.array([b[0] for b in bags], np.float64)
-    none = np.zeros(0, np.uint64)
-    if not len(y) or y.min() == y.max():
-        return Model(none, np.zeros(0), 0.0, float(y.mean()) if len(y) else 0.0)
-    seen = [np.unique(b[1]) for b in bags]
-    vocabulary, at = np.unique(np.concatenate(seen), return_inverse=True)
-    lengths = [len(x) for x in seen]
-    del seen
-    df, toxic_df = np.bincount(at), np.bincount(at, np.repeat(y, lengths))
-    del at
-    # words whose share of toxic documents differs from the sample's by more than chance makes likely
-    share = y.mean()
-    apart = np.abs(toxic_df - df * share) / np.sqrt(df * share * (1 - share) * np.maximum(1 - df / len(y), 1e-9))
-    vocabulary = vocabulary[(df >= LEAST_DOCS) & (apart >= LEAST_Z)]
-    if not len(vocabulary):
-        return Model(none, np.zeros(0), 0.0, float(y.mean()))
-    feature, sentence, owner, base = [], [], [], 0
-    for k, (_, hashes, own) in enumerate(bags):
-        if not len(hashes):
+def bags_of(batch: pa.RecordBatch) -> Iterator[tuple[int, np.ndarray, np.ndarray, int]]:
+    """(label, word hashes, sentence of each word, row) of each document of a batch of labels and texts."""
+    label = batch.column(0).to_pylist()
+    for a, b, data, offsets in chunks(batch.column(1)):
+        starts, ends, sentence, first = sentences(data, offsets)
+        kinds = features(data, starts, ends)
+        for k, (x, y) in enumerate(zip(first.tolist(), first[1:].tolist()), a):
+            own = sentence[x:y] - sentence[x] if y > x else sentence[:0]
+            yield label[k], np.concatenate([h[x:y] for h in kinds]), np.tile(own, len(kinds)), k
+
+
+@tidy
+def _keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows with what copies have in common, and with their order among them."""
+    for batch in batches:
+        least, head, size = [], [], []
+        for _, hashes, _, _ in bags_of(batch):
+            grams = shingle_set(own_words(hashes))
+            least.append(int(grams[:1].view(np.int64)[0]) if len(grams) else -1)
+            head.append(hashes[:64].tobytes())
+            size.append(len(hashes))
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(least, pa.int64()), pa.array(head, pa.binary()), pa.array(size, pa.int32())], names=["label", "text", "least", "head", "size"])
+
+
+@tidy
+def _firsts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows without near copies of an earlier one; the copies of a document are in its partition."""
+    held: list[pa.RecordBatch] = []
+
+    def bags() -> Iterator[tuple]:
+        for batch in batches:
+            held[:] = [batch]
+            yield from bags_of(batch)
+
+    for b in without_copies(bags()):
+        yield held[0].slice(b[3], 1).select(["label", "text"])
+
+
+@tidy
+def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """In how many documents, and in how many toxic ones, each word is."""
+    for batch in batches:
+        seen, toxic = [], []
+        for label, hashes, _, _ in bags_of(batch):
+            seen.append(np.unique(hashes))
+            toxic.append(np.full(len(seen[-1]), label))
+        if not seen:
             continue
-        count = int(own.max()) + 1
-        i = np.searchsorted(vocabulary, hashes)
-        i[i == len(vocabulary)] = 0
-        known = vocabulary[i] == hashes
-        pair = np.unique(i[known] << 32 | own[known])  # a word counts once in a sentence
-        feature.append((pair >> 32).astype(np.int32))
-        sentence.append((pair & 0xFFFFFFFF).astype(np.int32) + base)
+        word, at = np.unique(np.concatenate(seen), return_inverse=True)
+        df, toxic_df = np.bincount(at, minlength=len(word)), np.bincount(at, np.concatenate(toxic), len(word)).astype(np.int64)
+        yield pa.RecordBatch.from_arrays([pa.array(word.view(np.int64)), pa.array(df), pa.array(toxic_df)], names=["word", "df", "toxic_df"])
+
+
+def _numbered(vocabulary):
+    """Of each document: its label, its sentences without a word of the vocabulary, and for each pair of a word and a
+    sentence that has it the number of either; sentences count from 0."""
+
+    @tidy
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = vocabulary.value
+        for batch in batches:
+            rows = []
+            for label, hashes, own, _ in bags_of(batch):
+                i = np.searchsorted(known, hashes)
+                i[i == len(known)] = 0
+                hit = known[i] == hashes
+                pair = np.unique(i[hit] << 32 | own[hit])  # a word counts once in a sentence
+                some, sentence = np.unique(pair & 0xFFFFFFFF, return_inverse=True)
+                count = int(own.max()) + 1 if len(own) else 0
+                rows.append((label, count - len(some), (pair >> 32).astype("<i4").tobytes(), sentence.astype("<i4").tobytes()))
+            if rows:
+                yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows), (pa.int32(), pa.int32(), pa.binary(), pa.binary()))], names=["label", "plain", "feature", "sentence"])
+
+    return run
+
+
+def fit(vocabulary: np.ndarray, rows: list[tuple[int, int, bytes, bytes]]) -> Model:
+    """rows: what ``_numbered`` gives of each document."""
+    rows = sorted(rows)  # so that sums don't depend on the order that tasks end in
+    y, plain = (np.array([r[k] for r in rows], np.float64) for k in (0, 1))
+    feature, sentence, owner, base = [], [], [], 0
+    for k, (_, _, words_, own) in enumerate(rows):
+        own = np.frombuffer(own, "<i4")
+        count = int(own.max()) + 1 if len(own) else 0
+        feature.append(np.frombuffer(words_, "<i4"))
+        sentence.append(own + np.int32(base))
         owner.append(np.full(count, k, np.int32))
         base += count
     feature, sentence, owner = (np.concatenate(x) for x in (feature, sentence, owner))
@@ -153,10 +221,11 @@ def fit(bags: list[tuple[int, np.ndarray, np.ndarray]]) -> Model:
     first, second, fb, sb = np.zeros(m), np.zeros(m), 0.0, 0.0
     for step in range(1, EPOCHS + 1):
         z = b + np.bincount(sentence, w[feature], base)
-        bag = np.bincount(owner, softplus(z), len(y))  # minus the log of the chance that no sentence is toxic
+        # minus the log of the chance that no sentence is toxic; those without known words are alike
+        bag = np.bincount(owner, softplus(z), len(y)) + plain * softplus(b)
         slope = np.where(y == 1, -1 / np.maximum(np.expm1(np.minimum(bag, 500)), 1e-9), 1.0) / len(y)
         gz = slope[owner] / (1 + np.exp(-z))
-        gw, gb = np.bincount(feature, gz[sentence], m) + SHRINK / len(y) * w, gz.sum()
+        gw, gb = np.bincount(feature, gz[sentence], m) + SHRINK / len(y) * w, gz.sum() + (slope * plain).sum() / (1 + np.exp(-b))
         first, second = 0.9 * first + 0.1 * gw, 0.99 * second + 0.01 * gw**2
         fb, sb = 0.9 * fb + 0.1 * gb, 0.99 * sb + 0.01 * gb**2
         c1, c2 = 1 - 0.9**step, 1 - 0.99**step
@@ -167,33 +236,30 @@ def fit(bags: list[tuple[int, np.ndarray, np.ndarray]]) -> Model:
     return Model(vocabulary[keep], w[keep], float(b))
 
 
-BAGS = "label int, hashes binary, sentences binary"
-
-
-def _bags(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        for a, b, data, offsets in chunks(batch.column(1)):
-            starts, ends, sentence, first = sentences(data, offsets)
-            kinds = features(data, starts, ends)
-            own = list(zip(first.tolist(), first[1:].tolist()))
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0).slice(a, b - a), pa.array([b"".join(h[x:y].tobytes() for h in kinds) for x, y in own], pa.binary()), pa.array([(sentence[x:y] - sentence[x]).astype("<i4").tobytes() * len(kinds) if y > x else b"" for x, y in own], pa.binary())],
-                names=["label", "hashes", "sentences"],
-            )
-
-
 def train(docs: DataFrame, labels: DataFrame, bound: int = SAMPLE) -> Model:
     """A model of at most ``bound`` labelled documents."""
+    spark, none = docs.sparkSession, np.zeros(0, np.uint64)
     sample = F.broadcast(training_rows(labels, "toxic", bound))
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).join(sample, "doc_id").select("label", "text")
     # an id may repeat, so rows are bounded too
-    rows = rows.filter(F.coalesce(F.octet_length("text"), F.lit(0)) <= LONGEST).limit(2 * bound).repartition(docs.sparkSession.sparkContext.defaultParallelism)
-    bags = [(r.label, np.frombuffer(r.hashes, "<u8"), np.frombuffer(r.sentences, "<i4")) for r in rows.mapInArrow(_bags, BAGS).toLocalIterator()]
-    bags.sort(key=lambda b: (b[0], b[1][:64].tobytes(), len(b[1])))
-    model = fit(bags)
-    bags.clear()
-    give_back()
-    return model
+    rows = rows.filter(F.coalesce(F.octet_length("text"), F.lit(0)) <= LONGEST).limit(2 * bound).repartition(spark.sparkContext.defaultParallelism)
+    keyed = rows.mapInArrow(_keyed, "label int, text string, least long, head binary, size int").repartition(spark.sparkContext.defaultParallelism, "label", "least")
+    with Scratch(spark, "toxicity") as scratch:
+        bags = scratch.write(keyed.sortWithinPartitions("label", "least", "head", "size", "text").mapInArrow(_firsts, "label int, text string"), "sample")
+        n, toxic = bags.agg(F.count("*"), F.coalesce(F.sum("label"), F.lit(0))).first()
+        if not 0 < toxic < n:
+            return Model(none, np.zeros(0), 0.0, toxic / n if n else 0.0)
+        # words whose share of toxic documents differs from the sample's by more than chance makes likely
+        df, share = F.col("df"), F.lit(toxic / n)
+        apart = F.abs(F.col("toxic_df") - df * share) / F.sqrt(df * share * (1 - share) * F.greatest(1 - df / F.lit(float(n)), F.lit(1e-9)))
+        counts = bags.mapInArrow(_counts, "word long, df long, toxic_df long").groupBy("word").agg(F.sum("df").alias("df"), F.sum("toxic_df").alias("toxic_df"))
+        found = counts.filter((df >= LEAST_DOCS) & (apart >= LEAST_Z)).select("word").collect()
+        if not found:
+            return Model(none, np.zeros(0), 0.0, toxic / n)
+        vocabulary = np.sort(np.array([r.word for r in found], np.int64).view(np.uint64))
+        sent = spark.sparkContext.broadcast(vocabulary)
+        numbers = bags.mapInArrow(_numbered(sent), "label int, plain int, feature binary, sentence binary")
+        return fit(vocabulary, [(r.label, r.plain, bytes(r.feature), bytes(r.sentence)) for r in numbers.toLocalIterator()])
 
 
 def _scorer(model):

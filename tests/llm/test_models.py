@@ -1,6 +1,7 @@
 import math
 import re
 import time
+import tracemalloc
 import zlib
 from collections import Counter, defaultdict
 
@@ -304,6 +305,33 @@ def test_copies_have_one_label_and_like_shingles():
     assert [next(i for i, b in enumerate(bags) if b is k) for k in kept] == [0, 2, 4, 5, 7, 8, 10]
 
 
+def test_toxicity_learns_without_texts_on_the_driver(spark):
+    """What training holds on the driver doesn't follow the sample's words, and copies in any partition count once."""
+    rng = np.random.default_rng(8)
+    words = ["".join(rng.choice(list("abdeilmnorstu"), rng.integers(2, 9))) for _ in range(3000)]
+    docs, labels = [], []
+    for i in range(240):
+        w = rng.choice(words, 2500).tolist()
+        if i % 6 == 0:
+            w[i] = ["zlowt", "grunk"][i % 4 // 2]
+        docs.append((5 * i + next(k for k in range(5) if zlib.crc32(str(5 * i + k).encode()) % 5), ". ".join(" ".join(w[k : k + 9]) for k in range(0, len(w), 9))))
+        labels.append((docs[-1][0], int(i % 6 == 0)))
+    table, known = spark.createDataFrame(docs, "doc_id long, text string").repartition(4).persist(), spark.createDataFrame(labels, "doc_id long, toxic int").persist()
+    assert table.count() == known.count() == 240
+    tracemalloc.start()
+    try:
+        model = op10_toxicity_mil.train(table, known)
+        most = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert len(model.words) and most < 4 << 20, most
+    copies = [(10_000 + i, docs[1 + i % 3][1] + " end" * (i % 2)) for i in range(300)]
+    more = op10_toxicity_mil.train(table.union(spark.createDataFrame(copies, "doc_id long, text string").repartition(4)), known.union(spark.createDataFrame([(i, 0) for i, _ in copies], "doc_id long, toxic int")))
+    assert (more.words == model.words).all() and np.allclose(more.weights, model.weights, atol=0.02)
+    found = {r.doc_id: r.predicted for r in op10_toxicity_mil.score(table, model).collect()}
+    assert sum(found[i] != t for i, t in labels) <= 2
+
+
 def test_clashing_columns_and_long_texts(spark, labelled):
     """Columns that the operators use themselves are no input, and very long texts are scored whole."""
     docs, labels = labelled
