@@ -46,3 +46,29 @@ def test_grid_of_blocks(spark, few_held, monkeypatch, k, distinct, threshold, sc
     assert len(found) == len(expected)
     assert {(r.src, r.dst) for r in found} == expected
     assert all(abs(r.weight - s[r.src, r.dst]) <= 1e-9 * scale**2 for r in found)
+
+
+@pytest.mark.parametrize("size, k, threshold, inclusive", [(16, 3, -128.0, True), (16, None, 0.0, False), (3, 4, 2.0, True), (40, 80, float("-inf"), True), (2, 2, float("inf"), True)])
+def test_codes_are_compared_as_they_are_packed(monkeypatch, size, k, threshold, inclusive):
+    """In tiles of bounded size, in several goes, with many ties; a product is the bits less twice the distance."""
+    monkeypatch.setattr(vectors, "CODE_COLUMNS", 16)
+    monkeypatch.setattr(vectors, "CODE_PAIRS", 100)
+    rng = np.random.default_rng(5)
+    x, m = (rng.integers(0, 256, (n, size), dtype=np.uint8) for n in (40, 70))
+    m[:40], m[50:60] = x, x[0]
+    own, other = np.arange(40) * 3 % 41, np.arange(70) + 100
+    other[:40] = own
+    s = (np.unpackbits(x, axis=1) * 2.0 - 1) @ (np.unpackbits(m, axis=1) * 2.0 - 1).T
+    expected = []
+    for i in range(40):
+        good = sorted((j for j in range(70) if own[i] != other[j] and (s[i, j] >= threshold if inclusive else s[i, j] > threshold)), key=lambda j: (-s[i, j], other[j]))
+        expected += [(i, other[j], s[i, j]) for j in good[:k]]
+    found = vectors._Found(k, 40)
+    found.kept = 60
+    pairs = []
+    for part in (slice(0, 30), slice(30, 70)):
+        for row in vectors._pairs(own, x, other[part], m[part], threshold, inclusive, k, True, found.low, found.last):
+            pairs.extend(zip(*row)) if k is None else found.put(*row)
+    if k is not None and found.held:
+        pairs = list(zip(*found.best()[:3]))
+    assert sorted(pairs) == sorted(expected)
