@@ -82,3 +82,22 @@ def test_no_switch_by_the_number_of_nodes(spark):
         assert graphs.spectral_nodes(nodes, EngineConfig()).count() == 0
     monkey.undo()
     assert seen == [5001]
+
+
+def test_power_iteration_takes_all_similarities(spark):
+    """The clusters are those of the whole matrix's powers, and beyond the old switch no nearest neighbours are asked for."""
+    rng = np.random.default_rng(8)
+    x = np.concatenate([np.eye(4)[:2].repeat([30, 10], axis=0) + 0.05 * rng.standard_normal((40, 4)), [[0, 0, 0, -9.0]]])
+    x[:40, 2:] = np.abs(x[:40, 2:])
+    nodes = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "node_id long, emb array<double>")
+    found = {r.id: r.cluster for r in graphs.PowerIterationClustering(k=2, maxIter=4, seed=42).assignClusters(vectors.Similarities(nodes)).collect()}
+    assert sorted(found) == list(range(40))
+    assert len({found[i] for i in range(30)}) == len({found[i] for i in range(30, 40)}) == 1 and found[0] != found[30]
+    seen = []
+    monkey = pytest.MonkeyPatch()
+    monkey.setattr(graphs, "Similarities", lambda nodes: seen.append(nodes.count()) or vectors.Similarities(nodes.limit(0)))
+    with monkey.context():
+        many = spark.range(5001).select(F.col("id").alias("node_id"), F.array(F.lit(1.0), F.lit(0.0)).alias("emb"))
+        assert graphs.spectral(many, EngineConfig()).count() == 0
+    monkey.undo()
+    assert seen == [5001]
